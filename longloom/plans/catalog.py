@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus  # noqa: F401
+from . import corpus, packing  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return corpus.q_sample_per_source(spark, sf_dir)
+    """Sampling -> tokenizing -> packing -> per-source profile of the packed segments."""
+    return packing.q_segment_length_profile(spark, sf_dir)
