@@ -44,14 +44,15 @@ def running_sum(df: DataFrame, value: str, order: Sequence[str], bucket: Column,
     b = df.withColumn("_bk", bucket)
     totals = b.groupBy(*by, "_bk").agg(F.sum(value).alias("_bt"))
     wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_bk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).cast("long").alias("_bo"))
+    zero = F.lit(0).cast(totals.schema["_bt"].dataType)
+    offsets = totals.select(*by, "_bk", F.coalesce(F.sum("_bt").over(wb), zero).alias("_bo"))
     # groups x buckets rows: bounded by the parameters, never by the data
     j = b.join(F.broadcast(offsets), on=[*by, "_bk"], how="inner")
     if bucket_offset_max is not None:
         lim = bucket_offset_max if isinstance(bucket_offset_max, Column) else F.lit(bucket_offset_max)
         j = j.filter(F.col("_bo") <= lim)
     wr = Window.partitionBy(*by, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn(out, (F.col("_bo") + F.sum(value).over(wr)).cast("long"))
+    j = j.withColumn(out, F.col("_bo") + F.sum(value).over(wr))
     if not keep_bucket_cols:
         j = j.drop("_bk", "_bo")
     return j

@@ -187,7 +187,7 @@ def sample(docs: DataFrame, spec: SampleSpec, mix: DataFrame | None = None, chec
           .withColumn("admit", F.col("pass") & (F.col("prior") <= F.col("bf")))
           .withColumn("filtered", ~F.col("pass") & (F.col("prior") <= F.col("bf")))
           .filter(F.col("prior") <= F.col("bf"))
-          .select(*([] if not spec.per_source else []), "doc_id", "source", "n_chars", "k", "pass", "v",
+          .select("doc_id", "source", "n_chars", "k", "pass", "v",
                   "incl", "prior", "bf", "bc", "admit", "filtered"))
     if checkpoint:
         w = cut_lineage(w)
