@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, packing, qa  # noqa: F401
+from . import corpus, needle, packing, qa  # noqa: F401
 
 
 def flagship(spark, sf_dir):
