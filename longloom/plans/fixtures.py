@@ -53,3 +53,4 @@ RECALL_BUCKET_WIDTH = 64
 SLICE_START = 2
 SLICE_STOP = 8
 N_SHARDS = 4
+N_SEGMENTS = 4
