@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.tokens import PERIOD_TOKENS, tokenize
+from ..session import cut_lineage
 
 
 # ------------------------------------------------------------------ grid
@@ -81,7 +82,7 @@ def default_grid(spark: SparkSession, sigmoid: bool = False) -> DataFrame:
 # ------------------------------------------------------------------ haystack
 
 def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "doc_id", text: str = "text",
-              n_buckets: int = 1024) -> DataFrame:
+              n_buckets: int = 1024, materialize: bool = True) -> DataFrame:
     """``group, n_tokens, passes, tokens array<string>`` (at most ``max_len`` tokens).
 
     Documents of a group are concatenated in ``order`` and the whole sequence is
@@ -89,15 +90,17 @@ def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "
     tokens are kept (every context is a prefix of at most that length).
     Offsets are two-level: per (group, pass, order-range bucket) totals, then a
     window inside the few buckets that reach into the first ``max_len`` tokens.
+    The result (groups x ``max_len`` tokens) is reused by every cell, so it is
+    written once to the shared checkpoint folder unless ``materialize=False``.
     """
-    t = docs.select(F.col(group).alias("g"), F.col(order).alias("o"), tokenize(F.col(text)).alias("toks"))
-    t = t.withColumn("n", F.size("toks").cast("long")).filter(F.col("n") > 0)
+    t = docs.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("text"))
     lo, hi = t.agg(F.min("o"), F.max("o")).first()
     if lo is None:
-        return t.sparkSession.createDataFrame([], "g string, n_tokens long, passes long, tokens array<string>")
+        return t.sparkSession.createDataFrame([], f"{group} string, n_tokens long, passes long, tokens array<string>")
     width = max(1, math.ceil((hi - lo + 1) / n_buckets))
     t = t.withColumn("bk", F.floor((F.col("o") - F.lit(lo)) / width).cast("long"))
-    bt = t.groupBy("g", "bk").agg(F.sum("n").alias("bn"))
+    # totals need token counts only
+    bt = t.groupBy("g", "bk").agg(F.sum(F.size(tokenize(F.col("text")))).cast("long").alias("bn"))
     wb = Window.partitionBy("g").orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select("g", "bk", "bn", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("within"),
                    F.sum("bn").over(Window.partitionBy("g")).alias("total"))
@@ -106,24 +109,33 @@ def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "
     bp = bt.select("g", "bk", "within", "total", "passes",
                    F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("pass"))
     bp = bp.withColumn("off", F.col("pass") * F.col("total") + F.col("within")).filter(F.col("off") < max_len)
+    # select the needed documents first, tokenize only those
     j = t.join(F.broadcast(bp.select("g", "bk", "pass", "off", "total", "passes")), ["g", "bk"])
+    j = j.withColumn("toks", tokenize(F.col("text"))).withColumn("n", F.size("toks").cast("long")).drop("text")
     w = Window.partitionBy("g", "pass", "bk").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("prior", F.col("off") + F.sum("n").over(w) - F.col("n")).filter(F.col("prior") < max_len)
-    j = j.withColumn("piece", F.slice("toks", 1, F.least(F.col("n"), F.lit(max_len) - F.col("prior")).cast("int")))
+    j = j.withColumn("piece", F.slice("toks", 1, F.greatest(F.least(F.col("n"), F.lit(max_len) - F.col("prior")),
+                                                            F.lit(0)).cast("int")))
     h = j.groupBy("g").agg(
         F.array_sort(F.collect_list(F.struct("prior", "piece"))).alias("parts"),
         F.first("total").alias("n_tokens"), F.first("passes").alias("passes"))
-    return h.select(F.col("g").alias(group), "n_tokens", "passes",
-                    F.flatten(F.transform("parts", lambda z: z["piece"])).alias("tokens"))
+    h = h.select(F.col("g").alias(group), "n_tokens", "passes",
+                 F.flatten(F.transform("parts", lambda z: z["piece"])).alias("tokens"))
+    return cut_lineage(h, "haystacks") if materialize else h
 
 
 def period_index(hay: DataFrame, group: str = "lang", period_tokens=None) -> DataFrame:
-    """Per haystack position: the last position at or before it holding a period token (-1 if none)."""
+    """Per haystack position: the last position at or before it holding a period token
+    (-1 if none) and ``char_end``, the number of characters up to and including it.
+
+    One window per haystack; a haystack holds at most ``max_len`` tokens.
+    """
     pt = period_tokens or PERIOD_TOKENS
     p = hay.select(group, F.posexplode("tokens").alias("pos", "tok"))
     w = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return p.select(group, "pos", F.coalesce(F.max(F.when(F.col("tok").isin(*pt), F.col("pos"))).over(w),
-                                              F.lit(-1)).alias("last_period"))
+    return p.select(group, "pos",
+                    F.coalesce(F.max(F.when(F.col("tok").isin(*pt), F.col("pos"))).over(w), F.lit(-1)).alias("last_period"),
+                    F.sum(F.length("tok")).over(w).alias("char_end"))
 
 
 def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens: int, group: str = "lang",
@@ -134,7 +146,10 @@ def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens:
     ``L - buffer - needle`` when context plus needle would not fit in
     ``L - buffer``; depth 100 appends, any other depth starts at
     ``int(len * depth / 100)`` and moves left to just after a period.
-    The grid axes are parameter arrays exploded on each haystack row.
+    The grid axes are parameter arrays exploded on each haystack row; the
+    period search is a lookup in the haystack's position index, so no cell
+    scans its context.  ``ins_chars`` / ``ctx_chars`` are the character
+    offsets used to cut the context text.
     """
     h = hay.select(group, F.size("tokens").alias("h_len"))
     c = with_grid(h, lengths, depths)
@@ -144,23 +159,36 @@ def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens:
                  F.greatest(budget - F.lit(needle_tokens), F.lit(0))).otherwise(ctx0)
     c = c.withColumn("ctx_tokens", ctx.cast("int"))
     c = c.withColumn("ip", (F.col("ctx_tokens") * (F.col("depth_percent") / 100.0)).cast("int"))
-    idx = period_index(hay, group, period_tokens).withColumnRenamed("pos", "_p")
-    c = c.withColumn("_p", F.col("ip") - 1).join(idx, [group, "_p"], "left")
-    at = F.when(F.col("depth_percent") == 100, F.col("ctx_tokens")).when(F.col("ip") <= 0, F.lit(0)).otherwise(
-        F.coalesce(F.col("last_period"), F.lit(-1)) + 1)
-    return c.select(group, "context_length", "depth_percent", "h_len", "ctx_tokens",
-                    at.cast("int").alias("insert_at"),
-                    (F.col("ctx_tokens") + F.lit(needle_tokens)).alias("total_tokens"))
+    idx = period_index(hay, group, period_tokens)
+
+    def at(pos_col, cols, names):
+        sel = idx.select(group, F.col("pos").alias("_p"), *[F.col(a).alias(b) for a, b in zip(cols, names)])
+        return lambda df: df.withColumn("_p", pos_col).join(sel, [group, "_p"], "left").drop("_p")
+
+    c = at(F.col("ip") - 1, ["last_period"], ["_lp"])(c)
+    ins = F.when(F.col("depth_percent") == 100, F.col("ctx_tokens")).when(F.col("ip") <= 0, F.lit(0)).otherwise(
+        F.coalesce(F.col("_lp"), F.lit(-1)) + 1)
+    c = c.withColumn("insert_at", ins.cast("int"))
+    c = at(F.col("insert_at") - 1, ["char_end"], ["ins_chars"])(c)
+    c = at(F.col("ctx_tokens") - 1, ["char_end"], ["ctx_chars"])(c)
+    return c.select(group, "context_length", "depth_percent", "h_len", "ctx_tokens", "insert_at",
+                    (F.col("ctx_tokens") + F.lit(needle_tokens)).alias("total_tokens"),
+                    F.coalesce("ins_chars", F.lit(0)).cast("int").alias("ins_chars"),
+                    F.coalesce("ctx_chars", F.lit(0)).cast("int").alias("ctx_chars"))
 
 
 def materialize(cells: DataFrame, hay: DataFrame, needle: str, group: str = "lang") -> DataFrame:
-    """Add ``context`` (text with the needle inserted) to needle cells."""
-    from ..functions.tokens import tokenize as tok
-    nt = tok(F.lit(needle))
-    j = cells.join(hay.select(group, "tokens"), group)
-    ctx = F.concat(F.slice("tokens", 1, F.col("insert_at")), nt,
-                   F.slice("tokens", F.col("insert_at") + 1, F.col("ctx_tokens") - F.col("insert_at")))
-    return j.withColumn("context", F.array_join(ctx, "")).drop("tokens")
+    """Add ``context`` (text with the needle inserted) to needle cells.
+
+    The haystack text is joined once per haystack; each context is two
+    substrings around the needle (the tokenizer is lossless, so character
+    offsets of token boundaries cut the text exactly).
+    """
+    text = hay.select(group, F.array_join("tokens", "").alias("_text"))
+    j = cells.join(text, group)
+    left = F.substring(F.col("_text"), F.lit(1), F.col("ins_chars"))
+    right = F.substring(F.col("_text"), F.col("ins_chars") + 1, F.col("ctx_chars") - F.col("ins_chars"))
+    return j.withColumn("context", F.concat(left, F.lit(needle), right)).drop("_text")
 
 
 def insert_needle_sentence(text: Column, needle: Column, depth: Column) -> Column:

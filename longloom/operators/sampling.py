@@ -190,7 +190,7 @@ def sample(docs: DataFrame, spec: SampleSpec, mix: DataFrame | None = None, chec
           .select("doc_id", "source", "n_chars", "k", "pass", "v",
                   "incl", "prior", "bf", "bc", "admit", "filtered"))
     if checkpoint:
-        w = cut_lineage(w)
+        w = cut_lineage(w, "sample")
     stop = _stop_key(w, spec, mix)
     return SampleResult(windowed=w, stop_key=stop, spec=spec, keyed=keyed)
 

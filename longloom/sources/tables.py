@@ -32,6 +32,21 @@ CONVERSATIONS = T.StructType([
 ])
 
 _SCHEMAS = {"documents": DOCUMENTS, "benchmark": BENCHMARK, "conversations": CONVERSATIONS}
+_SPREAD = {"documents", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (tokenizing, hashing) every core.
+
+    A file with a single row group is one input split, and everything up to
+    the first shuffle would run in one task.  When the scan has fewer splits
+    than the default parallelism the rows are dealt round-robin; on a real
+    corpus (thousands of splits) this is a no-op.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +54,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     r = spark.read
     if name in _SCHEMAS:
         r = r.schema(_SCHEMAS[name])
-    return r.parquet(table_path(sf_dir, name))
+    df = r.parquet(table_path(sf_dir, name))
+    return spread(df) if name in _SPREAD else df
 
 
 def corpus_scan(spark: SparkSession, path: str, fmt: str = "parquet", with_text: bool = False) -> DataFrame:
@@ -62,4 +78,4 @@ def corpus_scan(spark: SparkSession, path: str, fmt: str = "parquet", with_text:
     else:
         raise ValueError(f"unsupported corpus format {fmt}")
     cols = ["doc_id", "source", "n_chars"] + (["text"] if with_text else [])
-    return df.select(*cols)
+    return spread(df.select(*cols))
