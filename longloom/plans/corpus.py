@@ -208,3 +208,14 @@ def q_unknown_sources(spark, sf_dir):
 row_number() OVER (ORDER BY md5('{K.ORDER_SEED}:' || doc_id::VARCHAR)) - 1 AS pos FROM documents""")
 def q_shuffle_order(spark, sf_dir):
     return sampling.stream_position(docs(spark, sf_dir), FX.SPEC_PER_SOURCE)
+
+
+@register("corpus_scan_json", """SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars
+FROM documents GROUP BY source""")
+def q_corpus_scan_json(spark, sf_dir):
+    """Raw corpus rows (text + nested source name) as JSON lines, scanned back with the fixed schema."""
+    from ..sources import io as IO
+    raw = docs(spark, sf_dir).select("text", F.struct(F.col("source").alias("redpajama_set_name")).alias("meta"))
+    path = IO.write_jsonl(raw, spark, "raw_corpus")
+    c = corpus_scan(spark, path, fmt="json")
+    return c.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").cast("long").alias("n_chars"))

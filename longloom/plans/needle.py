@@ -268,3 +268,20 @@ def q_needle_write(spark, sf_dir):
     path = IO.write_jsonl(r, spark, "needle_results", partition_by=["model"])
     back = IO.read_jsonl(spark, path, IO.NEEDLE_RESULT)
     return back.select("context_length", "depth_percent", "score", "file_name")
+
+
+@register("contexts_write")
+def q_contexts_write(spark, sf_dir):
+    """Contexts with the needle, wrapped as prompts, written partitioned by model and context length."""
+    from ..functions.prompts import needle_prompt
+    h = hay(spark, sf_dir)
+    m = H.materialize(cells(spark, sf_dir, h=h), h, NEEDLE)
+    m = m.select(F.concat(F.lit(MODEL_PREFIX), F.col("lang")).alias("model"), "context_length", "depth_percent",
+                 H.cell_name(F.concat(F.lit(MODEL_PREFIX), F.col("lang")), F.col("context_length"),
+                             F.col("depth_percent")).alias("file_name"),
+                 needle_prompt(F.col("context")).alias("prompt"))
+    from ..session import scratch_path
+    path = scratch_path(spark, "contexts")
+    m.write.mode("overwrite").partitionBy("model", "context_length").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("model", "context_length", "depth_percent", "file_name", F.length("prompt").alias("prompt_len"))

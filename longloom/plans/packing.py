@@ -137,6 +137,18 @@ def q_segment_length_profile(spark, sf_dir):
     return _profile_view(p)
 
 
+@register("segment_length_sink", _PACK_BASE + ",\nseg_len AS (SELECT source, \"end\" - start AS length FROM segs)\n"
+          + _profile_sql("SELECT source, length FROM seg_len", "length").replace("WITH x AS", ", x AS", 1))
+def q_segment_length_sink(spark, sf_dir):
+    """Segment lengths written in long form (source, length) and profiled from the written table."""
+    seg = packing.segment_lengths(packed(spark, sf_dir)).select("source", F.col("length").cast("long"))
+    from ..session import scratch_path
+    path = scratch_path(spark, "segment_lengths")
+    seg.write.mode("overwrite").partitionBy("source").parquet(path)
+    back = spark.read.parquet(path)
+    return _profile_view(profile.length_profile(back, "length"))
+
+
 @register("split_spans", """WITH t AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations),
 s AS (SELECT conv_id, turn, role, sum(n) OVER (PARTITION BY conv_id ORDER BY turn
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, n FROM t),

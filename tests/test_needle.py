@@ -58,3 +58,32 @@ def test_materialize_contains_needle_once(spark, docs_small):
 def test_cell_name(spark):
     df = spark.createDataFrame([("org/model-1.5", 4256, 0.11)], "m string, l int, d double")
     assert df.select(H.cell_name(F.col("m"), F.col("l"), F.col("d"))).first()[0] == "model-1_5_len_4256_depth_11"
+
+
+def test_text_dir_haystack(spark, tmp_path):
+    from longloom.sources import io as IO
+    texts = {"b.txt": "Second file. More", "a.txt": "First file.", "c.md": "ignored"}
+    for name, t in texts.items():
+        (tmp_path / name).write_text(t)
+    df = IO.read_text_dir(spark, str(tmp_path))
+    rows = sorted((r.file_name, r.text) for r in df.collect())
+    assert rows == [("a.txt", "First file."), ("b.txt", "Second file. More")]
+    d = df.withColumn("g", F.lit("essays"))
+    # haystack order is the file name (a numeric rank of it; the window is over a handful of files)
+    from pyspark.sql import Window
+    d = d.withColumn("o", F.row_number().over(Window.orderBy("file_name")))
+    h = H.haystacks(d, 20, group="g", order="o").first()
+    want, _ = _hay_model(["First file.", "Second file. More"], 20)
+    assert list(h.tokens) == want
+
+
+def test_results_dir(spark, tmp_path):
+    import json
+    from longloom.sources import io as IO
+    for i, (L, d) in enumerate([(1000, 0.0), (2000, 50.0)]):
+        doc = {"model": "m", "context_length": L, "depth_percent": d, "version": 1, "needle": "x",
+               "model_response": "x", "score": 10.0, "test_duration_seconds": 1.0,
+               "test_timestamp_utc": "2024-01-01 00:00:00+0000"}
+        (tmp_path / f"r{i}_results.json").write_text(json.dumps(doc, indent=2))
+    r = IO.read_results_dir(spark, str(tmp_path)).collect()
+    assert sorted((x.context_length, x.depth_percent) for x in r) == [(1000, 0.0), (2000, 50.0)]
