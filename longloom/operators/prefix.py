@@ -56,3 +56,13 @@ def running_sum(df: DataFrame, value: str, order: Sequence[str], bucket: Column,
     if not keep_bucket_cols:
         j = j.drop("_bk", "_bo")
     return j
+
+
+def range_bucket(df: DataFrame, col: str, n_buckets: int = 4096) -> Column:
+    """Range bucket of a numeric ordering column: ``n_buckets`` equal-width ranges between its
+    minimum and maximum (one scalar aggregate), so the bucket table never grows with the data."""
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    if lo is None:
+        return F.lit(0).cast("long")
+    width = max(1, -(-(hi - lo + 1) // n_buckets))
+    return F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("long")

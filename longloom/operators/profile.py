@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
-def length_profile(df: DataFrame, value: str, by: str = "source", percentiles=None, exact: bool = True,
+EXACT_MAX_GROUP_ROWS = 5_000_000
+
+
+def length_profile(df: DataFrame, value: str, by: str = "source", percentiles=None, exact: bool | None = None,
                    accuracy: int = 10000) -> DataFrame:
     """Per group: count, sum, share of the grand total and the percentiles of ``value``.
 
-    Exact percentiles use linear interpolation (numpy's default).  For very
-    large groups pass ``exact=False`` to use the mergeable approximate sketch.
+    Exact percentiles use linear interpolation (numpy's default) but buffer all
+    values of a group in one task.  ``exact=None`` (default) counts the largest
+    group first and uses the mergeable approximate sketch (``percentile_approx``,
+    partial aggregation) when it holds more than ``EXACT_MAX_GROUP_ROWS`` rows.
     Percentile columns are named ``p25``, ``p50`` ... ``p100``.
     """
     ps = percentiles or K.PROFILE_PERCENTILES
+    if exact is None:
+        biggest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+        exact = biggest <= EXACT_MAX_GROUP_ROWS
     fr = [p / 100.0 for p in ps]
     if exact:
         pct = F.percentile(F.col(value), F.array(*[F.lit(f) for f in fr]))

@@ -37,7 +37,7 @@ class SampleSpec:
     threshold_tokens: float = K.DEFAULT_THRESHOLD_TOKENS
     order_seed: int = K.ORDER_SEED
     coin_seed: int = K.COIN_SEED
-    bucket_digits: int = 2
+    bucket_digits: int = 3
     strict_sources: bool = True
 
     def __post_init__(self):

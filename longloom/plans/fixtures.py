@@ -49,7 +49,7 @@ TRUNCATE_M = 101
 TRUNCATE_TEXT_TOKENS = 1000
 WINDOW_STEP = K.PREFILL_STEP
 SENTENCE_DEPTHS = [0.0, 0.25, 0.5, 1.0]
-RECALL_BUCKET_WIDTH = 64
+RECALL_BUCKETS = 1024
 SLICE_START = 2
 SLICE_STOP = 8
 N_SHARDS = 4

@@ -132,8 +132,10 @@ def q_chunk_unpack(spark, sf_dir):
 @register("segment_length_profile", _PACK_BASE + ",\nseg_len AS (SELECT source, \"end\" - start AS length FROM segs)\n"
           + _profile_sql("SELECT source, length FROM seg_len", "length").replace("WITH x AS", ", x AS", 1))
 def q_segment_length_profile(spark, sf_dir):
-    seg = packing.segment_lengths(packed(spark, sf_dir))
-    p = profile.length_profile(seg.withColumn("length", F.col("length").cast("long")), "length")
+    from ..session import cut_lineage
+    seg = packing.segment_lengths(packed(spark, sf_dir)).select("source", F.col("length").cast("long"))
+    # long-form table written once: the group-size check and the profile both read it
+    p = profile.length_profile(cut_lineage(seg, "segment_lengths"), "length")
     return _profile_view(p)
 
 

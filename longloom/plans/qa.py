@@ -19,7 +19,7 @@ from .. import constants as K
 from ..functions import prompts as PR
 from ..functions import scoring as S
 from ..functions import tokens as TK
-from ..operators.prefix import running_sum
+from ..operators.prefix import range_bucket, running_sum
 from ..sources import io as IO
 from ..sources.tables import read_table
 from . import fixtures as FX
@@ -201,11 +201,10 @@ def q_running_recall(spark, sf_dir):
     p = pairs(spark, sf_dir)
     r = p.select("conv_id", "turn", F.coalesce(S.word_recall("prediction", "answer"), F.lit(0.0)).alias("recall"),
                  F.lit(1).cast("long").alias("one"))
-    # running mean = running sum / running count, both two-level (range buckets of conv_id)
-    width = FX.RECALL_BUCKET_WIDTH
-    bucket = F.floor(F.col("conv_id") / width).cast("long")
+    # running mean = running sum / running count, both two-level (fixed number of conv_id ranges)
+    bucket = range_bucket(r, "conv_id", FX.RECALL_BUCKETS)
     r = running_sum(r, "recall", ["conv_id", "turn"], bucket, out="s_recall")
-    r = running_sum(r, "one", ["conv_id", "turn"], F.floor(F.col("conv_id") / width).cast("long"), out="n_so_far")
+    r = running_sum(r, "one", ["conv_id", "turn"], bucket, out="n_so_far")
     return r.select("conv_id", "turn", F.round(F.col("s_recall") / F.col("n_so_far"), 6).alias("recall_so_far"))
 
 

@@ -31,19 +31,23 @@ from ..sources.tables import DOCUMENTS
 
 # ------------------------------------------------------------------ sources
 
-def write_segments(docs: DataFrame, spark: SparkSession, name: str, n_segments: int, key: str = "k") -> str:
+def write_segments(docs: DataFrame, spark: SparkSession, name: str, n_segments: int, key: str = "k",
+                   files_per_segment: int = 1) -> str:
     """Write a table as ``n_segments`` stream segments, in order of ``key`` ranges.
 
-    Segment ``i`` holds the ``i``-th range of the first hex digit of ``key``;
-    segments are written one after the other so file times follow segment
-    order.  Used to replay a finished table as a stream (tests, benchmarks).
+    Segment ``i`` holds the ``i``-th range of the first hex digit of ``key`` in
+    exactly ``files_per_segment`` files (range partitions of ``key``); segments
+    are written one after the other so file times follow segment order.  Read
+    with ``document_stream(files_per_trigger=files_per_segment)`` every
+    micro-batch is one segment.  Used to replay a finished table as a stream.
     """
     out = scratch_path(spark, name)
     width = 16 / n_segments
     seg = F.floor(hex_bucket(key, 1) / width).cast("int")
     d = docs.withColumn("_seg", seg)
     for i in range(n_segments):
-        d.filter(F.col("_seg") == i).drop("_seg").write.mode("append").parquet(out)
+        part = d.filter(F.col("_seg") == i).drop("_seg")
+        part.repartitionByRange(files_per_segment, key).write.mode("append").parquet(out)
     return out
 
 
