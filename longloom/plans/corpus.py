@@ -58,8 +58,8 @@ def sampling_ctes(spec: SampleSpec, m=None) -> str:
 {bud_ctes(spec, m)},
 d AS ({_keyed_sql(spec)}),
 w AS (SELECT d.*, bud.bf, bud.bc, CASE WHEN pass THEN n_chars ELSE 0 END AS v,
-             sum(CASE WHEN pass THEN n_chars ELSE 0 END) OVER (PARTITION BY d.source ORDER BY k
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS incl
+             CAST(sum(CASE WHEN pass THEN n_chars ELSE 0 END) OVER (PARTITION BY d.source ORDER BY k
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS incl
       FROM d JOIN bud ON d.source = bud.source),
 w2 AS (SELECT *, incl - v AS prior, (pass AND incl - v <= bf) AS admit,
               ((NOT pass) AND incl - v <= bf) AS filtered FROM w),
@@ -71,8 +71,8 @@ adm AS (SELECT w2.* FROM w2, stop WHERE admit AND (stop.stop IS NULL OR k <= sto
     return f"""
 d AS ({_keyed_sql(spec)}),
 w AS (SELECT d.*, CAST({math.floor(x)} AS BIGINT) AS bf, CASE WHEN pass THEN n_chars ELSE 0 END AS v,
-             sum(CASE WHEN pass THEN n_chars ELSE 0 END) OVER (ORDER BY k
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS incl
+             CAST(sum(CASE WHEN pass THEN n_chars ELSE 0 END) OVER (ORDER BY k
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS incl
       FROM d),
 w2 AS (SELECT *, incl - v AS prior, (pass AND incl - v <= bf) AS admit,
               ((NOT pass) AND incl - v <= bf) AS filtered FROM w),
@@ -104,12 +104,12 @@ def q_est_tokens(spark, sf_dir):
                     (F.col("n_chars") >= F.lit(FX.SPEC_PER_SOURCE.threshold_chars)).alias("is_long"))
 
 
-def _profile_sql(inner: str, value: str) -> str:
+def _profile_sql(inner: str, value: str, int_total: bool = False) -> str:
     ps = K.PROFILE_PERCENTILES
     qs = ", ".join(f"{p / 100.0}" for p in ps)
     cols = ", ".join(f"CAST(floor(round(q[{i + 1}], 6)) AS BIGINT) AS p{p}" for i, p in enumerate(ps))
     return f"""WITH x AS ({inner}),
-g AS (SELECT source, count(*) AS n, sum({value}) AS total, quantile_cont({value}, [{qs}]) AS q FROM x GROUP BY source)
+g AS (SELECT source, count(*) AS n, {f"CAST(sum({value}) AS BIGINT)" if int_total else f"sum({value})"} AS total, quantile_cont({value}, [{qs}]) AS q FROM x GROUP BY source)
 SELECT source, n, total, round(total / sum(total) OVER (), 6) AS portion, {cols} FROM g"""
 
 
@@ -191,7 +191,7 @@ def q_sampling_report(spark, sf_dir):
 @register("budget_prefix", f"""WITH {bud_ctes(FX.SPEC_PER_SOURCE, FX.MIX_TEST)},
 d AS ({_keyed_sql(FX.SPEC_PER_SOURCE)}),
 p AS (SELECT d.doc_id, d.source, d.n_chars, d.k,
-             sum(n_chars) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS incl
+             CAST(sum(n_chars) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS incl
       FROM d JOIN bud ON d.source = bud.source WHERE pass)
 SELECT doc_id, source, n_chars, k, incl, incl - n_chars AS prior FROM p""")
 def q_budget_prefix(spark, sf_dir):

@@ -130,7 +130,7 @@ def q_chunk_unpack(spark, sf_dir):
 
 
 @register("segment_length_profile", _PACK_BASE + ",\nseg_len AS (SELECT source, \"end\" - start AS length FROM segs)\n"
-          + _profile_sql("SELECT source, length FROM seg_len", "length").replace("WITH x AS", ", x AS", 1))
+          + _profile_sql("SELECT source, length FROM seg_len", "length", int_total=True).replace("WITH x AS", ", x AS", 1))
 def q_segment_length_profile(spark, sf_dir):
     from ..session import cut_lineage
     seg = packing.segment_lengths(packed(spark, sf_dir)).select("source", F.col("length").cast("long"))
@@ -140,7 +140,7 @@ def q_segment_length_profile(spark, sf_dir):
 
 
 @register("segment_length_sink", _PACK_BASE + ",\nseg_len AS (SELECT source, \"end\" - start AS length FROM segs)\n"
-          + _profile_sql("SELECT source, length FROM seg_len", "length").replace("WITH x AS", ", x AS", 1))
+          + _profile_sql("SELECT source, length FROM seg_len", "length", int_total=True).replace("WITH x AS", ", x AS", 1))
 def q_segment_length_sink(spark, sf_dir):
     """Segment lengths written in long form (source, length) and profiled from the written table."""
     seg = packing.segment_lengths(packed(spark, sf_dir)).select("source", F.col("length").cast("long"))
@@ -152,9 +152,9 @@ def q_segment_length_sink(spark, sf_dir):
 
 
 @register("split_spans", """WITH t AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations),
-s AS (SELECT conv_id, turn, role, sum(n) OVER (PARTITION BY conv_id ORDER BY turn
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, n FROM t),
-s2 AS (SELECT conv_id, turn, role, e - n AS start, e AS "end", sum(n) OVER (PARTITION BY conv_id) // 2 AS size FROM s)
+s AS (SELECT conv_id, turn, role, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e, n FROM t),
+s2 AS (SELECT conv_id, turn, role, e - n AS start, e AS "end", CAST(sum(n) OVER (PARTITION BY conv_id) // 2 AS BIGINT) AS size FROM s)
 SELECT conv_id, max(size) AS size,
   coalesce(string_agg(CASE WHEN "end" <= size OR start < size THEN role || ':' || start || '-' || least("end", size) END, ';' ORDER BY turn), '') AS kept,
   coalesce(string_agg(CASE WHEN "end" > size THEN role || ':' || greatest(start - size, 0) || '-' || ("end" - size) END, ';' ORDER BY turn), '') AS carried
