@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,8 +122,6 @@ class ArrowTokenizer:
         self.factory = factory
 
     def ids(self, text: Column | str) -> Column:
-        import pandas as pd
-
         name, factory, cache = self.name, self.factory, ArrowTokenizer._cache
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -105,3 +105,20 @@ def test_pack_spans_narrow(spark, docs_small):
 def test_packed_name():
     assert packing.packed_name(131072, "5b", "none", 0.2) == "packed_131072_5b"
     assert packing.packed_name(131072, "5b", "per_source", 0.1) == "packed_131072_5b_per_source_down_sample_0.1"
+
+
+def test_pluggable_tokenizer(spark, docs_small):
+    from longloom.functions.tokens import ArrowTokenizer
+
+    def word_encoder():
+        # a stand-in model tokenizer: one id per whitespace-separated word
+        import zlib
+        return lambda s: [zlib.crc32(w.encode()) & 0x7FFFFFFF for w in s.split()]
+
+    tok = ArrowTokenizer("words", word_encoder)
+    d = packing.with_token_ids(docs_small.select("source", "text", order_key(F.col("doc_id")).alias("k")), tokenizer=tok)
+    rows = docs_small.select("text").collect()
+    n = sum(len(r.text.split()) for r in rows)
+    assert d.select(F.sum("n")).first()[0] == n
+    ch = packing.pack_chunks(d, 64)
+    assert ch.count() == (n - 1) // 64
