@@ -97,9 +97,9 @@ def coin(doc_id: Column, seed: int = K.COIN_SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
-def with_stream_keys(docs: DataFrame, spec: SampleSpec) -> DataFrame:
-    """doc_id, source, n_chars + k (order), pass (down-sample coin or long)."""
-    d = docs.select("doc_id", "source", F.col("n_chars").cast("long").alias("n_chars"))
+def with_stream_keys(docs: DataFrame, spec: SampleSpec, keep=()) -> DataFrame:
+    """doc_id, source, n_chars (+ ``keep`` columns) + k (order), pass (down-sample coin or long)."""
+    d = docs.select("doc_id", "source", F.col("n_chars").cast("long").alias("n_chars"), *keep)
     d = d.withColumn("k", order_key(F.col("doc_id"), spec.order_seed))
     if spec.mode == "none":
         return d.withColumn("pass", F.lit(True))
@@ -148,6 +148,18 @@ class SampleResult:
             w = w.filter(F.col("k") <= F.lit(self.stop_key))
         return w.select("doc_id", "source", "n_chars", "k", F.col("prior").alias("offset"))
 
+    def candidates(self, documents: DataFrame) -> DataFrame:
+        """Corpus rows that can be admitted, found without a shuffle: coin passed, before the
+        stop key, and in a (source, stream-key bucket) that holds admitted rows.  The bucket
+        table has at most sources x 16^digits rows (broadcast).  Returns ``doc_id, text``."""
+        digits = self.spec.bucket_digits
+        buckets = self.admitted.select("source", hex_bucket("k", digits).alias("_bk")).distinct()
+        d = with_stream_keys(documents, self.spec, keep=["text"]).filter("pass")
+        if self.stop_key is not None:
+            d = d.filter(F.col("k") <= F.lit(self.stop_key))
+        d = d.withColumn("_bk", hex_bucket("k", digits)).join(F.broadcast(buckets), ["source", "_bk"])
+        return d.select("doc_id", "text")
+
     def scanned(self) -> DataFrame:
         k = self.keyed
         if self.stop_key is not None:

@@ -71,7 +71,7 @@ def q_right_aligned_windows(spark, sf_dir):
 def tokenized_sample(spark, sf_dir, spec=FX.SPEC_PER_SOURCE_LARGE, m=FX.MIX_TEST):
     d = docs(spark, sf_dir)
     r = sampling.sample(d, spec, mix(spark, m))
-    t = packing.attach_text(r.admitted.select("doc_id", "source", "k"), d)
+    t = packing.attach_text(r.admitted.select("doc_id", "source", "k"), d, candidates=r.candidates)
     return packing.with_token_ids(t)
 
 
@@ -116,7 +116,7 @@ SELECT chunk_id, source, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER)
 def q_pack_spans(spark, sf_dir):
     d = docs(spark, sf_dir)
     r = sampling.sample(d, FX.SPEC_PER_SOURCE_LARGE, mix(spark, FX.MIX_TEST))
-    t = packing.attach_text(r.admitted.select("doc_id", "source", "k"), d)
+    t = packing.attach_text(r.admitted.select("doc_id", "source", "k"), d, candidates=r.candidates)
     t = t.select("source", "k", TK.token_count(TK.tokenize("text")).cast("long").alias("n"))
     return packing.pack_spans(t, C)
 
