@@ -138,6 +138,19 @@ def period_index(hay: DataFrame, group: str = "lang", period_tokens=None) -> Dat
                     F.sum(F.length("tok")).over(w).alias("char_end"))
 
 
+def position_arrays(hay: DataFrame, group: str = "lang", period_tokens=None) -> DataFrame:
+    """Per haystack: ``lp`` (last period position at or before each position) and ``ce``
+    (characters up to and including each position) as arrays (at most ``max_len`` long)."""
+    idx = period_index(hay, group, period_tokens)
+    a = idx.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "last_period", "char_end"))).alias("a"))
+    return a.select(group, F.transform("a", lambda z: z["last_period"]).alias("lp"),
+                    F.transform("a", lambda z: z["char_end"]).alias("ce"))
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens: int, group: str = "lang",
                  buffer: int = K.FINAL_CONTEXT_LENGTH_BUFFER, period_tokens=None) -> DataFrame:
     """Insertion point of the needle for every (haystack, length, depth).
@@ -146,35 +159,31 @@ def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens:
     ``L - buffer - needle`` when context plus needle would not fit in
     ``L - buffer``; depth 100 appends, any other depth starts at
     ``int(len * depth / 100)`` and moves left to just after a period.
-    The grid axes are parameter arrays exploded on each haystack row; the
-    period search is a lookup in the haystack's position index, so no cell
-    scans its context.  ``ins_chars`` / ``ctx_chars`` are the character
-    offsets used to cut the context text.
+    Each haystack row carries its position arrays once; every cell is computed
+    by array lookups inside ``transform`` over the grid axes and only then
+    exploded, so no cell scans its context and cells never join or shuffle.
+    ``ins_chars`` / ``ctx_chars`` are the character offsets used to cut the text.
     """
-    h = hay.select(group, F.size("tokens").alias("h_len"))
-    c = with_grid(h, lengths, depths)
-    ctx0 = F.least(F.col("context_length"), F.col("h_len"))
-    budget = F.col("context_length") - F.lit(buffer)
-    ctx = F.when(ctx0 + F.lit(needle_tokens) > budget,
-                 F.greatest(budget - F.lit(needle_tokens), F.lit(0))).otherwise(ctx0)
-    c = c.withColumn("ctx_tokens", ctx.cast("int"))
-    c = c.withColumn("ip", (F.col("ctx_tokens") * (F.col("depth_percent") / 100.0)).cast("int"))
-    idx = period_index(hay, group, period_tokens)
-
-    def at(pos_col, cols, names):
-        sel = idx.select(group, F.col("pos").alias("_p"), *[F.col(a).alias(b) for a, b in zip(cols, names)])
-        return lambda df: df.withColumn("_p", pos_col).join(sel, [group, "_p"], "left").drop("_p")
-
-    c = at(F.col("ip") - 1, ["last_period"], ["_lp"])(c)
-    ins = F.when(F.col("depth_percent") == 100, F.col("ctx_tokens")).when(F.col("ip") <= 0, F.lit(0)).otherwise(
-        F.coalesce(F.col("_lp"), F.lit(-1)) + 1)
-    c = c.withColumn("insert_at", ins.cast("int"))
-    c = at(F.col("insert_at") - 1, ["char_end"], ["ins_chars"])(c)
-    c = at(F.col("ctx_tokens") - 1, ["char_end"], ["ctx_chars"])(c)
+    nt = F.lit(needle_tokens)
+    h = hay.select(group, F.size("tokens").alias("h_len")).join(position_arrays(hay, group, period_tokens), group)
+    h_len, lp, ce = F.col("h_len"), F.col("lp"), F.col("ce")
+
+    def cell(L, d):
+        ctx0 = F.least(L, h_len)
+        budget = L - F.lit(buffer)
+        ctx_e = F.when(ctx0 + nt > budget, F.greatest(budget - nt, F.lit(0))).otherwise(ctx0).cast("int")
+        return _let(ctx_e, lambda ctx: _let((ctx * (d / 100.0)).cast("int"), lambda ip: _let(
+            F.when(d == 100, ctx).when(ip <= 0, F.lit(0)).otherwise(F.element_at(lp, ip) + 1).cast("int"),
+            lambda ins: F.struct(
+                L.cast("int").alias("context_length"), d.cast("double").alias("depth_percent"),
+                ctx.alias("ctx_tokens"), ins.alias("insert_at"),
+                F.when(ins > 0, F.element_at(ce, ins)).otherwise(F.lit(0)).cast("int").alias("ins_chars"),
+                F.when(ctx > 0, F.element_at(ce, ctx)).otherwise(F.lit(0)).cast("int").alias("ctx_chars")))))
+
+    cells = F.flatten(F.transform(lengths, lambda L: F.transform(depths, lambda d: cell(L, d))))
+    c = h.select(group, "h_len", F.explode(cells).alias("c")).select(group, "h_len", "c.*")
     return c.select(group, "context_length", "depth_percent", "h_len", "ctx_tokens", "insert_at",
-                    (F.col("ctx_tokens") + F.lit(needle_tokens)).alias("total_tokens"),
-                    F.coalesce("ins_chars", F.lit(0)).cast("int").alias("ins_chars"),
-                    F.coalesce("ctx_chars", F.lit(0)).cast("int").alias("ctx_chars"))
+                    (F.col("ctx_tokens") + nt).alias("total_tokens"), "ins_chars", "ctx_chars")
 
 
 def materialize(cells: DataFrame, hay: DataFrame, needle: str, group: str = "lang") -> DataFrame:
