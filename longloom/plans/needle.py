@@ -3,8 +3,11 @@
 Haystacks are the documents of each language, in ``doc_id`` order.  Model
 results are synthesised from the cells (no model is run): the response of a
 cell is the first ``j`` words of the needle, ``j`` from the md5 of the cell;
-``j = 0`` gives a null response and cells with ``j = 1`` are left out (so the
-resume query has work to find).
+``j = 0`` gives a null response, cells with ``j = 1`` are left out (so the
+resume query has work to find), ``j = 3`` has no version (counts as 1),
+``j = 5`` only has a version-2 result (still to run for version 1), and
+``j = 4`` has a second, duplicate result with the first eight words (cell
+means average both).
 """
 
 from __future__ import annotations
@@ -74,10 +77,13 @@ def results(spark, sf_dir):
     r = c.withColumn("j", j.cast("int")).filter(F.col("j") != 1)
     resp = F.when(F.col("j") == 0, F.lit(None).cast("string")).otherwise(F.array_join(F.slice(words, 1, F.col("j")), " "))
     model = F.concat(F.lit(MODEL_PREFIX), F.col("lang"))
-    r = r.select(model.alias("model"), "context_length", "depth_percent", F.lit(1).alias("version"),
-                 F.lit(NEEDLE).alias("needle"), resp.alias("model_response"),
-                 (F.col("j") * 0.5).alias("test_duration_seconds"),
-                 F.date_format(F.to_timestamp(F.lit(RESULT_TS)), "yyyy-MM-dd HH:mm:ssZ").alias("test_timestamp_utc"))
+    version = F.when(F.col("j") == 3, F.lit(None).cast("int")).when(F.col("j") == 5, F.lit(2)).otherwise(F.lit(1))
+    r = r.select(model.alias("model"), "context_length", "depth_percent", version.alias("version"),
+                 F.lit(NEEDLE).alias("needle"), resp.alias("model_response"), "j")
+    dup = r.filter(F.col("j") == 4).withColumn("model_response", F.array_join(F.slice(words, 1, 8), " "))
+    r = r.unionByName(dup).drop("j")
+    r = r.withColumn("test_duration_seconds", F.length(F.coalesce("model_response", F.lit(""))) * 0.5)
+    r = r.withColumn("test_timestamp_utc", F.date_format(F.to_timestamp(F.lit(RESULT_TS)), "yyyy-MM-dd HH:mm:ssZ"))
     r = r.withColumn("score", S.needle_score(F.coalesce(F.col("model_response"), F.lit("")), F.col("needle")))
     return r.withColumn("file_name", H.cell_name(F.col("model"), F.col("context_length"), F.col("depth_percent")))
 
@@ -129,9 +135,13 @@ def _f1(p, g):
 
 RESULTS_SQL = f"""{CELLS_SQL},
 rj AS (SELECT *, CAST(('0x' || substr(md5(lang || ':' || CAST(context_length AS VARCHAR) || ':' || CAST(CAST(depth_percent AS INTEGER) AS VARCHAR)), 1, 4))::BIGINT % {len(NEEDLE_WORDS) + 1} AS INTEGER) AS j FROM cells),
-res0 AS (SELECT {sql_str(MODEL_PREFIX)} || lang AS model, context_length, depth_percent, 1 AS version, {sql_str(NEEDLE)} AS needle,
+res1 AS (SELECT {sql_str(MODEL_PREFIX)} || lang AS model, context_length, depth_percent,
+        CASE WHEN j = 3 THEN NULL WHEN j = 5 THEN 2 ELSE 1 END AS version, {sql_str(NEEDLE)} AS needle,
         CASE WHEN j = 0 THEN NULL ELSE array_to_string(({_list(NEEDLE_WORDS)})[1:j], ' ') END AS model_response, j
         FROM rj WHERE j <> 1),
+res0 AS (SELECT * FROM res1 UNION ALL
+         SELECT model, context_length, depth_percent, version, needle,
+                array_to_string(({_list(NEEDLE_WORDS)})[1:8], ' ') AS model_response, j FROM res1 WHERE j = 4),
 res AS (SELECT *, 10 * ({_f1(ROUGE_TOK.format(x="coalesce(model_response, '')"), ROUGE_TOK.format(x="needle"))}) AS score,
         CASE WHEN model_response IS NULL THEN 0.0 ELSE len(list_intersect({words_sql('lower(model_response)')}, {_list(K.EXPECTED_ANSWER.lower().split())}))
              / {float(len(K.EXPECTED_ANSWER.split()))} END AS recall FROM res0)"""
