@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .tokens import tokenize, truncate_middle_exact
 
-PLACEHOLDERS = ["context", "question", "input", "prefix", "func", "func_call",
-                "OPTION_A", "OPTION_B", "OPTION_C", "OPTION_D"]
 MODELS = ["gpt4", "claude2", "kimi", "yarn-mistral", "Yi-6B-200K", "Yi-6b-Chat", "llama"]
 TASKS = [t for t, _ in K.TASK_FILES]
 

@@ -39,11 +39,6 @@ SPEC_LONG_THRESHOLD = SampleSpec(total_tokens=BUDGET_LARGE, mode="per_source", r
                                  threshold_tokens=K.DEFAULT_THRESHOLD_TOKENS)
 SPEC_STARVED = SampleSpec(total_tokens=BUDGET_SMALL, mode="per_source", ratio=RATIO, threshold_tokens=THRESHOLD)
 
-# Needle test
-NEEDLE_LENGTHS = dict(lo=K.CONTEXT_LENGTHS_MIN, hi=K.CONTEXT_LENGTHS_MAX, n=K.CONTEXT_LENGTHS_INTERVALS)
-NEEDLE_DEPTHS = dict(lo=K.DEPTH_PERCENT_MIN, hi=K.DEPTH_PERCENT_MAX, n=K.DEPTH_PERCENT_INTERVALS)
-HAYSTACK_GROUP = "lang"
-
 # QA
 TRUNCATE_M = 101
 TRUNCATE_TEXT_TOKENS = 1000

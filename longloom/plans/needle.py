@@ -23,6 +23,7 @@ from ..functions import tokens as TK
 from ..operators import haystack as H
 from ..operators import report as R
 from ..sources import io as IO
+from . import fixtures as FX
 from .corpus import docs
 from .packing import TOK_SQL
 from .qa import words_sql
@@ -196,13 +197,13 @@ def q_needle_cases(spark, sf_dir):
 
 
 @register("insert_needle_sentence", f"""WITH d AS (SELECT doc_id, text, string_split(text, '.') AS parts FROM documents),
-x AS (SELECT doc_id, parts, CAST(unnest({_list([float(x) for x in (0.0, 0.25, 0.5, 1.0)])}) AS DOUBLE) AS depth FROM d),
+x AS (SELECT doc_id, parts, CAST(unnest({_list(FX.SENTENCE_DEPTHS)}) AS DOUBLE) AS depth FROM d),
 y AS (SELECT doc_id, depth, parts, CAST(trunc(depth * len(parts)) AS INTEGER) AS place FROM x),
 z AS (SELECT doc_id, depth, array_to_string(parts[1:place], '.') || '.' || {sql_str(NEEDLE)} || array_to_string(parts[place + 1:len(parts)], '.') AS out FROM y)
 SELECT doc_id, depth, md5(out) AS out_md5, CAST(length(out) AS INTEGER) AS out_len FROM z""")
 def q_insert_needle_sentence(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "text")
-    d = d.withColumn("depth", F.explode(F.array(*[F.lit(float(x)) for x in (0.0, 0.25, 0.5, 1.0)])))
+    d = d.withColumn("depth", F.explode(F.array(*[F.lit(float(x)) for x in FX.SENTENCE_DEPTHS])))
     out = H.insert_needle_sentence(F.col("text"), F.lit(NEEDLE), F.col("depth"))
     return d.select("doc_id", "depth", F.md5(out).alias("out_md5"), F.length(out).alias("out_len"))
 
