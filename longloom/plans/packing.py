@@ -72,7 +72,7 @@ def tokenized_sample(spark, sf_dir, spec=FX.SPEC_PER_SOURCE_LARGE, m=FX.MIX_TEST
     d = docs(spark, sf_dir)
     r = sampling.sample(d, spec, mix(spark, m))
     t = packing.attach_text(r.admitted.select("doc_id", "source", "k"), d, candidates=r.candidates)
-    return packing.with_token_ids(t)
+    return packing.persist_tokens(packing.with_token_ids(t))
 
 
 def packed(spark, sf_dir, spec=FX.SPEC_PER_SOURCE_LARGE, m=FX.MIX_TEST, chunk=C):

@@ -201,6 +201,9 @@ def q_running_recall(spark, sf_dir):
     p = pairs(spark, sf_dir)
     r = p.select("conv_id", "turn", F.coalesce(S.word_recall("prediction", "answer"), F.lit(0.0)).alias("recall"),
                  F.lit(1).cast("long").alias("one"))
+    # scored pairs written once (narrow): the bucket range and both running sums read the table
+    from ..session import cut_lineage
+    r = cut_lineage(r, "recall")
     # running mean = running sum / running count, both two-level (fixed number of conv_id ranges)
     bucket = range_bucket(r, "conv_id", FX.RECALL_BUCKETS)
     r = running_sum(r, "recall", ["conv_id", "turn"], bucket, out="s_recall")

@@ -32,7 +32,8 @@ CONVERSATIONS = T.StructType([
 ])
 
 _SCHEMAS = {"documents": DOCUMENTS, "benchmark": BENCHMARK, "conversations": CONVERSATIONS}
-_SPREAD = {"documents", "conversations"}
+# tables whose per-row work (tokenizing, hashing) runs in the scan stage
+_SPREAD = {"documents"}
 
 
 def spread(df: DataFrame) -> DataFrame:
