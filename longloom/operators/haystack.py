@@ -82,45 +82,70 @@ def default_grid(spark: SparkSession, sigmoid: bool = False) -> DataFrame:
 # ------------------------------------------------------------------ haystack
 
 def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "doc_id", text: str = "text",
-              n_buckets: int = 1024, materialize: bool = True) -> DataFrame:
-    """``group, n_tokens, passes, tokens array<string>`` (at most ``max_len`` tokens).
+              n_buckets: int = 1024, materialize: bool = True, chars_per_token_guess: int = 16) -> DataFrame:
+    """``group, passes, tokens array<string>`` (at most ``max_len`` tokens).
 
     Documents of a group are concatenated in ``order`` and the whole sequence is
-    repeated until it reaches ``max_len`` tokens; only the first ``max_len``
-    tokens are kept (every context is a prefix of at most that length).
-    Offsets are two-level: per (group, pass, order-range bucket) totals, then a
-    window inside the few buckets that reach into the first ``max_len`` tokens.
-    The result (groups x ``max_len`` tokens) is reused by every cell, so it is
-    written once to the shared checkpoint folder unless ``materialize=False``.
+    repeated until it reaches ``max_len`` tokens (``passes`` repetitions); only
+    the first ``max_len`` tokens are kept (every context is a prefix of at most
+    that length).
+
+    Only the documents that can reach into the first ``max_len`` tokens are
+    tokenized: the order is cut into ``n_buckets`` ranges, character totals per
+    range are cheap, and a prefix of ranges holding fewer than
+    ``max_len * chars_per_token_guess`` characters is tokenized first; the guess
+    widens (x4) until every group either reaches ``max_len`` tokens or has all
+    of its ranges counted (then its exact total fixes the number of passes).
+    Offsets are two-level: per (group, pass, range) totals, then a window inside
+    the ranges that reach into the first ``max_len`` tokens.  The result
+    (groups x ``max_len`` tokens) is reused by every cell, so it is written once
+    to the shared checkpoint folder unless ``materialize=False``.
     """
     t = docs.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("text"))
     lo, hi = t.agg(F.min("o"), F.max("o")).first()
     if lo is None:
-        return t.sparkSession.createDataFrame([], f"{group} string, n_tokens long, passes long, tokens array<string>")
+        return t.sparkSession.createDataFrame([], f"{group} string, passes long, tokens array<string>")
     width = max(1, math.ceil((hi - lo + 1) / n_buckets))
     t = t.withColumn("bk", F.floor((F.col("o") - F.lit(lo)) / width).cast("long"))
-    # totals need token counts only
-    bt = t.groupBy("g", "bk").agg(F.sum(F.size(tokenize(F.col("text")))).cast("long").alias("bn"))
     wb = Window.partitionBy("g").orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
+    # characters per (group, range): groups x n_buckets rows
+    ct = t.groupBy("g", "bk").agg(F.sum(F.length("text")).alias("bc"))
+    ct = cut_lineage(ct.select("g", "bk", F.coalesce(F.sum("bc").over(wb), F.lit(0)).alias("chars_before")),
+                     "haystack_chars")
+    n_all = ct.groupBy("g").agg(F.count(F.lit(1)).alias("n_all"))
+    guess = max_len * chars_per_token_guess
+    while True:
+        cand = ct.filter(F.col("chars_before") < guess).select("g", "bk")
+        bt = (t.join(F.broadcast(cand), ["g", "bk"])
+               .groupBy("g", "bk").agg(F.sum(F.size(tokenize(F.col("text")))).cast("long").alias("bn")))
+        bt = cut_lineage(bt, "haystack_tokens")
+        st = bt.groupBy("g").agg(F.sum("bn").alias("tok"), F.count(F.lit(1)).alias("n_cand")).join(n_all, "g")
+        st = st.withColumn("covered", F.col("n_cand") == F.col("n_all"))
+        pending = st.filter((F.col("tok") < max_len) & ~F.col("covered")).count()
+        if pending == 0:
+            break
+        guess *= 4
+    # per group: exact total when all ranges were counted, else at least max_len (one pass)
+    tot = st.filter(F.col("tok") > 0).select("g", "tok", "covered")
+    bt = bt.join(F.broadcast(tot), "g")
     bt = bt.select("g", "bk", "bn", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("within"),
-                   F.sum("bn").over(Window.partitionBy("g")).alias("total"))
-    bt = bt.withColumn("passes", F.ceil(F.lit(max_len) / F.col("total")).cast("long"))
-    # (group, pass, bucket) rows whose start lies inside the first max_len tokens: bounded by groups x (max_len + buckets)
+                   F.col("tok").alias("total"),
+                   F.when(F.col("covered"), F.ceil(F.lit(max_len) / F.col("tok"))).otherwise(F.lit(1))
+                   .cast("long").alias("passes"))
+    # (group, pass, range) rows whose start lies inside the first max_len tokens: bounded by groups x (max_len + buckets)
     bp = bt.select("g", "bk", "within", "total", "passes",
                    F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("pass"))
     bp = bp.withColumn("off", F.col("pass") * F.col("total") + F.col("within")).filter(F.col("off") < max_len)
     # select the needed documents first, tokenize only those
-    j = t.join(F.broadcast(bp.select("g", "bk", "pass", "off", "total", "passes")), ["g", "bk"])
+    j = t.join(F.broadcast(bp.select("g", "bk", "pass", "off", "passes")), ["g", "bk"])
     j = j.withColumn("toks", tokenize(F.col("text"))).withColumn("n", F.size("toks").cast("long")).drop("text")
     w = Window.partitionBy("g", "pass", "bk").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("prior", F.col("off") + F.sum("n").over(w) - F.col("n")).filter(F.col("prior") < max_len)
     j = j.withColumn("piece", F.slice("toks", 1, F.greatest(F.least(F.col("n"), F.lit(max_len) - F.col("prior")),
                                                             F.lit(0)).cast("int")))
-    h = j.groupBy("g").agg(
-        F.array_sort(F.collect_list(F.struct("prior", "piece"))).alias("parts"),
-        F.first("total").alias("n_tokens"), F.first("passes").alias("passes"))
-    h = h.select(F.col("g").alias(group), "n_tokens", "passes",
-                 F.flatten(F.transform("parts", lambda z: z["piece"])).alias("tokens"))
+    h = j.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("prior", "piece"))).alias("parts"),
+                           F.first("passes").alias("passes"))
+    h = h.select(F.col("g").alias(group), "passes", F.flatten(F.transform("parts", lambda z: z["piece"])).alias("tokens"))
     return cut_lineage(h, "haystacks") if materialize else h
 
 

@@ -163,10 +163,10 @@ def q_needle_grid(spark, sf_dir):
 
 
 @register("haystack_build", f"""WITH {HAY_SQL}
-SELECT lang, n_tokens, passes, CAST(len(tokens) AS INTEGER) AS hay_len, md5(array_to_string(tokens, '')) AS hay_md5 FROM hay""")
+SELECT lang, passes, CAST(len(tokens) AS INTEGER) AS hay_len, md5(array_to_string(tokens, '')) AS hay_md5 FROM hay""")
 def q_haystack_build(spark, sf_dir):
     h = hay(spark, sf_dir)
-    return h.select("lang", "n_tokens", "passes", F.size("tokens").alias("hay_len"),
+    return h.select("lang", "passes", F.size("tokens").alias("hay_len"),
                     F.md5(F.array_join("tokens", "")).alias("hay_md5"))
 
 

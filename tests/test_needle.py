@@ -38,7 +38,7 @@ def test_haystack_and_cells_match_model(spark, docs_small):
     got = {(c.lang, c.context_length, int(c.depth_percent)): (c.insert_at, c.ctx_tokens) for c in cells}
     for lang, grp in pdf.groupby("lang"):
         hay, total = _hay_model(list(grp.text), max_len)
-        assert list(rows[lang].tokens) == hay and rows[lang].n_tokens == total
+        assert list(rows[lang].tokens) == hay and rows[lang].passes == -(-max_len // total)
         for L in lengths:
             for d in depths:
                 at, ctx = insert_needle_tokens(hay, needle, L, d)
@@ -87,3 +87,12 @@ def test_results_dir(spark, tmp_path):
         (tmp_path / f"r{i}_results.json").write_text(json.dumps(doc, indent=2))
     r = IO.read_results_dir(spark, str(tmp_path)).collect()
     assert sorted((x.context_length, x.depth_percent) for x in r) == [(1000, 0.0), (2000, 50.0)]
+
+
+def test_haystack_tokenizes_only_a_prefix(spark, docs_mid):
+    # a small guess forces widening; a large corpus group reaches max_len without counting every range
+    a = H.haystacks(docs_mid.select("lang", "doc_id", "text"), 3000, chars_per_token_guess=1).collect()
+    b = H.haystacks(docs_mid.select("lang", "doc_id", "text"), 3000, chars_per_token_guess=1000).collect()
+    key = lambda rows: sorted((r.lang, r.passes, tuple(r.tokens)) for r in rows)
+    assert key(a) == key(b)
+    assert all(len(r.tokens) == 3000 for r in a)
