@@ -126,8 +126,8 @@ def stream_pack(spark: SparkSession, stream_df: DataFrame, chunk_size: int, toke
         prev = _previous_state(spark, state_dir, batch_id, state_schema).persist()
         row = prev.agg(F.max("total")).first()
         n_prev = row[0] or 0
-        d = P.with_token_ids(batch.select("source", "k", "text"), tokenizer=tokenizer)
-        d = d.withColumn("n", F.size("input_ids").cast("long"))
+        # tokenized once per batch: the token total and both offset passes read it
+        d = P.with_token_ids(batch.select("source", "k", "text"), tokenizer=tokenizer).persist()
         o = P.token_offsets(d, "n", "k")
         o = o.select("source", (F.col("s") + n_prev).alias("s"), (F.col("e") + n_prev).alias("e"), "input_ids")
         runs = o.unionByName(prev.filter(F.col("s").isNotNull()).select("source", "s", "e", "input_ids")).persist()
@@ -147,6 +147,7 @@ def stream_pack(spark: SparkSession, stream_df: DataFrame, chunk_size: int, toke
         tail.unionByName(marker).coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
         runs.unpersist()
         prev.unpersist()
+        d.unpersist()
 
     keyed = stream_df.select("source", "text", order_key(F.col("doc_id")).alias("k"))
     _run(keyed, per_batch, spark, name)
