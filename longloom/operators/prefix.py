@@ -30,7 +30,7 @@ def hex_bucket(key: Column | str, digits: int) -> Column:
 
 def running_sum(df: DataFrame, value: str, order: Sequence[str], bucket: Column,
                 by: Sequence[str] = (), out: str = "incl", bucket_offset_max: Column | int | None = None,
-                keep_bucket_cols: bool = False) -> DataFrame:
+                keep_bucket_cols: bool = False, broadcast_offsets: bool = True) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``value`` within ``by`` ordered by ``order``.
 
     ``bucket_offset_max``: when given, rows of buckets whose offset (sum of all
@@ -46,8 +46,9 @@ def running_sum(df: DataFrame, value: str, order: Sequence[str], bucket: Column,
     wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(totals.schema["_bt"].dataType)
     offsets = totals.select(*by, "_bk", F.coalesce(F.sum("_bt").over(wb), zero).alias("_bo"))
-    # groups x buckets rows: bounded by the parameters, never by the data
-    j = b.join(F.broadcast(offsets), on=[*by, "_bk"], how="inner")
+    # groups x buckets rows: bounded by the parameters when the groups are (sources, languages);
+    # with data-sized groups (e.g. one per conversation) pass broadcast_offsets=False
+    j = b.join(F.broadcast(offsets) if broadcast_offsets else offsets, on=[*by, "_bk"], how="inner")
     if bucket_offset_max is not None:
         lim = bucket_offset_max if isinstance(bucket_offset_max, Column) else F.lit(bucket_offset_max)
         j = j.filter(F.col("_bo") <= lim)

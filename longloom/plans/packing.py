@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import tokens as TK
 from ..operators import packing, profile, sampling
+from ..operators.prefix import running_sum
 from ..sources import io as IO
 from . import fixtures as FX
 from .corpus import _profile_sql, _profile_view, docs, mix, sampling_ctes
@@ -154,24 +154,31 @@ def q_segment_length_sink(spark, sf_dir):
 @register("split_spans", """WITH t AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations),
 s AS (SELECT conv_id, turn, role, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e, n FROM t),
-s2 AS (SELECT conv_id, turn, role, e - n AS start, e AS "end", CAST(sum(n) OVER (PARTITION BY conv_id) // 2 AS BIGINT) AS size FROM s)
-SELECT conv_id, max(size) AS size,
-  coalesce(string_agg(CASE WHEN "end" <= size OR start < size THEN role || ':' || start || '-' || least("end", size) END, ';' ORDER BY turn), '') AS kept,
-  coalesce(string_agg(CASE WHEN "end" > size THEN role || ':' || greatest(start - size, 0) || '-' || ("end" - size) END, ';' ORDER BY turn), '') AS carried
-FROM s2 GROUP BY conv_id""")
+s2 AS (SELECT conv_id, turn, role, e - n AS start, e AS "end",
+              CAST(sum(n) OVER (PARTITION BY conv_id) // 2 AS BIGINT) AS size FROM s)
+SELECT conv_id, turn, role, size,
+       CAST(coalesce(CASE WHEN "end" <= size OR start < size THEN start END, -1) AS BIGINT) AS kept_start,
+       CAST(coalesce(CASE WHEN "end" <= size OR start < size THEN least("end", size) END, -1) AS BIGINT) AS kept_end,
+       CAST(coalesce(CASE WHEN "end" > size THEN greatest(start - size, 0) END, -1) AS BIGINT) AS carried_start,
+       CAST(coalesce(CASE WHEN "end" > size THEN "end" - size END, -1) AS BIGINT) AS carried_end
+FROM s2""")
 def q_split_spans(spark, sf_dir):
+    """Turns of a conversation form one buffer (spans = running character offsets), split at half
+    its length.  Row-wise: no conversation is gathered into one task or one array."""
+    from ..operators.prefix import range_bucket
     from ..sources.tables import read_table
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
-    # turns of one conversation form one buffer; spans = running character offsets
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("e", F.sum("n").over(w))
-    g = c.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("source"), (F.col("e") - F.col("n")).alias("start"),
-                                             F.col("e").alias("end")))).alias("sp"),
-        F.floor(F.sum("n") / 2).cast("long").alias("size"))
-    spans = F.transform("sp", lambda z: F.struct(z["source"].alias("source"), z["start"].alias("start"), z["end"].alias("end")))
-    kept, carried = packing.split_spans(spans, F.col("size"))
-    return g.select("conv_id", "size", _spans_str(kept).alias("kept"), _spans_str(carried).alias("carried"))
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role",
+                                                           F.length("text").cast("long").alias("n"))
+    # per-conversation offsets are data-sized: joined by shuffle, not broadcast
+    c = running_sum(c, "n", ["turn"], range_bucket(c, "turn", 64), by=["conv_id"], out="e",
+                    broadcast_offsets=False)
+    size = c.groupBy("conv_id").agg(F.floor(F.sum("n") / 2).cast("long").alias("size"))
+    c = c.join(size, "conv_id")
+    ks, ke, cs, ce = packing.split_span_columns(F.col("e") - F.col("n"), F.col("e"), F.col("size"))
+    # an absent part is marked -1
+    parts = [F.coalesce(x, F.lit(-1)).cast("long").alias(a) for x, a in
+             zip((ks, ke, cs, ce), ("kept_start", "kept_end", "carried_start", "carried_end"))]
+    return c.select("conv_id", "turn", "role", "size", *parts)
 
 
 @register("pack_write")
