@@ -273,7 +273,12 @@ def q_cell_name(spark, sf_dir):
     return results(spark, sf_dir).select("model", "context_length", "depth_percent", "file_name")
 
 
-@register("needle_write")
+_FILE_NAME_SQL = ("printf('%s_len_%d_depth_%d', replace(split_part(model, '/', -1), '.', '_'), context_length, "
+                  "CAST(trunc(depth_percent * 100) AS BIGINT))")
+
+
+@register("needle_write", f"""WITH {RESULTS_SQL}
+SELECT context_length, depth_percent, score, {_FILE_NAME_SQL} AS file_name FROM res""")
 def q_needle_write(spark, sf_dir):
     r = results(spark, sf_dir)
     path = IO.write_jsonl(r, spark, "needle_results", partition_by=["model"])
@@ -281,7 +286,14 @@ def q_needle_write(spark, sf_dir):
     return back.select("context_length", "depth_percent", "score", "file_name")
 
 
-@register("contexts_write")
+@register("contexts_write", f"""WITH {CELLS_SQL},
+m AS (SELECT {sql_str(MODEL_PREFIX)} || c.lang AS model, c.context_length, c.depth_percent,
+             array_to_string(h.tokens[1:c.insert_at], '') || {sql_str(NEEDLE)} ||
+             array_to_string(h.tokens[c.insert_at + 1:c.ctx_tokens], '') AS context
+      FROM cells c JOIN hay h ON c.lang = h.lang)
+SELECT model, context_length, depth_percent, {_FILE_NAME_SQL} AS file_name,
+       CAST(length({sql_str(K.NEEDLE_PROMPT_PREFIX)} || context || {sql_str(K.NEEDLE_PROMPT_MIDDLE)} ||
+            {sql_str(K.DEFAULT_RETRIEVAL_QUESTION)} || {sql_str(K.NEEDLE_PROMPT_SUFFIX)}) AS INTEGER) AS prompt_len FROM m""")
 def q_contexts_write(spark, sf_dir):
     """Contexts with the needle, wrapped as prompts, written partitioned by model and context length."""
     from ..functions.prompts import needle_prompt

@@ -89,7 +89,7 @@ pieces AS (SELECT cid, source, greatest(s, cid * {C}) AS a, least(e, (cid + 1) *
 pieces2 AS (SELECT cid, source, a, b, ids[a - s + 1 : b - s] AS piece,
                    CASE WHEN a = cid * {C} AND cid >= 1 THEN ids[a - s + 1] END AS lab FROM pieces),
 lab AS (SELECT cid - 1 AS chunk_id, lab AS labels FROM pieces2 WHERE lab IS NOT NULL),
-ch AS (SELECT cid AS chunk_id, CAST(sum(b - a) AS INTEGER) AS n_tokens,
+ch AS (SELECT cid AS chunk_id, CAST(sum(b - a) AS INTEGER) AS n_tokens, CAST(count(*) AS INTEGER) AS n_spans,
               md5(string_agg(array_to_string(piece, ','), ',' ORDER BY a)) AS ids_md5,
               string_agg(source || ':' || CAST(a - cid * {C} AS VARCHAR) || '-' || CAST(b - cid * {C} AS VARCHAR), ';' ORDER BY a) AS spans
        FROM pieces2 GROUP BY cid),
@@ -181,7 +181,7 @@ def q_split_spans(spark, sf_dir):
     return c.select("conv_id", "turn", "role", "size", *parts)
 
 
-@register("pack_write")
+@register("pack_write", _PACK_BASE + "\nSELECT chunk_id, n_tokens, labels, n_spans FROM chunks")
 def q_pack_write(spark, sf_dir):
     ch = packed(spark, sf_dir)
     name = packing.packed_name(C, f"{FX.BUDGET_LARGE // 1000}k", FX.SPEC_PER_SOURCE_LARGE.mode, FX.RATIO)

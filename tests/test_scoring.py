@@ -112,3 +112,14 @@ def test_rouge_l_column(spark):
         lcs = lcs_dp(a, b)
         want = 0.0 if lcs == 0 else 2 * (lcs / len(a)) * (lcs / len(b)) / (lcs / len(a) + lcs / len(b))
         assert r.s == pytest.approx(want)
+
+
+def test_rouge_l_zh_against_dp(spark):
+    from longloom.plans.qa import pairs
+    p = pairs(spark, "/root/testdata/sf0.01").select("prediction", "answer",
+                                                     S.rouge_l_zh("prediction", "answer").alias("s"))
+    for r in p.collect():
+        a, b = list(r.prediction), list(r.answer)
+        lcs = lcs_dp(a, b)
+        want = 0.0 if lcs == 0 else 2 * (lcs / len(a)) * (lcs / len(b)) / (lcs / len(a) + lcs / len(b))
+        assert r.s == pytest.approx(want)
