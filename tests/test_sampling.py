@@ -88,3 +88,29 @@ def test_threshold_chars():
     spec = SampleSpec(total_tokens=1, threshold_tokens=4096)
     n = spec.threshold_chars
     assert n / 3.68 >= 4096 and (n - 1) / 3.68 < 4096
+
+
+def test_attach_text_fallback_matches_broadcast(spark, docs_mid):
+    from longloom.operators import packing
+    r = sampling.sample(docs_mid, FX.SPEC_PER_SOURCE_LARGE, sampling.mix_frame(spark, FX.MIX_TEST))
+    adm = r.admitted.select("doc_id", "source", "k")
+    a = packing.attach_text(adm, docs_mid)
+    b = packing.attach_text(adm, docs_mid, max_broadcast_rows=0, candidates=r.candidates)
+    key = lambda df: sorted((x.doc_id, x.text) for x in df.select("doc_id", "text").collect())
+    assert key(a) == key(b)
+    # candidates are a small superset of the admitted rows
+    assert r.candidates(docs_mid).count() < 2 * adm.count()
+
+
+def test_profile_approximate_path(spark, docs_mid):
+    from pyspark.sql import functions as F
+    from longloom.operators import profile
+    d = docs_mid.select("source", F.col("n_chars").cast("double").alias("x"))
+    ex = {r.source: r for r in profile.length_profile(d, "x", exact=True).collect()}
+    ap = {r.source: r for r in profile.length_profile(d, "x", exact=False).collect()}
+    auto = {r.source: r for r in profile.length_profile(d, "x").collect()}
+    assert ex == auto  # small groups use the exact form
+    for s, r in ex.items():
+        assert ap[s].n == r.n and ap[s].p100 == r.p100
+        # approximate quantiles are actual values near the exact interpolated ones
+        assert abs(ap[s].p50 - r.p50) <= 0.2 * r.p100
