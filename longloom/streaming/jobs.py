@@ -32,7 +32,7 @@ from ..sources.tables import DOCUMENTS
 # ------------------------------------------------------------------ sources
 
 def write_segments(docs: DataFrame, spark: SparkSession, name: str, n_segments: int, key: str = "k",
-                   files_per_segment: int = 1) -> str:
+                   files_per_segment: int = 1, only: list[int] | None = None, path: str | None = None) -> str:
     """Write a table as ``n_segments`` stream segments, in order of ``key`` ranges.
 
     Segment ``i`` holds the ``i``-th range of the first hex digit of ``key`` in
@@ -41,11 +41,11 @@ def write_segments(docs: DataFrame, spark: SparkSession, name: str, n_segments:
     with ``document_stream(files_per_trigger=files_per_segment)`` every
     micro-batch is one segment.  Used to replay a finished table as a stream.
     """
-    out = scratch_path(spark, name)
+    out = path or scratch_path(spark, name)
     width = 16 / n_segments
     seg = F.floor(hex_bucket(key, 1) / width).cast("int")
     d = docs.withColumn("_seg", seg)
-    for i in range(n_segments):
+    for i in (only if only is not None else range(n_segments)):
         part = d.filter(F.col("_seg") == i).drop("_seg")
         part.repartitionByRange(files_per_segment, key).write.mode("append").parquet(out)
     return out
@@ -55,9 +55,10 @@ def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 1,
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _run(stream_df: DataFrame, fn, spark: SparkSession, name: str, mode: str = "append"):
+def _run(stream_df: DataFrame, fn, spark: SparkSession, name: str, mode: str = "append",
+         checkpoint: str | None = None):
     q = (stream_df.writeStream.outputMode(mode).foreachBatch(fn)
-         .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt"))
+         .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
@@ -78,13 +79,15 @@ def _previous_state(spark: SparkSession, state_dir: str, batch_id: int, schema:
 # ------------------------------------------------------------------ T1: admission
 
 def stream_sample(spark: SparkSession, stream_df: DataFrame, spec: SampleSpec, mix: DataFrame,
-                  name: str = "stream_sample") -> str:
+                  name: str = "stream_sample", base: str | None = None) -> str:
     """Per-source budget admission over a document stream; returns the output folder.
 
-    Output rows: ``doc_id, source, n_chars, k, offset`` partitioned by batch id.
+    Output rows: ``doc_id, source, n_chars, k, offset`` partitioned by batch id.  Pass the
+    same ``base`` folder again to resume after a failure or a stop (output, state and stream
+    checkpoint live under it); by default a fresh folder is used.
     """
-    out = scratch_path(spark, name)
-    state_dir = scratch_path(spark, f"{name}-state")
+    base = base or scratch_path(spark, name)
+    out, state_dir = f"{base}/out", f"{base}/state"
     state_schema = "source string, used long"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
@@ -105,21 +108,22 @@ def stream_sample(spark: SparkSession, stream_df: DataFrame, spec: SampleSpec, m
         new.coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
         adm.unpersist()
 
-    _run(stream_df.select("doc_id", "source", "n_chars"), per_batch, spark, name)
+    _run(stream_df.select("doc_id", "source", "n_chars"), per_batch, spark, name, checkpoint=f"{base}/checkpoint")
     return out
 
 
 # ------------------------------------------------------------------ T2: packing
 
 def stream_pack(spark: SparkSession, stream_df: DataFrame, chunk_size: int, tokenizer=None,
-                name: str = "stream_pack") -> str:
+                name: str = "stream_pack", base: str | None = None) -> str:
     """Pack a document stream into chunks; the unfinished last chunk is carried to the next batch.
 
-    Output rows: ``chunk_id, input_ids, labels, source`` partitioned by batch id.
+    Output rows: ``chunk_id, input_ids, labels, source`` partitioned by batch id.  Pass the
+    same ``base`` folder again to resume (see :func:`stream_sample`).
     """
     C = chunk_size
-    out = scratch_path(spark, name)
-    state_dir = scratch_path(spark, f"{name}-state")
+    base = base or scratch_path(spark, name)
+    out, state_dir = f"{base}/out", f"{base}/state"
     state_schema = "total long, source string, s long, e long, input_ids array<int>"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
@@ -150,7 +154,7 @@ def stream_pack(spark: SparkSession, stream_df: DataFrame, chunk_size: int, toke
         d.unpersist()
 
     keyed = stream_df.select("source", "text", order_key(F.col("doc_id")).alias("k"))
-    _run(keyed, per_batch, spark, name)
+    _run(keyed, per_batch, spark, name, checkpoint=f"{base}/checkpoint")
     return out
 
 

@@ -44,3 +44,20 @@ def test_stream_counters(spark, docs_small):
     got = {r.source: r.scanned for r in spark.read.parquet(out).collect()}
     want = {r.source: r["count"] for r in docs_small.groupBy("source").count().collect()}
     assert got == want
+
+
+def test_stream_resumes_from_its_folder(spark, docs_mid):
+    from longloom.session import scratch_path
+    keyed = docs_mid.withColumn("k", order_key(F.col("doc_id")))
+    mix = sampling.mix_frame(spark, FX.MIX_TEST)
+    spec = FX.SPEC_PER_SOURCE_LARGE
+    src = scratch_path(spark, "t_resume_src")
+    base = scratch_path(spark, "t_resume")
+    J.write_segments(keyed, spark, "x", 4, only=[0, 1], path=src)
+    J.stream_sample(spark, J.document_stream(spark, src), spec, mix, base=base)   # stops after 2 batches
+    J.write_segments(keyed, spark, "x", 4, only=[2, 3], path=src)
+    out = J.stream_sample(spark, J.document_stream(spark, src), spec, mix, base=base)  # resumes
+    once = J.stream_sample(spark, J.document_stream(spark, J.write_segments(keyed, spark, "t_once", 4)), spec, mix)
+    key = lambda p: sorted((r.doc_id, r.offset) for r in spark.read.parquet(p).collect())
+    assert key(out) == key(once)
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 4
