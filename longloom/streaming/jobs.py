@@ -160,10 +160,13 @@ def stream_pack(spark: SparkSession, stream_df: DataFrame, chunk_size: int, toke
 
 # ------------------------------------------------------------------ T3: counters
 
-def stream_counters(spark: SparkSession, stream_df: DataFrame, spec: SampleSpec, name: str = "stream_counters") -> str:
+def stream_counters(spark: SparkSession, stream_df: DataFrame, spec: SampleSpec, name: str = "stream_counters",
+                    base: str | None = None) -> str:
     """Running per-source counters (rows seen, rows passing the coin, characters) with
-    Spark's streaming aggregation; the complete table is rewritten after every batch."""
-    out = scratch_path(spark, name)
+    Spark's streaming aggregation; the complete table is rewritten after every batch.
+    Pass the same ``base`` folder again to resume."""
+    base = base or scratch_path(spark, name)
+    out = f"{base}/out"
     d = with_stream_keys(stream_df.select("doc_id", "source", "n_chars"), spec)
     agg = d.groupBy("source").agg(F.count(F.lit(1)).alias("scanned"), F.count_if("pass").alias("passed_coin"),
                                   F.sum("n_chars").alias("n_chars"))
@@ -171,5 +174,5 @@ def stream_counters(spark: SparkSession, stream_df: DataFrame, spec: SampleSpec,
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
-    _run(agg, per_batch, spark, name, mode="complete")
+    _run(agg, per_batch, spark, name, mode="complete", checkpoint=f"{base}/checkpoint")
     return out
