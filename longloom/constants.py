@@ -117,6 +117,8 @@ TASK_MAX_NEW_TOKENS = [
     ("code_run", 5),
     ("code_debug", 5),
 ]
+# Model names that select a prompt template set.
+TEMPLATE_MODELS = ["gpt4", "claude2", "kimi", "yarn-mistral", "Yi-6B-200K", "Yi-6b-Chat", "llama"]
 CHOICE_TASKS = ["code_debug", "longbook_choice_eng"]
 OPTION_LETTERS = "ABCD"
 # Task system messages.

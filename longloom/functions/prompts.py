@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .tokens import tokenize, truncate_middle_exact
 
-MODELS = ["gpt4", "claude2", "kimi", "yarn-mistral", "Yi-6B-200K", "Yi-6b-Chat", "llama"]
+MODELS = K.TEMPLATE_MODELS
 TASKS = [t for t, _ in K.TASK_FILES]
 
 _OPTIONS = "\n\nA. {OPTION_A}\nB. {OPTION_B}\nC. {OPTION_C}\nD. {OPTION_D}"
