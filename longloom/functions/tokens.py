@@ -61,6 +61,15 @@ def trim_tokens(tokens: Column | str, n: Column | int) -> Column:
     return F.when(F.size(t) > nn, F.slice(t, 1, nn.cast("int"))).otherwise(t)
 
 
+def trim_chars(text: Column | str, context_length: int | Column, chars_per_token: float | None = None) -> Column:
+    """First ``int(context_length * chars_per_token)`` characters (the character-estimate cut of a
+    haystack; 3.66 characters per token by default)."""
+    from ..constants import HAYSTACK_CHARS_PER_TOKEN
+    r = chars_per_token if chars_per_token is not None else HAYSTACK_CHARS_PER_TOKEN
+    n = context_length if isinstance(context_length, Column) else F.lit(context_length)
+    return F.substring(_c(text), F.lit(1), (n * F.lit(r)).cast("int"))
+
+
 def truncate_middle(x: Column | str, m: Column | int) -> Column:
     """Keep the first and last ``m // 2`` items when longer than ``m``.
 

@@ -49,3 +49,4 @@ SLICE_START = 2
 SLICE_STOP = 8
 N_SHARDS = 4
 N_SEGMENTS = 4
+TRIM_CHARS_LENGTH = 1000

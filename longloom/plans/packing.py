@@ -56,6 +56,13 @@ def q_trim_tokens(spark, sf_dir):
     return d.select("doc_id", F.size("t").alias("n_kept"), F.md5(F.array_join("t", "")).alias("kept_md5"))
 
 
+@register("trim_chars", f"""SELECT doc_id, CAST(length(substr(text, 1, {int(FX.TRIM_CHARS_LENGTH * K.HAYSTACK_CHARS_PER_TOKEN)})) AS INTEGER) AS n_kept,
+md5(substr(text, 1, {int(FX.TRIM_CHARS_LENGTH * K.HAYSTACK_CHARS_PER_TOKEN)})) AS kept_md5 FROM documents""")
+def q_trim_chars(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", TK.trim_chars("text", FX.TRIM_CHARS_LENGTH).alias("t"))
+    return d.select("doc_id", F.length("t").alias("n_kept"), F.md5("t").alias("kept_md5"))
+
+
 @register("right_aligned_windows", f"""WITH t AS (SELECT doc_id, len({TOK_SQL}) AS n FROM documents),
 b AS (SELECT doc_id, n, unnest(generate_series(n - 1, 1, -{FX.WINDOW_STEP})) AS hi FROM t WHERE n - 1 > 0),
 w AS (SELECT doc_id, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY hi), 0) AS lo FROM b)
