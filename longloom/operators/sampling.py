@@ -78,6 +78,11 @@ def parse_dataset_size(text: str) -> int:
     raise ValueError(f"dataset size {text} not supported")
 
 
+def planned_chunks(total_tokens: int, chunk_size: int) -> int:
+    """Number of chunks a run plans for: whole chunks in the token target."""
+    return total_tokens // chunk_size
+
+
 def normalize_mix(mix: list[tuple[str, float]]) -> list[tuple[str, float]]:
     total = sum(w for _, w in mix)
     return [(s, w / total) for s, w in mix]

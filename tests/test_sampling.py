@@ -84,6 +84,11 @@ def test_dataset_size_literal():
         parse_dataset_size("12x")
 
 
+def test_planned_chunks():
+    assert sampling.planned_chunks(parse_dataset_size("5b"), 131072) == 38146
+    assert sampling.planned_chunks(100, 512) == 0
+
+
 def test_threshold_chars():
     spec = SampleSpec(total_tokens=1, threshold_tokens=4096)
     n = spec.threshold_chars
