@@ -145,6 +145,7 @@ class SampleResult:
     stop_key: str | None     # last stream key the scan looked at (None: scanned to the end)
     spec: SampleSpec
     keyed: DataFrame         # all documents with k / pass (for scan statistics)
+    budget_table: DataFrame | None = None   # per-source budgets (per-source modes)
 
     @property
     def admitted(self) -> DataFrame:
@@ -182,6 +183,11 @@ class SampleResult:
             F.count_if(F.col("filtered")).alias("filtered"))
         scanned = self.scanned().groupBy("source").agg(F.count(F.lit(1)).alias("scanned"))
         r = scanned.join(charged, "source", "left").fillna(0, ["used_chars", "passed", "filtered"])
+        if self.budget_table is not None:
+            # one row per source of the mix: broadcast
+            b = F.broadcast(self.budget_table.select("source", "budget_tokens"))
+            r = r.join(b, "source", "left").withColumn(
+                "fill", F.try_divide(F.col("used_chars") / F.lit(K.CHARS_PER_TOKEN), F.col("budget_tokens")))
         return r
 
 
@@ -209,7 +215,8 @@ def sample(docs: DataFrame, spec: SampleSpec, mix: DataFrame | None = None, chec
     if checkpoint:
         w = cut_lineage(w, "sample")
     stop = _stop_key(w, spec, mix)
-    return SampleResult(windowed=w, stop_key=stop, spec=spec, keyed=keyed)
+    return SampleResult(windowed=w, stop_key=stop, spec=spec, keyed=keyed,
+                        budget_table=budgets(mix, spec) if spec.per_source else None)
 
 
 def _stop_key(w: DataFrame, spec: SampleSpec, mix: DataFrame | None) -> str | None:
