@@ -119,3 +119,13 @@ def test_profile_approximate_path(spark, docs_mid):
         assert ap[s].n == r.n and ap[s].p100 == r.p100
         # approximate quantiles are actual values near the exact interpolated ones
         assert abs(ap[s].p50 - r.p50) <= 0.2 * r.p100
+
+
+def test_report_budget_and_fill(spark, docs_mid):
+    r = sampling.sample(docs_mid, FX.SPEC_PER_SOURCE_LARGE, sampling.mix_frame(spark, FX.MIX_TEST))
+    for row in r.report().collect():
+        w = dict(FX.MIX_TEST)[row.source]
+        assert row.budget_tokens == pytest.approx(FX.BUDGET_LARGE * w)
+        assert row.fill == pytest.approx(row.used_chars / 3.68 / row.budget_tokens)
+        # a source never goes over its budget by more than its last admitted document
+        assert row.used_chars / 3.68 <= row.budget_tokens + 128_657 / 3.68
