@@ -110,12 +110,14 @@ def _profile_sql(inner: str, value: str, int_total: bool = False) -> str:
     cols = ", ".join(f"CAST(floor(round(q[{i + 1}], 6)) AS BIGINT) AS p{p}" for i, p in enumerate(ps))
     return f"""WITH x AS ({inner}),
 g AS (SELECT source, count(*) AS n, {f"CAST(sum({value}) AS BIGINT)" if int_total else f"sum({value})"} AS total, quantile_cont({value}, [{qs}]) AS q FROM x GROUP BY source)
-SELECT source, n, total, round(total / sum(total) OVER (), 6) AS portion, {cols} FROM g"""
+SELECT source, n, {"total" if int_total else "round(total, 3)"} AS total, round(total / sum(total) OVER (), 6) AS portion, {cols} FROM g"""
 
 
 def _profile_view(df):
     ps = K.PROFILE_PERCENTILES
-    cols = [F.col("source"), F.col("n"), F.col("total"), F.round("portion", 6).alias("portion")]
+    # a sum of doubles depends on the summation order: report it rounded (integer sums stay exact)
+    total = F.col("total") if dict(df.dtypes)["total"] in ("bigint", "int") else F.round("total", 3)
+    cols = [F.col("source"), F.col("n"), total.alias("total"), F.round("portion", 6).alias("portion")]
     cols += [F.floor(F.round(F.col(f"p{p}"), 6)).cast("long").alias(f"p{p}") for p in ps]
     return df.select(*cols)
 
