@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path, table_path
 
-__all__ = ["cut_lineage", "scratch_path", "read", "doc_texts", "ws_words", "let"]
+__all__ = ["cut_lineage", "drop_table", "scratch_path", "read", "doc_texts", "ws_words", "let"]
 
 # the six ASCII white-space characters 0x20 and 0x09-0x0D
 WS = " \t\n\x0b\f\r"
@@ -31,3 +31,16 @@ def ws_words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Bind ``value`` once per row (Catalyst does not share sub-expressions inside lambdas)."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the written lineage cut that ``df`` reads, once nothing lazy refers to it any more."""
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = files[0].rsplit("/", 1)[0]
+    if "/tables/" not in folder:
+        raise ValueError(f"not a lineage cut: {folder}")
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
