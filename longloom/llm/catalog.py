@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import queries_arc, queries_decontam, queries_dedup, queries_suffix, queries_tokens  # noqa: F401
+from . import queries_arc, queries_decontam, queries_dedup, queries_suffix, queries_tokens, queries_url  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
