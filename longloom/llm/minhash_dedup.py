@@ -13,12 +13,14 @@ Jaccard similarity 0.8 shares no band with probability (1 - 0.8**5)**42 = 6e-8.
 ``100 * |A & B| >= threshold * |A | B|``.
 
 **Whole results without all pairs.**  Documents with equal shingle sets form one class and only
-classes are compared.  Within a bucket, members are first compared with one leader, the links are
-contracted to components, and the next round compares only buckets that still hold several
-components, with other leaders.  When little is left, every remaining pair of a bucket that lies in
-two components is verified, so no pair that shares a band is skipped: the components are those of
-the complete link graph.  Bucket minima are map-side combined aggregates and the joins back to a
-hot bucket are ordinary shuffled joins that adaptive execution splits.
+classes are compared.  Classes that share a band are gathered in candidate clusters (connected
+components over the buckets), and every class ships its full set once to its cluster's *unit*.
+A unit counts the intersections of all its sets with numpy and returns a spanning forest of the
+confirmed links, so no pair is ever a row.  A cluster above ``UNIT`` is cut into blocks by set size
+(sets whose sizes differ by more than the similarity allows are never linked, so a block meets only
+its own and the neighbouring size class) and each pair of blocks is a unit of bounded size: a group
+with a third of all rows is spread over many tasks and loses no link.  Bucket minima are map-side
+combined aggregates; joins back to a hot bucket are shuffled joins that adaptive execution splits.
 
 Edge cases.  Null or blank texts have an empty set and stay alone.  A text with fewer words than a
 shingle has one shingle, the whole word sequence.  Repeated rows and equal texts share a class.
@@ -28,8 +30,10 @@ rows get a null component.  Extra columns are ignored; an empty table gives an e
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -37,7 +41,8 @@ from .common import cut_lineage, doc_texts
 from .components import star_forest
 
 BANDS, ROWS = 42, 5
-STAR_ROUNDS = 6
+UNIT = 400_000        # weight of a unit: shingles, every set counting for at least SET_WEIGHT
+SET_WEIGHT = 200
 
 SKETCH = "doc_id long, n long, h1 long, h2 long, bands array<long>"
 SETS = "doc_id long, h1 long, h2 long, shingles array<long>"
@@ -154,20 +159,101 @@ def _set_maker(k: int):
     return run
 
 
-def _fits(a: str, b: str, threshold: int):
-    """Sizes of two sets that can reach the similarity at all."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * F.lit(threshold))
+def linked(x: np.ndarray, counts: np.ndarray, threshold: int):
+    """Smallest member (by position) of the link component of each of a unit's sets."""
+    m = len(counts)
+    doc = np.repeat(np.arange(m), counts)
+    order = np.argsort(x, kind="stable")
+    x, doc = x[order], doc[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    col = np.cumsum(new) - 1
+    freq = np.bincount(col)
+    common = np.zeros((m, m), np.float32)
+    heavy = np.flatnonzero(freq >= 16)
+    number = np.full(len(freq), -1)
+    number[heavy] = np.arange(len(heavy))
+    num = number[col]
+    for lo in range(0, len(heavy), 2048):
+        use = (num >= lo) & (num < lo + 2048)
+        has = np.zeros((m, min(2048, len(heavy) - lo)), np.float32)
+        has[doc[use], num[use] - lo] = 1
+        common += has @ has.T
+    light = (num < 0) & (freq[col] > 1)
+    c, d = col[light], doc[light]                    # documents ascend within a shingle
+    for k in range(1, 15):
+        same = np.flatnonzero(c[k:] == c[:-k])
+        if not len(same):
+            break
+        np.add.at(common, (d[same], d[same + k]), 1)
+    common = np.maximum(common, common.T)
+    n = counts.astype(np.float32)
+    link = 100 * common >= threshold * (n[:, None] + n[None, :] - common)
+    label = np.arange(m)
+    while True:
+        low = np.where(link, label[None, :], m).min(axis=1)
+        low = np.minimum(label, low)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _unit_links(threshold: int):
+    """Sorted rows ``(unit, id, shingles)`` to the spanning links of every unit."""
+    def run(batches):
+        import pyarrow as pa
 
+        def links(ids, sets):
+            counts = np.array([len(s) for s in sets])
+            label = linked(np.concatenate(sets), counts, threshold)
+            ids = np.array(ids, np.int64)
+            k = np.flatnonzero(label != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ids[label[k]])], names=["u", "v"])
+        unit, ids, sets = None, [], []
+        for rb in batches:
+            units, own = rb.column(0).to_pylist(), rb.column(1).to_pylist()
+            flat, off = rb.column(2).flatten(), np.asarray(rb.column(2).offsets)
+            flat, off = np.asarray(flat), off - off[0]
+            for i, u in enumerate(units):
+                if u != unit:
+                    if len(ids) > 1:
+                        yield links(ids, sets)
+                    unit, ids, sets = u, [], []
+                ids.append(own[i])
+                sets.append(flat[off[i]: off[i + 1]].copy())
+        if len(ids) > 1:
+            yield links(ids, sets)
+    return run
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose full sets reach the threshold, as edges ``(u, v)``."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    j = pairs.join(left, "a").join(right, "b").select(
-        "a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    return j.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * threshold).select(
-        F.col("a").alias("u"), F.col("b").alias("v"))
+
+def _units(members: DataFrame, threshold: int) -> DataFrame:
+    """``id, unit`` for ``id, n, cluster``: one row per unit a member belongs to."""
+    weight = F.sum(F.greatest("n", F.lit(SET_WEIGHT)))
+    total = members.groupBy("cluster").agg(weight.alias("w"))
+    m = members.join(total, "cluster")
+    small = m.filter(F.col("w") <= UNIT).select("id", F.col("cluster").cast("string").alias("unit"))
+    size = F.floor(F.log("n") / math.log(100 / threshold) + 1e-9).cast("int")
+    large = m.filter(F.col("w") > UNIT).select("id", "n", "cluster", size.alias("s"))
+    blocks = large.groupBy("cluster", "s").agg(F.ceil(weight / (UNIT / 2)).cast("int").alias("k"))
+    near = [blocks.select("cluster", (F.col("s") + d).alias("s"), F.col("k").alias(name))
+            for d, name in ((0, "k"), (1, "below"), (-1, "above"))]
+    for t in near:
+        large = large.join(t, ["cluster", "s"], "left")
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+
+    def key(s1, h1, s2, h2) -> Column:
+        return F.concat_ws(":", "cluster", s1, h1, s2, h2)
+
+    def each(k) -> Column:
+        return F.when(F.coalesce(k, F.lit(0)) > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    s = F.col("s")
+    keys = F.concat(
+        F.transform(each(F.col("k")), lambda h: key(s, F.least(h, F.col("own")), s, F.greatest(h, F.col("own")))),
+        F.transform(each(F.col("above")), lambda h: key(s, F.col("own"), s + 1, h)),
+        F.transform(each(F.col("below")), lambda h: key(s - 1, h, s, F.col("own"))))
+    large = large.withColumn("own", own).select("id", F.explode(keys).alias("unit"))
+    return small.unionByName(large)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = BANDS,
@@ -183,66 +269,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()), "mh-classes")
 
-    # buckets that hold at least two classes
-    cells = classes.select("id", "n", F.explode("bands").alias("b"))
-    shared = cells.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("b")
-    cells = cut_lineage(cells.join(shared, "b", "left_semi"), "mh-cells")
-    cand = cells.select("id").distinct()
-    reps = classes.select("id", "h1", "h2", "rep").join(cand, "id", "left_semi")
-    wanted = reps.select(F.col("rep").alias("doc_id")).distinct()
-    named = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = named.mapInArrow(_set_maker(shingle), SETS).drop("doc_id").join(
-        reps.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "shingles")
-    sets = cut_lineage(sets.dropDuplicates(["id"]), "mh-sets")
-
-    forest, tested = None, None
-    n_cells = cells.count()
-    for t in range(STAR_ROUNDS + 1):
-        cur = cells
-        if forest is not None:
-            root = forest.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            cur = cells.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            split = cur.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-            cur = cut_lineage(cur.join(split.select("b"), "b", "left_semi"), "mh-open")
-            per = cur.groupBy("b", "root").agg(F.count("*").alias("c")).groupBy("b").agg(
-                F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            open_pairs = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
-            if not open_pairs:
-                break
-        else:
-            cur = cur.withColumn("root", F.col("id"))
-            open_pairs = None
-        last = t == STAR_ROUNDS or (open_pairs is not None and open_pairs <= 2 * n_cells)
-        if last:
-            # everything that is left: pairs of one bucket in two components
-            x = cur.select("b", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            y = cur.select(F.col("b").alias("b2"), F.col("id").alias("b_id"), F.col("n").alias("nb"),
-                           F.col("root").alias("rb"))
-            pairs = x.join(y, (F.col("b") == F.col("b2")) & (F.col("a") < F.col("b_id")) & (F.col("ra") != F.col("rb"))
-                           & _fits("na", "nb", threshold)).select("a", F.col("b_id").alias("b"))
-        else:
-            # the leader of a bucket is its smallest id under a mask that changes with the round
-            mask = F.lit((0x2545F4914F6CDD1D * t) & 0x7FFFFFFFFFFF)
-            lead = cur.groupBy("b").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("m")).select(
-                "b", F.col("m").bitwiseXOR(mask).alias("lead"))
-            pairs = cur.join(lead, "b").filter("id != lead").select("id", "lead", "root", "n").distinct()
-            if t == 0:
-                pairs = pairs.groupBy("id", "root", "n").agg(F.min("lead").alias("lead"))
-            size = classes.select(F.col("id").alias("lead"), F.col("n").alias("n_lead"))
-            pairs = pairs.join(size, "lead").filter(_fits("n", "n_lead", threshold))
-            if forest is not None:
-                pairs = pairs.join(root.withColumnRenamed("id", "lead").withColumnRenamed("root", "lroot"), "lead",
-                                   "left").filter(F.coalesce("lroot", "lead") != F.col("root"))
-            pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "mh-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = _verify(pairs, sets, threshold)
-        forest = star_forest(links if forest is None else links.unionByName(forest))
-        if last:
-            break
+    # classes that share a bucket, gathered in clusters
+    cells = classes.select("id", F.explode("bands").alias("b"))
+    shared = cells.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi")
+    near = cells.join(shared.select("b", "lo"), "b").filter("id != lo").select(F.col("id").alias("u"),
+                                                                              F.col("lo").alias("v"))
+    clusters = star_forest(near)
+    members = clusters.select(F.col("u").alias("id"), F.col("v").alias("cluster")).unionByName(
+        clusters.select(F.col("v").alias("id"), F.col("v").alias("cluster")).distinct())
+    members = cut_lineage(members.join(classes.drop("bands"), "id"), "mh-members")
+
+    # full sets of the representatives, sent to their units
+    wanted = members.select(F.col("rep").alias("_rep")).distinct()
+    named = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
+    sets = named.mapInArrow(_set_maker(shingle), SETS).join(
+        members.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "shingles").dropDuplicates(["id"])
+    units = _units(members.select("id", "n", "cluster"), threshold)
+    rows = sets.join(units, "id").select("unit", "id", "shingles").repartition("unit").sortWithinPartitions("unit")
+    forest = star_forest(rows.mapInArrow(_unit_links(threshold), "u long, v long"))
 
     # component of every class, then of every row
     root = forest.select(F.col("u").alias("id"), F.col("v").alias("root"))
