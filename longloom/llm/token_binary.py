@@ -37,7 +37,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 128
 ROW_IDS = 1 << 18
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
+LINES = 24
 
 # ids per word and bits per id, by selector (fixed values of the coding)
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
@@ -142,8 +143,8 @@ def unpack(words: np.ndarray, block_words: np.ndarray, n: int, escaped: np.ndarr
 class PieceEncoder:
     """Encodes texts piece by piece with a bounded cache of the ids of distinct pieces.
 
-    Missing pieces are encoded together, one line each: a line end is a token of its own there, so
-    the ids fall apart at it.  A full cache keeps the half of its pieces that was used most."""
+    Missing words are encoded together, one line each: a line end is a token of its own there, so the
+    ids fall apart at it.  A full cache keeps the half of its pieces that was used most."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,57 +156,78 @@ class PieceEncoder:
         # piece at the start of a text / after a space -> its code
         self.first, self.rest = {}, {}
         self.n = self.used = 0
-        self.starts = np.zeros(1024, np.int64)
-        self.lens = np.zeros(1024, np.int64)
-        self.hits = np.zeros(1024, np.int64)
+        self.starts = np.zeros(1024, np.int32)
+        self.lens = np.zeros(1024, np.int32)
+        self.hits = np.zeros(1024, np.int32)
         self.flags = np.zeros(1024, np.uint8)            # 1: starts with white space after the cut, 2: ends with it
         self.ids = np.zeros(4096, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _add(self, pieces, flags):
-        # a piece with one word and no white space but its first character keeps its borders when it
-        # starts a line; the others are encoded alone
-        plain = [i for i, (p, f) in enumerate(zip(pieces, flags)) if f < 2 and p[:1] in (" ", "\n")
-                 and len(p[1:].split()) == 1 and not p[1].isspace()]
-        ln = np.zeros(len(pieces), np.int64)
-        ids, done = [], []
-        if plain and self.line_end is not None:
-            x = self._whole("".join(pieces[i] if pieces[i][0] == "\n" else "\n" + pieces[i] for i in plain))
-            at = np.flatnonzero(x == self.line_end)
-            if len(at) == len(plain):
-                own = np.array([pieces[i][0] == "\n" for i in plain])
-                ln[: len(plain)] = np.diff(at, append=len(x)) - ~own
-                ids.append(np.delete(x, at[~own]))
-                done = plain
-        alone = sorted(set(range(len(pieces))) - set(done))
-        order = done + alone
-        for j, i in enumerate(alone):
-            x = self._whole(pieces[i])
-            ids.append(x)
-            ln[len(done) + j] = len(x)
-        ids = np.concatenate(ids)
-        k, total = len(pieces), len(ids)
-        while self.n + k > len(self.starts):
+    def _gather(self, codes: np.ndarray):
+        ln = self.lens[codes].astype(np.int64)
+        total = np.cumsum(ln)
+        n = int(total[-1]) if len(total) else 0
+        return self.ids[np.arange(n) + np.repeat(self.starts[codes] - (total - ln), ln)], ln
+
+    def _store(self, codes, ids, ln):
+        while int(codes.max()) >= len(self.starts):
             self.starts, self.lens, self.flags, self.hits = (
                 np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.flags, self.hits))
-        while self.used + total > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        to = self.n + np.array(order)
-        self.lens[to] = ln
-        self.starts[to] = self.used + np.cumsum(ln) - ln
-        self.hits[to] = 0
-        self.flags[self.n: self.n + k] = flags
-        self.ids[self.used: self.used + total] = ids
-        self.n += k
-        self.used += total
+        self.lens[codes] = ln
+        self.starts[codes] = self.used + np.cumsum(ln) - ln
+        self.ids[self.used: self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _add(self, new):
+        """Encode the pieces ``new`` (text, whether a space was cut before it) as codes from ``n`` on.
+
+        A single word keeps its borders when it starts a line; pieces with other white space are
+        encoded alone."""
+        one, one_code, lines = [], [], []             # single words, as lines of one text
+        alone, alone_code = [], []
+        flagged, flags = [], []
+        for i, (w, cut) in enumerate(new, self.n):
+            line = w[:1] == "\n"
+            body = w[1:] if line else w
+            parts = body.split() if cut else ()
+            if len(parts) == 1 and len(parts[0]) == len(body):
+                one.append(w if line else "\n " + w)
+                one_code.append(i)
+                lines.append(line)
+                if line:
+                    flagged.append(i)
+                    flags.append(1)
+            else:
+                alone.append(w if line or not cut else " " + w)
+                alone_code.append(i)
+                flagged.append(i)
+                flags.append((cut and (not w or w[0].isspace())) + 2 * ((cut and not w) or (w != "" and w[-1].isspace())))
+        base, self.n = self.n, self.n + len(new)
+        for lo in range(0, len(one), LINES):          # the tokenizer is fastest on short texts
+            part, code, own = one[lo: lo + LINES], one_code[lo: lo + LINES], lines[lo: lo + LINES]
+            x = self._whole("".join(part))
+            at = np.flatnonzero(x == self.line_end) if self.line_end is not None else x[:0]
+            if len(at) == len(part):
+                line = np.array(own)
+                self._store(np.array(code), np.delete(x, at[~line]), np.diff(at, append=len(x)) - ~line)
+            else:
+                alone += [w if k else w[1:] for w, k in zip(part, own)]
+                alone_code += code
+        if alone:
+            x = [self._whole(w) for w in alone]
+            self._store(np.array(alone_code), np.concatenate(x), np.array([len(v) for v in x]))
+        self.hits[base: self.n] = 0
+        self.flags[base: self.n] = 0
+        if flagged:
+            self.flags[np.array(flagged)] = flags
 
     def _shrink(self):
         keep = np.sort(np.argpartition(-self.hits[: self.n], self.n // 2)[: self.n // 2])
-        ln = self.lens[keep]
-        idx = np.arange(ln.sum()) + np.repeat(self.starts[keep] - (np.cumsum(ln) - ln), ln)
-        ids = self.ids[idx]
+        ids, ln = self._gather(keep)
         code = np.full(self.n, -1)
         code[keep] = np.arange(len(keep))
         code = code.tolist()
@@ -226,7 +248,7 @@ class PieceEncoder:
             self._shrink()
         first, rest = self.first, self.rest
         get = rest.get
-        new, flags, n = [], [], self.n
+        new, n = [], self.n
         codes, counts = [], []
         for t in texts:
             p = t.replace("\n", " \n").split(" ")
@@ -234,35 +256,31 @@ class PieceEncoder:
             if head is None:
                 head = first[p[0]] = n
                 n += 1
-                new.append(p[0])
-                flags.append(2 if p[0] and p[0][-1].isspace() else 0)
+                new.append((p[0], False))
             c = list(map(get, p))
             c[0] = head
             if None in c:
-                for i, w in enumerate(p):
-                    if c[i] is None:
-                        k = get(w)
-                        if k is None:
-                            k = rest[w] = n
-                            n += 1
-                            new.append(w if w[:1] == "\n" else " " + w)
-                            flags.append((not w or w[0].isspace()) + 2 * (not w or w[-1].isspace()))
-                        c[i] = k
-            codes.append(np.array(c, np.int64))
+                for i in [i for i, k in enumerate(c) if k is None]:
+                    w = p[i]
+                    k = get(w)
+                    if k is None:
+                        k = rest[w] = n
+                        n += 1
+                        new.append((w, True))
+                    c[i] = k
+            codes.append(np.fromiter(c, np.int32, len(c)))
             counts.append(len(p))
         if new:
-            self._add(new, flags)
+            self._add(new)
         code = np.concatenate(codes)
-        self.hits[: self.n] += np.bincount(code, minlength=self.n)
+        self.hits[code] += 1                              # texts of one call count once
         count = np.array(counts, np.int64)
         ends = np.cumsum(count)
         flag = self.flags[code]
         # white space on both sides of a cut: the border may lie elsewhere
         bad = np.flatnonzero((flag[:-1] & 2 > 0) & (flag[1:] & 1 > 0)) + 1
         whole = np.unique(np.searchsorted(ends, bad, side="right"))
-        ln = self.lens[code]
-        total = np.cumsum(ln)
-        ids = self.ids[np.arange(total[-1]) + np.repeat(self.starts[code] - (total - ln), ln)]
+        ids, ln = self._gather(code)
         per = np.add.reduceat(ln, ends - count)
         if len(whole):
             cut = np.split(ids, np.cumsum(per)[:-1])
@@ -328,7 +346,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """Tokenize ``docs`` and write the shards under ``path`` in ascending doc_id order."""
     t = doc_texts(docs)
     t = t.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    t.mapInArrow(_shard_rows(tokenizer, end_id), SHARD).write.mode("overwrite").parquet(path)
+    # fixed slots leave zero bits, which a light compression of the file takes out
+    t.mapInArrow(_shard_rows(tokenizer, end_id), SHARD).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def _doc_rows(batches):
