@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path, table_path
 
-__all__ = ["cut_lineage", "drop_table", "scratch_path", "read", "doc_texts", "ws_words", "let"]
+__all__ = ["cut_lineage", "drop_table", "release", "scratch_path", "read", "doc_texts", "ws_words", "let"]
 
 # the six ASCII white-space characters 0x20 and 0x09-0x0D
 WS = " \t\n\x0b\f\r"
@@ -44,3 +46,10 @@ def drop_table(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.  Its cleaner waits
+    for the driver's garbage collection, which a job of many written steps may not reach in time."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -8,7 +8,7 @@ Suffixes are therefore sampled by content: within every ``length``-byte string t
 ``gram``-byte prefix has the smallest hash is an anchor.  Equal strings choose the same anchor, so
 no repeat is missed, and about 2 / (length - gram + 2) of the positions are anchors.  Consecutive
 strings with one anchor form a stretch ``[a, b + length)``.  A *class* is the pair (hash of the
-suffix's first ``gram`` bytes, hash of the whole stretch), 128 bits.  The array of a batch is its
+suffix's first ``gram`` bytes, hash of the whole stretch), 96 bits.  The array of a batch is its
 anchors sorted by (class, doc_id, start): equal suffix prefixes are neighbours and the first of a
 run is the earliest occurrence.  (The order is that of the fingerprints, not of the letters; a merge
 scan only needs equal prefixes to be adjacent.)
@@ -20,9 +20,12 @@ so an anchor is rewritten only logarithmically often.  The array is a global sor
 of the full key), so a class with a third of all rows spreads over many tasks; only the first row of
 a partition is compared with the last row of the one before, on the driver (one row per partition).
 
-**Edges of matches.**  Two stretches around one suffix prefix may agree only in part.  Classes whose
-prefix also heads another class are expanded into their single ``length``-byte strings, which go
-through the same sort; nothing else is ever expanded.
+**Edges of matches.**  Two stretches around one suffix prefix may agree only in part.  The classes
+whose prefix also heads another class send their bytes to that prefix, where their single
+``length``-byte strings are compared.  A prefix with more than ``HOT`` classes is not gathered: its
+strings go through the global sort instead.
+
+Texts travel between tasks compressed, and tables of finished steps are deleted.
 
 Edge cases.  Null texts are empty.  Texts shorter than ``length`` stay whole.  Repeated rows (same
 doc_id, same text) get the same result and do not remove each other.  When a doc_id is null or
@@ -38,13 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import cut_lineage, doc_texts, drop_table
+from .common import cut_lineage, doc_texts, drop_table, release
 
-LENGTH, GRAM, BATCHES = 100, 32, 4
+LENGTH, GRAM, BATCHES = 100, 24, 4
+HOT = 50_000
 BLOCK = 2 << 20
 _POS_BITS = np.uint64(24)
 
-ANCHOR = "key long, content long, ord long, pn long"
+ANCHOR = "key int, content long, ord long, pn long"
 RUN = ANCHOR + ", head boolean, shared boolean, edge boolean, tail boolean, part int"
 
 
@@ -102,100 +106,176 @@ def _anchor_rows(length, gram):
             for i, shift, d, o in _pieces(data, off, length):
                 doc, a, k, key, content = anchors(d, o, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[i + doc]),
+                    [pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                     pa.array(content.view(np.int64)), pa.array(ids[i + doc]),
                      pa.array((a + shift) * 128 + k)], names=["key", "content", "ord", "pn"])
     return run
 
 
-def _string_rows(length):
-    """The single strings of listed stretches, each with a 128-bit hash."""
+def _stretch_rows(length):
+    """Listed stretches of compressed texts with their bytes."""
     def run(batches):
         import pyarrow as pa
         for rb in batches:
-            ids = np.asarray(rb.column(0))
-            data, off = tb.text_bytes(rb.column(1))
-            pn, po = _flat(rb.column(2))
-            for i, shift, d, o in _pieces(data, off, length):
-                j = i + len(o) - 1
-                p = pn[po[i]: po[j]]
-                doc = np.repeat(np.arange(j - i), np.diff(po[i: j + 1]))
-                a, k = p // 128 - shift, p % 128
-                if shift or len(d) < off[j] - off[i]:                # keep what starts inside this piece
-                    lo, hi = np.maximum(a, 0), np.minimum(a + k, min(BLOCK, len(d) - length + 1))
-                    a, k, doc = lo[lo < hi], (hi - lo)[lo < hi], doc[lo < hi]
-                ends = np.cumsum(k)
-                s = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - k, k) + np.repeat(a + o[doc], k)
-                d_of = np.repeat(doc, k)
-                h = [tb.span_hash(tb.prefix_hash(d, tb.byte_codes(seed)), s, s + length).view(np.int64)
-                     for seed in (41, 43)]
+            ids, texts = np.asarray(rb.column(0)), rb.column(1)
+            pn, po = _flat(rb.column(2), "pn")
+            key, _ = _flat(rb.column(2), "key")
+            unpack = _unpacker()
+            for i in range(rb.num_rows):
+                text, p = unpack(texts[i]), pn[po[i]: po[i + 1]]
+                parts = [text[a: a + k + length - 1] for a, k in zip((p // 128).tolist(), (p % 128).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[0]), pa.array(h[1]), pa.array(ids[i + d_of]),
-                     pa.array((s - o[d_of] + shift) * 128 + 1)], names=["key", "content", "ord", "pn"])
+                    [pa.array(key[po[i]: po[i + 1]].astype(np.int32)), pa.array(np.full(len(p), ids[i])), pa.array(p),
+                     pa.array(parts, pa.binary())], names=["key", "ord", "pn", "bytes"])
     return run
 
 
-def _flat(col):
-    """A list<long> column (null: empty list) as flat values and offsets."""
+def _hashes(data, off, length):
+    """Start, row and two hashes of every string of the rows of a flat byte column."""
+    k = np.maximum(np.diff(off) - length + 1, 0)
+    ends = np.cumsum(k)
+    row = np.repeat(np.arange(len(k)), k)
+    rel = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - k, k)
+    s = rel + off[row]
+    h = [tb.span_hash(tb.prefix_hash(data, tb.byte_codes(seed)), s, s + length) for seed in (41, 43)]
+    return rel, row, h
+
+
+def _compare_strings(length):
+    """Rows sorted by (key, ord, pn): the strings that an earlier row of the key holds, as spans."""
+    def run(batches):
+        import pyarrow as pa
+
+        def spans(cols):
+            ord_, pn = np.asarray(cols.column("ord")), np.asarray(cols.column("pn"))
+            data, off = tb.text_bytes(cols.column("bytes"))
+            rel, row, h = _hashes(data, off, length)
+            o = np.lexsort((np.arange(len(rel)), h[1], h[0]))
+            again = np.zeros(len(rel), bool)
+            again[o[1:]] = (h[0][o[1:]] == h[0][o[:-1]]) & (h[1][o[1:]] == h[1][o[:-1]])
+            # consecutive strings of a row become one span
+            at = np.flatnonzero(again)
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]])
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(at)))
+            r = row[at[first]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ord_[r]), pa.array((pn[r] // 128 + rel[at[first]]) * 128 + size)], names=["ord", "pn"])
+        held = None
+        for rb in batches:
+            t = pa.Table.from_batches([rb])
+            t = t if held is None else pa.concat_tables([held, t])
+            key = np.asarray(t.column("key"))
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0      # the last key may go on
+            if cut and t.nbytes > (8 << 20):
+                yield spans(t.slice(0, cut))
+                t = t.slice(cut)
+            held = t
+        if held is not None and held.num_rows:
+            yield spans(held)
+    return run
+
+
+def _string_rows(length):
+    """Every string of the rows, for prefixes too frequent to be gathered."""
+    def run(batches):
+        import pyarrow as pa
+        for rb in batches:
+            ord_, pn = np.asarray(rb.column(1)), np.asarray(rb.column(2))
+            data, off = tb.text_bytes(rb.column(3))
+            rel, row, h = _hashes(data, off, length)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((h[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(h[1].view(np.int64)),
+                 pa.array(ord_[row]), pa.array((pn[row] // 128 + rel) * 128 + 1)],
+                names=["key", "content", "ord", "pn"])
+    return run
+
+
+def _pack_texts(batches):
+    """``ord, text`` to ``ord, compressed text``."""
+    import pyarrow as pa
+    import zstandard
+    z = zstandard.ZstdCompressor(level=1)
+    for rb in batches:
+        data, off = tb.text_bytes(rb.column(rb.num_columns - 1))
+        raw = data.tobytes()
+        packed = pa.array([z.compress(raw[a:b]) for a, b in zip(off.tolist(), off[1:].tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([*rb.columns[:-1], packed], names=[*rb.schema.names[:-1], "packed"])
+
+
+def _unpacker():
+    import zstandard
+    z = zstandard.ZstdDecompressor()
+    return lambda cell: z.decompress(cell.as_buffer()) if len(cell.as_buffer()) else b""
+
+
+def _flat(col, field=None):
+    """A list column (null: empty list) as flat values (of a struct field) and offsets."""
     import pyarrow.compute as pc
     if not len(col):
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
     ln = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
     off = np.zeros(len(ln) + 1, np.int64)
     np.cumsum(ln, out=off[1:])
-    return np.asarray(pc.list_flatten(col)).astype(np.int64), off
+    flat = pc.list_flatten(col)
+    return np.asarray(flat if field is None else pc.struct_field(flat, field)).astype(np.int64), off
 
 
-def _mark(batches):
+def _mark(keep):
     """Flag the rows of a sorted partition: ``head`` starts a run of one class, ``shared`` has a
-    neighbour of the same key and another class, ``edge``/``tail`` are the partition's ends.  One row
-    is held back until its successor is known."""
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    prev = held = None        # the row before the held one; the held row (key, content, ord, pn)
-
-    def out(rows, prev_row, next_row):
-        key, content = rows[0], rows[1]
-        pk = np.concatenate([[prev_row[0] if prev_row is not None else 0], key[:-1]])
-        pc = np.concatenate([[prev_row[1] if prev_row is not None else 0], content[:-1]])
-        nk = np.concatenate([key[1:], [next_row[0] if next_row is not None else 0]])
-        nc = np.concatenate([content[1:], [next_row[1] if next_row is not None else 0]])
-        has_p = np.ones(len(key), bool)
-        has_n = np.ones(len(key), bool)
-        has_p[0] = prev_row is not None
-        has_n[-1] = next_row is not None
-        same_p, same_n = has_p & (pk == key), has_n & (nk == key)
-        head = ~(same_p & (pc == content))
-        shared = (same_p & (pc != content)) | (same_n & (nc != content))
-        edge, tail = ~has_p, ~has_n
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in rows] + [pa.array(head), pa.array(shared), pa.array(edge), pa.array(tail),
-                                           pa.array(np.full(len(key), part, np.int32))],
-            names=["key", "content", "ord", "pn", "head", "shared", "edge", "tail", "part"])
+    neighbour of the same key and another class, ``edge``/``tail`` are the partition's ends.  Only
+    the rows that ``keep`` names and the ends are returned; one row is held back until its successor
+    is known."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        prev = held = None        # the row before the held one; the held row (key, content, ord, pn)
+
+        def out(rows, prev_row, next_row):
+            key, content = rows[0], rows[1]
+            pk = np.concatenate([[prev_row[0] if prev_row is not None else 0], key[:-1]])
+            pc = np.concatenate([[prev_row[1] if prev_row is not None else 0], content[:-1]])
+            nk = np.concatenate([key[1:], [next_row[0] if next_row is not None else 0]])
+            nc = np.concatenate([content[1:], [next_row[1] if next_row is not None else 0]])
+            has_p = np.ones(len(key), bool)
+            has_n = np.ones(len(key), bool)
+            has_p[0] = prev_row is not None
+            has_n[-1] = next_row is not None
+            same_p, same_n = has_p & (pk == key), has_n & (nk == key)
+            head = ~(same_p & (pc == content))
+            shared = (same_p & (pc != content)) | (same_n & (nc != content))
+            edge, tail = ~has_p, ~has_n
+            use = {"all": np.ones(len(key), bool), "repeated": ~head, "shared": shared}[keep] | edge | tail
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x[use]) for x in (*rows, head, shared, edge, tail, np.full(len(key), part, np.int32))],
+                names=["key", "content", "ord", "pn", "head", "shared", "edge", "tail", "part"])
 
-    for rb in batches:
-        if not rb.num_rows:
-            continue
-        rows = [np.asarray(rb.column(i)) for i in range(4)]
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            rows = [np.asarray(rb.column(i)) for i in range(4)]
+            if held is not None:
+                rows = [np.concatenate([[held[i]], rows[i]]) for i in range(4)]
+            body = [x[:-1] for x in rows]
+            held_new = [x[-1] for x in rows]
+            if len(body[0]):
+                yield out(body, prev, held_new)
+                prev = [x[-1] for x in body]
+            held = held_new
         if held is not None:
-            rows = [np.concatenate([[held[i]], rows[i]]) for i in range(4)]
-        body = [x[:-1] for x in rows]
-        held_new = [x[-1] for x in rows]
-        if len(body[0]):
-            yield out(body, prev, held_new)
-            prev = [x[-1] for x in body]
-        held = held_new
-    if held is not None:
-        yield out([np.array([x]) for x in held], prev, None)
-
-
-def sorted_run(rows: DataFrame, name: str):
+            yield out([np.array([x]) for x in held], prev, None)
+    return run
+
+
+def sorted_run(rows: DataFrame, name: str, keep: str = "all"):
     """Sort anchors globally, flag them and write the array; returns it with the flags that depend
     on the neighbouring partitions corrected."""
     full = ["key", "content", "ord", "pn"]
     # partitions follow the session's setting, adaptive execution may merge neighbours
-    run = rows.repartitionByRange(*full).sortWithinPartitions(*full).mapInArrow(_mark, RUN)
+    run = rows.repartitionByRange(*full).sortWithinPartitions(*full).mapInArrow(_mark(keep), RUN)
     run = cut_lineage(run, name)
     # ends of partitions: two rows each, bounded by the number of partitions
     ends = run.filter("edge or tail").select("part", "key", "content", "edge", "tail").collect()
@@ -268,7 +348,9 @@ def _cutter(length):
     def run(batches):
         import pyarrow as pa
         for rb in batches:
-            data, off = tb.text_bytes(rb.column(1))
+            unpack = _unpacker()
+            texts = [unpack(t) for t in rb.column(1)]
+            data, off = tb.text_bytes(pa.array(texts, pa.large_binary()))
             pn, po = _flat(rb.column(2))
             for i, j, d, o in tb.blocks(data, off, BLOCK):
                 p, ln = pn[po[i]: po[j]], np.diff(po[i: j + 1])
@@ -295,6 +377,7 @@ def _cutter(length):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_text`` (binary) for every row of ``docs``."""
+    spark = docs.sparkSession
     texts, once = _ordered(docs)
     bounds = once.agg(F.percentile_approx("ord", [i / batches for i in range(1, batches)], 10000)).first()[0] \
         if batches > 1 else []
@@ -314,20 +397,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         if family.levels:
             scanned = cut_lineage(scanned, "sx-scan")
             gone.append(scanned.filter("known").select("ord", "pn"))
+            gone[-1] = cut_lineage(gone[-1], "sx-gone")
             family.insert(cut_lineage(scanned.filter("not known").drop("known"), "sx-level"))
+            drop_table(scanned)
         else:
             family.insert(cut_lineage(scanned.drop("known"), "sx-level"))
         drop_table(run)
+        release(spark)
     # classes that share their suffix prefix with another class: compare their single strings
-    merged = sorted_run(family.union(), "sx-merged").filter("shared").select("ord", "pn")
-    listed = merged.groupBy("ord").agg(F.collect_list("pn").alias("pns"))
-    some = once.select("ord", "text").join(listed, "ord")
-    strings = sorted_run(some.mapInArrow(_string_rows(length), ANCHOR), "sx-strings")
-    gone.append(strings.filter("not head").select("ord", "pn"))
+    merged = sorted_run(family.union(), "sx-merged", "shared").filter("shared").select("key", "ord", "pn")
+    for _, level in family.levels:
+        drop_table(level)
+    release(spark)
+    listed = merged.groupBy("ord").agg(F.collect_list(F.struct("key", "pn")).alias("pns"))
+    packed = once.select("ord", "text").mapInArrow(_pack_texts, "ord long, packed binary")
+    parts = packed.join(listed, "ord").mapInArrow(_stretch_rows(length), "key int, ord long, pn long, bytes binary")
+    parts = cut_lineage(parts, "sx-stretches")
+    release(spark)
+    hot = cut_lineage(parts.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "sx-hot")
+    cold = parts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "ord", "pn")
+    gone.append(cut_lineage(cold.mapInArrow(_compare_strings(length), "ord long, pn long"), "sx-gone"))
+    if not hot.isEmpty():
+        many = parts.join(hot, "key", "left_semi").mapInArrow(_string_rows(length), ANCHOR)
+        gone.append(sorted_run(many, "sx-strings", "repeated").filter("not head").select("ord", "pn"))
+    drop_table(parts)
+    release(spark)
     spans = gone[0]
     for g in gone[1:]:
         spans = spans.unionByName(g)
     spans = spans.groupBy("ord").agg(F.collect_list("pn").alias("pns"))
-    out = texts.join(spans, "ord", "left").select("doc_id", "text", "pns")
+    packed = texts.select("doc_id", "ord", "text").mapInArrow(_pack_texts, "doc_id long, ord long, packed binary")
+    out = packed.join(spans, "ord", "left").select("doc_id", "packed", "pns")
     return out.mapInArrow(_cutter(length),
                           "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text binary")
