@@ -45,7 +45,7 @@ from .common import cut_lineage, doc_texts, drop_table, release
 
 LENGTH, GRAM, BATCHES = 100, 24, 4
 HOT = 50_000
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 _POS_BITS = np.uint64(24)
 
 ANCHOR = "key int, content long, ord long, pn long"
@@ -168,7 +168,7 @@ def _compare_strings(length):
             t = t if held is None else pa.concat_tables([held, t])
             key = np.asarray(t.column("key"))
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0      # the last key may go on
-            if cut and t.nbytes > (8 << 20):
+            if cut and t.nbytes > (2 << 20):
                 yield spans(t.slice(0, cut))
                 t = t.slice(cut)
             held = t
