@@ -54,9 +54,19 @@ def let(value: Column, body) -> Column:
 
 
 def _overlap(p: Column, g: Column) -> Column:
-    return F.aggregate(
-        F.array_distinct(p), F.lit(0),
-        lambda acc, w: acc + F.least(F.size(F.filter(p, lambda x: x == w)), F.size(F.filter(g, lambda x: x == w))))
+    """Merge of the sorted tokens of both sides: ``open`` counts the unmatched tokens of the left side
+    with the current word, every token of the right side takes one."""
+    both = F.sort_array(F.concat(F.transform(p, lambda w: F.struct(w.alias("w"), F.lit(0).alias("side"))),
+                                 F.transform(g, lambda w: F.struct(w.alias("w"), F.lit(1).alias("side")))))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("open"), F.lit(0).alias("n"))
+
+    def step(acc, t):
+        left = F.when(acc["w"] == t["w"], acc["open"]).otherwise(0)
+        hit = (t["side"] == 1) & (left > 0)
+        return F.struct(t["w"].alias("w"),
+                        F.when(t["side"] == 0, left + 1).when(hit, left - 1).otherwise(left).alias("open"),
+                        (acc["n"] + hit.cast("int")).alias("n"))
+    return F.aggregate(both, start, step, lambda acc: acc["n"])
 
 
 def multiset_overlap(p: Column, g: Column) -> Column:

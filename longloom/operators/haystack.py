@@ -81,8 +81,25 @@ def default_grid(spark: SparkSession, sigmoid: bool = False) -> DataFrame:
 
 # ------------------------------------------------------------------ haystack
 
+MAX_GROUPS = 1000
+
+
+def _reach(t: DataFrame, ranges: DataFrame, lo: int, width: int) -> DataFrame:
+    """Rows of ``t`` up to the last wanted range of their group, as literal bounds on the order column
+    (one per group), so that the scan skips the row groups beyond them."""
+    last = ranges.groupBy("g").agg(F.max("bk").alias("bk")).limit(MAX_GROUPS + 1).collect()
+    if len(last) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} haystack groups")
+    keep = F.lit(False)
+    for r in last:
+        keep = keep | (F.col("g").eqNullSafe(F.lit(r.g)) & (F.col("o") < F.lit(lo + (r.bk + 1) * width)))
+    top = max((r.bk for r in last), default=-1)
+    return t.filter(F.col("o") < F.lit(lo + (top + 1) * width)).filter(keep)
+
+
 def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "doc_id", text: str = "text",
-              n_buckets: int = 1024, materialize: bool = True, chars_per_token_guess: int = 16) -> DataFrame:
+              chars: str | None = None, n_buckets: int = 1024, materialize: bool = True,
+              chars_per_token_guess: int = 8, tokenizer=None) -> DataFrame:
     """``group, passes, tokens array<string>`` (at most ``max_len`` tokens).
 
     Documents of a group are concatenated in ``order`` and the whole sequence is
@@ -90,44 +107,59 @@ def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "
     the first ``max_len`` tokens are kept (every context is a prefix of at most
     that length).
 
-    Only the documents that can reach into the first ``max_len`` tokens are
-    tokenized: the order is cut into ``n_buckets`` ranges, character totals per
-    range are cheap, and a prefix of ranges holding fewer than
-    ``max_len * chars_per_token_guess`` characters is tokenized first; the guess
-    widens (x4) until every group either reaches ``max_len`` tokens or has all
-    of its ranges counted (then its exact total fixes the number of passes).
+    Only the documents that can reach into the first ``max_len`` tokens are read and
+    tokenized: the order is cut into ``n_buckets`` ranges, characters per range are
+    summed (from the column ``chars`` when there is one, so that no text is read), and a
+    prefix of ranges holding fewer than ``max_len * chars_per_token_guess`` characters is
+    tokenized first; the guess widens (x4) until every group either reaches ``max_len``
+    tokens or has all of its ranges counted (then its exact total fixes the number of
+    passes).  Both times the wanted ranges become literal bounds on ``order`` in the scan.
     Offsets are two-level: per (group, pass, range) totals, then a window inside
     the ranges that reach into the first ``max_len`` tokens.  The result
     (groups x ``max_len`` tokens) is reused by every cell, so it is written once
-    to the shared checkpoint folder unless ``materialize=False``.
+    to the shared checkpoint folder unless ``materialize=False``.  A null group is a group.
+    ``tokenizer`` maps a text column to an array of token strings.
     """
+    split = tokenizer or tokenize
+    size = F.col(chars) if chars else F.length(F.col(text))
     t = docs.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("text"))
-    lo, hi = t.agg(F.min("o"), F.max("o")).first()
+    c = docs.select(F.col(group).alias("g"), F.col(order).alias("o"), size.alias("c"))
+    lo, hi = c.agg(F.min("o"), F.max("o")).first()
     if lo is None:
         return t.sparkSession.createDataFrame([], f"{group} string, passes long, tokens array<string>")
     width = max(1, math.ceil((hi - lo + 1) / n_buckets))
-    t = t.withColumn("bk", F.floor((F.col("o") - F.lit(lo)) / width).cast("long"))
+    bucket = F.floor((F.col("o") - F.lit(lo)) / width).cast("long")
+
+    def same(a, b, *more):
+        """Null-safe equality of the group and plain equality of the other columns."""
+        on = a["g"].eqNullSafe(b["_g"])
+        for x in more:
+            on = on & (a[x] == b[f"_{x}"])
+        return on
+
+    def named(df, *cols):
+        return df.select(*[F.col(x).alias(f"_{x}") if x in ("g", "bk") else F.col(x) for x in df.columns if x in cols or not cols])
     wb = Window.partitionBy("g").orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
     # characters per (group, range): groups x n_buckets rows
-    ct = t.groupBy("g", "bk").agg(F.sum(F.length("text")).alias("bc"))
+    ct = c.groupBy("g", bucket.alias("bk")).agg(F.sum("c").alias("bc"))
     ct = cut_lineage(ct.select("g", "bk", F.coalesce(F.sum("bc").over(wb), F.lit(0)).alias("chars_before")),
                      "haystack_chars")
-    n_all = ct.groupBy("g").agg(F.count(F.lit(1)).alias("n_all"))
+    n_all = ct.groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("n_all"))
     guess = max_len * chars_per_token_guess
     while True:
         cand = ct.filter(F.col("chars_before") < guess).select("g", "bk")
-        bt = (t.join(F.broadcast(cand), ["g", "bk"])
-               .groupBy("g", "bk").agg(F.sum(F.size(tokenize(F.col("text")))).cast("long").alias("bn")))
+        bt = _reach(t, cand, lo, width).groupBy("g", bucket.alias("bk")).agg(
+            F.sum(F.size(split(F.col("text")))).cast("long").alias("bn"))
         bt = cut_lineage(bt, "haystack_tokens")
-        st = bt.groupBy("g").agg(F.sum("bn").alias("tok"), F.count(F.lit(1)).alias("n_cand")).join(n_all, "g")
-        st = st.withColumn("covered", F.col("n_cand") == F.col("n_all"))
-        pending = st.filter((F.col("tok") < max_len) & ~F.col("covered")).count()
+        st = bt.groupBy("g").agg(F.sum("bn").alias("tok"), F.count(F.lit(1)).alias("n_cand"))
+        st = st.join(n_all, same(st, n_all)).withColumn("covered", F.col("n_cand") == F.col("n_all"))
+        pending = st.filter((F.coalesce("tok", F.lit(0)) < max_len) & ~F.col("covered")).count()
         if pending == 0:
             break
         guess *= 4
     # per group: exact total when all ranges were counted, else at least max_len (one pass)
-    tot = st.filter(F.col("tok") > 0).select("g", "tok", "covered")
-    bt = bt.join(F.broadcast(tot), "g")
+    tot = named(st.filter(F.col("tok") > 0).select("g", "tok", "covered"))
+    bt = bt.join(F.broadcast(tot), same(bt, tot))
     bt = bt.select("g", "bk", "bn", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("within"),
                    F.col("tok").alias("total"),
                    F.when(F.col("covered"), F.ceil(F.lit(max_len) / F.col("tok"))).otherwise(F.lit(1))
@@ -136,9 +168,12 @@ def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "
     bp = bt.select("g", "bk", "within", "total", "passes",
                    F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("pass"))
     bp = bp.withColumn("off", F.col("pass") * F.col("total") + F.col("within")).filter(F.col("off") < max_len)
+    bp = cut_lineage(bp, "haystack_ranges")
     # select the needed documents first, tokenize only those
-    j = t.join(F.broadcast(bp.select("g", "bk", "pass", "off", "passes")), ["g", "bk"])
-    j = j.withColumn("toks", tokenize(F.col("text"))).withColumn("n", F.size("toks").cast("long")).drop("text")
+    d = _reach(t, bp, lo, width).withColumn("bk", bucket)
+    want = named(bp.select("g", "bk", "pass", "off", "passes"))
+    j = d.join(F.broadcast(want), same(d, want, "bk")).drop("_g", "_bk")
+    j = j.withColumn("toks", split(F.col("text"))).withColumn("n", F.size("toks").cast("long")).drop("text")
     w = Window.partitionBy("g", "pass", "bk").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("prior", F.col("off") + F.sum("n").over(w) - F.col("n")).filter(F.col("prior") < max_len)
     j = j.withColumn("piece", F.slice("toks", 1, F.greatest(F.least(F.col("n"), F.lit(max_len) - F.col("prior")),
@@ -190,7 +225,9 @@ def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens:
     ``ins_chars`` / ``ctx_chars`` are the character offsets used to cut the text.
     """
     nt = F.lit(needle_tokens)
-    h = hay.select(group, F.size("tokens").alias("h_len")).join(position_arrays(hay, group, period_tokens), group)
+    at = position_arrays(hay, group, period_tokens).withColumnRenamed(group, "_g")
+    h = hay.select(group, F.size("tokens").alias("h_len"))
+    h = h.join(at, h[group].eqNullSafe(at["_g"])).drop("_g")
     h_len, lp, ce = F.col("h_len"), F.col("lp"), F.col("ce")
 
     def cell(L, d):
@@ -214,15 +251,17 @@ def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens:
 def materialize(cells: DataFrame, hay: DataFrame, needle: str, group: str = "lang") -> DataFrame:
     """Add ``context`` (text with the needle inserted) to needle cells.
 
-    The haystack text is joined once per haystack; each context is two
-    substrings around the needle (the tokenizer is lossless, so character
-    offsets of token boundaries cut the text exactly).
+    Cells are spread over all cores by (haystack, length, depth) and meet the few haystack texts
+    (groups x ``max_len`` tokens, broadcast); each context is two substrings around the needle (the
+    tokenizer is lossless, so character offsets of token boundaries cut the text exactly).
     """
-    text = hay.select(group, F.array_join("tokens", "").alias("_text"))
-    j = cells.join(text, group)
+    text = hay.select(F.col(group).alias("_g"), F.array_join("tokens", "").alias("_text"))
+    tasks = hay.sparkSession.sparkContext.defaultParallelism
+    spread = cells.repartition(tasks, group, "context_length", "depth_percent")
+    j = spread.join(F.broadcast(text), spread[group].eqNullSafe(F.col("_g")))
     left = F.substring(F.col("_text"), F.lit(1), F.col("ins_chars"))
     right = F.substring(F.col("_text"), F.col("ins_chars") + 1, F.col("ctx_chars") - F.col("ins_chars"))
-    return j.withColumn("context", F.concat(left, F.lit(needle), right)).drop("_text")
+    return j.withColumn("context", F.concat(left, F.lit(needle), right)).drop("_text", "_g")
 
 
 def insert_needle_sentence(text: Column, needle: Column, depth: Column) -> Column:

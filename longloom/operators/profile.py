@@ -8,29 +8,18 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
-EXACT_MAX_GROUP_ROWS = 5_000_000
-
-
-def length_profile(df: DataFrame, value: str, by: str = "source", percentiles=None, exact: bool | None = None,
-                   accuracy: int = 10000) -> DataFrame:
+def length_profile(df: DataFrame, value: str, by: str = "source", percentiles=None) -> DataFrame:
     """Per group: count, sum, share of the grand total and the percentiles of ``value``.
 
-    Exact percentiles use linear interpolation (numpy's default) but buffer all
-    values of a group in one task.  ``exact=None`` (default) counts the largest
-    group first and uses the mergeable approximate sketch (``percentile_approx``,
-    partial aggregation) when it holds more than ``EXACT_MAX_GROUP_ROWS`` rows.
-    Percentile columns are named ``p25``, ``p50`` ... ``p100``.
+    Percentiles are exact with linear interpolation (numpy's default) at any size: lengths take few
+    values, so rows are counted per (group, value) with map-side combining and the percentiles are
+    weighted by these counts.  Percentile columns are named ``p25``, ``p50`` ... ``p100``.
     """
     ps = percentiles or K.PROFILE_PERCENTILES
-    if exact is None:
-        biggest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-        exact = biggest <= EXACT_MAX_GROUP_ROWS
-    fr = [p / 100.0 for p in ps]
-    if exact:
-        pct = F.percentile(F.col(value), F.array(*[F.lit(f) for f in fr]))
-    else:
-        pct = F.percentile_approx(F.col(value), F.array(*[F.lit(f) for f in fr]), accuracy)
-    agg = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), pct.alias("_p"))
+    at = F.array(*[F.lit(p / 100.0) for p in ps])
+    counted = df.groupBy(by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    agg = counted.groupBy(by).agg(F.sum("_c").alias("n"), F.sum(F.col("_v") * F.col("_c")).alias("total"),
+                                  F.percentile(F.col("_v"), at, F.col("_c")).alias("_p"))
     # grand total over the per-group rows (one row per group, never per document)
     share = F.col("total") / F.sum("total").over(Window.partitionBy())
     cols = [F.col(by), F.col("n"), F.col("total"), share.alias("portion")]

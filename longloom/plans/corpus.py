@@ -212,12 +212,13 @@ def q_shuffle_order(spark, sf_dir):
     return sampling.stream_position(docs(spark, sf_dir), FX.SPEC_PER_SOURCE)
 
 
-@register("corpus_scan_json", """SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars
-FROM documents GROUP BY source""")
+@register("corpus_scan_json", """WITH c AS (SELECT source, text, n_chars, md5(coalesce(source, '') || chr(31) || coalesce(text, '')) AS c FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n_chars) AS nth FROM c)
+SELECT CAST('0x' || substr(md5(c || ':' || nth), 1, 15) AS BIGINT) AS doc_id, source, n_chars, md5(text) AS text_md5 FROM n""")
 def q_corpus_scan_json(spark, sf_dir):
     """Raw corpus rows (text + nested source name) as JSON lines, scanned back with the fixed schema."""
     from ..sources import io as IO
     raw = docs(spark, sf_dir).select("text", F.struct(F.col("source").alias("redpajama_set_name")).alias("meta"))
     path = IO.write_jsonl(raw, spark, "raw_corpus")
-    c = corpus_scan(spark, path, fmt="json")
-    return c.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").cast("long").alias("n_chars"))
+    c = corpus_scan(spark, path, fmt="json", with_text=True)
+    return c.select("doc_id", "source", "n_chars", F.md5("text").alias("text_md5"))

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -37,30 +36,27 @@ BUF = K.FINAL_CONTEXT_LENGTH_BUFFER
 MODEL_PREFIX = "lab/needle-1.0-"
 RESULT_TS = "2024-01-01 00:00:00"
 
-# grid values for the oracle, computed independently with numpy
-LENGTHS = [int(x) for x in np.round(np.linspace(K.CONTEXT_LENGTHS_MIN, K.CONTEXT_LENGTHS_MAX,
-                                                num=K.CONTEXT_LENGTHS_INTERVALS, endpoint=True)).astype(int)]
-DEPTHS = [int(x) for x in np.round(np.linspace(K.DEPTH_PERCENT_MIN, K.DEPTH_PERCENT_MAX,
-                                               num=K.DEPTH_PERCENT_INTERVALS, endpoint=True)).astype(int)]
-
-
-def _logistic(x, L=K.LOGISTIC_L, x0=K.LOGISTIC_X0, k=K.LOGISTIC_K):
-    if x == 0:
-        return 0.0
-    if x == 100:
-        return 100.0
-    return float(np.round(L / (1 + np.exp(-k * (x - x0))), 3))
-
-
-SIGMOID_DEPTHS = [_logistic(x) for x in np.linspace(K.DEPTH_PERCENT_MIN, K.DEPTH_PERCENT_MAX,
-                                                    K.DEPTH_PERCENT_INTERVALS)]
+# grid values for the oracle, in closed form in SQL: i-th of n evenly spaced values, half to even
+_STEP_LEN = f"{K.CONTEXT_LENGTHS_MIN} + i * ({K.CONTEXT_LENGTHS_MAX} - {K.CONTEXT_LENGTHS_MIN}) / CAST({K.CONTEXT_LENGTHS_INTERVALS - 1} AS DOUBLE)"
+_STEP_DEPTH = f"{K.DEPTH_PERCENT_MIN} + i * ({K.DEPTH_PERCENT_MAX} - {K.DEPTH_PERCENT_MIN}) / CAST({K.DEPTH_PERCENT_INTERVALS - 1} AS DOUBLE)"
+LENGTHS_SQL = (f"SELECT CAST(round_even({_STEP_LEN}, 0) AS INTEGER) AS context_length "
+               f"FROM range({K.CONTEXT_LENGTHS_INTERVALS}) t(i)")
+DEPTHS_SQL = (f"SELECT CAST(round_even({_STEP_DEPTH}, 0) AS DOUBLE) AS depth_percent "
+              f"FROM range({K.DEPTH_PERCENT_INTERVALS}) t(i)")
+# column names of the pivot
+LENGTHS = [round(K.CONTEXT_LENGTHS_MIN + i * (K.CONTEXT_LENGTHS_MAX - K.CONTEXT_LENGTHS_MIN) / (K.CONTEXT_LENGTHS_INTERVALS - 1))
+           for i in range(K.CONTEXT_LENGTHS_INTERVALS)]
+# the ends of the logistic scale are exact
+SIGMOID_SQL = (f"SELECT CASE i WHEN 0 THEN CAST(0 AS DOUBLE) WHEN {K.DEPTH_PERCENT_INTERVALS - 1} THEN CAST(100 AS DOUBLE) "
+               f"ELSE round_even({K.LOGISTIC_L} / (1 + exp({K.LOGISTIC_K} * ({K.LOGISTIC_X0} - ({_STEP_DEPTH})))), 3) END "
+               f"AS depth_percent FROM range({K.DEPTH_PERCENT_INTERVALS}) t(i)")
 
 
 # ---------------------------------------------------------------- Spark side
 
 def hay(spark, sf_dir):
-    d = docs(spark, sf_dir).select("lang", "doc_id", "text")
-    return H.haystacks(d, MAX_LEN, group="lang", order="doc_id")
+    d = docs(spark, sf_dir).select("lang", "doc_id", "text", "n_chars")
+    return H.haystacks(d, MAX_LEN, group="lang", order="doc_id", chars="n_chars")
 
 
 def cells(spark, sf_dir, sigmoid=False, h=None):
@@ -110,8 +106,8 @@ lp AS (SELECT lang, pos, coalesce(max(CASE WHEN tok = '.' THEN pos END) OVER (PA
 
 def _cells_sql(depths) -> str:
     return f"""{HAY_SQL},
-gl AS (SELECT unnest({_list(LENGTHS)}) AS context_length),
-gd AS (SELECT CAST(unnest({_list(depths)}) AS DOUBLE) AS depth_percent),
+gl AS ({LENGTHS_SQL}),
+gd AS ({depths}),
 c AS (SELECT h.lang, h.h_len, CAST(gl.context_length AS INTEGER) AS context_length, gd.depth_percent,
         CAST(CASE WHEN least(gl.context_length, h.h_len) + {NEEDLE_TOKENS} > gl.context_length - {BUF}
              THEN greatest(gl.context_length - {BUF} - {NEEDLE_TOKENS}, 0) ELSE least(gl.context_length, h.h_len) END AS INTEGER) AS ctx_tokens
@@ -123,7 +119,7 @@ cells AS (SELECT lang, h_len, context_length, depth_percent, ctx_tokens,
         ctx_tokens + {NEEDLE_TOKENS} AS total_tokens FROM c3)"""
 
 
-CELLS_SQL = _cells_sql(DEPTHS)
+CELLS_SQL = _cells_sql(DEPTHS_SQL)
 ROUGE_TOK = "list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w_: w_ <> '')"
 
 
@@ -151,8 +147,8 @@ res AS (SELECT *, 10 * ({_f1(ROUGE_TOK.format(x="coalesce(model_response, '')"),
 # ---------------------------------------------------------------- queries
 
 @register("needle_grid", f"""WITH {HAY_SQL},
-gl AS (SELECT unnest({_list(LENGTHS)}) AS context_length),
-gd AS (SELECT CAST(unnest({_list(DEPTHS)}) AS DOUBLE) AS depth_percent)
+gl AS ({LENGTHS_SQL}),
+gd AS ({DEPTHS_SQL})
 SELECT h.lang, CAST(gl.context_length AS INTEGER) AS context_length, gd.depth_percent,
        CAST(least(gl.context_length, h.h_len) AS INTEGER) AS h_tokens FROM hay2 h, gl, gd""")
 def q_needle_grid(spark, sf_dir):
@@ -177,7 +173,7 @@ def q_insert_needle_tokens(spark, sf_dir):
                                        "total_tokens")
 
 
-@register("sigmoid_depths", f"""WITH {_cells_sql(SIGMOID_DEPTHS)}
+@register("sigmoid_depths", f"""WITH {_cells_sql(SIGMOID_SQL)}
 SELECT lang, context_length, depth_percent, ctx_tokens, insert_at FROM cells""")
 def q_sigmoid_depths(spark, sf_dir):
     return cells(spark, sf_dir, sigmoid=True).select("lang", "context_length", "depth_percent", "ctx_tokens",

@@ -50,8 +50,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when nothing is set
-    (local tests) a fresh local folder is created.
+    The cluster names it in ``spark.checkpoint.dir``.  A fresh local folder is created only when
+    nothing is set and the master is local (tests): elsewhere each executor would write to a disk of
+    its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="longloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

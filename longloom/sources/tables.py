@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,21 +32,6 @@ CONVERSATIONS = T.StructType([
 ])
 
 _SCHEMAS = {"documents": DOCUMENTS, "benchmark": BENCHMARK, "conversations": CONVERSATIONS}
-_SPREAD = {"documents", "conversations"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work (tokenizing, hashing) every core.
-
-    A file with a single row group is one input split, and everything up to
-    the first shuffle would run in one task.  When the scan has fewer splits
-    than the default parallelism the rows are dealt round-robin; on a real
-    corpus (thousands of splits) this is a no-op.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,28 +39,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     r = spark.read
     if name in _SCHEMAS:
         r = r.schema(_SCHEMAS[name])
-    df = r.parquet(table_path(sf_dir, name))
-    return spread(df) if name in _SPREAD else df
+    return r.parquet(table_path(sf_dir, name))
 
 
 def corpus_scan(spark: SparkSession, path: str, fmt: str = "parquet", with_text: bool = False) -> DataFrame:
     """Corpus rows as ``doc_id, source, n_chars`` (+ ``text``).
 
-    Parquet input already carries ``doc_id``/``source``/``n_chars``; only the
-    selected columns are read.  JSON lines in the raw form (``text`` +
-    ``meta.redpajama_set_name``) are read with a fixed schema and fail fast on
-    malformed lines; their ``doc_id`` is the stable row id of the scan.
+    Parquet input carries ``doc_id`` and ``source``; ``n_chars`` is taken from the file or, when the
+    file has no such column, counted from the text.  JSON lines in the raw form (``text`` +
+    ``meta.redpajama_set_name``) are read with a fixed schema and fail fast on malformed lines; their
+    ``doc_id`` follows from the content (see :func:`content_ids`), whatever the splits of the scan.
     """
     if fmt == "parquet":
-        df = spark.read.schema(DOCUMENTS).parquet(path)
+        df = spark.read.parquet(path)
         if "n_chars" not in df.columns:
             df = df.withColumn("n_chars", F.length("text").cast("long"))
     elif fmt == "json":
         raw = spark.read.schema(RAW_DOCUMENT).option("mode", "FAILFAST").json(path)
-        df = raw.select(F.monotonically_increasing_id().alias("doc_id"),
-                        F.col("meta.redpajama_set_name").alias("source"), "text",
-                        F.length("text").cast("long").alias("n_chars"))
+        df = content_ids(raw.select(F.col("meta.redpajama_set_name").alias("source"), "text",
+                                    F.length("text").cast("long").alias("n_chars")))
     else:
         raise ValueError(f"unsupported corpus format {fmt}")
-    cols = ["doc_id", "source", "n_chars"] + (["text"] if with_text else [])
-    return spread(df.select(*cols))
+    return df.select("doc_id", "source", "n_chars", *(["text"] if with_text else []))
+
+
+def content_ids(rows: DataFrame) -> DataFrame:
+    """Add ``doc_id``: 60 bits of the md5 of (source, text, occurrence); equal rows are numbered."""
+    content = F.md5(F.concat_ws("\x1f", F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("_content", content)
+    again = rows.groupBy("_content").count().filter("count > 1").drop("count")
+    once = rows.join(again, "_content", "left_anti").withColumn("_nth", F.lit(1))
+    # only repeated rows are numbered, so no other text is sorted
+    many = rows.join(again, "_content", "left_semi").withColumn("_nth", F.row_number().over(
+        Window.partitionBy("_content").orderBy("n_chars")))
+    key = F.substring(F.md5(F.concat_ws(":", "_content", F.col("_nth").cast("string"))), 1, 15)
+    return once.unionByName(many).withColumn("doc_id", F.conv(key, 16, 10).cast("long")).drop("_content", "_nth")

@@ -32,7 +32,7 @@ from ..sources.tables import DOCUMENTS
 # ------------------------------------------------------------------ sources
 
 def write_segments(docs: DataFrame, spark: SparkSession, name: str, n_segments: int, key: str = "k",
-                   files_per_segment: int = 1, only: list[int] | None = None, path: str | None = None) -> str:
+                   files_per_segment: int = 4, only: list[int] | None = None, path: str | None = None) -> str:
     """Write a table as ``n_segments`` stream segments, in order of ``key`` ranges.
 
     Segment ``i`` holds the ``i``-th range of the first hex digit of ``key`` in
@@ -51,7 +51,7 @@ def write_segments(docs: DataFrame, spark: SparkSession, name: str, n_segments:
     return out
 
 
-def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 1, schema=DOCUMENTS) -> DataFrame:
+def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 4, schema=DOCUMENTS) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -67,13 +67,15 @@ def _run(stream_df: DataFrame, fn, spark: SparkSession, name: str, mode: str = "
 
 
 def _previous_state(spark: SparkSession, state_dir: str, batch_id: int, schema: str) -> DataFrame:
-    """State version ``batch_id - 1`` (empty before the first batch)."""
+    """State version ``batch_id - 1`` (empty before the first batch).
+
+    Every batch writes its state before it is committed, and batch ids are consecutive, so the version
+    before a batch always exists.  A version that is missing or cannot be read is an error and stops
+    the stream: going on from an older one would count documents twice.
+    """
     if batch_id == 0:
         return spark.createDataFrame([], schema)
-    try:
-        return spark.read.schema(schema).parquet(f"{state_dir}/batch_id={batch_id - 1}")
-    except Exception:  # noqa: BLE001 - no version yet: the previous batch was empty
-        return _previous_state(spark, state_dir, batch_id - 1, schema)
+    return spark.read.schema(schema).parquet(f"{state_dir}/batch_id={batch_id - 1}")
 
 
 # ------------------------------------------------------------------ T1: admission

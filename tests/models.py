@@ -1,14 +1,12 @@
-"""Plain-Python sequential models of the original loops, written from their semantics.
-
-They walk one document at a time and serve as the reference for the
-relational Spark plans in the tests.
-"""
+"""Plain-Python models written from the definitions: invariants of the admission, labelled token
+positions for packing and splitting, greatest period below a depth.  They check the Spark plans."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 from collections import Counter
+from itertools import accumulate, groupby
 
 TOKEN_RE = re.compile(r"[^ \t\n\r.]+|[.]|[ \t\n\r]+")
 RATIO = 3.68
@@ -30,86 +28,89 @@ def token_id(tok):
     return int(hashlib.md5(tok.encode()).hexdigest()[:7], 16)
 
 
-def sample_loop(docs, total_tokens, mode, mix=None, ratio=0.1, threshold=512):
-    """docs: list of (doc_id, source, n_chars). Returns (admitted ids in order, rows scanned, counters)."""
+def sample_model(docs, total_tokens, mode, mix=None, ratio=0.1, threshold=512):
+    """Admission stated by its invariants; docs: (doc_id, source, n_chars).
+
+    A document is *long enough* when it has ``threshold`` estimated tokens or wins its coin.  With a
+    mix, a source stays *open* at a document while its earlier long-enough documents sum to at most
+    its budget, and the scan ends at the document at which the last source reaches its budget;
+    otherwise it ends at the first document that brings the total of the admitted above the budget.
+    Returns (admitted ids in order, rows scanned, counters)."""
     stream = sorted(docs, key=lambda d: order_key(d[0]))
-    budget = {s: total_tokens * w for s, w in (mix or [])}
-    used = {s: 0.0 for s in budget}
-    counters = {s: {"filtered": 0, "passed": 0} for s in budget}
-    admitted, processed, scanned = [], 0.0, 0
-    for doc_id, source, n in stream:
-        scanned += 1
-        dlen = n / RATIO
-        short_drop = dlen < threshold and coin(doc_id) / 2 ** 32 > ratio
-        if mode == "global":
-            if short_drop:
-                continue
-        elif mode in ("per_source", "upsample_code_arxiv_book"):
-            if used[source] > budget[source]:
-                continue
-            if short_drop:
-                counters[source]["filtered"] += 1
-                continue
-            counters[source]["passed"] += 1
-            used[source] += dlen
-        admitted.append(doc_id)
-        processed += dlen
-        if mode in ("global", "none"):
-            if processed > total_tokens:
-                break
-        else:
-            if all(used[s] >= budget[s] for s in used):
-                break
-    return admitted, scanned, counters
-
-
-def pack_loop(token_lists, sources, chunk_size):
-    """token_lists in stream order. Returns list of (input_ids, label, spans)."""
-    buf, spans, out = [], [], []
-    for toks, src in zip(token_lists, sources):
-        start = len(buf)
-        buf.extend(toks)
-        spans.append((src, start, len(buf)))
-        while len(buf) >= chunk_size + 1:
-            kept, carried = split_spans(spans, chunk_size)
-            out.append((buf[:chunk_size], buf[chunk_size], kept))
-            buf = buf[chunk_size:]
-            spans = carried
+    length = [n / RATIO for _, _, n in stream]
+    enough = [x >= threshold or coin(d[0]) / 2 ** 32 <= ratio for d, x in zip(stream, length)]
+    counters = {s: {"filtered": 0, "passed": 0} for s, _ in mix or []}
+    if mode in ("global", "none"):
+        take = [mode == "none" or e for e in enough]
+        total = list(accumulate(x if t else 0.0 for x, t in zip(length, take)))
+        end = next((i + 1 for i, t in enumerate(total) if t > total_tokens), len(stream))
+    else:
+        take, full = [False] * len(stream), []
+        for source, weight in mix:
+            budget = total_tokens * weight
+            own = [i for i, d in enumerate(stream) if d[1] == source]
+            before = list(accumulate((length[i] if enough[i] else 0.0 for i in own), initial=0.0))
+            for i, used in zip(own, before):
+                take[i] = enough[i] and used <= budget
+            full.append(next((i for i, used in zip(own, before[1:]) if take[i] and used >= budget), len(stream)))
+        end = min(max(full) + 1, len(stream))
+        for i, (_, source, _) in enumerate(stream[:end]):
+            used = sum(length[j] for j in range(i) if take[j] and stream[j][1] == source)
+            if used <= total_tokens * dict(mix)[source]:
+                counters[source]["passed" if enough[i] else "filtered"] += 1
+    return [d[0] for d, t in zip(stream[:end], take) if t], end, counters
+
+
+def _runs(labels):
+    """Run-length spans ``(label, start, end)`` of a label per position."""
+    at = 0
+    for label, group in groupby(labels):
+        n = len(list(group))
+        yield label, at, at + n
+        at += n
+
+
+def pack_model(token_lists, sources, chunk_size):
+    """Chunks of one endless token sequence whose positions carry their document.
+
+    Chunk ``m`` exists when position ``(m + 1) * chunk_size`` does, which is its label."""
+    position = [(d, t) for d, toks in enumerate(token_lists) for t in toks]
+    out = []
+    for m in range(max(0, (len(position) - 1) // chunk_size)):
+        part = position[m * chunk_size:(m + 1) * chunk_size]
+        spans = [(sources[d], s, e) for d, s, e in _runs([d for d, _ in part])]
+        out.append(([t for _, t in part], position[(m + 1) * chunk_size][1], spans))
     return out
 
 
-def split_spans(spans, size):
+def cut_spans(spans, size):
+    """Label every position of the spans, cut the labelled positions at ``size``."""
     kept, carried = [], []
     for src, s, e in spans:
-        if e <= size:
-            kept.append((src, s, e))
-        elif s < size:
-            kept.append((src, s, size))
-            carried.append((src, 0, e - size))
-        else:
-            carried.append((src, s - size, e - size))
+        positions = range(s, e)
+        for part, shift, out in (([p for p in positions if p < size], 0, kept),
+                                 ([p for p in positions if p >= size], size, carried)):
+            if part:
+                out.append((src, part[0] - shift, part[-1] + 1 - shift))
     return kept, carried
 
 
-def insert_needle_tokens(ctx, needle, length, depth, buffer=200, periods=(".",)):
-    ctx = ctx[:length]
-    length -= buffer
-    if len(ctx) + len(needle) > length:
-        ctx = ctx[:max(length - len(needle), 0)]
-    if depth == 100:
-        return len(ctx), ctx + needle
-    ip = int(len(ctx) * (depth / 100))
-    new = ctx[:ip]
-    while new and new[-1] not in periods:
-        ip -= 1
-        new = ctx[:ip]
-    return ip, new + needle + ctx[ip:]
-
-
-def insert_needle_sentence(context, needle, depth):
-    parts = context.split(".")
-    place = int(depth * len(parts))
-    return ".".join(parts[:place]) + "." + needle + ".".join(parts[place:])
+def needle_at_token(ctx, needle, length, depth, buffer=200, periods=(".",)):
+    """The needle goes after the greatest period below the depth (0 without one; 100: the end)."""
+    room = length - buffer - len(needle)
+    ctx = ctx[:length] if len(ctx[:length]) <= room else ctx[:max(room, 0)]
+    below = ctx[:int(len(ctx) * (depth / 100))]
+    at = len(ctx) if depth == 100 else max((i + 1 for i, t in enumerate(below) if t in periods), default=0)
+    return at, ctx[:at] + needle + ctx[at:]
+
+
+def needle_at_sentence(context, needle, depth):
+    """The needle replaces nothing: it follows the period that ends the sentence at the depth."""
+    ends = [m.start() for m in re.finditer("[.]", context)]
+    place = int(depth * (len(ends) + 1))
+    left = "" if place == 0 else context if place > len(ends) else context[:ends[place - 1]]
+    right = context if place == 0 else "" if place > len(ends) else context[ends[place - 1] + 1:]
+    return left + "." + needle + right
 
 
 def normalize_answer(s):

@@ -1,5 +1,5 @@
 import numpy as np
-from models import insert_needle_tokens, tokens
+from models import needle_at_token, tokens
 from pyspark.sql import functions as F
 
 from longloom import constants as K
@@ -41,7 +41,7 @@ def test_haystack_and_cells_match_model(spark, docs_small):
         assert list(rows[lang].tokens) == hay and rows[lang].passes == -(-max_len // total)
         for L in lengths:
             for d in depths:
-                at, ctx = insert_needle_tokens(hay, needle, L, d)
+                at, ctx = needle_at_token(hay, needle, L, d)
                 assert got[(lang, L, d)][0] == at
 
 

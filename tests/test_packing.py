@@ -1,5 +1,5 @@
 import pytest
-from models import pack_loop, split_spans, token_id, tokens
+from models import cut_spans, pack_model, token_id, tokens
 from pyspark.sql import functions as F
 
 from longloom.operators import packing
@@ -18,7 +18,7 @@ def _model(texts, sources, C):
     toks = [[token_id(t) for t in tokens(texts[i])] for i in order]
     srcs = [sources[i] for i in order]
     keep = [(t, s) for t, s in zip(toks, srcs) if t]
-    return pack_loop([t for t, _ in keep], [s for _, s in keep], C)
+    return pack_model([t for t, _ in keep], [s for _, s in keep], C)
 
 
 def _collect(df):
@@ -30,7 +30,7 @@ def _collect(df):
 
 def test_docstring_example():
     spans = [("arxiv", 0, 50), ("cc", 50, 80), ("c4", 80, 100)]
-    assert split_spans(spans, 60) == ([("arxiv", 0, 50), ("cc", 50, 60)], [("cc", 0, 20), ("c4", 20, 40)])
+    assert cut_spans(spans, 60) == ([("arxiv", 0, 50), ("cc", 50, 60)], [("cc", 0, 20), ("c4", 20, 40)])
 
 
 @pytest.mark.parametrize("size", [60, 50, 80, 100, 200])
@@ -39,7 +39,7 @@ def test_split_spans_column(spark, size):
     df = spark.createDataFrame([(spans,)], "sp array<struct<source:string,start:int,end:int>>")
     kept, carried = packing.split_spans(F.col("sp"), size)
     r = df.select(kept.alias("k"), carried.alias("c")).first()
-    want_k, want_c = split_spans(spans, size)
+    want_k, want_c = cut_spans(spans, size)
     assert [tuple(x) for x in r.k] == want_k
     assert [tuple(x) for x in r.c] == want_c
 

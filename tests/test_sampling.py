@@ -1,5 +1,5 @@
 import pytest
-from models import sample_loop
+from models import sample_model
 
 from longloom.operators import sampling
 from longloom.operators.sampling import SampleSpec, parse_dataset_size
@@ -18,7 +18,7 @@ def test_per_source_matches_loop(spark, docs_mid, budget, mix_name):
     spec = SampleSpec(total_tokens=budget, mode=mode, ratio=0.1, threshold_tokens=512)
     r = sampling.sample(docs_mid, spec, sampling.mix_frame(spark, mix))
     got = sorted(r.admitted.select("doc_id").toPandas().doc_id.tolist())
-    want, scanned, counters = sample_loop(_rows(docs_mid), budget, mode, mix)
+    want, scanned, counters = sample_model(_rows(docs_mid), budget, mode, mix)
     assert got == sorted(want)
     assert r.scanned().count() == scanned
     rep = {x.source: x for x in r.report().collect()}
@@ -40,7 +40,7 @@ def test_global_modes_match_loop(spark, docs_mid, mode, budget):
     spec = SampleSpec(total_tokens=budget, mode=mode, ratio=0.1, threshold_tokens=512)
     r = sampling.sample(docs_mid, spec)
     got = sorted(r.admitted.select("doc_id").toPandas().doc_id.tolist())
-    want, scanned, _ = sample_loop(_rows(docs_mid), budget, mode)
+    want, scanned, _ = sample_model(_rows(docs_mid), budget, mode)
     assert got == sorted(want)
     assert r.scanned().count() == scanned
 
@@ -95,30 +95,47 @@ def test_threshold_chars():
     assert n / 3.68 >= 4096 and (n - 1) / 3.68 < 4096
 
 
-def test_attach_text_fallback_matches_broadcast(spark, docs_mid):
+def test_attach_text_candidates(spark, docs_mid):
     from longloom.operators import packing
     r = sampling.sample(docs_mid, FX.SPEC_PER_SOURCE_LARGE, sampling.mix_frame(spark, FX.MIX_TEST))
     adm = r.admitted.select("doc_id", "source", "k")
     a = packing.attach_text(adm, docs_mid)
-    b = packing.attach_text(adm, docs_mid, max_broadcast_rows=0, candidates=r.candidates)
+    b = packing.attach_text(adm, docs_mid, candidates=r.candidates)
     key = lambda df: sorted((x.doc_id, x.text) for x in df.select("doc_id", "text").collect())
     assert key(a) == key(b)
     # candidates are a small superset of the admitted rows
     assert r.candidates(docs_mid).count() < 2 * adm.count()
 
 
-def test_profile_approximate_path(spark, docs_mid):
+def test_profile_percentiles_are_exact(spark, docs_mid):
+    import numpy as np
     from pyspark.sql import functions as F
     from longloom.operators import profile
-    d = docs_mid.select("source", F.col("n_chars").cast("double").alias("x"))
-    ex = {r.source: r for r in profile.length_profile(d, "x", exact=True).collect()}
-    ap = {r.source: r for r in profile.length_profile(d, "x", exact=False).collect()}
-    auto = {r.source: r for r in profile.length_profile(d, "x").collect()}
-    assert ex == auto  # small groups use the exact form
-    for s, r in ex.items():
-        assert ap[s].n == r.n and ap[s].p100 == r.p100
-        # approximate quantiles are actual values near the exact interpolated ones
-        assert abs(ap[s].p50 - r.p50) <= 0.2 * r.p100
+    d = docs_mid.select("source", F.col("n_chars").alias("x"))
+    values = d.toPandas().groupby("source").x.apply(list).to_dict()
+    for r in profile.length_profile(d, "x").collect():
+        assert r.n == len(values[r.source]) and r.total == sum(values[r.source])
+        assert [r.p25, r.p50, r.p95, r.p100] == pytest.approx(np.percentile(values[r.source], [25, 50, 95, 100]).tolist())
+
+
+def test_json_ids_do_not_depend_on_splits(spark, docs_mid, tmp_path):
+    from pyspark.sql import functions as F
+    from longloom.sources.tables import corpus_scan
+    raw = docs_mid.select("text", F.struct(F.col("source").alias("redpajama_set_name")).alias("meta"))
+    raw.unionByName(raw.limit(20)).repartition(3).write.json(str(tmp_path / "raw"))
+    seen = []
+    for size in ("64k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = corpus_scan(spark, str(tmp_path / "raw"), "json", with_text=True).collect()
+        seen.append(sorted((r.doc_id, r.text) for r in rows))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len({i for i, _ in seen[0]}) == len(seen[0]) == 1020
+
+
+def test_missing_length_column(spark, docs_mid, tmp_path):
+    from longloom.sources.tables import corpus_scan
+    docs_mid.drop("n_chars").write.parquet(str(tmp_path / "d"))
+    assert all(r.n_chars == len(r.text) for r in corpus_scan(spark, str(tmp_path / "d"), with_text=True).collect())
 
 
 def test_report_budget_and_fill(spark, docs_mid):

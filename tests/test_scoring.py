@@ -3,7 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from models import f1, insert_needle_sentence, lcs_dp, normalize_answer
+from models import f1, lcs_dp, needle_at_sentence, normalize_answer
 from pyspark.sql import functions as F
 
 from longloom.functions import scoring as S
@@ -87,7 +87,7 @@ def test_extractors(spark):
 
 def test_sentence_insert(spark):
     assert one(spark, H.insert_needle_sentence(F.lit("A. B. C. D"), F.lit("NEEDLE"), F.lit(0.5))) == \
-        insert_needle_sentence("A. B. C. D", "NEEDLE", 0.5) == "A. B.NEEDLE C. D"
+        needle_at_sentence("A. B. C. D", "NEEDLE", 0.5) == "A. B.NEEDLE C. D"
 
 
 def test_needle_recall_quirk(spark):

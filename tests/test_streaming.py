@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from longloom.operators import packing, sampling
@@ -32,10 +33,29 @@ def test_stream_sample_within_budget(spark, docs_mid):
         if r.source in used:
             u, mx = used[r.source]
             assert u <= r.bf + mx  # within budget plus one document
-    # single batch (no global stop) equals the batch plan without the stop cut
-    batch = sampling.sample(docs_mid, FX.SPEC_PER_SOURCE_LARGE, mix)
-    if batch.stop_key is None:
-        assert sorted(got.toPandas().doc_id) == sorted(batch.admitted.toPandas().doc_id)
+    # without the global stop the stream admits what a scan with far larger stop budgets would:
+    # every source is filled on its own, up to the document that passes its budget
+    keyed = sampling.attach_budgets(sampling.with_stream_keys(docs_mid, FX.SPEC_PER_SOURCE_LARGE), mix, FX.SPEC_PER_SOURCE_LARGE)
+    want, used = set(), {}
+    for r in sorted(keyed.select("doc_id", "source", "n_chars", "k", "pass", "bf").collect(), key=lambda r: r.k):
+        if r["pass"] and used.get(r.source, 0) <= r.bf:
+            want.add(r.doc_id)
+            used[r.source] = used.get(r.source, 0) + r.n_chars
+    assert {r.doc_id for r in got.select("doc_id").collect()} == want
+
+
+def test_missing_state_stops_the_stream(spark, docs_mid):
+    from longloom.session import scratch_path
+    keyed = docs_mid.withColumn("k", order_key(F.col("doc_id")))
+    mix, spec = sampling.mix_frame(spark, FX.MIX_TEST), FX.SPEC_PER_SOURCE_LARGE
+    src, base = scratch_path(spark, "t_lost_src"), scratch_path(spark, "t_lost")
+    J.write_segments(keyed, spark, "x", 4, only=[0, 1], path=src)
+    J.stream_sample(spark, J.document_stream(spark, src), spec, mix, base=base)
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/state/batch_id=1")
+    state.getFileSystem(spark._jsc.hadoopConfiguration()).delete(state, True)
+    J.write_segments(keyed, spark, "x", 4, only=[2, 3], path=src)
+    with pytest.raises(Exception, match="batch_id=1"):
+        J.stream_sample(spark, J.document_stream(spark, src), spec, mix, base=base)
 
 
 def test_stream_counters(spark, docs_small):
