@@ -88,7 +88,7 @@ NEEDLE_QUESTION_SUFFIX = (
     "The document definitely contains the answer, and I'm 100% sure. So try your best to find it."
 )
 
-# Long-document QA tasks: task -> file name, task -> generation budget.
+# Long-document QA tasks: task -> file name.
 TASK_FILES = [
     ("passkey", "passkey.jsonl"),
     ("number_string", "number_string.jsonl"),
@@ -103,23 +103,8 @@ TASK_FILES = [
     ("code_run", "code_run.jsonl"),
     ("code_debug", "code_debug.jsonl"),
 ]
-TASK_MAX_NEW_TOKENS = [
-    ("passkey", 6),
-    ("number_string", 12),
-    ("kv_retrieval", 50),
-    ("longbook_sum_eng", 1200),
-    ("longbook_choice_eng", 40),
-    ("longbook_qa_eng", 40),
-    ("longbook_qa_chn", 40),
-    ("longdialogue_qa_eng", 40),
-    ("math_find", 3),
-    ("math_calc", 30000),
-    ("code_run", 5),
-    ("code_debug", 5),
-]
 # Model names that select a prompt template set.
 TEMPLATE_MODELS = ["gpt4", "claude2", "kimi", "yarn-mistral", "Yi-6B-200K", "Yi-6b-Chat", "llama"]
-CHOICE_TASKS = ["code_debug", "longbook_choice_eng"]
 OPTION_LETTERS = "ABCD"
 # Task system messages.
 CALC_SYSTEM_MESSAGE = (
@@ -135,7 +120,7 @@ CALC_EXAMPLE_QUESTION = "1 + 2 - 4 - 10"
 CALC_EXAMPLE_ANSWER = "[1, 3, -1, -11]"
 CHAT_PROMPT_TOKEN_LIMIT = 128_000 - 1000
 # Regular expressions of the prompt builder.
-CALL_PATTERN = r"func_[0-9]+\(-?[0-9]+\)"
+CALL_PATTERN = r"func_[0-9]+\(\-?[0-9]+\)"
 TARGET_PATTERN = r"The .+ of"
 # Pre-fill window step of the chunked generation.
 PREFILL_STEP = 2500

@@ -119,25 +119,30 @@ def fields(ex: DataFrame) -> dict[str, Column]:
 def render(ex: DataFrame, templates: DataFrame) -> DataFrame:
     """Join examples (with a ``task`` column) to templates on task and fill the placeholders.
 
-    ``math_calc`` for ``gpt4`` is the raw context (that model gets it as chat
-    messages instead).  The template table is small (models x tasks): broadcast.
+    A template is cut once at its placeholders and the parts are joined, so a value that itself holds
+    a placeholder stays as it is.  An example without a template, or without a value its template
+    needs (no call, no target, fewer options), is kept with a null ``prompt`` and the reason in
+    ``problem``.  ``math_calc`` for ``gpt4`` is the raw context (that model gets it as chat messages
+    instead).  The template table is small (models x tasks): broadcast.
     """
     f = fields(ex)
-    j = ex.join(F.broadcast(templates), "task")
-    tasks = list(TASK_FIELDS) + ["__default__"]
-    rendered = None
-    for t in tasks:
-        names = TASK_FIELDS.get(t, DEFAULT_FIELDS)
-        r = F.col("template")
-        for n in [n for n in names if n != "context"] + (["context"] if "context" in names else []):
-            r = F.replace(r, F.lit("{" + n + "}"), f[n])
-        if t == "__default__":
-            rendered = rendered.otherwise(r) if rendered is not None else r
-        else:
-            cond = F.col("task") == t
-            rendered = F.when(cond, r) if rendered is None else rendered.when(cond, r)
-    out = F.when((F.col("model") == "gpt4") & (F.col("task") == "math_calc"), f["context"]).otherwise(rendered)
-    return j.withColumn("prompt", out)
+    j = ex.join(F.broadcast(templates), "task", "left")
+    values = F.create_map(*[x for name, c in f.items() for x in (F.lit(name), c)])
+    parts = F.split("template", r"(?=\{)|(?<=\})")
+    is_field = lambda p: p.rlike(r"^\{[^{}]*\}$")
+    name = lambda p: F.substring(p, F.lit(2), F.length(p) - 2)
+
+    def fill(v):
+        return F.transform(parts, lambda p: F.when(is_field(p), F.try_element_at(v, name(p))).otherwise(p))
+    filled = F.element_at(F.transform(F.array(values), fill), 1)
+    raw = (F.col("model") == "gpt4") & (F.col("task") == "math_calc")
+    j = j.withColumn("_filled", F.when(raw, F.array(f["context"])).otherwise(filled))
+    lacks = F.exists("_filled", lambda x: x.isNull())
+    missing = F.filter(F.transform(parts, lambda p, i: F.when(F.get("_filled", i).isNull(), name(p))), lambda n: n.isNotNull())
+    problem = F.when(F.col("template").isNull(), F.lit("no template")).when(
+        lacks, F.concat(F.lit("no value for "), F.array_join(F.array_distinct(missing), ", ")))
+    return j.withColumn("prompt", F.when(F.col("template").isNotNull() & ~lacks, F.array_join("_filled", ""))).withColumn(
+        "problem", problem).drop("_filled")
 
 
 def system_message(task: Column) -> Column:

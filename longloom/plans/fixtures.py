@@ -50,3 +50,9 @@ SLICE_STOP = 8
 N_SHARDS = 4
 N_SEGMENTS = 4
 TRIM_CHARS_LENGTH = 1000
+
+
+def assistant_turns(spark, sf_dir):
+    """Turns of the assistant: ``conv_id, turn, text``."""
+    from ..sources.tables import read_table
+    return read_table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")

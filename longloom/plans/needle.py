@@ -1,13 +1,11 @@
 """Registered needle-in-a-haystack queries.
 
-Haystacks are the documents of each language, in ``doc_id`` order.  Model
-results are synthesised from the cells (no model is run): the response of a
-cell is the first ``j`` words of the needle, ``j`` from the md5 of the cell;
-``j = 0`` gives a null response, cells with ``j = 1`` are left out (so the
-resume query has work to find), ``j = 3`` has no version (counts as 1),
-``j = 5`` only has a version-2 result (still to run for version 1), and
-``j = 4`` has a second, duplicate result with the first eight words (cell
-means average both).
+Haystacks are the documents of each language, in ``doc_id`` order.  Model results are made from the
+conversations (no model is run): every assistant turn is the result of one cell, its response the
+first ``j`` words of the needle and the turn's text, ``j`` from the turn's hash; ``j = 0`` gives a
+null response, turns with ``j = 1`` are left out (so the resume query has work to find), ``j = 3``
+has no version (counts as 1), ``j = 5`` only has a version-2 result (still to run for version 1),
+and ``j = 4`` has a second, duplicate result with the first eight words (cell means average both).
 """
 
 from __future__ import annotations
@@ -35,6 +33,7 @@ MAX_LEN = K.CONTEXT_LENGTHS_MAX
 BUF = K.FINAL_CONTEXT_LENGTH_BUFFER
 MODEL_PREFIX = "lab/needle-1.0-"
 RESULT_TS = "2024-01-01 00:00:00"
+LANGS = ["de", "en", "es", "fr"]
 
 # grid values for the oracle, in closed form in SQL: i-th of n evenly spaced values, half to even
 _STEP_LEN = f"{K.CONTEXT_LENGTHS_MIN} + i * ({K.CONTEXT_LENGTHS_MAX} - {K.CONTEXT_LENGTHS_MIN}) / CAST({K.CONTEXT_LENGTHS_INTERVALS - 1} AS DOUBLE)"
@@ -66,21 +65,31 @@ def cells(spark, sf_dir, sigmoid=False, h=None):
 
 
 def results(spark, sf_dir):
-    c = cells(spark, sf_dir)
+    """One result for every assistant turn, assigned to a (language, length, depth) cell by its hash.
+
+    The response is the first ``j`` words of the needle followed by the turn's own text."""
+    lengths, depths = H.default_axes()
+    c = FX.assistant_turns(spark, sf_dir)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), 1, 8),
+               16, 10).cast("long")
+    n_len, n_depth, n_lang = K.CONTEXT_LENGTHS_INTERVALS, K.DEPTH_PERCENT_INTERVALS, len(LANGS)
     words = F.array(*[F.lit(w) for w in NEEDLE_WORDS])
-    j = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("lang"), F.col("context_length").cast("string"),
-                                              F.col("depth_percent").cast("int").cast("string"))), 1, 4), 16, 10
-               ).cast("long") % (len(NEEDLE_WORDS) + 1)
-    r = c.withColumn("j", j.cast("int")).filter(F.col("j") != 1)
-    resp = F.when(F.col("j") == 0, F.lit(None).cast("string")).otherwise(F.array_join(F.slice(words, 1, F.col("j")), " "))
-    model = F.concat(F.lit(MODEL_PREFIX), F.col("lang"))
+    r = c.withColumn("h", h).select(
+        F.concat(F.lit(MODEL_PREFIX), F.element_at(F.array(*[F.lit(x) for x in LANGS]), (F.col("h") % n_lang + 1).cast("int"))).alias("model"),
+        F.element_at(lengths, (F.floor(F.col("h") / n_lang) % n_len + 1).cast("int")).cast("int").alias("context_length"),
+        F.element_at(depths, (F.floor(F.col("h") / (n_lang * n_len)) % n_depth + 1).cast("int")).cast("double").alias("depth_percent"),
+        (F.col("h") % (len(NEEDLE_WORDS) + 1)).cast("int").alias("j"), "text").filter("j != 1")
+    resp = F.when(F.col("j") == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.array_join(F.slice(words, 1, F.col("j")), " "), F.lit(" "), F.col("text")))
     version = F.when(F.col("j") == 3, F.lit(None).cast("int")).when(F.col("j") == 5, F.lit(2)).otherwise(F.lit(1))
-    r = r.select(model.alias("model"), "context_length", "depth_percent", version.alias("version"),
+    r = r.select("model", "context_length", "depth_percent", version.alias("version"),
                  F.lit(NEEDLE).alias("needle"), resp.alias("model_response"), "j")
     dup = r.filter(F.col("j") == 4).withColumn("model_response", F.array_join(F.slice(words, 1, 8), " "))
     r = r.unionByName(dup).drop("j")
     r = r.withColumn("test_duration_seconds", F.length(F.coalesce("model_response", F.lit(""))) * 0.5)
-    r = r.withColumn("test_timestamp_utc", F.date_format(F.to_timestamp(F.lit(RESULT_TS)), "yyyy-MM-dd HH:mm:ssZ"))
+    # the zone is part of the text, whatever the session's zone
+    r = r.withColumn("test_timestamp_utc", F.concat(F.date_format(F.to_timestamp_ntz(F.lit(RESULT_TS)), "yyyy-MM-dd HH:mm:ss"),
+                                                    F.lit("+0000")))
     r = r.withColumn("score", S.needle_score(F.coalesce(F.col("model_response"), F.lit("")), F.col("needle")))
     return r.withColumn("file_name", H.cell_name(F.col("model"), F.col("context_length"), F.col("depth_percent")))
 
@@ -130,12 +139,17 @@ def _f1(p, g):
     return f"CASE WHEN {ov} = 0 THEN 0.0 ELSE 2 * {pr} * {rc} / ({pr} + {rc}) END"
 
 
-RESULTS_SQL = f"""{CELLS_SQL},
-rj AS (SELECT *, CAST(('0x' || substr(md5(lang || ':' || CAST(context_length AS VARCHAR) || ':' || CAST(CAST(depth_percent AS INTEGER) AS VARCHAR)), 1, 4))::BIGINT % {len(NEEDLE_WORDS) + 1} AS INTEGER) AS j FROM cells),
-res1 AS (SELECT {sql_str(MODEL_PREFIX)} || lang AS model, context_length, depth_percent,
+_N = (len(LANGS), K.CONTEXT_LENGTHS_INTERVALS, K.DEPTH_PERCENT_INTERVALS)
+RESULTS_SQL = f"""gl AS ({LENGTHS_SQL}),
+gd AS ({DEPTHS_SQL}),
+axes AS (SELECT (SELECT list(context_length ORDER BY context_length) FROM gl) AS ls, (SELECT list(depth_percent ORDER BY depth_percent) FROM gd) AS ds),
+rj AS (SELECT text, CAST('0x' || substr(md5(conv_id || ':' || turn), 1, 8) AS BIGINT) AS h FROM conversations WHERE role = 'assistant'),
+rk AS (SELECT *, h % {len(NEEDLE_WORDS) + 1} AS j FROM rj),
+res1 AS (SELECT {sql_str(MODEL_PREFIX)} || ({_list(LANGS)})[h % {_N[0]} + 1] AS model, ls[(h // {_N[0]}) % {_N[1]} + 1] AS context_length,
+        ds[(h // {_N[0] * _N[1]}) % {_N[2]} + 1] AS depth_percent,
         CASE WHEN j = 3 THEN NULL WHEN j = 5 THEN 2 ELSE 1 END AS version, {sql_str(NEEDLE)} AS needle,
-        CASE WHEN j = 0 THEN NULL ELSE array_to_string(({_list(NEEDLE_WORDS)})[1:j], ' ') END AS model_response, j
-        FROM rj WHERE j <> 1),
+        CASE WHEN j = 0 THEN NULL ELSE array_to_string(({_list(NEEDLE_WORDS)})[1:j], ' ') || ' ' || text END AS model_response, j
+        FROM rk, axes WHERE j <> 1),
 res0 AS (SELECT * FROM res1 UNION ALL
          SELECT model, context_length, depth_percent, version, needle,
                 array_to_string(({_list(NEEDLE_WORDS)})[1:8], ' ') AS model_response, j FROM res1 WHERE j = 4),

@@ -41,22 +41,39 @@ def pairs(spark, sf_dir) -> DataFrame:
                         .otherwise(F.array("answer", "answer2")))
 
 
-def examples(spark, sf_dir) -> DataFrame:
+def option_groups(spark, sf_dir) -> DataFrame:
+    """Four options per group (``g, n_groups, options``): items ``4 g .. 4 g + 3``, the last group is
+    filled up from the first items, so every item is an option."""
     b = read_table(spark, sf_dir, "benchmark")
-    g = (b.groupBy(F.floor(F.col("item_id") / 4).cast("long").alias("id"))
-          .agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("o"))
-          .filter(F.size("o") == 4)
-          .select("id", F.transform("o", lambda z: z["text"]).alias("options")))
-    g = g.withColumn("answer", F.array(F.element_at("options", (F.col("id") % 4 + 1).cast("int"))))
+    n = b.count()
+    groups = -(-n // 4)
+    i = F.col("item_id")
+    fill = 4 * groups - n
+    places = F.array(F.struct(F.floor(i / 4).cast("long").alias("g"), (i % 4).alias("k")))
+    again = F.when(i < fill, F.array(F.struct(F.lit(groups - 1).cast("long").alias("g"), (i + 4 - fill).alias("k")))
+                   ).otherwise(F.array().cast("array<struct<g:bigint,k:bigint>>"))
+    b = b.select("text", F.explode(F.concat(places, again)).alias("p")).select("text", "p.g", "p.k")
+    b = b.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("o"))
+    return b.select("g", F.lit(max(groups, 1)).alias("n_groups"), F.transform("o", lambda z: z["text"]).alias("options"))
+
+
+def _with_options(rows: DataFrame, groups: DataFrame, number) -> DataFrame:
+    n = groups.select("n_groups").first()
+    return rows.withColumn("g", number % F.lit(n[0] if n else 1)).join(F.broadcast(groups.drop("n_groups")), "g").drop("g")
+
+
+def examples(spark, sf_dir) -> DataFrame:
+    """Every document is the context of one example; its options rotate over the item groups."""
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("context"), "n_chars")
-    e = g.join(d, "id")
+    e = _with_options(d, option_groups(spark, sf_dir), F.floor(F.col("id") / len(PR.TASKS)).cast("long"))
+    e = e.withColumn("answer", F.array(F.element_at("options", (F.col("id") % 4 + 1).cast("int"))))
     return e.withColumn("input", F.array_join(F.slice(F.split(F.col("answer")[0], " "), 1, 8), " "))
 
 
 def task_examples(spark, sf_dir) -> DataFrame:
-    """Examples for every task; code and math inputs carry a call / a target phrase."""
+    """Tasks rotate over the examples; code and math inputs carry a call / a target phrase."""
     e = examples(spark, sf_dir)
-    e = e.withColumn("task", F.explode(F.array(*[F.lit(t) for t in PR.TASKS])))
+    e = e.withColumn("task", F.element_at(F.array(*[F.lit(t) for t in PR.TASKS]), (F.col("id") % len(PR.TASKS) + 1).cast("int")))
     inp = (F.when(F.col("task") == "code_run",
                   F.format_string("What is the value of func_%d(%d)?", F.col("id"), F.col("n_chars") % 7 - 3))
             .when(F.col("task") == "math_find",
@@ -108,11 +125,14 @@ PAIRS_SQL = """pairs AS (
   LEFT JOIN conversations v ON v.conv_id = a.conv_id AND v.turn = a.turn - 2
   WHERE a.role = 'assistant')"""
 
-EXAMPLES_SQL = """grp AS (SELECT CAST(floor(item_id / 4) AS BIGINT) AS id, list(text ORDER BY item_id) AS options
-        FROM benchmark GROUP BY 1 HAVING count(*) = 4),
-ex AS (SELECT g.id, g.options, [g.options[(g.id % 4) + 1]] AS answer, d.text AS context, d.n_chars,
-              array_to_string((string_split(g.options[(g.id % 4) + 1], ' '))[1:8], ' ') AS input
-       FROM grp g JOIN documents d ON d.doc_id = g.id)"""
+GROUPS_SQL = """nb AS (SELECT count(*) AS n, greatest(CAST(ceil(count(*) / 4) AS BIGINT), 1) AS ng FROM benchmark),
+grp AS (SELECT g, list(b.text ORDER BY k) AS options FROM (SELECT g, k, (4 * g + k) % n AS item FROM nb,
+        (SELECT unnest(range(ng)) AS g FROM nb), range(4) r(k)) x JOIN benchmark b ON b.item_id = x.item GROUP BY g)"""
+
+EXAMPLES_SQL = f"""{GROUPS_SQL},
+ex AS (SELECT d.doc_id AS id, options, [options[(d.doc_id % 4) + 1]] AS answer, d.text AS context, d.n_chars,
+              array_to_string((string_split(options[(d.doc_id % 4) + 1], ' '))[1:8], ' ') AS input
+       FROM documents d, nb JOIN grp ON grp.g = (d.doc_id // {len(PR.TASKS)}) % nb.ng)"""
 
 
 # ---------------------------------------------------------------- normalising / matching
@@ -137,10 +157,13 @@ def q_first_int_match(spark, sf_dir):
 
 
 @register("in_match", f"""WITH {PAIRS_SQL}
-SELECT conv_id, turn, CAST(contains(prediction, ({words_sql('answer')})[1]) AS INTEGER) AS score FROM pairs""")
+SELECT conv_id, turn, CAST(contains(prediction, answer) AS INTEGER) AS score,
+  CAST(contains(lower(prediction), lower(({words_sql('answer')})[-1])) AS INTEGER) AS last_word FROM pairs""")
 def q_in_match(spark, sf_dir):
     p = pairs(spark, sf_dir)
-    return p.select("conv_id", "turn", S.in_match("prediction", F.try_element_at(S.words("answer"), F.lit(1))).alias("score"))
+    last = F.try_element_at(S.words("answer"), F.lit(-1))
+    return p.select("conv_id", "turn", S.in_match("prediction", "answer").alias("score"),
+                    S.in_match(F.lower("prediction"), F.lower(last)).alias("last_word"))
 
 
 @register("token_f1", f"""WITH {PAIRS_SQL},
@@ -231,8 +254,8 @@ def q_running_recall(spark, sf_dir):
     return r.select("conv_id", "turn", F.round(F.col("s_recall") / F.col("n_so_far"), 6).alias("recall_so_far"))
 
 
-@register("expand_choice", f"""WITH {EXAMPLES_SQL},
-p AS (SELECT c.conv_id, c.turn, lower(c.text) AS pred, ex.options FROM conversations c JOIN ex ON ex.id = c.conv_id
+@register("expand_choice", f"""WITH {GROUPS_SQL},
+p AS (SELECT c.conv_id, c.turn, lower(c.text) AS pred, options FROM conversations c, nb JOIN grp ON grp.g = c.conv_id % nb.ng
       WHERE c.role = 'assistant'),
 q AS (SELECT *, trim(lower(substr(pred, 1, 1))) AS f FROM p)
 SELECT conv_id, turn, CASE
@@ -243,9 +266,8 @@ SELECT conv_id, turn, CASE
   WHEN f = 'd' AND NOT contains(pred, options[4]) THEN pred || ' ' || lower(options[4])
   ELSE pred END AS prediction FROM q""")
 def q_expand_choice(spark, sf_dir):
-    e = examples(spark, sf_dir).select(F.col("id").alias("conv_id"), "options")
     c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    j = c.join(e, "conv_id")
+    j = _with_options(c, option_groups(spark, sf_dir), F.col("conv_id"))
     return j.select("conv_id", "turn", S.expand_choice(F.lower("text"), "options").alias("prediction"))
 
 
@@ -298,7 +320,7 @@ def q_task_slice(spark, sf_dir):
 
 def _task_inputs_sql() -> str:
     tasks = ", ".join(sql_str(t) for t in PR.TASKS)
-    return f"""tex0 AS (SELECT ex.*, unnest([{tasks}]) AS task FROM ex),
+    return f"""tex0 AS (SELECT ex.*, ([{tasks}])[id % {len(PR.TASKS)} + 1] AS task FROM ex),
 tex AS (SELECT tex0.*,
   CASE WHEN task = 'code_run' THEN printf('What is the value of func_%d(%d)?', id, n_chars % 7 - 3)
        WHEN task = 'math_find' THEN printf('The %s of the list is what?', lower((string_split(input, ' '))[1]))
@@ -306,13 +328,17 @@ tex AS (SELECT tex0.*,
   FROM tex0)"""
 
 
-@register("task_load", f"""WITH {EXAMPLES_SQL}
-SELECT id, input, answer[1] AS answer_text, CAST(len(options) AS INTEGER) AS n_options FROM ex""")
+@register("task_load", f"""WITH {EXAMPLES_SQL}, {_task_inputs_sql()}
+SELECT task, id, tinput AS input, answer[1] AS answer_text, CAST(len(options) AS INTEGER) AS n_options FROM tex""")
 def q_task_load(spark, sf_dir):
+    """All task files written flat, with answers as lists or plain strings, and read back by task name."""
     e = task_examples(spark, sf_dir).select("id", "task", "context", "input", "answer", "options")
-    folder = IO.write_task_files(e, spark, "tasks")
-    back = IO.load_task(spark, folder, "longbook_choice_eng")
-    return back.select("id", "input", F.col("answer")[0].alias("answer_text"), F.size("options").alias("n_options"))
+    folder = IO.write_task_files(e, spark, "tasks", plain_answers=["passkey", "math_find"])
+    back = None
+    for t in PR.TASKS:
+        one = IO.load_task(spark, folder, t).withColumn("task", F.lit(t))
+        back = one if back is None else back.unionByName(one)
+    return back.select("task", "id", "input", F.col("answer")[0].alias("answer_text"), F.size("options").alias("n_options"))
 
 
 @register("jsonl_roundtrip", f"""WITH {PAIRS_SQL}
@@ -372,19 +398,26 @@ r AS (SELECT tpl.model, tex.task, tex.id,
 
 
 @register("render_prompts", f"""WITH {_render_sql()}
-SELECT model, task, id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_len FROM r""")
+SELECT model, task, id, coalesce(md5(prompt), '') AS prompt_md5, CAST(coalesce(length(prompt), -1) AS INTEGER) AS prompt_len,
+  CASE WHEN prompt IS NULL THEN 'no value for prefix' ELSE '' END AS problem FROM r""")
 def q_render_prompts(spark, sf_dir):
+    """A prompt for every example and model; inputs without a target phrase are kept with the reason."""
     r = PR.render(task_examples(spark, sf_dir), PR.templates_frame(spark))
-    return r.select("model", "task", "id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_len"))
+    return r.select("model", "task", "id", F.coalesce(F.md5("prompt"), F.lit("")).alias("prompt_md5"),
+                    F.coalesce(F.length("prompt"), F.lit(-1)).alias("prompt_len"),
+                    F.coalesce("problem", F.lit("")).alias("problem"))
 
 
-@register("chat_messages", f"""WITH {_render_sql()}
-SELECT task, id, CAST(CASE WHEN task = 'math_calc' THEN 4 ELSE 2 END AS INTEGER) AS n_messages,
-       md5(prompt) AS user_md5 FROM r WHERE model = 'gpt4'""")
+@register("chat_messages", f"""WITH {_render_sql()},
+m AS (SELECT task, id, CASE WHEN task = 'math_calc' THEN ['system:' || {sql_str(K.CALC_SYSTEM_MESSAGE)}, 'user:' || {sql_str(K.CALC_EXAMPLE_QUESTION)},
+         'system:' || {sql_str(K.CALC_EXAMPLE_ANSWER)}, 'user:' || prompt]
+       ELSE ['system:' || {sql_str(K.CHAT_SYSTEM_MESSAGE)}, 'user:' || prompt] END AS m FROM r WHERE model = 'gpt4')
+SELECT task, id, CAST(len(m) AS INTEGER) AS n_messages, md5(array_to_string(m, chr(10))) AS messages_md5 FROM m""")
 def q_chat_messages(spark, sf_dir):
     r = PR.render(task_examples(spark, sf_dir), PR.templates_frame(spark)).filter(F.col("model") == "gpt4")
     m = r.select("task", "id", PR.chat_messages(F.col("prompt"), F.col("task")).alias("m"))
-    return m.select("task", "id", F.size("m").alias("n_messages"), F.md5(F.element_at("m", -1)["content"]).alias("user_md5"))
+    return m.select("task", "id", F.size("m").alias("n_messages"), F.md5(F.array_join(
+        F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n")).alias("messages_md5"))
 
 
 @register("extract_call", f"""WITH {EXAMPLES_SQL}, {_task_inputs_sql()}

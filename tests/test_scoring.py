@@ -123,3 +123,50 @@ def test_rouge_l_zh_against_dp(spark):
         lcs = lcs_dp(a, b)
         want = 0.0 if lcs == 0 else 2 * (lcs / len(a)) * (lcs / len(b)) / (lcs / len(a) + lcs / len(b))
         assert r.s == pytest.approx(want)
+
+
+def test_overlap_time_is_linear(spark):
+    """2,000-word pairs cost no more than a few times 500-word pairs (same number of pairs)."""
+    import time
+    from longloom.functions import scoring as S
+
+    def seconds(n):
+        df = spark.range(40).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i * 7919 % 977).cast("string")).alias("p"),
+                                    F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i * 104729 % 983).cast("string")).alias("g"))
+        df = df.select(S.multiset_overlap(F.col("p"), F.col("g")).alias("c"))
+        df.collect()
+        t = time.time()
+        df.collect()
+        return time.time() - t
+    assert seconds(2000) <= 8 * seconds(500) + 1
+
+
+def test_render_edge_rows(spark):
+    from longloom.functions import prompts as PR
+    rows = [("code_run", 1, "no call here", "ctx", ["a"]), ("longbook_choice_eng", 2, "which {context}?", "C {question}", ["a", "b", "c", "d"]),
+            ("longbook_choice_eng", 3, "which?", "C", ["a", "b", "c"]), ("unknown", 4, "x", "y", [])]
+    ex = spark.createDataFrame(rows, "task string, id long, input string, context string, options array<string>")
+    out = {(r.id, r.model): r for r in PR.render(ex, PR.templates_frame(spark)).collect()}
+    assert out[(4, None)].problem == "no template"
+    ok = out[(2, "gpt4")]
+    assert ok.problem is None and "which {context}?" in ok.prompt and "C {question}" in ok.prompt
+    assert out[(3, "gpt4")].prompt is None and "OPTION_D" in out[(3, "gpt4")].problem
+    assert "func" in out[(1, "gpt4")].problem
+    with_content = ex.withColumn("content", F.lit("spare")).withColumn("context", F.lit(None).cast("string"))
+    assert "spare" in [r for r in PR.render(with_content, PR.templates_frame(spark)).collect() if r.id == 2][0].prompt
+
+
+def test_needle_chat_and_long_prompt(spark):
+    from longloom import constants as K
+    from longloom.functions import prompts as PR
+    one_row = spark.range(1)
+    chat = one_row.select(PR.needle_chat(F.lit("ctx")).alias("m")).first().m
+    assert [x.role for x in chat] == ["system", "user", "user", "assistant"] and chat[1].content == "ctx"
+    assert chat[2].content == K.DEFAULT_RETRIEVAL_QUESTION + K.NEEDLE_QUESTION_SUFFIX
+    text = " ".join(f"w{i}" for i in range(30))
+    cut = one_row.select(PR.chat_messages(F.lit(text), F.lit("passkey"), 11).alias("m")).first().m[-1].content
+    import re
+    tokens = re.findall(r"[^ \t\n\r.]+|[.]|[ \t\n\r]+", text)
+    assert cut == "".join(tokens[:5] + tokens[-6:])
+    calc = one_row.select(PR.chat_messages(F.lit("1 + 2"), F.lit("math_calc")).alias("m")).first().m
+    assert [x.content for x in calc] == [K.CALC_SYSTEM_MESSAGE, K.CALC_EXAMPLE_QUESTION, K.CALC_EXAMPLE_ANSWER, "1 + 2"]
