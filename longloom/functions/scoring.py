@@ -107,14 +107,15 @@ def in_match(pred: Column | str, answer: Column | str) -> Column:
     return F.contains(_c(pred), _c(answer)).cast("int")
 
 
-def rouge_tokens(s: Column | str) -> Column:
-    """ROUGE tokens: lower case, runs of ASCII letters and digits."""
-    return F.filter(F.split(F.regexp_replace(F.lower(_c(s)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+def rouge_tokens(s: Column | str, stemmer=None) -> Column:
+    """ROUGE tokens: lower case, runs of ASCII letters and digits; ``stemmer`` maps the array of tokens."""
+    t = F.filter(F.split(F.regexp_replace(F.lower(_c(s)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    return stemmer(t) if stemmer else t
 
 
-def rouge1_f(pred: Column | str, target: Column | str) -> Column:
-    """ROUGE-1 F-measure of a prediction against a target (no stemming)."""
-    return f1_tokens(rouge_tokens(pred), rouge_tokens(target))
+def rouge1_f(pred: Column | str, target: Column | str, stemmer=None) -> Column:
+    """ROUGE-1 F-measure of a prediction against a target (no stemming by default)."""
+    return f1_tokens(rouge_tokens(pred, stemmer), rouge_tokens(target, stemmer))
 
 
 def needle_score(response: Column | str, needle: Column | str) -> Column:
@@ -210,6 +211,6 @@ def rouge_l(pred: Column | str, target: Column | str, tokenizer=None) -> Column:
     return _rouge_l_udf(tok(_c(pred)), tok(_c(target)))
 
 
-def rouge_l_zh(pred: Column | str, target: Column | str) -> Column:
-    """ROUGE-L over per-character segments."""
-    return rouge_l(pred, target, tokenizer=chars)
+def rouge_l_zh(pred: Column | str, target: Column | str, segmenter=None) -> Column:
+    """ROUGE-L over segments (single characters by default; ``segmenter`` maps a text to an array)."""
+    return rouge_l(pred, target, tokenizer=segmenter or chars)

@@ -11,13 +11,15 @@ Any other tokenizer plugs in through :class:`ArrowTokenizer`, an Arrow batched
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .worker import worker_state
+
 TOKEN_PATTERN = r"[^ \t\n\r.]+|[.]|[ \t\n\r]+"
 # A period token of the default tokenizer.
 PERIOD_TOKENS = ["."]
@@ -119,25 +121,31 @@ def right_aligned_windows(n: Column | str, step: int) -> Column:
 
 
 class ArrowTokenizer:
-    """Adapter for any Python tokenizer: ``factory()`` returns ``encode(str) -> list[int]``.
+    """Adapter for any Python tokenizer.
 
-    The tokenizer is built once per Python worker and applied to Arrow batches.
+    ``factory()`` returns ``encode(str) -> list[int]``, or with ``batched=True``
+    ``encode(list[str]) -> list[list[int]]``.  It is called once per Python worker (the result is kept
+    across tasks under ``name``) and applied to Arrow batches.
     """
 
-    _cache: dict = {}
-
-    def __init__(self, name: str, factory: Callable[[], Callable[[str], list]]):
+    def __init__(self, name: str, factory: Callable[[], Callable], batched: bool = False):
         self.name = name
         self.factory = factory
+        self.batched = batched
 
     def ids(self, text: Column | str) -> Column:
-        name, factory, cache = self.name, self.factory, ArrowTokenizer._cache
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def _encode(s: pd.Series) -> pd.Series:
-            enc = cache.get(name)
-            if enc is None:
-                enc = cache[name] = factory()
-            return s.map(lambda x: None if x is None else list(enc(x)))
-
-        return _encode(_c(text))
+        name, factory, batched = self.name, self.factory, self.batched
+
+        def encode_all(batches):
+            held = worker_state().setdefault("tokenizers", {})
+            if name not in held:
+                held[name] = factory()
+            enc = held[name]
+            for s in batches:
+                null = s.isna()
+                texts = s.where(~null, "").tolist()
+                ids = enc(texts) if batched else [enc(x) for x in texts]
+                yield pd.Series([None if n else list(i) for i, n in zip(ids, null)], dtype=object)
+
+        encode_all.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(encode_all, T.ArrayType(T.IntegerType()))(_c(text))

@@ -288,12 +288,12 @@ _FILE_NAME_SQL = ("printf('%s_len_%d_depth_%d', replace(split_part(model, '/', -
 
 
 @register("needle_write", f"""WITH {RESULTS_SQL}
-SELECT context_length, depth_percent, score, {_FILE_NAME_SQL} AS file_name FROM res""")
+SELECT context_length, depth_percent, score, {_FILE_NAME_SQL} AS file_name, '{RESULT_TS}+0000' AS test_timestamp_utc FROM res""")
 def q_needle_write(spark, sf_dir):
     r = results(spark, sf_dir)
     path = IO.write_jsonl(r, spark, "needle_results", partition_by=["model"])
     back = IO.read_jsonl(spark, path, IO.NEEDLE_RESULT)
-    return back.select("context_length", "depth_percent", "score", "file_name")
+    return back.select("context_length", "depth_percent", "score", "file_name", "test_timestamp_utc")
 
 
 @register("contexts_write", f"""WITH {CELLS_SQL},
@@ -303,7 +303,9 @@ m AS (SELECT {sql_str(MODEL_PREFIX)} || c.lang AS model, c.context_length, c.dep
       FROM cells c JOIN hay h ON c.lang = h.lang)
 SELECT model, context_length, depth_percent, {_FILE_NAME_SQL} AS file_name,
        CAST(length({sql_str(K.NEEDLE_PROMPT_PREFIX)} || context || {sql_str(K.NEEDLE_PROMPT_MIDDLE)} ||
-            {sql_str(K.DEFAULT_RETRIEVAL_QUESTION)} || {sql_str(K.NEEDLE_PROMPT_SUFFIX)}) AS INTEGER) AS prompt_len FROM m""")
+            {sql_str(K.DEFAULT_RETRIEVAL_QUESTION)} || {sql_str(K.NEEDLE_PROMPT_SUFFIX)}) AS INTEGER) AS prompt_len,
+       md5({sql_str(K.NEEDLE_PROMPT_PREFIX)} || context || {sql_str(K.NEEDLE_PROMPT_MIDDLE)} ||
+            {sql_str(K.DEFAULT_RETRIEVAL_QUESTION)} || {sql_str(K.NEEDLE_PROMPT_SUFFIX)}) AS prompt_md5 FROM m""")
 def q_contexts_write(spark, sf_dir):
     """Contexts with the needle, wrapped as prompts, written partitioned by model and context length."""
     from ..functions.prompts import needle_prompt
@@ -317,4 +319,5 @@ def q_contexts_write(spark, sf_dir):
     path = scratch_path(spark, "contexts")
     m.write.mode("overwrite").partitionBy("model", "context_length").parquet(path)
     back = spark.read.parquet(path)
-    return back.select("model", "context_length", "depth_percent", "file_name", F.length("prompt").alias("prompt_len"))
+    return back.select("model", "context_length", "depth_percent", "file_name", F.length("prompt").alias("prompt_len"),
+                       F.md5("prompt").alias("prompt_md5"))

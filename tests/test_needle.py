@@ -96,3 +96,25 @@ def test_haystack_tokenizes_only_a_prefix(spark, docs_mid):
     key = lambda rows: sorted((r.lang, r.passes, tuple(r.tokens)) for r in rows)
     assert key(a) == key(b)
     assert all(len(r.tokens) == 3000 for r in a)
+
+
+def test_length_range_of_the_grid(spark):
+    from longloom.operators import haystack as H
+    lengths, depths = H.default_axes()
+    every = H.grid(spark, lengths, depths).select("context_length").distinct()
+    some = H.grid(spark, lengths, depths, min_len=20_000, max_len=40_000).select("context_length").distinct()
+    want = sorted(r[0] for r in every.collect() if 20_000 <= r[0] <= 40_000)
+    assert want and sorted(r[0] for r in some.collect()) == want
+
+
+def test_haystacks_of_sparse_clustered_and_null_groups(spark):
+    """Ids in two far clusters, a null group, another tokenizer: the first tokens of each group in order."""
+    from pyspark.sql import functions as F
+    from longloom.operators import haystack as H
+    rows = [(i if i % 2 else 10**12 + i, None if i % 5 == 0 else f"g{i % 2}", f"w{i} x. ") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    got = {r.lang: r.tokens for r in H.haystacks(df, 90, tokenizer=split).collect()}
+    for g in (None, "g0", "g1"):
+        text = "".join(t for _, lang, t in sorted(rows) if lang == g)
+        assert got[g] == (text * 90).split()[:90]

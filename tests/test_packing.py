@@ -122,3 +122,19 @@ def test_pluggable_tokenizer(spark, docs_small):
     assert d.select(F.sum("n")).first()[0] == n
     ch = packing.pack_chunks(d, 64)
     assert ch.count() == (n - 1) // 64
+
+
+def test_tokenizer_is_loaded_once_per_worker(spark, docs_small, tmp_path):
+    from longloom.functions.tokens import ArrowTokenizer
+    log = str(tmp_path / "loads")
+
+    def factory():
+        import os
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda texts: [[len(w) for w in t.split()] for t in texts]
+
+    d = docs_small.repartition(32).select(ArrowTokenizer("lengths", factory, batched=True).ids("text").alias("ids"))
+    assert d.selectExpr("sum(size(ids))").first()[0] == sum(len(r.text.split()) for r in docs_small.collect())
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads)) <= 8
