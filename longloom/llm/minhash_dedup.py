@@ -148,9 +148,10 @@ def _sketcher(k: int, bands: int, rows: int):
 def _set_maker(k: int):
     def run(batches):
         import pyarrow as pa
+        unpack = tb.unpacker()
         for rb in batches:
             ids = rb.column(0)
-            data, off = tb.text_bytes(rb.column(1))
+            data, off = tb.text_bytes(pa.array([unpack(t) for t in rb.column(1)], pa.large_binary()))
             for i, j, d, o in tb.blocks(data, off):
                 x, n = shingle_sets(d, o, k)
                 h1, h2 = _set_hash(x, n)
@@ -280,8 +281,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
     members = cut_lineage(members.join(classes.drop("bands"), "id"), "mh-members")
 
     # full sets of the representatives, sent to their units
-    wanted = members.select(F.col("rep").alias("_rep")).distinct()
-    named = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
+    # the wanted ids grow with the corpus: always joined by shuffle, with compressed texts
+    wanted = members.select(F.col("rep").alias("_rep")).distinct().hint("merge")
+    packed = texts.mapInArrow(tb.pack_texts, "doc_id long, packed binary")
+    named = packed.join(wanted, packed["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
     sets = named.mapInArrow(_set_maker(shingle), SETS).join(
         members.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "shingles").dropDuplicates(["id"])
     units = _units(members.select("id", "n", "cluster"), threshold)

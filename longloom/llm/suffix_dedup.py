@@ -120,7 +120,7 @@ def _stretch_rows(length):
             ids, texts = np.asarray(rb.column(0)), rb.column(1)
             pn, po = _flat(rb.column(2), "pn")
             key, _ = _flat(rb.column(2), "key")
-            unpack = _unpacker()
+            unpack = tb.unpacker()
             for i in range(rb.num_rows):
                 text, p = unpack(texts[i]), pn[po[i]: po[i + 1]]
                 parts = [text[a: a + k + length - 1] for a, k in zip((p // 128).tolist(), (p % 128).tolist())]
@@ -192,24 +192,6 @@ def _string_rows(length):
     return run
 
 
-def _pack_texts(batches):
-    """``ord, text`` to ``ord, compressed text``."""
-    import pyarrow as pa
-    import zstandard
-    z = zstandard.ZstdCompressor(level=1)
-    for rb in batches:
-        data, off = tb.text_bytes(rb.column(rb.num_columns - 1))
-        raw = data.tobytes()
-        packed = pa.array([z.compress(raw[a:b]) for a, b in zip(off.tolist(), off[1:].tolist())], pa.binary())
-        yield pa.RecordBatch.from_arrays([*rb.columns[:-1], packed], names=[*rb.schema.names[:-1], "packed"])
-
-
-def _unpacker():
-    import zstandard
-    z = zstandard.ZstdDecompressor()
-    return lambda cell: z.decompress(cell.as_buffer()) if len(cell.as_buffer()) else b""
-
-
 def _flat(col, field=None):
     """A list column (null: empty list) as flat values (of a struct field) and offsets."""
     import pyarrow.compute as pc
@@ -348,7 +330,7 @@ def _cutter(length):
     def run(batches):
         import pyarrow as pa
         for rb in batches:
-            unpack = _unpacker()
+            unpack = tb.unpacker()
             texts = [unpack(t) for t in rb.column(1)]
             data, off = tb.text_bytes(pa.array(texts, pa.large_binary()))
             pn, po = _flat(rb.column(2))
@@ -410,7 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         drop_table(level)
     release(spark)
     listed = merged.groupBy("ord").agg(F.collect_list(F.struct("key", "pn")).alias("pns"))
-    packed = once.select("ord", "text").mapInArrow(_pack_texts, "ord long, packed binary")
+    packed = once.select("ord", "text").mapInArrow(tb.pack_texts, "ord long, packed binary")
     parts = packed.join(listed, "ord").mapInArrow(_stretch_rows(length), "key int, ord long, pn long, bytes binary")
     parts = cut_lineage(parts, "sx-stretches")
     release(spark)
@@ -426,7 +408,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     for g in gone[1:]:
         spans = spans.unionByName(g)
     spans = spans.groupBy("ord").agg(F.collect_list("pn").alias("pns"))
-    packed = texts.select("doc_id", "ord", "text").mapInArrow(_pack_texts, "doc_id long, ord long, packed binary")
+    packed = texts.select("doc_id", "ord", "text").mapInArrow(tb.pack_texts, "doc_id long, ord long, packed binary")
     out = packed.join(spans, "ord", "left").select("doc_id", "packed", "pns")
     return out.mapInArrow(_cutter(length),
                           "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text binary")
