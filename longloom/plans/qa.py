@@ -220,9 +220,26 @@ def q_rouge_l(spark, sf_dir):
     return p.select("conv_id", "turn", S.rouge_l("prediction", "answer").alias("score"))
 
 
-# the character-level LCS table is too slow in SQL on whole conversations (90 s at sf0.01):
-# no oracle; tests compare every pair with a Python dynamic program instead
-@register("rouge_l_zh")
+# the character-level table one row at a time: v[i][j] is the best of v[i-1][j] and, over the matches k <= j,
+# v[i-1][k-1] + 1, a running maximum; only the last row of each pair is kept
+_ROUGE_L_ZH_SQL = f"""WITH RECURSIVE {PAIRS_SQL},
+pr AS MATERIALIZED (SELECT conv_id * 100 + turn AS id, conv_id, turn, {chars_sql('prediction')} AS p, {chars_sql('answer')} AS g FROM pairs),
+g AS MATERIALIZED (SELECT id, unnest(g) AS c, unnest(range(1, len(g) + 1)) AS j FROM pr),
+p AS MATERIALIZED (SELECT id, unnest(p) AS c, unnest(range(1, len(p) + 1)) AS i FROM pr),
+dp(id, j, c, i, v) USING KEY (id, j) AS (
+  SELECT id, j, c, 0::BIGINT, 0::BIGINT FROM g
+  UNION
+  SELECT id, j, c, i, greatest(v, coalesce(max(CASE WHEN hit THEN before + 1 END)
+      OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING), 0)) FROM (
+    SELECT dp.id, dp.j, dp.c, dp.i + 1 AS i, dp.v, dp.c = p.c AS hit,
+      coalesce(lag(dp.v) OVER (PARTITION BY dp.id ORDER BY dp.j), 0) AS before
+    FROM dp JOIN p ON p.id = dp.id AND p.i = dp.i + 1)),
+l AS (SELECT id, max(v) AS lcs FROM dp GROUP BY id),
+x AS (SELECT conv_id, turn, coalesce(lcs, 0) AS c, len(p) AS np, len(g) AS ng FROM pr LEFT JOIN l ON l.id = pr.id)
+SELECT conv_id, turn, CASE WHEN c = 0 THEN 0.0 ELSE 2 * (c / np) * (c / ng) / ((c / np) + (c / ng)) END AS score FROM x"""
+
+
+@register("rouge_l_zh", _ROUGE_L_ZH_SQL)
 def q_rouge_l_zh(spark, sf_dir):
     p = pairs(spark, sf_dir)
     return p.select("conv_id", "turn", S.rouge_l_zh("prediction", "answer").alias("score"))
