@@ -145,6 +145,7 @@ def _compare_strings(length):
     """Rows sorted by (key, ord, pn): the strings that an earlier row of the key holds, as spans."""
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def spans(cols):
             ord_, pn = np.asarray(cols.column("ord")), np.asarray(cols.column("pn"))
@@ -162,18 +163,28 @@ def _compare_strings(length):
             r = row[at[first]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(ord_[r]), pa.array((pn[r] // 128 + rel[at[first]]) * 128 + size)], names=["ord", "pn"])
+        def parts(t):
+            """Whole keys of about 1 MB of bytes."""
+            key, size = np.asarray(t.column("key")), np.cumsum(np.asarray(pc.binary_length(t.column("bytes"))))
+            i = 0
+            while i < len(key):
+                j = max(i, int(np.searchsorted(size, (size[i - 1] if i else 0) + (1 << 20))) - 1)
+                j = int(np.searchsorted(key, key[j], side="right"))
+                yield t.slice(i, j - i)
+                i = j
+
         held = None
         for rb in batches:
             t = pa.Table.from_batches([rb])
             t = t if held is None else pa.concat_tables([held, t])
             key = np.asarray(t.column("key"))
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0      # the last key may go on
-            if cut and t.nbytes > (2 << 20):
-                yield spans(t.slice(0, cut))
+            if cut and t.nbytes > (1 << 20):
+                yield from map(spans, parts(t.slice(0, cut)))
                 t = t.slice(cut)
             held = t
         if held is not None and held.num_rows:
-            yield spans(held)
+            yield from map(spans, parts(held))
     return run
 
 
