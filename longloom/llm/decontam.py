@@ -36,7 +36,7 @@ from .common import cut_lineage, doc_texts
 
 WINDOW = 10
 ITEM_BLOCK = 20_000
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def _hashed_words(d, o):

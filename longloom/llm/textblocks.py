@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 # ASCII white space 0x20 and 0x09-0x0D
 SPACE = np.zeros(256, bool)

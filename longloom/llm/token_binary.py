@@ -37,7 +37,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 128
 ROW_IDS = 1 << 18
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 LINES = 24
 
 # ids per word and bits per id, by selector (fixed values of the coding)
