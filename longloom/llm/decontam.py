@@ -35,7 +35,7 @@ from . import textblocks as tb
 from .common import cut_lineage, doc_texts
 
 WINDOW = 10
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 5_000
 BLOCK = 1 << 20
 
 

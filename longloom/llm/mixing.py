@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, let, ws_words
 
 BLOCK_DIGITS = 2                 # hex digits of a block: 256 blocks a source
-MAX_SOURCES = 20_000
+MAX_SOURCES = 2_000
 STEPS, DIGITS = 60, 9
 
 
