@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path, table_path
 
-__all__ = ["cut_lineage", "drop_table", "release", "scratch_path", "read", "doc_texts", "ws_words", "let"]
+__all__ = ["cut_lineage", "drop_table", "release", "scratch_path", "read", "doc_texts", "row_key", "ws_words", "let"]
 
 # the six ASCII white-space characters 0x20 and 0x09-0x0D
 WS = " \t\n\x0b\f\r"
@@ -24,6 +24,14 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def row_key() -> Column:
+    """What a verdict on a row is joined back by: its doc_id (null is an id of its own) and the
+    128-bit fingerprint of its text.  Only repeated rows share a key."""
+    text = F.md5(F.col("text").cast("string"))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")),
+                       F.coalesce(text, F.lit("-")))
+
+
 def ws_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array (null or blank text: empty array)."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))

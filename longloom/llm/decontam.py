@@ -19,7 +19,7 @@ The join keys after step 2 are (document, window, start), which no single docume
 term can make hot.
 
 Edge cases.  Null or word-less texts have no words and match nothing; items without words have no
-window.  A row is known by its doc_id and a fingerprint of its text, so null doc_ids and different
+window.  A row is known by its doc_id and a 128-bit fingerprint of its text, so null doc_ids and different
 texts of one doc_id are judged apart and repeated rows alike.  Several items may share windows or ids: an id counts once.
 A null item_id is named by the empty string.  Extra columns are ignored; empty tables give empty or
 clean results.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import cut_lineage, doc_texts
+from .common import cut_lineage, doc_texts, row_key
 
 WINDOW = 10
 ITEM_BLOCK = 5_000
@@ -102,10 +102,9 @@ def _post(chosen, window):
                     [pa.array(h[at]), pa.array(at - first[doc]),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width),
                                               pa.array(ctx.astype(np.int64).ravel()))], names=["term", "pos", "ctx"])
-                fp = tb.span_hash(tb.prefix_hash(d, tb.byte_codes(37)), o[:-1], o[1:]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rb.column(0).slice(i, j - i), pa.array(fp), pa.array(np.diff(first).astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends), post)], names=["doc_id", "fp", "n_words", "postings"])
+                    [rb.column(0).slice(i, j - i), rb.column(2).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(ends), post)], names=["doc_id", "row", "n_words", "postings"])
     return run
 
 
@@ -134,11 +133,10 @@ def _match_block(docs: DataFrame, items, window: int, slop: int | None):
         plan.append((w, list(terms), terms[rare[0]], rare[0], terms[second], second))
         chosen |= {terms[rare[0]], terms[second]}
         item_rows += [(w, i) for i in sorted(owners)]
-    rows = docs.mapInArrow(_post(sorted(chosen), window),
-                           "doc_id long, fp long, n_words long, "
-                           "postings array<struct<term:long,pos:long,ctx:array<long>>>")
-    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("fp").cast("string"))
-    forward = cut_lineage(rows.select(row.alias("row"), "doc_id", "n_words", "postings"), "dc-rows")
+    rows = docs.withColumn("row", row_key()).mapInArrow(
+        _post(sorted(chosen), window),
+        "doc_id long, row string, n_words long, postings array<struct<term:long,pos:long,ctx:array<long>>>")
+    forward = cut_lineage(rows.select("row", "doc_id", "n_words", "postings"), "dc-rows")
     index = forward.select("row", F.explode("postings").alias("p")).select("p.term", "row", "p.pos", "p.ctx")
     index = cut_lineage(index.repartitionByRange("term", "row").sortWithinPartitions("term", "row"), "dc-index")
     table = spark.createDataFrame(plan, "win long, terms array<long>, t1 long, o1 int, t2 long, o2 int")
@@ -194,6 +192,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int |
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items (array of ids), contaminated`` for every row."""
+    return _judged(docs, items, window).drop("row")
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """:func:`contamination` with the key ``row`` of every row."""
     texts, rows, spots, found = doc_texts(docs), None, None, None
     for block in _blocks_of(items):
         base, hits, owner = _match_block(texts, block, window, None)
@@ -207,13 +210,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     names = found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))   # bounded by the items
     none = F.array().cast("array<string>")
     return rows.join(n_hit, "row", "left").join(names, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of ``docs`` (all columns) without any benchmark window."""
-    bad = cut_lineage(contamination(docs, items, window).filter("contaminated").select(
-        F.col("doc_id").alias("_bad_id")).distinct(), "dc-bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")), "left_anti")
+    """Rows of ``docs`` (all columns) without any benchmark window in their own text."""
+    bad = cut_lineage(_judged(docs, items, window).filter("contaminated").select(F.col("row").alias("_bad")).distinct(),
+                      "dc-bad")
+    return docs.join(bad, row_key() == F.col("_bad"), "left_anti")

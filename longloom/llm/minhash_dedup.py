@@ -37,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import cut_lineage, doc_texts
+from .common import cut_lineage, doc_texts, row_key
 from .components import star_forest
 
 BANDS, ROWS = 42, 5
 UNIT = 400_000        # weight of a unit: shingles, every set counting for at least SET_WEIGHT
 SET_WEIGHT = 200
 
-SKETCH = "doc_id long, n long, h1 long, h2 long, bands array<long>"
+SKETCH = "doc_id long, row string, n long, h1 long, h2 long, bands array<long>"
 SETS = "doc_id long, h1 long, h2 long, shingles array<long>"
 
 
@@ -139,9 +139,9 @@ def _sketcher(k: int, bands: int, rows: int):
                 h1, h2 = _set_hash(x, n)
                 bh = band_hashes(x, n, bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2),
-                     _lists(bh.ravel(), np.where(n > 0, bands, 0))],
-                    names=["doc_id", "n", "h1", "h2", "bands"])
+                    [ids.slice(i, j - i), rb.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(h1),
+                     pa.array(h2), _lists(bh.ravel(), np.where(n > 0, bands, 0))],
+                    names=["doc_id", "row", "n", "h1", "h2", "bands"])
     return run
 
 
@@ -264,10 +264,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
     ``shingle`` words make a shingle, ``threshold`` is the Jaccard similarity in percent,
     ``component_id`` the smallest doc_id reachable over links (itself included).
     """
+    out = _components(docs, F.lit(None).cast("string"), shingle, threshold, bands, rows)
+    return out.select("doc_id", F.col("n").alias("n_shingles"),
+                      F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _components(docs: DataFrame, key: Column, shingle: int = 5, threshold: int = 80, bands: int = BANDS,
+                rows: int = ROWS) -> DataFrame:
+    """``doc_id, row (the key), n, best`` for every row; ``best(no_id, doc_id, row)`` is the first row of
+    its component: the smallest doc_id, null after all others, then the smallest key.  Null without shingles."""
     texts = doc_texts(docs)
-    rows_t = cut_lineage(texts.mapInArrow(_sketcher(shingle, bands, rows), SKETCH), "mh-sketch")
+    rows_t = cut_lineage(texts.withColumn("row", key).mapInArrow(_sketcher(shingle, bands, rows), SKETCH), "mh-sketch")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = rows_t.filter("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+        F.min(order).alias("best"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.withColumn("rep", F.col("best.doc_id"))
     classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()), "mh-classes")
 
     # classes that share a bucket, gathered in clusters
@@ -278,7 +289,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
     clusters = star_forest(near)
     members = clusters.select(F.col("u").alias("id"), F.col("v").alias("cluster")).unionByName(
         clusters.select(F.col("v").alias("id"), F.col("v").alias("cluster")).distinct())
-    members = cut_lineage(members.join(classes.drop("bands"), "id"), "mh-members")
+    members = cut_lineage(members.join(classes.drop("bands", "best"), "id"), "mh-members")
 
     # full sets of the representatives, sent to their units
     # the wanted ids grow with the corpus: always joined by shuffle, with compressed texts
@@ -293,25 +304,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, band
 
     # component of every class, then of every row
     root = forest.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    comp = classes.select("id", "h1", "h2", "rep").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    best = comp.groupBy("root").agg(F.min("rep").alias("component_id"))
-    comp = comp.join(best, "root").select("h1", "h2", "component_id")
-    out = rows_t.select("doc_id", "n", "h1", "h2").join(comp, ["h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    comp = classes.select("id", "h1", "h2", "best").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = comp.groupBy("root").agg(F.min("best").alias("best"))
+    comp = comp.drop("best").join(first, "root").select("h1", "h2", "best")
+    return rows_t.select("doc_id", "row", "n", "h1", "h2").join(comp, ["h1", "h2"], "left").select(
+        "doc_id", "row", "n", F.when(F.col("n") > 0, F.col("best")).alias("best"))
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """Rows of ``docs`` (all columns) without near duplicates: of each component the row with the
-    smallest doc_id stays.  Repeated rows of one doc_id and text count as copies; rows with a null
-    doc_id are kept when nothing smaller is linked to them."""
-    comp = cut_lineage(near_duplicates(docs, **params), "mh-components")
-    drop = comp.filter("component_id < doc_id").select(F.col("doc_id").alias("_drop_id")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == F.col("_drop_id"), "left_anti")
-    twice = cut_lineage(comp.groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").select("_twice"),
+    """Rows of ``docs`` (all columns) without near duplicates: of each component one row stays, that of
+    the smallest doc_id (null after all others), of several texts of this doc_id the one with the smallest
+    fingerprint.  Repeated rows of one doc_id and text count as copies, also those without shingles."""
+    comp = cut_lineage(_components(docs, row_key(), **params).select("row", F.col("best.row").alias("first")),
+                       "mh-components")
+    drop = cut_lineage(comp.filter(F.col("row") != F.col("first")).select(F.col("row").alias("_drop")).distinct(), "mh-drop")
+    kept = docs.join(drop, row_key() == F.col("_drop"), "left_anti")
+    twice = cut_lineage(comp.groupBy(F.col("row").alias("_twice")).count().filter("count > 1").select("_twice"),
                         "mh-twice")
     if twice.isEmpty():
         return kept
-    same = kept["doc_id"].eqNullSafe(F.col("_twice"))
+    same = row_key() == F.col("_twice")
     again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, same, "left_anti").unionByName(again)

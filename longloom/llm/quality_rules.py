@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, doc_texts, let, ws_words
+from .common import cut_lineage, doc_texts, let, row_key, ws_words
 
 MIN_WORDS = 50
 KEEP_AT = 0.5
@@ -86,14 +86,14 @@ def repeat_words(words: Column) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts the rules look at."""
-    t = doc_texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    """``doc_id``, ``row`` (its key) and the counts the rules look at."""
+    t = doc_texts(docs).withColumn("row", row_key()).withColumn("text", F.coalesce("text", F.lit("")))
     w = t.withColumn("w", ws_words(F.col("text")))
     line = let(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")),
                lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
     w = w.withColumn("lines", line)
     return w.select(
-        "doc_id", F.size("w").cast("long").alias("n_words"),
+        "doc_id", "row", F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count_chars(F.col("text"), r"[#*$%&|<>]+").alias("n_symbols"),
         (F.col("lines.n") - F.col("lines.d")).cast("long").alias("n_dup_lines"),
@@ -163,7 +163,7 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
 
 
 def judge(docs: DataFrame, rules=RULES, keep_at: float = KEEP_AT, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed``, ``votes``, ``p_quality`` and ``kept`` of every row."""
+    """``doc_id``, ``row``, the counts, ``base_failed``, ``votes``, ``p_quality`` and ``kept`` of every row."""
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     stats = cut_lineage(with_votes(counts(docs), rules).withColumn("base_failed", failed), "qr-counts")
     # the label model is fitted on all documents, whether they pass the base or not
@@ -177,8 +177,7 @@ def judge(docs: DataFrame, rules=RULES, keep_at: float = KEEP_AT, min_words: int
 
 
 def keep_good(docs: DataFrame, **params) -> DataFrame:
-    """Rows of ``docs`` (all columns) that the rules keep.  A doc_id with several rows goes when one of
-    them is rejected; null doc_ids are judged together."""
-    bad = cut_lineage(judge(docs, **params).filter("not kept").select(F.col("doc_id").alias("_bad_id")).distinct(),
-                      "qr-bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")), "left_anti")
+    """Rows of ``docs`` (all columns) that the rules keep.  Every row is judged by its own text, also
+    rows of one doc_id and rows with a null doc_id."""
+    bad = cut_lineage(judge(docs, **params).filter("not kept").select(F.col("row").alias("_bad")).distinct(), "qr-bad")
+    return docs.join(bad, row_key() == F.col("_bad"), "left_anti")
