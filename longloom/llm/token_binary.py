@@ -4,7 +4,8 @@
 BPE never merges across a pre-token border, and a space that does not follow white space always
 starts a pre-token, and so does a single line end; texts are therefore cut before these and every
 distinct piece is encoded once per worker (a bounded cache).  Where white space surrounds a cut, the
-border could lie elsewhere: such texts are encoded whole.  The ids are those of encoding each text at once.
+border could lie elsewhere: such texts are encoded whole, and so are texts that hold the string of an
+added token (``<|endoftext|>``), which is one id.  The ids are those of encoding each text at once.
 
 **Coding.**  A 64-bit word holds a 4-bit selector and as many ids as fit its 60 bits at one width
 (60 x 1 bit ... 1 x 60 bits).  Selector 15 is the escape: its payload indexes the row's list of ids
@@ -23,6 +24,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -150,7 +152,9 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True            # their strings in a text are ordinary text
+        # an added token is found before the text is cut into pre-tokens, also across white space
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         line = self.tok.encode("a\n b", add_special_tokens=False).ids
         self.line_end = line[1] if len(line) == 3 else None
         # piece at the start of a text / after a space -> its code
@@ -250,7 +254,11 @@ class PieceEncoder:
         get = rest.get
         new, n = [], self.n
         codes, counts = [], []
-        for t in texts:
+        special = []                                      # texts with an added token have no pieces
+        for i, t in enumerate(texts):
+            if self.added is not None and self.added.search(t):
+                special.append(i)
+                t = ""
             p = t.replace("\n", " \n").split(" ")
             head = first.get(p[0])
             if head is None:
@@ -279,7 +287,7 @@ class PieceEncoder:
         flag = self.flags[code]
         # white space on both sides of a cut: the border may lie elsewhere
         bad = np.flatnonzero((flag[:-1] & 2 > 0) & (flag[1:] & 1 > 0)) + 1
-        whole = np.unique(np.searchsorted(ends, bad, side="right"))
+        whole = np.union1d(np.searchsorted(ends, bad, side="right"), np.array(special, np.int64))
         ids, ln = self._gather(code)
         per = np.add.reduceat(ln, ends - count)
         if len(whole):
