@@ -4,31 +4,37 @@
 bisected in [0, 1]: the smallest ``a`` whose largest repetition stays within ``max_repetition`` and
 whose weights have at most the entropy ``target_entropy`` (nats); ``a = 1`` keeps the natural mix, 0
 makes all sources equal.  Without a ``budget`` the token budget is the least one at which no source is
-cut: the least repeated source is read exactly once and nothing is dropped.
+cut: the least repeated source is read exactly once and nothing is dropped.  Up to ``ROW_SOURCES`` sources
+are weighed in one row; of more, every step evaluates a grid of exponents by aggregates over the sources.
+Weights from ``ROUND_FROM`` on have ``DIGITS`` decimals, smaller ones are doubles.
 
 **Realisation.**  A source's budget is ``weight * budget`` tokens: whole passes over the source, then a
 part of one.  Documents hash into blocks; the blocks of the partial pass are taken in the order of a
 seeded permutation until the budget is met, and only the documents of the one block where it ends are
-ordered one by one.  Counting needs one small aggregate (sources x blocks), which is what is
-broadcast; texts are never shuffled, apart from those of the last block of each source, and a source
-with a third of all rows is spread like any other.
+ordered one by one.  Counting needs one aggregate (sources x blocks).  Up to ``ROW_SOURCES`` sources it is
+broadcast and no texts are shuffled, apart from those of the last block of each source; beyond, Spark
+joins it by its size.  A source with a third of all rows is spread like any other.
 
 Edge cases.  Null sources form a source of their own.  Tokens are white-space words; documents without
 tokens, and sources of only such, are read once.  Repeated rows are separate rows with one order key.
 Ties of the key are ordered by token count.  Extra columns pass through; an empty table gives an
-empty result.  More than ``MAX_SOURCES`` sources are refused.
+empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, let, ws_words
 
 BLOCK_DIGITS = 2                 # hex digits of a block: 256 blocks a source
-MAX_SOURCES = 2_000
+ROW_SOURCES = 2_000
 STEPS, DIGITS = 60, 9
+ROUND_FROM = 1e-4
+GRID = 32                        # a grid step halves the span five times
 
 
 def _key(seed: str, *parts) -> Column:
@@ -60,6 +66,50 @@ def _entropy(weights: Column) -> Column:
     return -_sum(F.transform(weights, lambda w: w * F.ln(w)))
 
 
+def _rounded(weight: Column) -> Column:
+    return F.when(weight >= ROUND_FROM, F.round(weight, DIGITS)).otherwise(weight)
+
+
+def _many_weights(totals: DataFrame, max_repetition: float | None, target_entropy: float | None,
+                  budget: int | None) -> DataFrame:
+    """:func:`source_weights` for any number of sources; the driver sees one row for each exponent of a grid."""
+    totals = cut_lineage(totals.select("s", "t"), "mix-totals")
+    ends = totals.agg(F.sum("t").alias("total"), F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    total = float(ends.total)
+    p = F.col("t") / F.lit(total)
+
+    def sums(exponents):
+        """Per exponent the sums of ``p ** a`` and of ``p ** a * ln p``."""
+        x = F.pow(p, F.col("a"))
+        grid = totals.select("t", F.explode(F.array(*map(F.lit, exponents))).alias("a"))
+        found = grid.groupBy("a").agg(F.sum(x).alias("z"), F.sum(x * F.ln(p)).alias("l")).collect()
+        return {r.a: r for r in found}
+
+    def fits(r) -> bool:
+        # passes fall with the size of a source
+        high, low = ((t / total) ** r.a / r.z / t for t in (ends.lo, ends.hi))
+        if max_repetition is not None and not (high * budget if budget is not None else high / low) <= max_repetition:
+            return False
+        return target_entropy is None or math.log(r.z) - r.a * r.l / r.z <= target_entropy
+    if fits(sums([0.0])[0.0]):
+        exponent = 0.0
+    else:
+        lo, hi = 0.0, 1.0
+        for _ in range(-(-STEPS // int(math.log2(GRID)))):
+            grid = sorted({lo + (hi - lo) * k / GRID for k in range(1, GRID)} - {lo, hi})
+            if not grid:                                          # neighbouring doubles
+                break
+            found = sums(grid)
+            hi = next((a for a in grid if fits(found[a])), hi)
+            lo = max([lo, *(a for a in grid if a < hi)])
+        exponent = hi
+    z = sums([exponent])[exponent].z
+    w = totals.select("s", "t", F.lit(exponent).alias("exponent"), _rounded(F.pow(p, F.lit(exponent)) / F.lit(z)).alias("weight"))
+    if budget is None:
+        budget = w.agg(F.max(F.ceil(F.col("t") / F.col("weight")).cast("long")).alias("b")).first().b
+    return w.withColumn("total_budget", F.lit(budget).cast("long"))
+
+
 def source_weights(totals: DataFrame, max_repetition: float | None, target_entropy: float | None,
                    budget: int | None) -> DataFrame:
     """``s, t, exponent, weight, total_budget`` from ``s, t`` (tokens of every source, all above 0)."""
@@ -81,7 +131,7 @@ def source_weights(totals: DataFrame, max_repetition: float | None, target_entro
             F.when(ok, s["lo"]).otherwise(m).alias("lo"), F.when(ok, m).otherwise(s["hi"]).alias("hi")))))
     one = one.withColumn("exponent", F.when(fits(F.lit(0.0)), F.lit(0.0)).otherwise(span["hi"]))
     one = one.withColumn("w", F.transform(_weights_at(F.col("ts"), F.col("total"), F.col("exponent")),
-                                          lambda x: F.round(x, DIGITS)))
+                                          _rounded))
     least = F.array_max(F.transform("ts", lambda t, i: F.ceil(t / F.get("w", i)).cast("long")))
     one = one.withColumn("total_budget", F.lit(budget).cast("long") if budget is not None else least)
     return one.select("exponent", "total_budget", F.posexplode("st").alias("i", "x"), "w").select(
@@ -98,10 +148,8 @@ def mix(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: flo
     sums = rows.withColumn("_n_tokens", n_tokens).groupBy("_s", "_block").agg(F.sum("_n_tokens").alias("t"))
     sums = cut_lineage(sums.withColumnRenamed("_s", "s").withColumnRenamed("_block", "b"), "mix-blocks")
     totals = sums.groupBy("s").agg(F.sum("t").alias("t")).filter("t > 0")
-    n_sources = totals.count()
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"{n_sources} sources, at most {MAX_SOURCES}")
-    w = source_weights(totals, max_repetition, target_entropy, budget)
+    few = totals.count() <= ROW_SOURCES
+    w = (source_weights if few else _many_weights)(totals, max_repetition, target_entropy, budget)
     w = w.withColumn("own", F.floor(F.col("weight") * F.col("total_budget")).cast("long"))
     w = w.withColumn("own", F.when((F.col("own") < F.col("t")) & (F.col("own") + F.lit(1) >= F.col("t")), F.col("t"))
                      .otherwise(F.col("own")))                     # the source read once loses nothing to rounding
@@ -115,7 +163,7 @@ def mix(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: flo
         F.col("exponent").alias("_exponent"), (F.col("passes") + inside.cast("long")).alias("_copies"), "passes",
         F.when(~inside & (F.col("upto") - F.col("t") < F.col("rest")), F.col("rest") - F.col("upto") + F.col("t")).alias("_left"))
     plan = cut_lineage(plan, "mix-plan")                           # sources x blocks rows
-    j = rows.join(F.broadcast(plan), ["_s", "_block"], "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    j = rows.join(F.broadcast(plan) if few else plan, ["_s", "_block"], "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     whole = j.filter("_left is null").withColumn("_n_tokens", n_tokens)
     last = Window.partitionBy("_s", "_block").orderBy("_k", "_n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     part = j.filter("_left is not null").withColumn("_n_tokens", n_tokens).withColumn(
