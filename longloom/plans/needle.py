@@ -65,7 +65,8 @@ def cells(spark, sf_dir, sigmoid=False, h=None):
 
 
 def results(spark, sf_dir):
-    """One result for every assistant turn, assigned to a (language, length, depth) cell by its hash.
+    """One result for every assistant turn but those with ``j = 1`` (about one in 22; the given SQL leaves them
+    out as well), assigned to a (language, length, depth) cell by its hash.  ``j = 0`` has a null response.
 
     The response is the first ``j`` words of the needle followed by the turn's own text."""
     lengths, depths = H.default_axes()
