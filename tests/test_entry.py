@@ -1,4 +1,9 @@
+import json
 import os
+import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -24,6 +29,22 @@ def test_every_oracle_has_query():
     assert len(q) >= 60
 
 
+@pytest.mark.parametrize("gone", [["longloom/llm", "tests/llm"], ["longloom/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_library_without_the_optional_subpackage(tmp_path, gone):
+    """The other queries stay when the subpackage, with or without the pipeline, is not there."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    skip = {os.path.join(root, g) for g in gone}
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=lambda d, names: [
+        n for n in names if n in (".git", "__pycache__") or os.path.join(d, n) in skip])
+    code = ("import __spark_entry__ as E, json; q, o = E.queries(), E.oracle_sql(); "
+            "print(json.dumps([sorted(q), sorted(o)]))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True,
+                         env={**os.environ, "PYTHONPATH": str(copy)}).stdout
+    q, o = json.loads(out.strip().splitlines()[-1])
+    own = sorted(n for n in E.queries() if n != "pipeline" and not re.match(r"op\d+_", n))
+    assert q == own and set(o) <= set(q) and len(q) >= 70
+
+
 def _norm(v):
     if type(v).__name__ == "NAType":
         return None
