@@ -7,7 +7,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-TABLES = ["documents", "pages", "benchmark", "labels", "conversations"]
+TABLES = ["documents", "pages", "benchmark", "labels", "conversations", "embeddings"]
 
 
 def words(rng, n, vocabulary=400):
@@ -41,6 +41,17 @@ def odd_documents():
             "n_words": ["clash"] * n, "component_id": [None] * n, "ord": [1] * n, "pns": ["x"] * n, "kept": [True] * n}
 
 
+def odd_embeddings():
+    """Many ties, repeated rows, and rows that take no part."""
+    rng = random.Random(11)
+    rows = [(i, [rng.randrange(-6, 7) / 16 for _ in range(6)], rng.randrange(4)) for i in range(0, 700, 5)]
+    rows += [rows[0], rows[0], (100, rows[3][1], rows[3][2]), (35, rows[20][1], None), (40, None, 1), (45, [0.5] * 5 + [None], 1),
+             (50, [0.5] * 5 + [float("nan")], 1), (55, [0.5] * 5 + [float("inf")], 1), (None, [0.25] * 6, 1), (None, [0.375] * 6, 2),
+             (800, [0.0] * 6, 3), (900, [-0.25] * 6, 9), (None, None, None)]
+    return {"vec_id": [r[0] for r in rows], "embedding": [r[1] for r in rows], "label": [r[2] for r in rows],
+            "id": ["clash"] * len(rows), "anchor": [True] * len(rows), "v": [None] * len(rows), "cell": [0] * len(rows)}
+
+
 def odd_tables():
     leak = " ".join(words(random.Random(77), 30))
     big = "<p>" + "payload " * 200 + "</p>"
@@ -58,11 +69,13 @@ def odd_tables():
         "text": ["a é", "q\n", None, "<|im_end|>\n\\", "\\<s>\\\\", "", "[INST] <<SYS>>", "x", "x"], "part": [0] * 9}
     benchmark = {"item_id": [1, 2, 3, 4, 5, 6], "text": [leak, None, "", "one", leak.upper(), "two words"], "win": [0] * 6}
     labels = {"doc_id": [0, 3, 42], "quality": [1, 0, 0], "toxic": [0, 0, 0]}
-    return {"documents": odd_documents(), "pages": pages, "conversations": conversations, "benchmark": benchmark, "labels": labels}
+    return {"documents": odd_documents(), "pages": pages, "conversations": conversations, "benchmark": benchmark, "labels": labels,
+            "embeddings": odd_embeddings()}
 
 
 KINDS = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64(),
          "page_id": pa.int64(), "url": pa.string(), "html": pa.string(), "item_id": pa.int64(), "conv_id": pa.int64(),
+         "vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int32(), "v": pa.string(),
          "turn": pa.int64(), "role": pa.string(), "quality": pa.int32(), "toxic": pa.int32()}
 
 

@@ -19,5 +19,5 @@ def test_empty_tables(spark, empty_dir, name):
     assert [r.conv_id for r in rows] == ([-7] if name.startswith("op8") else [])
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
