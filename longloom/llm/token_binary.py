@@ -17,12 +17,14 @@ in ascending doc_id order.  A row ``(shard, seq, doc_ids, n_tokens, n_ids, words
 escaped)`` holds whole documents of up to ``ROW_IDS`` ids, or one longer document.
 
 Edge cases.  A null text is empty and holds only the end id.  Rows with a null doc_id come first.
-Rows of one doc_id are ordered by text, repeated rows follow each other.  Extra columns are
+Rows of one doc_id, null too, are spread over the
+partitions by a hash of their text and ordered by it, then by text; repeated rows follow each other.  Extra columns are
 ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -40,7 +42,6 @@ END_ID = 2
 BLOCK_IDS = 128
 ROW_IDS = 1 << 18
 CACHE_PIECES = 600_000
-LINES = 24
 
 # ids per word and bits per id, by selector (fixed values of the coding)
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
@@ -145,8 +146,8 @@ def unpack(words: np.ndarray, block_words: np.ndarray, n: int, escaped: np.ndarr
 class PieceEncoder:
     """Encodes texts piece by piece with a bounded cache of the ids of distinct pieces.
 
-    Missing words are encoded together, one line each: a line end is a token of its own there, so the
-    ids fall apart at it.  A full cache keeps the half of its pieces that was used most."""
+    Missing pieces of a call are encoded in one batch.  A full cache keeps the half of its pieces that was
+    used most."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,8 +156,9 @@ class PieceEncoder:
         # an added token is found before the text is cut into pre-tokens, also across white space
         added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-        line = self.tok.encode("a\n b", add_special_tokens=False).ids
-        self.line_end = line[1] if len(line) == 3 else None
+        # sentence marks that are one id after a letter
+        after = {m: self.tok.encode("a" + m, add_special_tokens=False).ids for m in ".,;:!?"}
+        self.marks = {m: x[1] for m, x in after.items() if len(x) == 2}
         # piece at the start of a text / after a space -> its code
         self.first, self.rest = {}, {}
         self.n = self.used = 0
@@ -189,41 +191,41 @@ class PieceEncoder:
     def _add(self, new):
         """Encode the pieces ``new`` (text, whether a space was cut before it) as codes from ``n`` on.
 
-        A single word keeps its borders when it starts a line; pieces with other white space are
-        encoded alone."""
-        one, one_code, lines = [], [], []             # single words, as lines of one text
+        A sentence mark after an ASCII letter is a pre-token of its own, so a word that carries one takes
+        the ids of the bare word; everything else is encoded in one call."""
+        marked, bare, mark_ids = [], [], []
         alone, alone_code = [], []
         flagged, flags = [], []
-        for i, (w, cut) in enumerate(new, self.n):
+        rest, code = self.rest, self.n - 1
+        for w, cut in new:                            # grows by the bare words that are not known yet
+            code += 1
             line = w[:1] == "\n"
-            body = w[1:] if line else w
-            parts = body.split() if cut else ()
-            if len(parts) == 1 and len(parts[0]) == len(body):
-                one.append(w if line else "\n " + w)
-                one_code.append(i)
-                lines.append(line)
-                if line:
-                    flagged.append(i)
-                    flags.append(1)
-            else:
-                alone.append(w if line or not cut else " " + w)
-                alone_code.append(i)
-                flagged.append(i)
+            parts = (w[1:] if line else w).split() if cut else ()
+            if len(parts) != 1 or len(parts[0]) != len(w) - line:
+                flagged.append(code)
                 flags.append((cut and (not w or w[0].isspace())) + 2 * ((cut and not w) or (w != "" and w[-1].isspace())))
+            elif line:
+                flagged.append(code)
+                flags.append(1)
+            elif w[-1] in self.marks and len(w) > 1 and w[-2].isascii() and w[-2].isalpha():
+                k = rest.get(w[:-1])
+                if k is None:
+                    k = rest[w[:-1]] = self.n + len(new)
+                    new.append((w[:-1], True))
+                marked.append(code)
+                bare.append(k)
+                mark_ids.append(self.marks[w[-1]])
+                continue
+            alone.append(" " + w if cut and not line else w)
+            alone_code.append(code)
         base, self.n = self.n, self.n + len(new)
-        for lo in range(0, len(one), LINES):          # the tokenizer is fastest on short texts
-            part, code, own = one[lo: lo + LINES], one_code[lo: lo + LINES], lines[lo: lo + LINES]
-            x = self._whole("".join(part))
-            at = np.flatnonzero(x == self.line_end) if self.line_end is not None else x[:0]
-            if len(at) == len(part):
-                line = np.array(own)
-                self._store(np.array(code), np.delete(x, at[~line]), np.diff(at, append=len(x)) - ~line)
-            else:
-                alone += [w if k else w[1:] for w, k in zip(part, own)]
-                alone_code += code
         if alone:
-            x = [self._whole(w) for w in alone]
-            self._store(np.array(alone_code), np.concatenate(x), np.array([len(v) for v in x]))
+            x = [e.ids for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)]
+            ln = np.fromiter(map(len, x), np.int64, len(x))
+            self._store(np.array(alone_code), np.fromiter(itertools.chain.from_iterable(x), np.uint32, int(ln.sum())), ln)
+        if marked:
+            ids, ln = self._gather(np.array(bare))
+            self._store(np.array(marked), np.insert(ids, np.cumsum(ln), np.array(mark_ids, np.uint32)), ln + 1)
         self.hits[base: self.n] = 0
         self.flags[base: self.n] = 0
         if flagged:
@@ -353,7 +355,8 @@ def _shard_rows(tokenizer: str, end_id: int):
 def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Tokenize ``docs`` and write the shards under ``path`` in ascending doc_id order."""
     t = doc_texts(docs)
-    t = t.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    spread = F.xxhash64("text")
+    t = t.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, "text")
     # fixed slots leave zero bits, which a light compression of the file takes out
     t.mapInArrow(_shard_rows(tokenizer, end_id), SHARD).write.mode("overwrite").option("compression", "zstd").parquet(path)
 

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from longloom.llm import (arc_convert, catalog, components, decontam, minhash_dedup, mixing, quality_rules, secret_scan,
                           suffix_dedup, token_binary)
@@ -147,9 +148,10 @@ def test_redirect_table_and_precedence(spark):
 def test_token_ids_repeated_rows(spark, repeated):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(token_binary._tokenizer_path(token_binary.TOKENIZER))
-    tok.encode_special_tokens = True
-    rows = token_binary.token_table(repeated["documents"]).orderBy("start").collect()
-    docs = sorted(repeated["documents"].collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()))
+    table = repeated["documents"].repartition(3)
+    rows = token_binary.token_table(table).orderBy("start").collect()
+    docs = sorted(table.withColumn("h", F.xxhash64("text")).collect(),
+                  key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text is not None, (r.text or "").encode()))
     at = 0
     for r, d in zip(rows, docs):
         ids = tok.encode(d.text or "", add_special_tokens=False).ids + [2]
