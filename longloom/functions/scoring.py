@@ -118,9 +118,9 @@ def rouge1_f(pred: Column | str, target: Column | str, stemmer=None) -> Column:
     return f1_tokens(rouge_tokens(pred, stemmer), rouge_tokens(target, stemmer))
 
 
-def needle_score(response: Column | str, needle: Column | str) -> Column:
-    """Score stored with each needle result: ROUGE-1 F times 10."""
-    return rouge1_f(response, needle) * 10
+def needle_score(response: Column | str, needle: Column | str, stemmer=None) -> Column:
+    """Score stored with each needle result: ROUGE-1 F times 10 (``stemmer`` maps the array of tokens)."""
+    return rouge1_f(response, needle, stemmer) * 10
 
 
 def needle_recall(response: Column | str, expected: str = K.EXPECTED_ANSWER, dedup: bool = False) -> Column:

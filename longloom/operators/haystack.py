@@ -81,20 +81,24 @@ def default_grid(spark: SparkSession, sigmoid: bool = False) -> DataFrame:
 
 # ------------------------------------------------------------------ haystack
 
-MAX_GROUPS = 1000
+LITERAL_GROUPS = 1000
 
 
 def _reach(t: DataFrame, ranges: DataFrame, lo: int, width: int) -> DataFrame:
-    """Rows of ``t`` up to the last wanted range of their group, as literal bounds on the order column
-    (one per group), so that the scan skips the row groups beyond them."""
-    last = ranges.groupBy("g").agg(F.max("bk").alias("bk")).limit(MAX_GROUPS + 1).collect()
-    if len(last) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} haystack groups")
+    """Rows of ``t`` up to the last wanted range of their group.
+
+    For up to ``LITERAL_GROUPS`` groups these are literal bounds on the order column (one per group), so
+    that the scan skips the row groups beyond them; more groups are joined, behind the greatest bound."""
+    reach = ranges.groupBy(F.col("g").alias("_g")).agg((F.lit(lo) + (F.max("bk") + 1) * width).alias("_end"))
+    last = reach.limit(LITERAL_GROUPS + 1).collect()
+    if len(last) > LITERAL_GROUPS:
+        top = reach.agg(F.max("_end")).first()[0]
+        return t.filter(F.col("o") < F.lit(top)).join(
+            reach, F.col("g").eqNullSafe(F.col("_g")) & (F.col("o") < F.col("_end")), "left_semi")
     keep = F.lit(False)
     for r in last:
-        keep = keep | (F.col("g").eqNullSafe(F.lit(r.g)) & (F.col("o") < F.lit(lo + (r.bk + 1) * width)))
-    top = max((r.bk for r in last), default=-1)
-    return t.filter(F.col("o") < F.lit(lo + (top + 1) * width)).filter(keep)
+        keep = keep | (F.col("g").eqNullSafe(F.lit(r["_g"])) & (F.col("o") < F.lit(r["_end"])))
+    return t.filter(F.col("o") < F.lit(max((r["_end"] for r in last), default=lo))).filter(keep)
 
 
 def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "doc_id", text: str = "text",
@@ -159,7 +163,7 @@ def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "
         guess *= 4
     # per group: exact total when all ranges were counted, else at least max_len (one pass)
     tot = named(st.filter(F.col("tok") > 0).select("g", "tok", "covered"))
-    bt = bt.join(F.broadcast(tot), same(bt, tot))
+    bt = bt.join(tot, same(bt, tot))
     bt = bt.select("g", "bk", "bn", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("within"),
                    F.col("tok").alias("total"),
                    F.when(F.col("covered"), F.ceil(F.lit(max_len) / F.col("tok"))).otherwise(F.lit(1))
@@ -172,7 +176,7 @@ def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "
     # select the needed documents first, tokenize only those
     d = _reach(t, bp, lo, width).withColumn("bk", bucket)
     want = named(bp.select("g", "bk", "pass", "off", "passes"))
-    j = d.join(F.broadcast(want), same(d, want, "bk")).drop("_g", "_bk")
+    j = d.join(want, same(d, want, "bk")).drop("_g", "_bk")
     j = j.withColumn("toks", split(F.col("text"))).withColumn("n", F.size("toks").cast("long")).drop("text")
     w = Window.partitionBy("g", "pass", "bk").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("prior", F.col("off") + F.sum("n").over(w) - F.col("n")).filter(F.col("prior") < max_len)
@@ -251,14 +255,14 @@ def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens:
 def materialize(cells: DataFrame, hay: DataFrame, needle: str, group: str = "lang") -> DataFrame:
     """Add ``context`` (text with the needle inserted) to needle cells.
 
-    Cells are spread over all cores by (haystack, length, depth) and meet the few haystack texts
-    (groups x ``max_len`` tokens, broadcast); each context is two substrings around the needle (the
+    Cells are spread over all cores by (haystack, length, depth) and meet the haystack texts (groups x
+    ``max_len`` tokens; Spark broadcasts them where they are few); each context is two substrings around the needle (the
     tokenizer is lossless, so character offsets of token boundaries cut the text exactly).
     """
     text = hay.select(F.col(group).alias("_g"), F.array_join("tokens", "").alias("_text"))
     tasks = hay.sparkSession.sparkContext.defaultParallelism
     spread = cells.repartition(tasks, group, "context_length", "depth_percent")
-    j = spread.join(F.broadcast(text), spread[group].eqNullSafe(F.col("_g")))
+    j = spread.join(text, spread[group].eqNullSafe(F.col("_g")))
     left = F.substring(F.col("_text"), F.lit(1), F.col("ins_chars"))
     right = F.substring(F.col("_text"), F.col("ins_chars") + 1, F.col("ctx_chars") - F.col("ins_chars"))
     return j.withColumn("context", F.concat(left, F.lit(needle), right)).drop("_text", "_g")

@@ -5,8 +5,8 @@ into a single task (or, partitioned by source, put the largest source into a
 single task).  Instead rows are cut into range buckets of the ordering key:
 
 1. per (group, bucket) totals - a partial aggregate, tiny output;
-2. running sum over the bucket totals (at most groups x buckets rows, which is
-   bounded by the parameters, so it is broadcast);
+2. running sum over the bucket totals (at most groups x buckets rows; joined back
+   by (group, bucket), broadcast by Spark where its size allows it);
 3. window *inside* each (group, bucket) partition, plus the bucket offset.
 
 The bucket must be monotone in the ordering key (e.g. the first hex digits of
@@ -30,9 +30,11 @@ def hex_bucket(key: Column | str, digits: int) -> Column:
 
 def running_sum(df: DataFrame, value: str, order: Sequence[str], bucket: Column,
                 by: Sequence[str] = (), out: str = "incl", bucket_offset_max: Column | int | None = None,
-                keep_bucket_cols: bool = False, broadcast_offsets: bool = True) -> DataFrame:
+                keep_bucket_cols: bool = False) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``value`` within ``by`` ordered by ``order``.
 
+    Null groups are groups and null ordering keys come first; no row is lost.
+
     ``bucket_offset_max``: when given, rows of buckets whose offset (sum of all
     earlier buckets in the group) is above it are dropped *before* the row-level
     window: a budget cut never needs them, and the window then only sorts the
@@ -41,14 +43,19 @@ def running_sum(df: DataFrame, value: str, order: Sequence[str], bucket: Column,
     """
     by = list(by)
     order = list(order)
-    b = df.withColumn("_bk", bucket)
+    # a null ordering key sorts first, so its bucket lies before all others
+    b = df.withColumn("_bk", F.coalesce(bucket.cast("long"), F.lit(-1)))
     totals = b.groupBy(*by, "_bk").agg(F.sum(value).alias("_bt"))
     wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(totals.schema["_bt"].dataType)
-    offsets = totals.select(*by, "_bk", F.coalesce(F.sum("_bt").over(wb), zero).alias("_bo"))
-    # groups x buckets rows: bounded by the parameters when the groups are (sources, languages);
-    # with data-sized groups (e.g. one per conversation) pass broadcast_offsets=False
-    j = b.join(F.broadcast(offsets) if broadcast_offsets else offsets, on=[*by, "_bk"], how="inner")
+    named = [f"_by{i}" for i in range(len(by))]
+    offsets = totals.select(*[F.col(c).alias(n) for c, n in zip(by, named)], F.col("_bk").alias("_bkey"),
+                            F.coalesce(F.sum("_bt").over(wb), zero).alias("_bo"))
+    # a group may be null; Spark broadcasts the offsets (groups x buckets rows) when their size allows it
+    same = F.col("_bk") == F.col("_bkey")
+    for c, n in zip(by, named):
+        same = same & b[c].eqNullSafe(F.col(n))
+    j = b.join(offsets, same).drop("_bkey", *named)
     if bucket_offset_max is not None:
         lim = bucket_offset_max if isinstance(bucket_offset_max, Column) else F.lit(bucket_offset_max)
         j = j.filter(F.col("_bo") <= lim)

@@ -26,6 +26,8 @@ from .. import constants as K
 from ..session import cut_lineage
 from .prefix import hex_bucket, running_sum
 
+# rows of one doc_id share a stream key; rows that agree in all three are interchangeable
+TIES = ["k", "source", "n_chars"]
 MODES = ("none", "global", "per_source", "upsample_code_arxiv_book")
 
 
@@ -93,13 +95,13 @@ def mix_frame(spark, mix: list[tuple[str, float]]) -> DataFrame:
 
 
 def order_key(doc_id: Column, seed: int = K.ORDER_SEED) -> Column:
-    """Stream position: md5 of '<seed>:<doc_id>' (hex, uniform, unique per id)."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string")))
+    """Stream position: md5 of '<seed>:<doc_id>' (hex, uniform, unique per id; a null id is empty)."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
 def coin(doc_id: Column, seed: int = K.COIN_SEED) -> Column:
-    """Uniform 32-bit integer per document."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string"))), 1, 8), 16, 10).cast("long")
+    """Uniform 32-bit integer per document id."""
+    return F.conv(F.substring(order_key(doc_id, seed), 1, 8), 16, 10).cast("long")
 
 
 def with_stream_keys(docs: DataFrame, spec: SampleSpec, keep=()) -> DataFrame:
@@ -108,7 +110,7 @@ def with_stream_keys(docs: DataFrame, spec: SampleSpec, keep=()) -> DataFrame:
     d = d.withColumn("k", order_key(F.col("doc_id"), spec.order_seed))
     if spec.mode == "none":
         return d.withColumn("pass", F.lit(True))
-    keep = (F.col("n_chars") >= F.lit(spec.threshold_chars)) | (coin(F.col("doc_id"), spec.coin_seed) <= F.lit(spec.coin_cut))
+    keep = (F.coalesce("n_chars", F.lit(0)) >= F.lit(spec.threshold_chars)) | (coin(F.col("doc_id"), spec.coin_seed) <= F.lit(spec.coin_cut))
     return d.withColumn("pass", keep)
 
 
@@ -157,14 +159,14 @@ class SampleResult:
     def candidates(self, documents: DataFrame) -> DataFrame:
         """Corpus rows that can be admitted, found without a shuffle: coin passed, before the
         stop key, and in a (source, stream-key bucket) that holds admitted rows.  The bucket
-        table has at most sources x 16^digits rows (broadcast).  Returns ``doc_id, text``."""
+        table has at most sources x 16^digits rows.  Returns ``doc_id, source, n_chars, text``."""
         digits = self.spec.bucket_digits
-        buckets = self.admitted.select("source", hex_bucket("k", digits).alias("_bk")).distinct()
+        buckets = self.admitted.select(F.col("source").alias("_src"), hex_bucket("k", digits).alias("_bkey")).distinct()
         d = with_stream_keys(documents, self.spec, keep=["text"]).filter("pass")
         if self.stop_key is not None:
             d = d.filter(F.col("k") <= F.lit(self.stop_key))
-        d = d.withColumn("_bk", hex_bucket("k", digits)).join(F.broadcast(buckets), ["source", "_bk"])
-        return d.select("doc_id", "text")
+        near = F.col("source").eqNullSafe(F.col("_src")) & (hex_bucket("k", digits) == F.col("_bkey"))
+        return d.join(buckets, near, "left_semi").select("doc_id", "source", "n_chars", "text")
 
     def scanned(self) -> DataFrame:
         k = self.keyed
@@ -182,7 +184,9 @@ class SampleResult:
             F.count_if(F.col("admit")).alias("passed"),
             F.count_if(F.col("filtered")).alias("filtered"))
         scanned = self.scanned().groupBy("source").agg(F.count(F.lit(1)).alias("scanned"))
-        r = scanned.join(charged, "source", "left").fillna(0, ["used_chars", "passed", "filtered"])
+        charged = charged.withColumnRenamed("source", "_src")
+        r = scanned.join(charged, F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src").fillna(
+            0, ["used_chars", "passed", "filtered"])
         if self.budget_table is not None:
             # one row per source of the mix: broadcast
             b = F.broadcast(self.budget_table.select("source", "budget_tokens"))
@@ -203,8 +207,8 @@ def sample(docs: DataFrame, spec: SampleSpec, mix: DataFrame | None = None, chec
         x = float(spec.total_tokens) * K.CHARS_PER_TOKEN
         d = keyed.withColumn("bf", F.lit(math.floor(x))).withColumn("bc", F.lit(math.ceil(x)))
         by = []
-    d = d.withColumn("v", F.when(F.col("pass"), F.col("n_chars")).otherwise(F.lit(0)).cast("long"))
-    w = running_sum(d, "v", ["k"], hex_bucket("k", spec.bucket_digits), by=by, out="incl",
+    d = d.withColumn("v", F.when(F.col("pass"), F.coalesce("n_chars", F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    w = running_sum(d, "v", TIES, hex_bucket("k", spec.bucket_digits), by=by, out="incl",
                     bucket_offset_max=F.col("bf"))
     w = (w.withColumn("prior", F.col("incl") - F.col("v"))
           .withColumn("admit", F.col("pass") & (F.col("prior") <= F.col("bf")))
@@ -240,7 +244,7 @@ def unknown_sources(docs: DataFrame, mix: DataFrame) -> DataFrame:
 def budget_prefix(docs: DataFrame, spec: SampleSpec, mix: DataFrame) -> DataFrame:
     """Running admitted length per source for every coin-passing document (no cut)."""
     d = attach_budgets(with_stream_keys(docs, spec), mix, spec).filter("pass")
-    w = running_sum(d, "n_chars", ["k"], hex_bucket("k", spec.bucket_digits), by=["source"], out="incl")
+    w = running_sum(d, "n_chars", TIES, hex_bucket("k", spec.bucket_digits), by=["source"], out="incl")
     return w.select("doc_id", "source", "n_chars", "k", "incl", (F.col("incl") - F.col("n_chars")).alias("prior"))
 
 

@@ -31,11 +31,11 @@ def _pass_sql(spec: SampleSpec) -> str:
     if spec.mode == "none":
         return "true"
     return (f"(n_chars >= {spec.threshold_chars} OR "
-            f"('0x' || substr(md5('{spec.coin_seed}:' || doc_id::VARCHAR), 1, 8))::BIGINT <= {spec.coin_cut})")
+            f"('0x' || substr(md5('{spec.coin_seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT <= {spec.coin_cut})")
 
 
 def _keyed_sql(spec: SampleSpec) -> str:
-    return (f"SELECT doc_id, source, n_chars, md5('{spec.order_seed}:' || doc_id::VARCHAR) AS k, "
+    return (f"SELECT doc_id, source, n_chars, md5('{spec.order_seed}:' || coalesce(doc_id::VARCHAR, '')) AS k, "
             f"{_pass_sql(spec)} AS pass FROM documents")
 
 
@@ -58,7 +58,7 @@ def sampling_ctes(spec: SampleSpec, m=None) -> str:
 {bud_ctes(spec, m)},
 d AS ({_keyed_sql(spec)}),
 w AS (SELECT d.*, bud.bf, bud.bc, CASE WHEN pass THEN n_chars ELSE 0 END AS v,
-             CAST(sum(CASE WHEN pass THEN n_chars ELSE 0 END) OVER (PARTITION BY d.source ORDER BY k
+             CAST(sum(CASE WHEN pass THEN n_chars ELSE 0 END) OVER (PARTITION BY d.source ORDER BY k, n_chars
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS incl
       FROM d JOIN bud ON d.source = bud.source),
 w2 AS (SELECT *, incl - v AS prior, (pass AND incl - v <= bf) AS admit,
@@ -71,7 +71,7 @@ adm AS (SELECT w2.* FROM w2, stop WHERE admit AND (stop.stop IS NULL OR k <= sto
     return f"""
 d AS ({_keyed_sql(spec)}),
 w AS (SELECT d.*, CAST({math.floor(x)} AS BIGINT) AS bf, CASE WHEN pass THEN n_chars ELSE 0 END AS v,
-             CAST(sum(CASE WHEN pass THEN n_chars ELSE 0 END) OVER (ORDER BY k
+             CAST(sum(CASE WHEN pass THEN n_chars ELSE 0 END) OVER (ORDER BY k, source, n_chars
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS incl
       FROM d),
 w2 AS (SELECT *, incl - v AS prior, (pass AND incl - v <= bf) AS admit,
@@ -193,7 +193,7 @@ def q_sampling_report(spark, sf_dir):
 @register("budget_prefix", f"""WITH {bud_ctes(FX.SPEC_PER_SOURCE, FX.MIX_TEST)},
 d AS ({_keyed_sql(FX.SPEC_PER_SOURCE)}),
 p AS (SELECT d.doc_id, d.source, d.n_chars, d.k,
-             CAST(sum(n_chars) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS incl
+             CAST(sum(n_chars) OVER (PARTITION BY d.source ORDER BY k, n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS incl
       FROM d JOIN bud ON d.source = bud.source WHERE pass)
 SELECT doc_id, source, n_chars, k, incl, incl - n_chars AS prior FROM p""")
 def q_budget_prefix(spark, sf_dir):
@@ -206,12 +206,35 @@ def q_unknown_sources(spark, sf_dir):
     return sampling.unknown_sources(docs(spark, sf_dir), mix(spark, FX.MIX_MISSING))
 
 
-@register("shuffle_order", f"""SELECT doc_id, md5('{K.ORDER_SEED}:' || doc_id::VARCHAR) AS k,
-row_number() OVER (ORDER BY md5('{K.ORDER_SEED}:' || doc_id::VARCHAR)) - 1 AS pos FROM documents""")
+@register("shuffle_order", f"""SELECT doc_id, md5('{K.ORDER_SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k,
+row_number() OVER (ORDER BY md5('{K.ORDER_SEED}:' || coalesce(doc_id::VARCHAR, ''))) - 1 AS pos FROM documents""")
 def q_shuffle_order(spark, sf_dir):
     return sampling.stream_position(docs(spark, sf_dir), FX.SPEC_PER_SOURCE)
 
 
+# documents with null and repeated ids: every third id is that of its neighbours, every seventh is null
+_ODD_IDS = "(SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id - doc_id % 3 END AS doc_id, source, n_chars FROM documents)"
+
+
+def odd_ids(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", "source", "n_chars")
+    return d.withColumn("doc_id", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id") - F.col("doc_id") % 3))
+
+
+@register("sample_odd_ids", _admitted_sql(FX.SPEC_PER_SOURCE_LARGE, FX.MIX_TEST).replace("FROM documents", f"FROM {_ODD_IDS}")
+          .replace("SELECT doc_id, source, n_chars, k, prior", "SELECT coalesce(doc_id, -1) AS doc_id, source, n_chars, k, prior"))
+def q_sample_odd_ids(spark, sf_dir):
+    a = sampling.sample(odd_ids(spark, sf_dir), FX.SPEC_PER_SOURCE_LARGE, mix(spark, FX.MIX_TEST)).admitted
+    return a.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+
+
+@register("shuffle_order_odd_ids", f"""SELECT coalesce(doc_id, -1) AS doc_id, md5('{K.ORDER_SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k,
+row_number() OVER (ORDER BY md5('{K.ORDER_SEED}:' || coalesce(doc_id::VARCHAR, ''))) - 1 AS pos FROM {_ODD_IDS}""")
+def q_shuffle_order_odd_ids(spark, sf_dir):
+    p = sampling.stream_position(odd_ids(spark, sf_dir), FX.SPEC_PER_SOURCE)
+    return p.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+
+
 @register("corpus_scan_json", """WITH c AS (SELECT source, text, n_chars, md5(coalesce(source, '') || chr(31) || coalesce(text, '')) AS c FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n_chars) AS nth FROM c)
 SELECT CAST('0x' || substr(md5(c || ':' || nth), 1, 15) AS BIGINT) AS doc_id, source, n_chars, md5(text) AS text_md5 FROM n""")

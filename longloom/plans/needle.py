@@ -2,10 +2,11 @@
 
 Haystacks are the documents of each language, in ``doc_id`` order.  Model results are made from the
 conversations (no model is run): every assistant turn is the result of one cell, its response the
-first ``j`` words of the needle and the turn's text, ``j`` from the turn's hash; ``j = 0`` gives a
-null response, turns with ``j = 1`` are left out (so the resume query has work to find), ``j = 3``
-has no version (counts as 1), ``j = 5`` only has a version-2 result (still to run for version 1),
-and ``j = 4`` has a second, duplicate result with the first eight words (cell means average both).
+first ``j`` words of the needle and the turn's text, ``j`` from the turn's hash.  ``j = 3`` has no
+version (counts as 1), ``j = 5`` only has a version-2 result (still to run for version 1), and
+``j = 4`` has a second, duplicate result with the first eight words (cell means average both).  Whole
+cells are unfinished, so that the resume query has work to find: no turn is assigned to every
+eleventh cell.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BUF = K.FINAL_CONTEXT_LENGTH_BUFFER
 MODEL_PREFIX = "lab/needle-1.0-"
 RESULT_TS = "2024-01-01 00:00:00"
 LANGS = ["de", "en", "es", "fr"]
+N_CELLS = len(LANGS) * K.CONTEXT_LENGTHS_INTERVALS * K.DEPTH_PERCENT_INTERVALS
+UNFINISHED = 11                 # every so manieth cell gets no result
 
 # grid values for the oracle, in closed form in SQL: i-th of n evenly spaced values, half to even
 _STEP_LEN = f"{K.CONTEXT_LENGTHS_MIN} + i * ({K.CONTEXT_LENGTHS_MAX} - {K.CONTEXT_LENGTHS_MIN}) / CAST({K.CONTEXT_LENGTHS_INTERVALS - 1} AS DOUBLE)"
@@ -65,22 +68,24 @@ def cells(spark, sf_dir, sigmoid=False, h=None):
 
 
 def results(spark, sf_dir):
-    """One result for every assistant turn but those with ``j = 1`` (about one in 22; the given SQL leaves them
-    out as well), assigned to a (language, length, depth) cell by its hash.  ``j = 0`` has a null response.
+    """One result for every assistant turn, assigned to a (language, length, depth) cell by its hash.
 
-    The response is the first ``j`` words of the needle followed by the turn's own text."""
+    The response is the first ``j`` words of the needle followed by the turn's own text (null for a
+    null text)."""
     lengths, depths = H.default_axes()
     c = FX.assistant_turns(spark, sf_dir)
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), 1, 8),
                16, 10).cast("long")
-    n_len, n_depth, n_lang = K.CONTEXT_LENGTHS_INTERVALS, K.DEPTH_PERCENT_INTERVALS, len(LANGS)
+    n_len, n_lang = K.CONTEXT_LENGTHS_INTERVALS, len(LANGS)
     words = F.array(*[F.lit(w) for w in NEEDLE_WORDS])
-    r = c.withColumn("h", h).select(
-        F.concat(F.lit(MODEL_PREFIX), F.element_at(F.array(*[F.lit(x) for x in LANGS]), (F.col("h") % n_lang + 1).cast("int"))).alias("model"),
-        F.element_at(lengths, (F.floor(F.col("h") / n_lang) % n_len + 1).cast("int")).cast("int").alias("context_length"),
-        F.element_at(depths, (F.floor(F.col("h") / (n_lang * n_len)) % n_depth + 1).cast("int")).cast("double").alias("depth_percent"),
-        (F.col("h") % (len(NEEDLE_WORDS) + 1)).cast("int").alias("j"), "text").filter("j != 1")
-    resp = F.when(F.col("j") == 0, F.lit(None).cast("string")).otherwise(
+    c = c.withColumn("h", h).withColumn("cell", F.col("h") % N_CELLS)
+    c = c.withColumn("cell", F.col("cell") + (F.col("cell") % UNFINISHED == 0).cast("int"))
+    r = c.select(
+        F.concat(F.lit(MODEL_PREFIX), F.element_at(F.array(*[F.lit(x) for x in LANGS]), (F.col("cell") % n_lang + 1).cast("int"))).alias("model"),
+        F.element_at(lengths, (F.floor(F.col("cell") / n_lang) % n_len + 1).cast("int")).cast("int").alias("context_length"),
+        F.element_at(depths, (F.floor(F.col("cell") / (n_lang * n_len)) + 1).cast("int")).cast("double").alias("depth_percent"),
+        (F.col("h") % (len(NEEDLE_WORDS) + 1)).cast("int").alias("j"), "text")
+    resp = F.when(F.col("j") == 0, F.col("text")).otherwise(
         F.concat(F.array_join(F.slice(words, 1, F.col("j")), " "), F.lit(" "), F.col("text")))
     version = F.when(F.col("j") == 3, F.lit(None).cast("int")).when(F.col("j") == 5, F.lit(2)).otherwise(F.lit(1))
     r = r.select("model", "context_length", "depth_percent", version.alias("version"),
@@ -144,13 +149,13 @@ _N = (len(LANGS), K.CONTEXT_LENGTHS_INTERVALS, K.DEPTH_PERCENT_INTERVALS)
 RESULTS_SQL = f"""gl AS ({LENGTHS_SQL}),
 gd AS ({DEPTHS_SQL}),
 axes AS (SELECT (SELECT list(context_length ORDER BY context_length) FROM gl) AS ls, (SELECT list(depth_percent ORDER BY depth_percent) FROM gd) AS ds),
-rj AS (SELECT text, CAST('0x' || substr(md5(conv_id || ':' || turn), 1, 8) AS BIGINT) AS h FROM conversations WHERE role = 'assistant'),
-rk AS (SELECT *, h % {len(NEEDLE_WORDS) + 1} AS j FROM rj),
-res1 AS (SELECT {sql_str(MODEL_PREFIX)} || ({_list(LANGS)})[h % {_N[0]} + 1] AS model, ls[(h // {_N[0]}) % {_N[1]} + 1] AS context_length,
-        ds[(h // {_N[0] * _N[1]}) % {_N[2]} + 1] AS depth_percent,
+rj AS (SELECT text, CAST('0x' || substr(md5(concat_ws(':', conv_id, turn)), 1, 8) AS BIGINT) AS h FROM conversations WHERE role = 'assistant'),
+rk AS (SELECT *, h % {len(NEEDLE_WORDS) + 1} AS j, h % {N_CELLS} + CAST(h % {N_CELLS} % {UNFINISHED} = 0 AS BIGINT) AS cell FROM rj),
+res1 AS (SELECT {sql_str(MODEL_PREFIX)} || ({_list(LANGS)})[cell % {_N[0]} + 1] AS model, ls[(cell // {_N[0]}) % {_N[1]} + 1] AS context_length,
+        ds[cell // {_N[0] * _N[1]} + 1] AS depth_percent,
         CASE WHEN j = 3 THEN NULL WHEN j = 5 THEN 2 ELSE 1 END AS version, {sql_str(NEEDLE)} AS needle,
-        CASE WHEN j = 0 THEN NULL ELSE array_to_string(({_list(NEEDLE_WORDS)})[1:j], ' ') || ' ' || text END AS model_response, j
-        FROM rk, axes WHERE j <> 1),
+        CASE WHEN j = 0 THEN text ELSE array_to_string(({_list(NEEDLE_WORDS)})[1:j], ' ') || ' ' || text END AS model_response, j
+        FROM rk, axes),
 res0 AS (SELECT * FROM res1 UNION ALL
          SELECT model, context_length, depth_percent, version, needle,
                 array_to_string(({_list(NEEDLE_WORDS)})[1:8], ' ') AS model_response, j FROM res1 WHERE j = 4),

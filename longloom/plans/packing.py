@@ -78,7 +78,7 @@ def q_right_aligned_windows(spark, sf_dir):
 def tokenized_sample(spark, sf_dir, spec=FX.SPEC_PER_SOURCE_LARGE, m=FX.MIX_TEST):
     d = docs(spark, sf_dir)
     r = sampling.sample(d, spec, mix(spark, m))
-    t = packing.attach_text(r.admitted.select("doc_id", "source", "k"), d, candidates=r.candidates)
+    t = packing.attach_text(r.admitted.select("doc_id", "source", "n_chars", "k"), d, candidates=r.candidates)
     return packing.persist_tokens(packing.with_token_ids(t))
 
 
@@ -123,7 +123,7 @@ SELECT chunk_id, source, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER)
 def q_pack_spans(spark, sf_dir):
     d = docs(spark, sf_dir)
     r = sampling.sample(d, FX.SPEC_PER_SOURCE_LARGE, mix(spark, FX.MIX_TEST))
-    t = packing.attach_text(r.admitted.select("doc_id", "source", "k"), d, candidates=r.candidates)
+    t = packing.attach_text(r.admitted.select("doc_id", "source", "n_chars", "k"), d, candidates=r.candidates)
     t = t.select("source", "k", TK.token_count(TK.tokenize("text")).cast("long").alias("n"))
     return packing.pack_spans(t, C)
 
@@ -176,11 +176,9 @@ def q_split_spans(spark, sf_dir):
     from ..sources.tables import read_table
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role",
                                                            F.length("text").cast("long").alias("n"))
-    # per-conversation offsets are data-sized: joined by shuffle, not broadcast
-    c = running_sum(c, "n", ["turn"], range_bucket(c, "turn", 64), by=["conv_id"], out="e",
-                    broadcast_offsets=False)
-    size = c.groupBy("conv_id").agg(F.floor(F.sum("n") / 2).cast("long").alias("size"))
-    c = c.join(size, "conv_id")
+    c = running_sum(c, "n", ["turn"], range_bucket(c, "turn", 64), by=["conv_id"], out="e")
+    size = c.groupBy(F.col("conv_id").alias("_conv")).agg(F.floor(F.sum("n") / 2).cast("long").alias("size"))
+    c = c.join(size, F.col("conv_id").eqNullSafe(F.col("_conv")))
     ks, ke, cs, ce = packing.split_span_columns(F.col("e") - F.col("n"), F.col("e"), F.col("size"))
     # an absent part is marked -1
     parts = [F.coalesce(x, F.lit(-1)).cast("long").alias(a) for x, a in

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators import packing as P
 from ..operators.prefix import hex_bucket, running_sum
-from ..operators.sampling import SampleSpec, attach_budgets, order_key, with_stream_keys
+from ..operators.sampling import TIES, SampleSpec, attach_budgets, order_key, with_stream_keys
 from ..session import scratch_path
 from ..sources.tables import DOCUMENTS
 
@@ -98,7 +98,7 @@ def stream_sample(spark: SparkSession, stream_df: DataFrame, spec: SampleSpec, m
         # state rows: one per source of the mix (bounded) -> broadcast
         d = d.join(F.broadcast(prev), "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
         d = d.withColumn("v", F.when(F.col("pass"), F.col("n_chars")).otherwise(F.lit(0)).cast("long"))
-        w = running_sum(d, "v", ["k"], hex_bucket("k", spec.bucket_digits), by=["source"], out="incl",
+        w = running_sum(d, "v", TIES, hex_bucket("k", spec.bucket_digits), by=["source"], out="incl",
                         bucket_offset_max=F.col("bf") - F.col("used"))
         w = w.withColumn("prior", F.col("used") + F.col("incl") - F.col("v"))
         adm = w.filter(F.col("pass") & (F.col("prior") <= F.col("bf"))).select(

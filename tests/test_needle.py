@@ -118,3 +118,33 @@ def test_haystacks_of_sparse_clustered_and_null_groups(spark):
     for g in (None, "g0", "g1"):
         text = "".join(t for _, lang, t in sorted(rows) if lang == g)
         assert got[g] == (text * 90).split()[:90]
+
+
+def test_more_groups_than_literal_bounds(spark, monkeypatch):
+    rows = [(i, f"g{i % 30}" if i % 30 else None, f"w{i} x. ") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    key = lambda h: sorted((r.lang or "", r.passes, r.tokens) for r in h.collect())
+    want = key(H.haystacks(df, 40))
+    monkeypatch.setattr(H, "LITERAL_GROUPS", 7)
+    assert key(H.haystacks(df, 40)) == want and len(want) == 30
+
+
+def test_every_turn_is_scored(spark):
+    from conftest import SF01
+    from longloom.plans import fixtures as FX
+    from longloom.plans import needle
+    r = needle.results(spark, SF01)
+    turns = FX.assistant_turns(spark, SF01)
+    text = {t.text for t in turns.collect()}
+    rows = r.select("model_response", "score").collect()
+    doubled = sum(x.model_response == " ".join(needle.NEEDLE_WORDS[:8]) for x in rows)
+    assert len(rows) == turns.count() + doubled and all(x.model_response is not None and x.score is not None for x in rows)
+    assert all(any(x.model_response.endswith(t) for t in text) for x in rows if x.model_response != " ".join(needle.NEEDLE_WORDS[:8]))
+
+
+def test_stemmed_needle_score(spark):
+    from longloom.functions import scoring as S
+    df = spark.createDataFrame([("walks dogs", "walk dog")], "p string, t string")
+    stem = lambda t: F.transform(t, lambda w: F.rtrim(w, F.lit("s")))
+    r = df.select(S.needle_score("p", "t").alias("a"), S.needle_score("p", "t", stem).alias("b")).first()
+    assert r.a == 0 and r.b == 10

@@ -146,3 +146,30 @@ def test_report_budget_and_fill(spark, docs_mid):
         assert row.fill == pytest.approx(row.used_chars / 3.68 / row.budget_tokens)
         # a source never goes over its budget by more than its last admitted document
         assert row.used_chars / 3.68 <= row.budget_tokens + 128_657 / 3.68
+
+
+def test_null_and_repeated_ids_keep_every_row(spark):
+    """Four rows in, four positions, four admitted rows and four texts out, each text once."""
+    from longloom.operators import packing
+    rows = [(None, "a", 9, "null id"), (7, "a", 4, "once"), (7, "a", 4, "again"), (7, "b", 4, "elsewhere"), (None, None, 5, "no source")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, text string")
+    spec = SampleSpec(total_tokens=1000, mode="none")
+    pos = sampling.stream_position(docs, spec).collect()
+    assert sorted(r.pos for r in pos) == list(range(5))
+    res = sampling.sample(docs, spec)
+    assert sorted(r.offset for r in res.admitted.collect())[0] == 0 and res.admitted.count() == 5
+    for candidates in (None, res.candidates):
+        text = packing.attach_text(res.admitted, docs, candidates=candidates).collect()
+        assert sorted(r.text for r in text) == sorted(r[3] for r in rows)
+    mix = sampling.mix_frame(spark, [("a", 0.5), ("b", 0.5)])
+    lenient = sampling.sample(docs, SampleSpec(total_tokens=1000, ratio=1.0, strict_sources=False), mix)
+    assert sorted(r.source for r in lenient.admitted.collect()) == ["a", "a", "a", "b"]
+
+
+def test_running_sum_of_null_groups_and_keys(spark):
+    from longloom.operators.prefix import range_bucket, running_sum
+    rows = [(None, 1, 5), (None, None, 2), ("g", 1, 7), ("g", 3, 1), ("g", None, 4), (None, 9, 1)]
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    got = sorted((r.g or "", r.o if r.o is not None else -1, r.s) for r in
+                 running_sum(df, "v", ["o"], range_bucket(df, "o", 2), by=["g"], out="s").collect())
+    assert got == [("", -1, 2), ("", 1, 7), ("", 9, 8), ("g", -1, 4), ("g", 1, 11), ("g", 3, 12)]
