@@ -19,7 +19,7 @@ the number of borders doubles) until both sides agree or the whole text has been
 
 **Decoding.**  Ids become bytes by the table of the vocabulary, invalid UTF-8 becomes U+FFFD.
 
-Texts and ids travel compressed.  Blocks hold about ``BLOCK_BYTES`` of text or one longer document, cells a
+Texts (block sorting) and ids travel compressed.  Blocks hold about ``BLOCK_BYTES`` of text or one longer document, cells a
 bounded share of the table (one for each shuffle partition), so tasks work in bounded memory.
 Documents are never grouped by a key of theirs, so no source or group of copies is hot.
 
@@ -30,6 +30,7 @@ Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import json
 
@@ -132,7 +133,7 @@ def _cut(tokenizer: str, cells: int):
                 new = [f for f in fps if f in texts]
                 if new:
                     yield _row(cell, TEXTS, block, b"", np.array([len(texts[f]) for f in new], "<i4").tobytes(),
-                               z.compress(b"".join(texts[f] for f in new)))
+                               bz2.compress(b"".join(texts[f] for f in new)))
                 yield _row(cell, ASKED, block, b"".join(fps), np.array([index[f] for f in fps], "<i4").tobytes(), None)
             doc_ids = np.array([0 if i is None else i for i in ids], "<i8")
             none = np.array([i is None for i in ids], np.uint8)
@@ -194,7 +195,7 @@ def _encode(tokenizer: str):
     def run(batches):
         import zstandard
         enc = worker_encoder(tokenizer)
-        z, unz = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdCompressor(level=LEVEL)
         at_cell, known, waiting, size = None, {}, [], 0
         flat, per = [], []
 
@@ -210,7 +211,7 @@ def _encode(tokenizer: str):
             if cell != at_cell:
                 at_cell, known, waiting, size, flat, per, start = cell, {}, [], 0, [], [], None
             if kind == TEXTS:
-                raw, lo = unz.decompress(c), 0
+                raw, lo = bz2.decompress(c), 0
                 for n in np.frombuffer(b, "<i4").tolist():
                     piece = raw[lo: lo + n]
                     lo += n
