@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import profile, sampling
+from ..operators import length_sketch, profile, sampling, stream_order
 from ..operators.sampling import SampleSpec
 from ..sources.tables import corpus_scan, read_table
 from ..session import table_path
@@ -128,6 +128,31 @@ def q_length_profile(spark, sf_dir):
     return _profile_view(profile.length_profile(d, "est"))
 
 
+def _sketch_sql() -> str:
+    b, ps = length_sketch.BITS, K.PROFILE_PERCENTILES
+    cols = ", ".join(f"CAST(arg_min(m, low) FILTER (WHERE upto * 100 >= every * {p}) AS BIGINT) AS p{p}" for p in ps)
+    return f"""WITH v AS (SELECT source, n_chars AS v, CAST(greatest(length(bin(n_chars)) - {1 + b}, 0) AS BIGINT) AS s FROM documents),
+bk AS (SELECT source, (v >> s) << s AS low, CAST(1 AS BIGINT) << s AS width, count(*) AS n, sum(v) AS total, min(v) AS vmin, max(v) AS vmax
+       FROM v GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+             sum(n) OVER (PARTITION BY source) AS every,
+             (greatest(low, vmin) + least(low + width - 1, vmax)) // 2 AS m FROM bk),
+g AS (SELECT source, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total, {cols} FROM c GROUP BY source)
+SELECT source, n, total, round(total / sum(total) OVER (), 6) AS portion, {", ".join(f"p{p}" for p in ps)} FROM g"""
+
+
+@register("length_sketch", _sketch_sql())
+def q_length_sketch(spark, sf_dir):
+    """Length profile from stored sketches of three runs, merged without reading the documents again."""
+    from ..session import scratch_path
+    path, d = scratch_path(spark, "length_sketch"), docs(spark, sf_dir)
+    for run in range(3):
+        part = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == run)
+        length_sketch.store(length_sketch.sketch(part, "n_chars"), path, str(run))
+    q = length_sketch.quantiles(length_sketch.load(spark, path))
+    return q.withColumn("portion", F.round("portion", 6))
+
+
 @register("downsample_short", f"WITH d AS ({_keyed_sql(FX.SPEC_PER_SOURCE)}) SELECT doc_id, source, n_chars, k FROM d WHERE pass")
 def q_downsample_short(spark, sf_dir):
     return sampling.downsample_short(docs(spark, sf_dir), FX.SPEC_PER_SOURCE)
@@ -212,6 +237,28 @@ def q_shuffle_order(spark, sf_dir):
     return sampling.stream_position(docs(spark, sf_dir), FX.SPEC_PER_SOURCE)
 
 
+@register("stream_rewrite", f"""SELECT doc_id, md5('{K.ORDER_SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k,
+row_number() OVER (ORDER BY md5('{K.ORDER_SEED}:' || coalesce(doc_id::VARCHAR, ''))) - 1 AS pos FROM documents""")
+def q_stream_rewrite(spark, sf_dir):
+    """The whole corpus written in stream order; positions come from the manifest and the files."""
+    return stream_order.write_stream_order(docs(spark, sf_dir), n_parts=FX.STREAM_PARTS).positions(spark)
+
+
+@register("sample_early_stop", _admitted_sql(FX.SPEC_PER_SOURCE, FX.MIX_TEST))
+def q_sample_early_stop(spark, sf_dir):
+    """Per-source admission over the corpus in stream order, read only until every source is full."""
+    table = stream_order.write_stream_order(docs(spark, sf_dir).select("doc_id", "source", "n_chars"), n_parts=FX.STREAM_PARTS)
+    return stream_order.sample_until_full(spark, table, FX.SPEC_PER_SOURCE, mix(spark, FX.MIX_TEST)).result.admitted
+
+
+@register("scan_prefix_early_stop", f"""WITH {sampling_ctes(FX.SPEC_GLOBAL)}
+SELECT d.source, count(*) AS scanned FROM d, stop WHERE stop.stop IS NULL OR d.k <= stop.stop GROUP BY d.source""")
+def q_scan_prefix_early_stop(spark, sf_dir):
+    table = stream_order.write_stream_order(docs(spark, sf_dir).select("doc_id", "source", "n_chars"), n_parts=FX.STREAM_PARTS)
+    r = stream_order.sample_until_full(spark, table, FX.SPEC_GLOBAL).result
+    return r.scanned().groupBy("source").agg(F.count(F.lit(1)).alias("scanned"))
+
+
 # documents with null and repeated ids: every third id is that of its neighbours, every seventh is null
 _ODD_IDS = "(SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id - doc_id % 3 END AS doc_id, source, n_chars FROM documents)"
 

@@ -49,6 +49,8 @@ SLICE_START = 2
 SLICE_STOP = 8
 N_SHARDS = 4
 N_SEGMENTS = 4
+STREAM_PARTS = 16
+N_LANES = 3
 TRIM_CHARS_LENGTH = 1000
 
 

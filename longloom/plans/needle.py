@@ -20,7 +20,9 @@ from ..functions import scoring as S
 from ..functions import tokens as TK
 from ..operators import haystack as H
 from ..operators import report as R
+from ..session import scratch_path
 from ..sources import io as IO
+from ..sources import results as RS
 from . import fixtures as FX
 from .corpus import docs
 from .packing import TOK_SQL
@@ -281,6 +283,50 @@ def q_needle_resume(spark, sf_dir):
     return R.resume(todo, res).select("model", "context_length", "depth_percent")
 
 
+@register("needle_upsert", f"""WITH {RESULTS_SQL}
+SELECT model, context_length, depth_percent, coalesce(version, 1) AS version, score FROM res""")
+def q_needle_upsert(spark, sf_dir):
+    """Results written by two runs; the second also replays cells of the first, which replaces them."""
+    r = results(spark, sf_dir)
+    path = scratch_path(spark, "needle_cells")
+    RS.upsert_cells(r.filter(F.col("context_length") <= LENGTHS[20]), path)
+    RS.upsert_cells(r.filter(F.col("context_length") > LENGTHS[10]), path)
+    return RS.read_cells(spark, path).select("model", "context_length", "depth_percent",
+                                             F.coalesce("version", F.lit(1)).alias("version"), "score")
+
+
+@register("needle_resume_written", f"""WITH {RESULTS_SQL},
+m AS (SELECT DISTINCT model FROM res WHERE context_length <= {LENGTHS[20]}),
+todo AS (SELECT m.model, CAST(gl.context_length AS INTEGER) AS context_length, gd.depth_percent FROM m, gl, gd)
+SELECT t.model, t.context_length, t.depth_percent FROM todo t
+WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.model = t.model AND r.context_length = t.context_length AND r.context_length <= {LENGTHS[20]}
+                  AND r.depth_percent = t.depth_percent AND coalesce(r.version, 1) = 1)""")
+def q_needle_resume_written(spark, sf_dir):
+    """Cells still to run after a run that wrote the shorter contexts: the folder says what is done."""
+    path = scratch_path(spark, "needle_cells")
+    RS.upsert_cells(results(spark, sf_dir).filter(F.col("context_length") <= LENGTHS[20]), path)
+    done = RS.read_cells(spark, path)
+    todo = H.with_grid(done.select("model").distinct(), *H.default_axes())
+    return R.resume(todo, done).select("model", "context_length", "depth_percent")
+
+
+@register("results_scan", f"""WITH {RESULTS_SQL}
+SELECT model, depth_percent, CAST(1 AS BIGINT) AS n_unreadable, {_PIVOT_COLS} FROM res GROUP BY model, depth_percent""")
+def q_results_scan(spark, sf_dir):
+    """The heat map of a results folder that grew between two scans and holds one unreadable line."""
+    r = results(spark, sf_dir)
+    folder, ledger = scratch_path(spark, "results_folder"), scratch_path(spark, "results_ledger")
+    IO.write_jsonl(r.filter(F.col("depth_percent") <= 50), spark, "", path=f"{folder}/a")
+    RS.scan_results(spark, folder, ledger, whole_files=False)
+    IO.write_jsonl(r.filter(F.col("depth_percent") > 50), spark, "", path=f"{folder}/b")
+    r.limit(1).select(F.lit('{"model": "broken').alias("value")).write.text(f"{folder}/c")
+    RS.scan_results(spark, folder, ledger, whole_files=False)
+    p = R.heatmap(R.with_recall(RS.current_results(spark, ledger)), LENGTHS)
+    bad = RS.quarantine(spark, ledger).count()
+    return p.select("model", "depth_percent", F.lit(bad).cast("long").alias("n_unreadable"),
+                    *[F.round(F.col(str(L)), 6).alias(str(L)) for L in LENGTHS])
+
+
 @register("cell_name", f"""WITH {RESULTS_SQL}
 SELECT model, context_length, depth_percent,
        printf('%s_len_%d_depth_%d', replace(split_part(model, '/', -1), '.', '_'), context_length,
@@ -321,7 +367,6 @@ def q_contexts_write(spark, sf_dir):
                  H.cell_name(F.concat(F.lit(MODEL_PREFIX), F.col("lang")), F.col("context_length"),
                              F.col("depth_percent")).alias("file_name"),
                  needle_prompt(F.col("context")).alias("prompt"))
-    from ..session import scratch_path
     path = scratch_path(spark, "contexts")
     m.write.mode("overwrite").partitionBy("model", "context_length").parquet(path)
     back = spark.read.parquet(path)

@@ -12,20 +12,24 @@ operations inside ``foreachBatch``:
 
 Outputs of batch ``b`` go to ``<out>/batch_id=b`` and are overwritten when a
 batch is replayed after a failure, so the sinks are idempotent.  A source
-that becomes full stops on its own; the original's global stop (all sources
-full) has no keyed form and is not applied (the query ends with
-``availableNow``).
+that becomes full stops on its own; with ``stop_when_full`` the document that
+fills the last source ends the admission as well: the state says which sources
+are full, the batch in which the last one fills admits up to that key, later
+ones admit nothing and the query ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import packing as P
 from ..operators.prefix import hex_bucket, running_sum
 from ..operators.sampling import TIES, SampleSpec, attach_budgets, order_key, with_stream_keys
 from ..session import scratch_path
+from ..sources.io import SPAN
 from ..sources.tables import DOCUMENTS
 
 
@@ -56,11 +60,18 @@ def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 4,
 
 
 def _run(stream_df: DataFrame, fn, spark: SparkSession, name: str, mode: str = "append",
-         checkpoint: str | None = None):
+         checkpoint: str | None = None, finished=None):
+    """Process what is available.  ``finished()`` ends the query before, between two batches."""
     q = (stream_df.writeStream.outputMode(mode).foreachBatch(fn)
          .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt"))
          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    if finished is None:
+        q.awaitTermination()
+    else:
+        while not q.awaitTermination(0.2):
+            if finished():
+                q.stop()
+                break
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return q
@@ -81,36 +92,60 @@ def _previous_state(spark: SparkSession, state_dir: str, batch_id: int, schema:
 # ------------------------------------------------------------------ T1: admission
 
 def stream_sample(spark: SparkSession, stream_df: DataFrame, spec: SampleSpec, mix: DataFrame,
-                  name: str = "stream_sample", base: str | None = None) -> str:
+                  name: str = "stream_sample", base: str | None = None, stop_when_full: bool = False) -> str:
     """Per-source budget admission over a document stream; returns the output folder.
 
     Output rows: ``doc_id, source, n_chars, k, offset`` partitioned by batch id.  Pass the
     same ``base`` folder again to resume after a failure or a stop (output, state and stream
-    checkpoint live under it); by default a fresh folder is used.
+    checkpoint live under it); by default a fresh folder is used.  With ``stop_when_full`` nothing is
+    admitted after the document that fills the last source of the mix, and the query ends there.
     """
     base = base or scratch_path(spark, name)
     out, state_dir = f"{base}/out", f"{base}/state"
-    state_schema = "source string, used long"
+    state_schema = "source string, used long, full boolean"
+    n_sources = mix.select("source").distinct().count() if stop_when_full else 0
+    done = []
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         prev = _previous_state(spark, state_dir, batch_id, state_schema)
+        were_full = prev.filter("full").count() if stop_when_full else 0
+        if stop_when_full and were_full == n_sources:
+            # the scan is over: the state stays, the batch admits nothing
+            prev.coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
+            done.append(batch_id)
+            return
+        last = False
         d = attach_budgets(with_stream_keys(batch, spec), mix, spec)
         # state rows: one per source of the mix (bounded) -> broadcast
         d = d.join(F.broadcast(prev), "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-        d = d.withColumn("v", F.when(F.col("pass"), F.col("n_chars")).otherwise(F.lit(0)).cast("long"))
+        d = d.withColumn("v", F.when(F.col("pass"), F.coalesce("n_chars", F.lit(0))).otherwise(F.lit(0)).cast("long"))
         w = running_sum(d, "v", TIES, hex_bucket("k", spec.bucket_digits), by=["source"], out="incl",
                         bucket_offset_max=F.col("bf") - F.col("used"))
         w = w.withColumn("prior", F.col("used") + F.col("incl") - F.col("v"))
         adm = w.filter(F.col("pass") & (F.col("prior") <= F.col("bf"))).select(
-            "doc_id", "source", "n_chars", "k", F.col("prior").alias("offset")).persist()
-        adm.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        add = adm.groupBy("source").agg(F.sum("n_chars").alias("add"))
-        new = (prev.join(add, "source", "full")
-                   .select("source", (F.coalesce("used", F.lit(0)) + F.coalesce("add", F.lit(0))).cast("long").alias("used")))
+            "doc_id", "source", "n_chars", "k", F.col("prior").alias("offset"),
+            (F.col("used") + F.col("incl") >= F.col("bc")).alias("fills")).persist()
+        held = adm
+        filled = adm.filter("fills").groupBy("source").agg(F.min("k").alias("k_full"))
+        if stop_when_full:
+            now = filled.join(prev.filter("full"), "source", "left_anti").agg(
+                F.count(F.lit(1)).alias("n"), F.max("k_full").alias("k")).first()
+            if were_full + now.n == n_sources:
+                # the last source fills here
+                adm, last = adm.filter(F.col("k") <= F.lit(now.k)), True
+        adm.drop("fills").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        add = adm.groupBy("source").agg(F.sum("n_chars").alias("add"), F.max("fills").alias("fills"))
+        no = F.lit(False)
+        new = prev.join(add, "source", "full").select(
+            "source", (F.coalesce("used", F.lit(0)) + F.coalesce("add", F.lit(0))).cast("long").alias("used"),
+            (F.coalesce("full", no) | F.coalesce("fills", no)).alias("full"))
         new.coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
-        adm.unpersist()
+        held.unpersist()
+        if last:
+            done.append(batch_id)
 
-    _run(stream_df.select("doc_id", "source", "n_chars"), per_batch, spark, name, checkpoint=f"{base}/checkpoint")
+    _run(stream_df.select("doc_id", "source", "n_chars"), per_batch, spark, name, checkpoint=f"{base}/checkpoint",
+         finished=(lambda: bool(done)) if stop_when_full else None)
     return out
 
 
@@ -160,6 +195,82 @@ def stream_pack(spark: SparkSession, stream_df: DataFrame, chunk_size: int, toke
     return out
 
 
+LANE_CHUNK = T.StructType([
+    T.StructField("lane", T.IntegerType()), T.StructField("chunk_id", T.LongType()),
+    T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("labels", T.IntegerType()), T.StructField("source", T.ArrayType(SPAN))])
+_LANE_STATE = "cut long, ids binary, spans string"
+
+
+def lane_of(key: Column, text: Column, lanes: int) -> Column:
+    """Lane of a document by a hash of its stream key and text, so an id with many texts fills every lane."""
+    h = F.md5(F.concat(key, F.md5(F.coalesce(text, F.lit("")))))
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % lanes).cast("int")
+
+
+def _pack_lane(chunk_size: int):
+    """Cut one lane's documents into chunks; what is left (at most ``chunk_size`` tokens) is the state."""
+    def run(key, frames, state):
+        import json
+
+        import numpy as np
+        import pandas as pd
+        cut, raw, spans = state.get if state.exists else (0, b"", "[]")
+        held = [np.frombuffer(raw, np.int32)]
+        spans = json.loads(spans)                          # [source, tokens] runs of what is held
+        n = len(held[0])
+        rows = pd.concat(list(frames)).sort_values("k", kind="stable")
+        out = []
+        for source, ids in zip(rows["source"], rows["input_ids"]):
+            if ids is None or not len(ids):
+                continue
+            held.append(np.asarray(ids, np.int32))
+            spans.append([None if source is None else str(source), len(ids)])
+            n += len(ids)
+            if n <= chunk_size:
+                continue
+            flat, at = np.concatenate(held), 0
+            while n - at > chunk_size:                     # the token after a chunk is its label
+                own, left = [], chunk_size
+                while left:
+                    name, size = spans[0]
+                    take = min(size, left)
+                    start = chunk_size - left
+                    own.append({"source": name, "start": start, "end": start + take})
+                    left -= take
+                    spans[0][1] -= take
+                    if not spans[0][1]:
+                        spans.pop(0)
+                out.append((key[0], cut, flat[at: at + chunk_size].tolist(), int(flat[at + chunk_size]), own))
+                at, cut = at + chunk_size, cut + 1
+            held, n = [flat[at:]], n - at
+        state.update((cut, np.concatenate(held).tobytes(), json.dumps(spans)))
+        yield pd.DataFrame(out, columns=["lane", "chunk_id", "input_ids", "labels", "source"])
+    return run
+
+
+def stream_pack_lanes(spark: SparkSession, stream_df: DataFrame, chunk_size: int, lanes: int, tokenizer=None,
+                      name: str = "stream_pack_lanes", base: str | None = None) -> str:
+    """Pack a document stream in ``lanes`` independent lanes with Spark's keyed state.
+
+    Every lane is one endless token sequence (micro-batch, then stream key) with chunk numbers of its
+    own, ``(N - 1) div chunk_size`` chunks of ``N`` tokens.  Its state is the unfinished rest, at most
+    ``chunk_size`` tokens, in Spark's state store; a task holds one lane's share of a micro-batch, which
+    ``maxFilesPerTrigger`` bounds.  Output rows (``lane, chunk_id, input_ids, labels, source``) go to a
+    Parquet file sink, exactly once; pass the same ``base`` again to resume.
+    """
+    base = base or scratch_path(spark, name)
+    d = stream_df.select("source", "text", order_key(F.col("doc_id")).alias("k"))
+    d = P.with_token_ids(d.withColumn("lane", lane_of(F.col("k"), F.col("text"), lanes)), tokenizer=tokenizer)
+    packed = d.select("lane", "k", "source", "input_ids").groupBy("lane").applyInPandasWithState(
+        _pack_lane(chunk_size), LANE_CHUNK, _LANE_STATE, "append", GroupStateTimeout.NoTimeout)
+    q = (packed.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return f"{base}/out"
+
+
 # ------------------------------------------------------------------ T3: counters
 
 def stream_counters(spark: SparkSession, stream_df: DataFrame, spec: SampleSpec, name: str = "stream_counters",

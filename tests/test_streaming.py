@@ -81,3 +81,46 @@ def test_stream_resumes_from_its_folder(spark, docs_mid):
     key = lambda p: sorted((r.doc_id, r.offset) for r in spark.read.parquet(p).collect())
     assert key(out) == key(once)
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 4
+
+
+def test_global_stop_equals_the_batch_form_also_over_a_restart(spark, docs_mid):
+    from longloom.session import scratch_path
+    keyed = docs_mid.withColumn("k", order_key(F.col("doc_id")))
+    mix, spec = sampling.mix_frame(spark, FX.MIX_TEST), FX.SPEC_PER_SOURCE
+    want = sorted(map(tuple, sampling.sample(docs_mid, spec, mix).admitted.collect()))
+    src, base = scratch_path(spark, "t_stop_src"), scratch_path(spark, "t_stop")
+    J.write_segments(keyed, spark, "x", 4, only=[0], path=src)
+    out = J.stream_sample(spark, J.document_stream(spark, src), spec, mix, base=base, stop_when_full=True)
+    assert spark.read.parquet(out).count() < len(want)
+    J.write_segments(keyed, spark, "x", 4, only=[1, 2, 3], path=src)
+    J.stream_sample(spark, J.document_stream(spark, src), spec, mix, base=base, stop_when_full=True)
+    cols = ["doc_id", "source", "n_chars", "k", "offset"]
+    assert sorted(map(tuple, spark.read.parquet(out).select(*cols).collect())) == want
+    # a stopped scan stays stopped
+    J.stream_sample(spark, J.document_stream(spark, src), spec, mix, base=base, stop_when_full=True)
+    assert sorted(map(tuple, spark.read.parquet(out).select(*cols).collect())) == want
+
+
+def test_lanes_over_a_restart(spark, docs_mid):
+    from longloom.session import scratch_path
+    lanes, size = 3, 256
+    keyed = docs_mid.withColumn("k", order_key(F.col("doc_id"))).withColumn("source", F.when(F.col("doc_id") % 5 > 0, F.col("source")))
+    src, base, once = scratch_path(spark, "t_lane_src"), scratch_path(spark, "t_lane"), scratch_path(spark, "t_lane_once")
+    J.write_segments(keyed, spark, "x", 4, only=[0, 1], path=src)
+    out = J.stream_pack_lanes(spark, J.document_stream(spark, src), size, lanes, base=base)
+    J.write_segments(keyed, spark, "x", 4, only=[2, 3], path=src)
+    J.stream_pack_lanes(spark, J.document_stream(spark, src), size, lanes, base=base)
+    J.stream_pack_lanes(spark, J.document_stream(spark, src), size, lanes, base=once)
+    rows = spark.read.parquet(out).collect()
+    key = lambda r: (r.lane, r.chunk_id, tuple(r.input_ids), r.labels, tuple(map(tuple, r.source)))
+    assert sorted(map(key, rows), key=str) == sorted(map(key, spark.read.parquet(f"{once}/out").collect()), key=str)
+    d = packing.with_token_ids(keyed.select("source", "k", "text", J.lane_of(F.col("k"), F.col("text"), lanes).alias("lane")))
+    total = {r.lane: r.n for r in d.groupBy("lane").agg(F.sum("n").alias("n")).collect()}
+    tokens = {lane: [t for r in sorted(d.filter(F.col("lane") == lane).collect(), key=lambda r: r.k) for t in r.input_ids] for lane in total}
+    for lane, n in total.items():
+        own = sorted((r for r in rows if r.lane == lane), key=lambda r: r.chunk_id)
+        assert [r.chunk_id for r in own] == list(range((n - 1) // size))
+        for r in own:
+            at = r.chunk_id * size
+            assert r.input_ids == tokens[lane][at: at + size] and r.labels == tokens[lane][at + size]
+            assert r.source[0].start == 0 and r.source[-1].end == size and all(a.end == b.start for a, b in zip(r.source, r.source[1:]))
