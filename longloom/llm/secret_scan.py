@@ -1,18 +1,24 @@
 """Secret scanning with a random forest that removes false positives (DataFrame and ML functions).
 
-**Candidates** are runs of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9_+/=-]`` in the words of a
-text, each with its neighbouring words.
+**Candidates**, each with its neighbouring words, are
+
+* in any word: runs of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9_+/=-]``;
+* of any length and alphabet: what follows ``=`` or ``:`` inside a word (after a name of three letters
+  or more), the word after one that ends so, and a word after a naming word such as ``token`` (also
+  with ``is`` or an assignment sign between), without the quotes and marks around it.
 
 **Features** (all from built-in functions): length; transitions between character classes and between
-vowels and other letters, digit, upper-case and hex shares, share of distinct characters; dictionary
-coverage (share of the characters that frequent words of the corpus explain, counted over all
-documents); path signs (slashes, dots, an address in the word); neighbours (an assignment before, a
-naming word such as ``token`` within two words, quotes).
+vowels and other letters, share of the letter pairs that the corpus' frequent words know, digit,
+upper-case and hex shares, share of distinct characters; dictionary coverage (share of the characters
+that frequent words of the corpus explain, counted over all documents); path signs (slashes, dots, an
+address in the word); neighbours (quotes, lengths, whether the words around are frequent ones).
 
 **Training.**  Labelled findings come as a table or from ``label_rules``: an assignment to a naming
-word marks a secret, a candidate of letters only that follows no assignment is a false positive, the
-rest is unlabelled.  The forest is fitted on at most ``TRAIN_ROWS`` labelled findings, chosen by the
-smallest hash of their text, and then scores every candidate of every document.
+word marks a secret; outside both, words of letters only, numbers and dates, addresses and paths, and
+what is named an id, a hash or a version are false positives; the rest is unlabelled.  Assignment and
+naming are no features, so the forest has to tell by the candidate and its surroundings.  It is fitted
+on at most ``TRAIN_ROWS`` labelled findings, chosen by the smallest hash of their text, and then scores
+every candidate of every document.
 
 Edge cases.  Null or blank texts have no candidates.  Repeated rows give repeated findings; null
 doc_ids pass through.  Without both kinds of labelled findings nothing can be learned: every labelled
@@ -34,23 +40,42 @@ CANDIDATE = "[A-Za-z0-9_+/=-]{%d,}"
 # words that name a secret (fixed values)
 NAMING = "token|secret|passw|passwd|apikey|api_key|auth|credential|private_key|access_key"
 
-FEATURES = ["f_length", "f_runs", "f_vowel_runs", "f_digits", "f_upper", "f_hex", "f_distinct", "f_dictionary",
-            "f_slashes", "f_dots", "f_address", "f_assigned", "f_named", "f_quoted", "f_prev_length", "f_next_length"]
+# words after which a long string is an identifier (fixed values)
+HARMLESS = "id|ids|uuid|commit|revision|version|sha1|sha256|md5|hash|checksum|digest|number|date|page|isbn|issn"
+
+FEATURES = ["f_length", "f_runs", "f_vowel_runs", "f_pairs", "f_digits", "f_upper", "f_hex", "f_distinct", "f_dictionary",
+            "f_slashes", "f_dots", "f_address", "f_quoted", "f_prev_length", "f_next_length", "f_prev_known", "f_next_known"]
+_NAMED = f"(?i)({NAMING})"
+_SET = "[=:]$"                                       # a word that assigns the next one
+_INNER = "[A-Za-z_]{3,}[\"'`]?[=:]+[\"'`]?([^=:].*)$"  # name=value inside a word
+_AROUND = "^[\"'`(<\\[{]+|[\"'`)>\\]},;.]+$"
 
 
 def candidates(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """``doc_id, pos, candidate, word, prev, prev2, next`` for every candidate of every text."""
     rx = CANDIDATE % min_length
-    t = doc_texts(docs).filter(F.col("text").rlike(rx))
+    t = doc_texts(docs).filter(F.col("text").rlike(f"{rx}|[=:]|{_NAMED}"))
 
     def hits(w):
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1),
-                      lambda i: (F.length(F.get(w, i)) >= min_length) & F.get(w, i).rlike(rx))
+        # only words that can hold a candidate leave the text
+        def may(i):
+            word, before = F.get(w, i), F.coalesce(F.get(w, i - 1), F.lit(""))
+            return ((F.length(word) >= min_length) & word.rlike(rx)) | word.rlike(_INNER) | before.rlike(_SET) | (
+                F.concat_ws(" ", F.coalesce(F.get(w, i - 2), F.lit("")), before).rlike(f"{_NAMED}[^ ]*( is| was|)$"))
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), may)
         return F.transform(at, lambda i: F.struct(
             i.alias("pos"), F.get(w, i).alias("word"), F.coalesce(F.get(w, i - 1), F.lit("")).alias("prev"),
             F.coalesce(F.get(w, i - 2), F.lit("")).alias("prev2"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("next")))
     t = t.select("doc_id", F.explode(let(ws_words(F.col("text")), hits)).alias("h")).select("doc_id", "h.*")
-    return t.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(rx), F.lit(0))))
+    value = F.regexp_extract("word", _INNER, 1)
+    after = F.col("prev").rlike(_SET) | F.concat_ws(" ", "prev2", "prev").rlike(f"{_NAMED}[^ ]*( is| was|)$")
+    whole = F.when(value != "", value).when(after & ~F.col("word").rlike(_SET), F.col("word")).otherwise(F.lit(""))
+    whole = F.regexp_replace(whole, _AROUND, "")
+    runs = F.regexp_extract_all("word", F.lit(rx), F.lit(0))
+    # a run inside an assigned value is that value
+    runs = F.filter(runs, lambda r: ~F.contains(whole, r) | (whole == r))
+    found = F.filter(F.array_distinct(F.concat(F.array(whole), runs)), lambda c: c != "")
+    return t.withColumn("candidate", F.explode(found))
 
 
 def frequent_words(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
@@ -63,16 +88,17 @@ def frequent_words(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
 def label_rules(found: DataFrame) -> DataFrame:
     """Adds ``label``: 1 secret, 0 false positive, null unknown."""
     c = F.col("candidate")
-    return found.withColumn("label", F.when(_assigned() & _named(), 1.0).when(
-        c.rlike("^[A-Za-z]+$") & ~_assigned() & ~_named(), 0.0))
+    plain = c.rlike("^[A-Za-z]+$") | c.rlike("^[0-9.,:/+-]+$") | F.col("word").rlike("(?i)://|^www\\.|^/|\\.(com|net|org|html?)")
+    harmless = F.concat_ws(" ", "prev2", "prev", "word").rlike(f"(?i)(^|[^A-Za-z])({HARMLESS})[^A-Za-z]")
+    return found.withColumn("label", F.when(_assigned() & _named(), 1.0).when(~_named() & (harmless | (plain & ~_assigned())), 0.0))
 
 
 def _assigned() -> Column:
-    return F.col("prev").rlike("[=:]$") | F.col("word").rlike("[A-Za-z_]{3,}[=:]")
+    return F.col("prev").rlike(_SET) | F.col("word").rlike(_INNER)
 
 
 def _named() -> Column:
-    return F.concat_ws(" ", "prev2", "prev", "word").rlike(f"(?i)({NAMING})")
+    return F.concat_ws(" ", "prev2", "prev", "word").rlike(_NAMED)
 
 
 def _share(c: Column, keep: str) -> Column:
@@ -85,21 +111,29 @@ def _runs(c: Column, rx: str) -> Column:
 
 def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     c = F.col("candidate")
+
+    def yes(x: Column) -> Column:
+        return F.when(x, 1.0).otherwise(0.0)
     # longest words first, so that a long word is taken whole
     known = "|".join(sorted(dictionary, key=lambda w: (-len(w), w)))
+    pairs = sorted({w[i:i + 2] for w in dictionary for i in range(len(w) - 1)})      # at most 26 * 26
+    low = F.regexp_replace(F.lower(c), "[^a-z]", "")
+    own = F.when(F.length(low) > 1, F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substr(low, i, F.lit(2))))
+    usual = F.coalesce(F.size(F.filter(own, lambda p: p.isin(*pairs))) / F.size(own), F.lit(0.0)) if pairs else F.lit(0.0)
+
+    def frequent(w: str) -> Column:
+        return yes(F.regexp_replace(F.lower(w), "[^a-z]", "").isin(*dictionary)) if dictionary else F.lit(0.0)
     covered = 1 - F.length(F.regexp_replace(F.lower(c), known, "")) / F.length(c) if dictionary else F.lit(0.0)
 
-    def yes(x: Column) -> Column:
-        return F.when(x, 1.0).otherwise(0.0)
     cols = {
         "f_length": F.length(c), "f_runs": _runs(c, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"),
-        "f_vowel_runs": _runs(c, "[aeiouAEIOU]+|[^aeiouAEIOU]+"), "f_digits": _share(c, "0-9"),
+        "f_vowel_runs": _runs(c, "[aeiouAEIOU]+|[^aeiouAEIOU]+"), "f_pairs": usual, "f_digits": _share(c, "0-9"),
         "f_upper": _share(c, "A-Z"), "f_hex": _share(c, "0-9a-f"),
         "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c), "f_dictionary": covered,
         "f_slashes": F.size(F.split("word", "/")) - 1, "f_dots": F.size(F.split("word", r"\.")) - 1,
         "f_address": yes(F.col("word").rlike(r"(?i)://|^www\.|@|\.(com|net|org|html?)")),
-        "f_assigned": yes(_assigned()), "f_named": yes(_named()),
-        "f_quoted": yes(F.col("word").rlike("[\"'`]")), "f_prev_length": F.length("prev"), "f_next_length": F.length("next")}
+        "f_quoted": yes(F.col("word").rlike("[\"'`]")), "f_prev_length": F.length("prev"), "f_next_length": F.length("next"),
+        "f_prev_known": frequent("prev"), "f_next_known": frequent("next")}
     return found.withColumns({k: v.cast("double") for k, v in cols.items()})
 
 
