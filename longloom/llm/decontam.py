@@ -13,8 +13,9 @@ window is ``window`` consecutive words of a benchmark item; a shorter item is on
    With ``slop`` the starts may differ by that many words: proximity matches.
 4. *Exact phrase.*  A surviving start is confirmed on all words of the window in the stored context.
 
-The item side is a stated query set: it is processed in blocks of ``ITEM_BLOCK`` items, so what the
-driver holds and tasks receive (vocabulary and windows of one block) is bounded by that parameter.
+The item side is a stated query set: its distinct windows are processed in blocks of about
+``WINDOW_BLOCK``, so what the driver holds and tasks receive (vocabulary and windows of one block) is
+bounded by that parameter, however long an item is and however often it is repeated.
 The join keys after step 2 are (document, window, start), which no single document, item or frequent
 term can make hot.
 
@@ -32,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import cut_lineage, doc_texts, row_key
+from .common import cut_lineage, doc_texts, free_name, row_key
 
 WINDOW = 10
-ITEM_BLOCK = 5_000
+WINDOW_BLOCK = 50_000
 BLOCK = 1 << 20
 
 
@@ -108,39 +109,34 @@ def _post(chosen, window):
     return run
 
 
-def _windows(items, window):
-    """Distinct windows of a block of items: ``{terms: item ids}``."""
-    out: dict = {}
-    for item, terms in items:
-        for s in range(max(1, len(terms) - window + 1)) if terms else ():
-            out.setdefault(tuple(terms[s: s + window]), set()).add(item)
-    return out
-
-
-def _match_block(docs: DataFrame, items, window: int, slop: int | None):
+def _match_block(docs: DataFrame, wins: list, owners: DataFrame, window: int, slop: int | None):
+    """Hits of a block of distinct windows, and the items that own them."""
     spark = docs.sparkSession
-    wins = _windows(items, window)
     vocab = sorted({t for w in wins for t in w})
     counts = docs.select("text").mapInArrow(_count_terms(vocab), "term long, n long").groupBy("term").agg(
         F.sum("n").alias("n"))
     df = {r.term: r.n for r in counts.collect()}          # at most the block's vocabulary
-    plan, chosen, item_rows = [], set(), []
-    for w, (terms, owners) in enumerate(sorted(wins.items())):
+    plan, chosen = [], set()
+    for w, terms in enumerate(sorted(wins)):
         if any(t not in df for t in terms):
             continue
         rare = sorted(range(len(terms)), key=lambda i: (df[terms[i]], terms[i], i))
         second = next((i for i in rare if terms[i] != terms[rare[0]]), rare[0])
         plan.append((w, list(terms), terms[rare[0]], rare[0], terms[second], second))
         chosen |= {terms[rare[0]], terms[second]}
-        item_rows += [(w, i) for i in sorted(owners)]
     rows = docs.withColumn("row", row_key()).mapInArrow(
         _post(sorted(chosen), window),
         "doc_id long, row string, n_words long, postings array<struct<term:long,pos:long,ctx:array<long>>>")
     forward = cut_lineage(rows.select("row", "doc_id", "n_words", "postings"), "dc-rows")
-    index = forward.select("row", F.explode("postings").alias("p")).select("p.term", "row", "p.pos", "p.ctx")
+    # repeated rows share their key: one of them is indexed
+    again = forward.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row")
+    again = cut_lineage(again, "dc-again")
+    once = forward.select("row", "postings").join(again, "row", "left_anti")
+    once = once.unionByName(forward.select("row", "postings").join(again, "row", "left_semi").dropDuplicates(["row"]))
+    index = once.select("row", F.explode("postings").alias("p")).select("p.term", "row", "p.pos", "p.ctx")
     index = cut_lineage(index.repartitionByRange("term", "row").sortWithinPartitions("term", "row"), "dc-index")
     table = spark.createDataFrame(plan, "win long, terms array<long>, t1 long, o1 int, t2 long, o2 int")
-    owner = spark.createDataFrame(item_rows, "win long, item_id string")
+    owner = owners.join(F.broadcast(table.select("win", "terms")), "terms").select("win", "item_id")
     # offset-adjusted lists; the window table is bounded by the block of items
     first = index.join(F.broadcast(table), index["term"] == F.col("t1")).select(
         "row", "win", "terms", "o1", (F.col("pos") - F.col("o1")).alias("start"), "ctx").filter("start >= 0")
@@ -166,15 +162,19 @@ def _match_block(docs: DataFrame, items, window: int, slop: int | None):
     return forward.select("row", "doc_id", "n_words"), exact, owner
 
 
-def _blocks_of(items: DataFrame):
-    words = cut_lineage(items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
-                                     F.col("text").cast("string").alias("text")).mapInArrow(
-        _item_words, "item_id string, terms array<long>"), "dc-items")
-    n = words.count()
-    blocks = max(1, -(-n // ITEM_BLOCK))
+def _blocks_of(items: DataFrame, window: int):
+    """The distinct windows of all items, in blocks of about ``WINDOW_BLOCK``, with their owners."""
+    words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
+                         F.col("text").cast("string").alias("text")).mapInArrow(_item_words, "item_id string, terms array<long>")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("terms") - window + 1, F.lit(1)))
+    wins = words.filter(F.size("terms") > 0).select("item_id", F.explode(
+        F.transform(starts, lambda i: F.slice("terms", i, window))).alias("terms"))
+    owners = cut_lineage(wins.distinct(), "dc-windows")
+    distinct = owners.select("terms").distinct()
+    blocks = max(1, -(-distinct.count() // WINDOW_BLOCK))
     for b in range(blocks):
-        part = words if blocks == 1 else words.filter(F.pmod(F.xxhash64("item_id", "terms"), F.lit(blocks)) == b)
-        yield [(r.item_id, r.terms or []) for r in part.collect()]
+        part = distinct if blocks == 1 else distinct.filter(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == b)
+        yield [tuple(r.terms) for r in part.collect()], owners
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = 5) -> DataFrame:
@@ -182,9 +182,9 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int |
     is ``phrase`` (all words in order) or ``near`` (the two rarest terms within ``slop`` words of
     their places, ``off`` says by how many)."""
     texts, out = doc_texts(docs), None
-    for block in _blocks_of(items):
-        rows, hits, owner = _match_block(texts, block, window, slop)
-        m = hits.join(F.broadcast(owner), "win").join(rows, "row").select(
+    for block, owners in _blocks_of(items, window):
+        rows, hits, owner = _match_block(texts, block, owners, window, slop)
+        m = hits.join(owner, "win").join(rows, "row").select(
             "doc_id", "item_id", "start", "length", "off", "kind").distinct()
         out = m if out is None else out.unionByName(m)
     return out
@@ -198,11 +198,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def _judged(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """:func:`contamination` with the key ``row`` of every row."""
     texts, rows, spots, found = doc_texts(docs), None, None, None
-    for block in _blocks_of(items):
-        base, hits, owner = _match_block(texts, block, window, None)
+    for block, owners in _blocks_of(items, window):
+        base, hits, owner = _match_block(texts, block, owners, window, None)
         hits = cut_lineage(hits.select("row", "win", "start", "length").distinct(), "dc-hits")
         s = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("spot"))
-        f = hits.select("row", "win").distinct().join(F.broadcast(owner), "win").select("row", "item_id")
+        f = hits.select("row", "win").distinct().join(owner, "win").select("row", "item_id")
         rows = base if rows is None else rows
         spots = s if spots is None else spots.unionByName(s)
         found = f if found is None else found.unionByName(f)
@@ -217,6 +217,6 @@ def _judged(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of ``docs`` (all columns) without any benchmark window in their own text."""
-    bad = cut_lineage(_judged(docs, items, window).filter("contaminated").select(F.col("row").alias("_bad")).distinct(),
-                      "dc-bad")
-    return docs.join(bad, row_key() == F.col("_bad"), "left_anti")
+    key = free_name(docs, "_bad")
+    bad = cut_lineage(_judged(docs, items, window).filter("contaminated").select(F.col("row").alias(key)).distinct(), "dc-bad")
+    return docs.join(bad, row_key() == F.col(key), "left_anti")
