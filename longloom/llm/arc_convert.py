@@ -30,6 +30,7 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -124,6 +125,14 @@ class Stream:
 
 # ---- ARC --------------------------------------------------------------------------------------
 
+def number(value) -> int | None:
+    """A decimal number of a header (64 bits), or None for anything else."""
+    value = value if isinstance(value, str) or value is None else bytes(value).decode("latin-1")
+    if value is None or not re.fullmatch(r"\s*-?[0-9]{1,18}\s*", value):
+        return None
+    return int(value)
+
+
 def arc_header(line: bytes, version: int):
     """``(url, ip, date, mime, length)`` of a header line of that version, or None."""
     parts = line.rsplit(b" ", 4 if version == 1 else 9)
@@ -244,7 +253,7 @@ def _arc_rows(with_payload: bool):
                 for url, ip, date, mime, block in arc_records(rb.column(0)[r].as_buffer()):
                     head, payload = split_http(block)
                     pid = http_field(head, b"x-page-id")
-                    pid = int(pid) if pid is not None else None
+                    pid = number(pid)
                     digest = hashlib.sha1(payload).hexdigest()
                     rid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {ip} {pid} {digest}"))
                     row = (pid, rid, url, date, digest, len(payload))
@@ -342,8 +351,11 @@ def warc_records(content):
         head = {}
         while line := s.line():
             k, _, v = line.partition(b":")
-            head[k.strip().lower().decode()] = v.strip().decode("utf-8", "replace")
-        block = s.take(int(head.get("content-length", "0")))
+            head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        size = number(head.get("content-length", "0"))
+        if size is None or size < 0:
+            continue                                       # no length: go on at the next version line
+        block = s.take(size)
         if block is None:
             return
         yield head, block
@@ -353,6 +365,14 @@ def _uuid(value):
     return value[len("<urn:uuid:"):-1] if value else None
 
 
+def payload_digest(head) -> str | None:
+    """Hex digest of a ``WARC-Payload-Digest`` header, None where it is missing or odd."""
+    try:
+        return base64.b32decode(head.get("warc-payload-digest", "")[5:]).hex() or None
+    except ValueError:
+        return None
+
+
 def _warc_rows(batches):
     import pyarrow as pa
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
@@ -367,11 +387,10 @@ def _warc_rows(batches):
                 http, payload = split_http(block)
                 pid = http_field(http, b"x-page-id")
                 if kind == "revisit":
-                    n = int(http_field(http, b"content-length") or 0)
-                    digest = base64.b32decode(head["warc-payload-digest"][5:]).hex()
+                    n, digest = number(http_field(http, b"content-length")) or 0, payload_digest(head)
                 else:
                     n, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                rows.append((int(pid) if pid is not None else None, _uuid(head.get("warc-record-id")), kind, n, digest,
+                rows.append((number(pid), _uuid(head.get("warc-record-id")), kind, n, digest,
                              _uuid(head.get("warc-refers-to"))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)

@@ -2,7 +2,8 @@
 
 **Template.**  A turn is ``<|im_start|>role\\n`` + content + ``<|im_end|>\\n``.  Control strings inside
 roles and contents (those of this template and of other common ones) are escaped reversibly: every
-backslash is doubled and a backslash is put after the first character of a control string.
+backslash is doubled and a backslash is put after the first character of a control string; a line end
+inside a role is written as a backslash and an ``n``.
 
 **Assembly.**  A batch of turns is three byte columns (headers, contents, closings).  Segment lengths
 give cumulative offsets in one preallocated output buffer; headers, contents and closings are
@@ -35,6 +36,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 # control strings of common chat templates, none may appear unescaped in a text (fixed values)
 CONTROL = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 LOSS_ROLE = "assistant"
+ROLE_LINE = "\\n"             # a line end inside a role; no control string goes on with an n
 
 PART = "conv_id long, part long, n_turns long, formatted string, loss_start array<long>, loss_end array<long>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -42,6 +44,7 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 _AFTER_FIRST = "(" + "|".join(sorted({re.escape(c[0]) for c in CONTROL})) + ")(" + "|".join(
     re.escape(c[1:]) for c in CONTROL) + ")"
 _TAIL = re.compile(r"\\(\\?)")
+_ROLE_TAIL = re.compile(r"\\([\\n]?)")
 
 
 def escape_column(col):
@@ -58,6 +61,10 @@ def unescape(text: str) -> str:
     return _TAIL.sub(r"\1", text)
 
 
+def unescape_role(role: str) -> str:
+    return _ROLE_TAIL.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 def scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
     """Copy segment ``i`` of a byte column to ``out[at[i]:]`` for all segments at once."""
     ln = np.diff(off)
@@ -68,7 +75,7 @@ def assemble(roles, texts):
     """Formatted bytes of a batch of turns: ``(buffer, turn offsets, content start, content end)``."""
     import pyarrow as pa
     import pyarrow.compute as pc
-    roles, texts = escape_column(roles), escape_column(texts)
+    roles, texts = pc.replace_substring(escape_column(roles), "\n", ROLE_LINE), escape_column(texts)
     head = pc.binary_join_element_wise(pa.scalar(OPEN), roles, pa.scalar("\n"), pa.scalar(""))
     hd, ho = tb.text_bytes(head)
     cd, co = tb.text_bytes(texts)
@@ -141,7 +148,7 @@ def parse_turns(formatted: str):
     """``(role, text)`` of every turn of a part; the inverse of the template."""
     for turn in formatted.split(CLOSE)[:-1]:
         role, _, text = turn[len(OPEN):].partition("\n")
-        yield unescape(role), unescape(text)
+        yield unescape_role(role), unescape(text)
 
 
 def _digest_rows(batches):
