@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path, table_path
 
-__all__ = ["cut_lineage", "drop_table", "release", "scratch_path", "read", "doc_texts", "row_key", "ws_words", "let"]
+__all__ = ["cut_lineage", "drop_table", "release", "scratch_path", "read", "doc_texts", "row_key", "free_name", "ws_words", "let"]
 
 # the six ASCII white-space characters 0x20 and 0x09-0x0D
 WS = " \t\n\x0b\f\r"
@@ -32,6 +32,14 @@ def row_key() -> Column:
                        F.coalesce(text, F.lit("-")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ws_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array (null or blank text: empty array)."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import cut_lineage, doc_texts, row_key
+from .common import cut_lineage, doc_texts, free_name, row_key
 from .components import star_forest
 
 BANDS, ROWS = 42, 5
@@ -187,8 +187,9 @@ def linked(x: np.ndarray, counts: np.ndarray, threshold: int):
         if not len(same):
             break
         np.add.at(common, (d[same], d[same + k]), 1)
-    common = np.maximum(common, common.T)
-    n = counts.astype(np.float32)
+    # integers: the float counts are exact below 2 ** 24, their products with 100 are not
+    common = np.maximum(common, common.T).astype(np.int64)
+    n = counts.astype(np.int64)
     link = 100 * common >= threshold * (n[:, None] + n[None, :] - common)
     label = np.arange(m)
     while True:
@@ -317,12 +318,13 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     fingerprint.  Repeated rows of one doc_id and text count as copies, also those without shingles."""
     comp = cut_lineage(_components(docs, row_key(), **params).select("row", F.col("best.row").alias("first")),
                        "mh-components")
-    drop = cut_lineage(comp.filter(F.col("row") != F.col("first")).select(F.col("row").alias("_drop")).distinct(), "mh-drop")
-    kept = docs.join(drop, row_key() == F.col("_drop"), "left_anti")
-    twice = cut_lineage(comp.groupBy(F.col("row").alias("_twice")).count().filter("count > 1").select("_twice"),
-                        "mh-twice")
+    key = free_name(docs, "_row")
+    drop = cut_lineage(comp.filter(F.col("row") != F.col("first")).select(F.col("row").alias(key)).distinct(), "mh-drop")
+    kept = docs.join(drop, row_key() == F.col(key), "left_anti")
+    twice = cut_lineage(comp.groupBy(F.col("row").alias(key)).agg(F.count(F.lit(1)).alias(f"{key}n")).filter(
+        F.col(f"{key}n") > 1).select(key), "mh-twice")
     if twice.isEmpty():
         return kept
-    same = row_key() == F.col("_twice")
+    same = row_key() == F.col(key)
     again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, same, "left_anti").unionByName(again)

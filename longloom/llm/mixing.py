@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, let, ws_words
+from .common import cut_lineage, free_name, let, ws_words
 
 BLOCK_DIGITS = 2                 # hex digits of a block: 256 blocks a source
 ROW_SOURCES = 2_000
@@ -141,10 +141,12 @@ def source_weights(totals: DataFrame, max_repetition: float | None, target_entro
 def mix(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: float | None = None,
         budget: int | None = None, seed: str = "mix") -> DataFrame:
     """Rows of ``docs`` (all columns), each as often as the mix reads it, with ``_epoch`` (0, 1 ...),
-    ``_block`` (its block), ``_n_tokens``, ``_weight`` (of its source) and ``_exponent``."""
-    n_tokens = F.size(ws_words(F.col("text"))).cast("long")
+    ``_block`` (its block), ``_n_tokens``, ``_weight`` (of its source) and ``_exponent``.  A column of
+    such a name passes through, the mix's own then gets a further underscore."""
+    n_tokens = F.size(ws_words(F.col("r.text"))).cast("long")
     block = F.substring(_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 1, BLOCK_DIGITS)
-    rows = docs.withColumn("_s", _source()).withColumn("_block", block)
+    # the caller's columns travel as one, so that no name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("r"), _source().alias("_s"), block.alias("_block"))
     sums = rows.withColumn("_n_tokens", n_tokens).groupBy("_s", "_block").agg(F.sum("_n_tokens").alias("t"))
     sums = cut_lineage(sums.withColumnRenamed("_s", "s").withColumnRenamed("_block", "b"), "mix-blocks")
     totals = sums.groupBy("s").agg(F.sum("t").alias("t")).filter("t > 0")
@@ -167,9 +169,10 @@ def mix(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: flo
     whole = j.filter("_left is null").withColumn("_n_tokens", n_tokens)
     last = Window.partitionBy("_s", "_block").orderBy("_k", "_n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     part = j.filter("_left is not null").withColumn("_n_tokens", n_tokens).withColumn(
-        "_k", _key(seed, F.col("passes").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+        "_k", _key(seed, F.col("passes").cast("string"), F.coalesce(F.col("r.doc_id").cast("string"), F.lit("-"))))
     part = part.withColumn("_upto", F.sum("_n_tokens").over(last)).withColumn(
         "_copies", F.col("_copies") + (F.col("_upto") <= F.col("_left")).cast("long")).drop("_k", "_upto")
     out = whole.unionByName(part).filter("_copies > 0")
     out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    return out.select(*docs.columns, "_epoch", "_block", "_n_tokens", "_weight", "_exponent")
+    own = ("_epoch", "_block", "_n_tokens", "_weight", "_exponent")
+    return out.select("r.*", *[F.col(c).alias(free_name(docs, c)) for c in own])

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, doc_texts, let, row_key, ws_words
+from .common import cut_lineage, doc_texts, free_name, let, row_key, ws_words
 
 MIN_WORDS = 50
 KEEP_AT = 0.5
@@ -179,5 +179,6 @@ def judge(docs: DataFrame, rules=RULES, keep_at: float = KEEP_AT, min_words: int
 def keep_good(docs: DataFrame, **params) -> DataFrame:
     """Rows of ``docs`` (all columns) that the rules keep.  Every row is judged by its own text, also
     rows of one doc_id and rows with a null doc_id."""
-    bad = cut_lineage(judge(docs, **params).filter("not kept").select(F.col("row").alias("_bad")).distinct(), "qr-bad")
-    return docs.join(bad, row_key() == F.col("_bad"), "left_anti")
+    key = free_name(docs, "_bad")
+    bad = cut_lineage(judge(docs, **params).filter("not kept").select(F.col("row").alias(key)).distinct(), "qr-bad")
+    return docs.join(bad, row_key() == F.col(key), "left_anti")

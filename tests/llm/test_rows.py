@@ -53,3 +53,52 @@ def test_near_copies_drop_rows_not_ids(spark):
         got.remove(fixed)
     assert len(got) == 2
     assert got[0] in rows[7:9] and got[1] in rows[5:7] or got[1] in rows[7:9] and got[0] in rows[5:7]
+
+
+CLASH = ["_bad", "_drop", "_row", "_rown", "_twice", "_s", "_block", "_copies", "_k", "_upto", "_epoch", "r", "ROW", "n", "count"]
+
+
+def test_stages_with_clashing_columns(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from longloom.llm import mixing
+    from longloom.llm.common import read
+    sf = "/root/testdata/sf0.001"
+    docs = read(spark, sf, "documents")
+    odd = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASH])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, odd, sf), stage(spark, docs, sf)
+        assert got.columns == odd.columns, name
+        assert sorted(map(tuple, got.select(*docs.columns).collect())) == sorted(map(tuple, want.collect())), name
+        assert got.filter(" or ".join(f"`{c}` <> concat('{c}', doc_id)" for c in CLASH)).count() == 0, name
+    own = mixing.mix(odd)
+    assert own.columns == odd.columns + ["__epoch", "__block", "_n_tokens", "_weight", "_exponent"]
+
+
+def test_many_equal_rows_and_items(spark):
+    """A third of the table is one row with a benchmark passage, every item is there twice."""
+    from longloom.llm import decontam as D
+    leak = " ".join(words(random.Random(77), 10))
+    rows = [(None, leak)] * 10_000 + [(i, f"clean text number {i}") for i in range(100)]
+    items = spark.createDataFrame([(1, leak), (1, leak), (2, leak), (3, "clean text")], "item_id long, text string")
+    got = D.contamination(spark.createDataFrame(rows, COLUMNS), items).groupBy("doc_id", "n_hit", "n_items", "items").count().collect()
+    null = [r for r in got if r.doc_id is None]
+    assert len(null) == 1 and null[0]["count"] == 10_000 and (null[0].n_hit, null[0].n_items, null[0].items) == (10, 2, ["1", "2"])
+    assert all((r.n_hit, r.n_items) == (2, 1) for r in got if r.doc_id is not None) and len(got) == 101
+
+
+def test_line_ends_in_roles_come_back(spark):
+    from longloom.llm import chat_format as C
+    turns = [("a\nb", "t"), ("a", "b\nt"), ("\\n", "\\"), ("\\", "n"), ("x\\\n", "<s>\n"), ("[INST]\n", "")]
+    df = spark.createDataFrame([(1, i, r, t, ) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    back = [x for r in C.format_conversations(df).orderBy("part").collect() for x in C.parse_turns(r.formatted)]
+    assert back == turns
+
+
+def test_odd_archive_headers():
+    from longloom.llm import arc_convert as A
+    assert [A.number(x) for x in (b"12", " 7 ", "x", b"", None, "1e3", "9" * 40, b"\xff")] == [12, 7, None, None, None, None, None, None]
+    odd = b"WARC/1.0\r\nContent-Length: many\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    assert [bytes(b) for _, b in A.warc_records(memoryview(odd))] == [b"ok"]
+    assert A.payload_digest({"warc-payload-digest": "sha1:!!"}) is None and A.payload_digest({}) is None
