@@ -15,8 +15,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions.model_tokens import valid_text
 from ..functions.tokens import PERIOD_TOKENS, tokenize
 from ..session import cut_lineage
 
@@ -188,14 +190,24 @@ def haystacks(docs: DataFrame, max_len: int, group: str = "lang", order: str = "
     return cut_lineage(h, "haystacks") if materialize else h
 
 
+def _sized(hay: DataFrame) -> bool:
+    """Whether the tokens are ids with byte lengths (see ``ModelTokenizer.sized``)."""
+    return isinstance(hay.schema["tokens"].dataType.elementType, T.StructType)
+
+
 def period_index(hay: DataFrame, group: str = "lang", period_tokens=None) -> DataFrame:
     """Per haystack position: the last position at or before it holding a period token
     (-1 if none) and ``char_end``, the number of characters up to and including it.
 
-    One window per haystack; a haystack holds at most ``max_len`` tokens.
+    One window per haystack; a haystack holds at most ``max_len`` tokens.  Tokens are strings, or
+    ``struct<id, n>`` with ``period_tokens`` as ids and ``char_end`` in bytes.
     """
     pt = period_tokens or PERIOD_TOKENS
     p = hay.select(group, F.posexplode("tokens").alias("pos", "tok"))
+    if _sized(hay):
+        w = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        return p.select(group, "pos", F.coalesce(F.max(F.when(F.col("tok.id").isin(*pt), F.col("pos"))).over(w), F.lit(-1)).alias("last_period"),
+                        F.sum("tok.n").over(w).alias("char_end"))
     w = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return p.select(group, "pos",
                     F.coalesce(F.max(F.when(F.col("tok").isin(*pt), F.col("pos"))).over(w), F.lit(-1)).alias("last_period"),
@@ -252,20 +264,24 @@ def needle_cells(hay: DataFrame, lengths: Column, depths: Column, needle_tokens:
                     (F.col("ctx_tokens") + nt).alias("total_tokens"), "ins_chars", "ctx_chars")
 
 
-def materialize(cells: DataFrame, hay: DataFrame, needle: str, group: str = "lang") -> DataFrame:
-    """Add ``context`` (text with the needle inserted) to needle cells.
+def materialize(cells: DataFrame, hay: DataFrame, needle: str, group: str = "lang", decode=None) -> DataFrame:
+    """Add ``context`` (text with the needle inserted) to needle cells.  ``decode`` maps an array of ids
+    to bytes, for haystacks of model tokens.
 
     Cells are spread over all cores by (haystack, length, depth) and meet the haystack texts (groups x
     ``max_len`` tokens; Spark broadcasts them where they are few); each context is two substrings around the needle (the
     tokenizer is lossless, so character offsets of token boundaries cut the text exactly).
     """
-    text = hay.select(F.col(group).alias("_g"), F.array_join("tokens", "").alias("_text"))
+    text = decode(F.transform("tokens", lambda t: t["id"])) if _sized(hay) else F.array_join("tokens", "")
+    text = hay.select(F.col(group).alias("_g"), text.alias("_text"))
     tasks = hay.sparkSession.sparkContext.defaultParallelism
     spread = cells.repartition(tasks, group, "context_length", "depth_percent")
     j = spread.join(text, spread[group].eqNullSafe(F.col("_g")))
     left = F.substring(F.col("_text"), F.lit(1), F.col("ins_chars"))
     right = F.substring(F.col("_text"), F.col("ins_chars") + 1, F.col("ctx_chars") - F.col("ins_chars"))
-    return j.withColumn("context", F.concat(left, F.lit(needle), right)).drop("_text", "_g")
+    context = (valid_text(F.concat(left, F.lit(needle).cast("binary"), right)) if _sized(hay)
+               else F.concat(left, F.lit(needle), right))
+    return j.withColumn("context", context).drop("_text", "_g")
 
 
 def insert_needle_sentence(text: Column, needle: Column, depth: Column) -> Column:

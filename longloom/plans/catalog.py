@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, needle, packing, qa, streams  # noqa: F401
+from . import corpus, model, needle, packing, qa, streams  # noqa: F401
 
 
 def flagship(spark, sf_dir):
