@@ -10,6 +10,7 @@ worker.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,7 +49,8 @@ class ModelTokenizer:
         return get
 
     def tokens(self, text: Column | str) -> Column:
-        """``struct<ids array<int>, ends array<int>>``: ids and their end offsets in the UTF-8 bytes (null for null)."""
+        """``struct<ids, ends, sizes>`` (arrays of int): ids, their end offsets in the UTF-8 bytes and their
+        byte lengths; null for null."""
         get = self._held()
 
         def encode(batches):
@@ -57,22 +59,18 @@ class ModelTokenizer:
                 null = s.isna()
                 texts = s.where(~null, "").tolist()
                 ids = fn(texts)
-                ends = []
-                for t, x in zip(texts, ids):
-                    at, own = 0, []
-                    for i in x:
-                        at += len(pieces[i])
-                        own.append(at)
-                    if at != len(t.encode()):
-                        raise ValueError("the tokenizer is not lossless: its tokens do not cover the text")
-                    ends.append(own)
-                out = pd.DataFrame({"ids": pd.Series([list(x) for x in ids], dtype=object), "ends": pd.Series(ends, dtype=object)})
+                sizes = [[len(pieces[i]) for i in x] for x in ids]
+                ends = [list(accumulate(x)) for x in sizes]
+                if any((x[-1] if x else 0) != len(t.encode()) for t, x in zip(texts, ends)):
+                    raise ValueError("the tokenizer is not lossless: its tokens do not cover the text")
+                cols = {"ids": [list(x) for x in ids], "ends": ends, "sizes": sizes}
+                out = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in cols.items()})
                 if null.any():
                     out.loc[null.to_numpy(), :] = None
                 yield out
 
         encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-        t = F.pandas_udf(encode, "ids array<int>, ends array<int>")(_c(text))
+        t = F.pandas_udf(encode, "ids array<int>, ends array<int>, sizes array<int>")(_c(text))
         return F.when(_c(text).isNotNull(), t)
 
     def sized(self, text: Column | str) -> Column:
@@ -125,9 +123,8 @@ def byte_level(path: str) -> ModelTokenizer:
 # ------------------------------------------------------------------ cuts (no Python)
 
 def sized_tokens(t: Column) -> Column:
-    ends = t["ends"]
-    n = F.transform(ends, lambda e, i: e - F.coalesce(F.get(ends, i - 1), F.lit(0)))
-    return F.zip_with(t["ids"], n, lambda i, k: F.struct(i.alias("id"), k.alias("n")))
+    """Ids with their byte lengths.  No lambda function: Spark allows none around a Python function."""
+    return F.arrays_zip(t["ids"], t["sizes"]).cast("array<struct<id:int,n:int>>")
 
 
 def _end(t: Column, n: Column) -> Column:

@@ -272,7 +272,7 @@ def materialize(cells: DataFrame, hay: DataFrame, needle: str, group: str = "lan
     ``max_len`` tokens; Spark broadcasts them where they are few); each context is two substrings around the needle (the
     tokenizer is lossless, so character offsets of token boundaries cut the text exactly).
     """
-    text = decode(F.transform("tokens", lambda t: t["id"])) if _sized(hay) else F.array_join("tokens", "")
+    text = decode(F.col("tokens.id")) if _sized(hay) else F.array_join("tokens", "")
     text = hay.select(F.col(group).alias("_g"), text.alias("_text"))
     tasks = hay.sparkSession.sparkContext.defaultParallelism
     spread = cells.repartition(tasks, group, "context_length", "depth_percent")
