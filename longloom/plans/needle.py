@@ -180,6 +180,17 @@ def q_needle_grid(spark, sf_dir):
                     F.least("context_length", "h_len").cast("int").alias("h_tokens"))
 
 
+@register("needle_grid_range", f"""WITH gl AS ({LENGTHS_SQL}),
+gd AS ({DEPTHS_SQL}),
+l AS (SELECT DISTINCT lang FROM documents)
+SELECT l.lang, CAST(gl.context_length AS INTEGER) AS context_length, gd.depth_percent FROM l, gl, gd
+WHERE gl.context_length >= 20000 AND gl.context_length <= 40000""")
+def q_needle_grid_range(spark, sf_dir):
+    """The grid of every language within a range of context lengths."""
+    langs = docs(spark, sf_dir).select("lang").distinct()
+    return H.with_grid(langs, *H.default_axes(), min_len=20_000, max_len=40_000).select("lang", "context_length", "depth_percent")
+
+
 @register("haystack_build", f"""WITH {HAY_SQL}
 SELECT lang, passes, CAST(len(tokens) AS INTEGER) AS hay_len, md5(array_to_string(tokens, '')) AS hay_md5 FROM hay""")
 def q_haystack_build(spark, sf_dir):
@@ -188,6 +199,26 @@ def q_haystack_build(spark, sf_dir):
                     F.md5(F.array_join("tokens", "")).alias("hay_md5"))
 
 
+# the lines of a folder's files are the documents of its haystack
+_FILES_HAY_SQL = HAY_SQL.replace(
+    f"t AS (SELECT lang AS g, doc_id AS o, {TOK_SQL} AS toks FROM documents)",
+    f"""fl AS (SELECT lang, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+fl2 AS (SELECT lang, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) || chr(10) AS text FROM fl),
+t AS (SELECT lang AS g, doc_id * 1000000 + i AS o, {TOK_SQL} AS toks FROM fl2)""")
+
+
+@register("haystack_files", f"""WITH {_FILES_HAY_SQL}
+SELECT lang, passes, CAST(len(tokens) AS INTEGER) AS hay_len, md5(array_to_string(tokens, '')) AS hay_md5 FROM hay""")
+def q_haystack_files(spark, sf_dir):
+    """Haystacks of folders of text files (one folder a language), read in splits and ordered by file name."""
+    path = scratch_path(spark, "essays")
+    d = docs(spark, sf_dir).select("lang", "doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("lang", "doc_id")
+    d.select("lang", "text").write.partitionBy("lang").text(path)
+    lines = IO.read_text_lines(spark, path)
+    h = H.haystacks(lines, MAX_LEN, group="lang", order="pos", chars="n_bytes")
+    return h.select("lang", "passes", F.size("tokens").alias("hay_len"), F.md5(F.array_join("tokens", "")).alias("hay_md5"))
+
+
 @register("insert_needle_tokens", f"""WITH {CELLS_SQL}
 SELECT lang, context_length, depth_percent, ctx_tokens, insert_at, total_tokens FROM cells""")
 def q_insert_needle_tokens(spark, sf_dir):
