@@ -214,3 +214,40 @@ def rouge_l(pred: Column | str, target: Column | str, tokenizer=None) -> Column:
 def rouge_l_zh(pred: Column | str, target: Column | str, segmenter=None) -> Column:
     """ROUGE-L over segments (single characters by default; ``segmenter`` maps a text to an array)."""
     return rouge_l(pred, target, tokenizer=segmenter or chars)
+
+
+def lcs_native(a: Column, b: Column) -> Column:
+    """Longest common subsequence length of two token arrays, in built-in functions.
+
+    The matches of the first array's tokens, each token's places in the second one from last to first,
+    are a sequence whose longest strictly increasing part is the subsequence (Hunt and Szymanski).  The
+    fold keeps, for every length, the smallest place such a part can end at.  Work and memory follow the
+    number of matches (at most the product of both lengths, few for prose); :func:`rouge_l` is the form
+    for long texts of few distinct tokens.
+    """
+    def matches(aa, bb):
+        place = F.sequence(F.lit(0), F.size(bb) - 1)
+        # places of every distinct token of the second array, found once
+        table = F.map_from_entries(F.transform(F.array_distinct(bb), lambda w: F.struct(
+            w.alias("w"), F.reverse(F.filter(place, lambda i: F.get(bb, i) == w)).alias("at"))))
+        return let(table, lambda t: F.flatten(F.transform(F.filter(aa, lambda w: F.map_contains_key(t, w)), lambda w: F.element_at(t, w))))
+
+    def longest(found):
+        def step(ends, j):
+            return let(F.size(F.filter(ends, lambda x: x < j)), lambda k: F.concat(
+                F.slice(ends, F.lit(1), k), F.array(j), F.slice(ends, k + 2, F.greatest(F.size(ends) - k - 1, F.lit(0)))))
+        return F.size(F.aggregate(found, F.array().cast("array<int>"), step))
+    both = let(a, lambda aa: let(b, lambda bb: longest(matches(aa, bb))))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both).otherwise(F.lit(0))
+
+
+def rouge_l_native(pred: Column | str, target: Column | str, tokenizer=None) -> Column:
+    """:func:`rouge_l` without a Python worker (see :func:`lcs_native`)."""
+    tok = tokenizer or (lambda s: words(F.lower(s)))
+
+    def f(p, g):
+        return let(lcs_native(p, g), lambda c: F.when(c == 0, F.lit(0.0)).otherwise(
+            2 * (c / F.size(p)) * (c / F.size(g)) / ((c / F.size(p)) + (c / F.size(g)))))
+    p, g = tok(_c(pred)), tok(_c(target))
+    score = let(p, lambda pp: let(g, lambda gg: f(pp, gg)))
+    return F.when(_c(pred).isNotNull() & _c(target).isNotNull(), score)

@@ -82,6 +82,14 @@ def tokenized_sample(spark, sf_dir, spec=FX.SPEC_PER_SOURCE_LARGE, m=FX.MIX_TEST
     return packing.persist_tokens(packing.with_token_ids(t))
 
 
+def counted_sample(spark, sf_dir, spec=FX.SPEC_PER_SOURCE_LARGE, m=FX.MIX_TEST):
+    """``source, k, n`` (token count) of the admitted documents, written once: both offset passes read it."""
+    d = docs(spark, sf_dir)
+    r = sampling.sample(d, spec, mix(spark, m))
+    t = packing.attach_text(r.admitted.select("doc_id", "source", "n_chars", "k"), d, candidates=r.candidates)
+    return packing.persist_tokens(t.select("source", "k", TK.token_count(TK.tokenize("text")).cast("long").alias("n")))
+
+
 def packed(spark, sf_dir, spec=FX.SPEC_PER_SOURCE_LARGE, m=FX.MIX_TEST, chunk=C):
     return packing.pack_chunks(tokenized_sample(spark, sf_dir, spec, m), chunk)
 
@@ -121,11 +129,7 @@ def q_pack_chunks(spark, sf_dir):
 @register("pack_spans", _PACK_BASE + """
 SELECT chunk_id, source, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end" FROM segs""")
 def q_pack_spans(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    r = sampling.sample(d, FX.SPEC_PER_SOURCE_LARGE, mix(spark, FX.MIX_TEST))
-    t = packing.attach_text(r.admitted.select("doc_id", "source", "n_chars", "k"), d, candidates=r.candidates)
-    t = t.select("source", "k", TK.token_count(TK.tokenize("text")).cast("long").alias("n"))
-    return packing.pack_spans(t, C)
+    return packing.pack_spans(counted_sample(spark, sf_dir), C)
 
 
 @register("chunk_unpack", _PACK_BASE + """
@@ -139,11 +143,10 @@ def q_chunk_unpack(spark, sf_dir):
 @register("segment_length_profile", _PACK_BASE + ",\nseg_len AS (SELECT source, \"end\" - start AS length FROM segs)\n"
           + _profile_sql("SELECT source, length FROM seg_len", "length", int_total=True).replace("WITH x AS", ", x AS", 1))
 def q_segment_length_profile(spark, sf_dir):
-    from ..session import cut_lineage
-    seg = packing.segment_lengths(packed(spark, sf_dir)).select("source", F.col("length").cast("long"))
-    # long-form table written once: the group-size check and the profile both read it
-    p = profile.length_profile(cut_lineage(seg, "segment_lengths"), "length")
-    return _profile_view(p)
+    # spans need token counts only: no ids travel and no chunk is collected
+    spans = packing.pack_spans(counted_sample(spark, sf_dir), C)
+    seg = spans.select("source", (F.col("end") - F.col("start")).cast("long").alias("length"))
+    return _profile_view(profile.length_profile(seg, "length"))
 
 
 @register("segment_length_sink", _PACK_BASE + ",\nseg_len AS (SELECT source, \"end\" - start AS length FROM segs)\n"

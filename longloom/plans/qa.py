@@ -58,8 +58,9 @@ def option_groups(spark, sf_dir) -> DataFrame:
 
 
 def _with_options(rows: DataFrame, groups: DataFrame, number) -> DataFrame:
+    """Each row with the options of its group; every number falls into one, a null number has none."""
     n = groups.select("n_groups").first()
-    return rows.withColumn("g", number % F.lit(n[0] if n else 1)).join(F.broadcast(groups.drop("n_groups")), "g").drop("g")
+    return rows.withColumn("g", F.pmod(number, F.lit(n[0] if n else 1))).join(groups.drop("n_groups"), "g", "left").drop("g")
 
 
 def examples(spark, sf_dir) -> DataFrame:
@@ -245,6 +246,13 @@ def q_rouge_l_zh(spark, sf_dir):
     return p.select("conv_id", "turn", S.rouge_l_zh("prediction", "answer").alias("score"))
 
 
+@register("rouge_l_native", _rouge_l_sql(lambda x: words_sql(f"lower({x})")))
+def q_rouge_l_native(spark, sf_dir):
+    """ROUGE-L of the same pairs without a Python worker."""
+    p = pairs(spark, sf_dir)
+    return p.select("conv_id", "turn", S.rouge_l_native("prediction", "answer").alias("score"))
+
+
 @register("word_recall", f"""WITH {PAIRS_SQL},
 t AS (SELECT conv_id, turn, list_distinct({words_sql('lower(answer)')}) AS g, {words_sql('lower(prediction)')} AS p FROM pairs)
 SELECT conv_id, turn, CASE WHEN len(g) = 0 THEN NULL ELSE len(list_intersect(g, p)) / len(g) END AS recall FROM t""")
@@ -264,15 +272,23 @@ def q_running_recall(spark, sf_dir):
     # scored pairs written once (narrow): the bucket range and both running sums read the table
     from ..session import cut_lineage
     r = cut_lineage(r, "recall")
-    # running mean = running sum / running count, both two-level (fixed number of conv_id ranges)
-    bucket = range_bucket(r, "conv_id", FX.RECALL_BUCKETS)
-    r = running_sum(r, "recall", ["conv_id", "turn"], bucket, out="s_recall")
-    r = running_sum(r, "one", ["conv_id", "turn"], bucket, out="n_so_far")
-    return r.select("conv_id", "turn", F.round(F.col("s_recall") / F.col("n_so_far"), 6).alias("recall_so_far"))
+    # running mean = running sum / running count: what lies before a conversation (one row each, ranges of
+    # conv_id), then inside it by ranges of its turns, so that a very long conversation is spread as well
+    per = r.groupBy("conv_id").agg(F.sum("recall").alias("c_recall"), F.sum("one").alias("c_one"))
+    conv = range_bucket(r, "conv_id", FX.RECALL_BUCKETS)
+    for c in ("recall", "one"):
+        per = running_sum(per, f"c_{c}", ["conv_id"], conv, out=f"upto_{c}")
+    per = per.select(F.col("conv_id").alias("_conv"), *[(F.col(f"upto_{c}") - F.col(f"c_{c}")).alias(f"before_{c}") for c in ("recall", "one")])
+    turns = range_bucket(r, "turn", 64)
+    for c in ("recall", "one"):
+        r = running_sum(r, c, ["turn"], turns, by=["conv_id"], out=f"in_{c}")
+    r = r.join(per, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    mean = (F.col("before_recall") + F.col("in_recall")) / (F.col("before_one") + F.col("in_one"))
+    return r.select("conv_id", "turn", F.round(mean, 6).alias("recall_so_far"))
 
 
 @register("expand_choice", f"""WITH {GROUPS_SQL},
-p AS (SELECT c.conv_id, c.turn, lower(c.text) AS pred, options FROM conversations c, nb JOIN grp ON grp.g = c.conv_id % nb.ng
+p AS (SELECT c.conv_id, c.turn, lower(c.text) AS pred, options FROM conversations c, nb LEFT JOIN grp ON grp.g = ((c.conv_id % nb.ng) + nb.ng) % nb.ng
       WHERE c.role = 'assistant'),
 q AS (SELECT *, trim(lower(substr(pred, 1, 1))) AS f FROM p)
 SELECT conv_id, turn, CASE

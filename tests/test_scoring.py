@@ -170,3 +170,20 @@ def test_needle_chat_and_long_prompt(spark):
     assert cut == "".join(tokens[:5] + tokens[-6:])
     calc = one_row.select(PR.chat_messages(F.lit("1 + 2"), F.lit("math_calc")).alias("m")).first().m
     assert [x.content for x in calc] == [K.CALC_SYSTEM_MESSAGE, K.CALC_EXAMPLE_QUESTION, K.CALC_EXAMPLE_ANSWER, "1 + 2"]
+
+
+def test_native_rouge_l_equals_the_dynamic_program(spark):
+    import random
+    from models import lcs_dp
+    from longloom.functions import scoring as S
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 40))) for _ in range(60)] + ["", "same words here", "x " * 60]
+    rows = [(a, b) for a in texts[::3] for b in texts[::7]] + [(None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "p string, g string")
+    got = df.select("p", "g", S.lcs_native(S.words("p"), S.words("g")).alias("n"), S.rouge_l_native("p", "g").alias("f"), S.rouge_l("p", "g").alias("u"))
+    assert "Python" not in df.select(S.rouge_l_native("p", "g"))._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        if r.p is None or r.g is None:
+            assert r.f is None
+            continue
+        assert r.n == lcs_dp(r.p.split(), r.g.split()) and abs(r.f - r.u) < 1e-12
