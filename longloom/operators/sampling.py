@@ -174,8 +174,9 @@ class SampleResult:
             k = k.filter(F.col("k") <= F.lit(self.stop_key))
         return k
 
-    def report(self) -> DataFrame:
-        """Per source: budget, used, passed, filtered, scanned rows, fill ratio."""
+    def report(self, chunk_size: int | None = None) -> DataFrame:
+        """Per source: budget, used, passed, filtered, scanned rows, fill ratio; with ``chunk_size`` also
+        the number of chunks that the run plans for."""
         w = self.windowed
         if self.stop_key is not None:
             w = w.filter(F.col("k") <= F.lit(self.stop_key))
@@ -192,6 +193,8 @@ class SampleResult:
             b = F.broadcast(self.budget_table.select("source", "budget_tokens"))
             r = r.join(b, "source", "left").withColumn(
                 "fill", F.try_divide(F.col("used_chars") / F.lit(K.CHARS_PER_TOKEN), F.col("budget_tokens")))
+        if chunk_size is not None:
+            r = r.withColumn("planned_chunks", F.lit(planned_chunks(self.spec.total_tokens, chunk_size)).cast("long"))
         return r
 
 

@@ -215,6 +215,17 @@ def q_sampling_report(spark, sf_dir):
     return r.report().select("source", "scanned", "used_chars", "passed", "filtered")
 
 
+@register("sampling_plan", f"""WITH {sampling_ctes(FX.SPEC_PER_SOURCE_LARGE, FX.MIX_TEST)},
+ch AS (SELECT w2.source, CAST(sum(CASE WHEN admit THEN n_chars ELSE 0 END) AS BIGINT) AS used_chars
+       FROM w2, stop WHERE w2.prior <= w2.bf AND (stop.stop IS NULL OR w2.k <= stop.stop) GROUP BY w2.source)
+SELECT ch.source, used_chars, round(used_chars / {sql_double(K.CHARS_PER_TOKEN)} / budget_tokens, 6) AS fill,
+       CAST({FX.BUDGET_LARGE} // {FX.CHUNK} AS BIGINT) AS planned_chunks FROM ch JOIN bud ON bud.source = ch.source""")
+def q_sampling_plan(spark, sf_dir):
+    """How full every budget is, and the chunks that the run plans for."""
+    r = _run_sample(spark, sf_dir, FX.SPEC_PER_SOURCE_LARGE, FX.MIX_TEST).report(chunk_size=FX.CHUNK)
+    return r.select("source", "used_chars", F.round("fill", 6).alias("fill"), "planned_chunks")
+
+
 @register("budget_prefix", f"""WITH {bud_ctes(FX.SPEC_PER_SOURCE, FX.MIX_TEST)},
 d AS ({_keyed_sql(FX.SPEC_PER_SOURCE)}),
 p AS (SELECT d.doc_id, d.source, d.n_chars, d.k,

@@ -189,6 +189,17 @@ def q_split_spans(spark, sf_dir):
     return c.select("conv_id", "turn", "role", "size", *parts)
 
 
+@register("read_first", """WITH n AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations)
+SELECT conv_id, turn FROM n WHERE i <= 50""")
+def q_read_first(spark, sf_dir):
+    """The first fifty rows of the first shard of the conversations, in file order (the row cap is the feature)."""
+    from ..sources.tables import CONVERSATIONS, read_table
+    c = read_table(spark, sf_dir, "conversations")
+    folder = IO.write_sharded(c.repartitionByRange(2, "conv_id", "turn").sortWithinPartitions("conv_id", "turn"),
+                              spark, "conversations_first", 2, None)
+    return IO.read_first(spark, f"{folder}/data_0-2.jsonl", CONVERSATIONS, 50).select("conv_id", "turn")
+
+
 @register("pack_write", _PACK_BASE + "\nSELECT chunk_id, n_tokens, labels, n_spans FROM chunks")
 def q_pack_write(spark, sf_dir):
     ch = packed(spark, sf_dir)
