@@ -10,8 +10,9 @@ Weights from ``ROUND_FROM`` on have ``DIGITS`` decimals, smaller ones are double
 
 **Realisation.**  A source's budget is ``weight * budget`` tokens: whole passes over the source, then a
 part of one.  Documents hash into blocks; the blocks of the partial pass are taken in the order of a
-seeded permutation until the budget is met, and only the documents of the one block where it ends are
-ordered one by one.  Counting needs one aggregate (sources x blocks).  Up to ``ROW_SOURCES`` sources it is
+seeded permutation until the budget is met.  The one block where it ends is cut into ranges of its
+order by another aggregate, and only the documents of the range of the cut (about one in 4,096 of the
+block) are ordered one by one.  Counting needs one aggregate (sources x blocks).  Up to ``ROW_SOURCES`` sources it is
 broadcast and no texts are shuffled, apart from those of the last block of each source; beyond, Spark
 joins it by its size.  A source with a third of all rows is spread like any other.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, free_name, let, ws_words
 
 BLOCK_DIGITS = 2                 # hex digits of a block: 256 blocks a source
+RANGE_DIGITS = 3                 # hex digits of a range: 4,096 ranges of the block in which the budget ends
 ROW_SOURCES = 2_000
 STEPS, DIGITS = 60, 9
 ROUND_FROM = 1e-4
@@ -167,11 +169,22 @@ def mix(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: flo
     plan = cut_lineage(plan, "mix-plan")                           # sources x blocks rows
     j = rows.join(F.broadcast(plan) if few else plan, ["_s", "_block"], "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     whole = j.filter("_left is null").withColumn("_n_tokens", n_tokens)
-    last = Window.partitionBy("_s", "_block").orderBy("_k", "_n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     part = j.filter("_left is not null").withColumn("_n_tokens", n_tokens).withColumn(
         "_k", _key(seed, F.col("passes").cast("string"), F.coalesce(F.col("r.doc_id").cast("string"), F.lit("-"))))
-    part = part.withColumn("_upto", F.sum("_n_tokens").over(last)).withColumn(
-        "_copies", F.col("_copies") + (F.col("_upto") <= F.col("_left")).cast("long")).drop("_k", "_upto")
+    # the block in which the budget ends, cut in ranges of its order: only the range of the cut is sorted
+    part = part.withColumn("_range", F.substring("_k", 1, RANGE_DIGITS))
+    keys = ["_s", "_block", "_range"]
+    upto = Window.partitionBy("_s", "_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = part.groupBy(*keys).agg(F.sum("_n_tokens").alias("_t"))
+    ranges = cut_lineage(ranges.withColumn("_before", F.sum("_t").over(upto) - F.col("_t")), "mix-ranges")
+    part = part.join(ranges, keys)                                 # sources x ranges rows
+    end = F.col("_before") + F.col("_t")
+    here = (F.col("_before") <= F.col("_left")) & (end > F.col("_left"))
+    last = Window.partitionBy(*keys).orderBy("_k", "_n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    cut = part.filter(here).withColumn("_upto", F.col("_before") + F.sum("_n_tokens").over(last))
+    part = part.filter(~here).withColumn("_upto", end).unionByName(cut).withColumn(
+        "_copies", F.col("_copies") + (F.col("_upto") <= F.col("_left")).cast("long"))
+    part = part.drop("_k", "_upto", "_range", "_t", "_before")
     out = whole.unionByName(part).filter("_copies > 0")
     out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     own = ("_epoch", "_block", "_n_tokens", "_weight", "_exponent")
