@@ -10,10 +10,11 @@ give cumulative offsets in one preallocated output buffer; headers, contents and
 scattered to their places with computed indices, whole columns at a time.  The loss mask (assistant
 contents) falls out of the same offsets as spans.
 
-**Spark.**  Rows are hashed by conversation and sorted by turn inside the partition; tasks stream over
-Arrow batches and write a conversation as ordered *parts*, one for each batch it touches, so memory is
-bounded by the batch even for a conversation that holds a third of all rows.  Reading back streams
-over the parts in the same way, and hashes are updated turn by turn.
+**Spark.**  Rows are range-partitioned by (conversation, turn), so a conversation that holds a third of
+all rows is formatted by many tasks, and sorted inside the partition.  Tasks stream over Arrow batches
+and write a conversation as *parts*, one for each batch it touches, numbered by partition and place, so
+memory is bounded by the batch.  Reading back streams over the parts of a conversation in their order; its
+hashes are one sequence by definition and are updated turn by turn.
 
 Edge cases.  Null texts are empty, null roles are empty names.  Rows of a conversation are ordered by
 (turn, role, text), nulls first; repeated rows are repeated turns; rows with a null conv_id form one
@@ -111,7 +112,8 @@ def _char_offsets(buf: np.ndarray) -> np.ndarray:
 
 def _format_rows(batches):
     import pyarrow as pa
-    last, part = object(), 0
+    from pyspark import TaskContext
+    part = TaskContext.get().partitionId() << 32           # range partitions are in order
     for rb in batches:
         if not rb.num_rows:
             continue
@@ -122,9 +124,7 @@ def _format_rows(batches):
         cut = _runs(ids)
         rows = []
         for a, b in zip(cut.tolist(), cut[1:].tolist()):
-            conv = ids[a].as_py()
-            part = part + 1 if conv == last else 0
-            last = conv
+            conv, part = ids[a].as_py(), part + 1
             k = np.flatnonzero(loss[a:b]) + a
             base = chars[off[a]]
             rows.append((conv, part, b - a, buf[off[a]: off[b]].tobytes().decode(),
@@ -140,7 +140,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     part); the parts of a conversation in order are its whole formatted text."""
     t = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"),
                              F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    t = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    t = t.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    t = t.select("conv_id", "role", "text")
     return t.mapInArrow(_format_rows, PART)
 
 

@@ -102,3 +102,20 @@ def test_odd_archive_headers():
     odd = b"WARC/1.0\r\nContent-Length: many\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
     assert [bytes(b) for _, b in A.warc_records(memoryview(odd))] == [b"ok"]
     assert A.payload_digest({"warc-payload-digest": "sha1:!!"}) is None and A.payload_digest({}) is None
+
+
+def test_a_long_conversation_is_formatted_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from longloom.llm import chat_format as C
+    rows = [(7, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(3000)] + [(i, 0, "user", "x") for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = C.format_conversations(df).withColumn("task", F.shiftright("part", 32)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    own = sorted((p for p in parts if p.conv_id == 7), key=lambda p: p.part)
+    assert len({p.task for p in own}) >= 3
+    assert [x for p in own for x in C.parse_turns(p.formatted)] == [(r, t) for c, _, r, t in rows if c == 7]
+    assert sum(p.n_turns for p in parts) == len(rows)
