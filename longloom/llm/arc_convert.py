@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, scratch_path
 
 RECORDS_PER_FILE = 1024
+FILE_BYTES = 1 << 30             # of payloads in a file at most: a file is read as one row
 MIN_REVISIT = 1000
 CHUNK = 1 << 20
 FLUSH_BYTES = 4 << 20
@@ -403,14 +404,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     named = rows.filter("refers_to_id is not null").select("refers_to_id").distinct()
     pages = rows.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).join(
         named, "refers_to_id", "left_semi").dropDuplicates(["refers_to_id"])
-    return rows.join(pages, "refers_to_id", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # only revisits are joined: the others have no key and would meet in one task
+    again = rows.filter("refers_to_id is not null").join(pages, "refers_to_id", "left")
+    rest = rows.filter("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return again.select(*columns).unionByName(rest.select(*columns))
 
 
 def pages_through_archives(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Pages as ARC archives, converted to WARC and read back (archives in the shared folder)."""
     spark = pages.sparkSession
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, arc)
-    convert(spark, arc, warc, min_revisit)
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 1
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // longest))
+    write_arc(pages, arc, per_file)
+    convert(spark, arc, warc, min_revisit, per_file)
     return read_warc(spark, warc)
