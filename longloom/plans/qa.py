@@ -456,16 +456,16 @@ def q_chat_messages(spark, sf_dir):
 @register("extract_call", f"""WITH {EXAMPLES_SQL}, {_task_inputs_sql()}
 SELECT id, nullif(regexp_extract(tinput, 'func_[0-9]+\\(-?[0-9]+\\)', 0), '') AS func_call,
        split_part(nullif(regexp_extract(tinput, 'func_[0-9]+\\(-?[0-9]+\\)', 0), ''), '(', 1) AS func
-FROM tex WHERE task = 'code_run'""")
+FROM tex""")
 def q_extract_call(spark, sf_dir):
-    e = task_examples(spark, sf_dir).filter(F.col("task") == "code_run")
+    e = task_examples(spark, sf_dir)
     call = PR.extract_call(F.col("input"))
     return e.select("id", call.alias("func_call"), PR.call_name(call).alias("func"))
 
 
 @register("extract_target", f"""WITH {EXAMPLES_SQL}, {_task_inputs_sql()}
 SELECT id, substr(lower(nullif(regexp_extract(tinput, 'The .+ of', 0), '')), 1,
-                  length(nullif(regexp_extract(tinput, 'The .+ of', 0), '')) - 3) AS target FROM tex WHERE task = 'math_find'""")
+                  length(nullif(regexp_extract(tinput, 'The .+ of', 0), '')) - 3) AS target FROM tex""")
 def q_extract_target(spark, sf_dir):
-    e = task_examples(spark, sf_dir).filter(F.col("task") == "math_find")
+    e = task_examples(spark, sf_dir)
     return e.select("id", PR.find_target(F.col("input")).alias("target"))
