@@ -5,7 +5,8 @@ neighbour seen from its larger (large-star) and then its smaller end (small-star
 converges to a star forest in a logarithmic number of rounds.  Minima are plain aggregates with
 map-side combining, so a hub with a third of all edges costs one row per task; the joins back are
 ordinary shuffled joins, which adaptive execution splits when a key is hot.  Every round is
-written to the shared checkpoint folder; the driver sees three numbers per round.
+written to the shared checkpoint folder; the driver sees three numbers per round.  The rounds grow with
+the logarithm of the longest path: ``MAX_ROUNDS`` is only reached by a defect, and then raises.
 """
 
 from __future__ import annotations

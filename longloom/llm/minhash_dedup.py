@@ -19,7 +19,8 @@ A unit counts the intersections of all its sets with numpy and returns a spannin
 confirmed links, so no pair is ever a row.  A cluster above ``UNIT`` is cut into blocks by set size
 (sets whose sizes differ by more than the similarity allows are never linked, so a block meets only
 its own and the neighbouring size class) and each pair of blocks is a unit of bounded size: a group
-with a third of all rows is spread over many tasks and loses no link.  Bucket minima are map-side
+with a third of all rows is spread over many tasks and loses no link.  The work in such a cluster grows
+with the square of its different sets (equal sets are one class).  Bucket minima are map-side
 combined aggregates; joins back to a hot bucket are shuffled joins that adaptive execution splits.
 
 Edge cases.  Null or blank texts have an empty set and stay alone.  A text with fewer words than a

@@ -10,13 +10,15 @@ no repeat is missed, and about 2 / (length - gram + 2) of the positions are anch
 strings with one anchor form a stretch ``[a, b + length)``.  A *class* is the pair (hash of the
 suffix's first ``gram`` bytes, hash of the whole stretch), 96 bits.  The array of a batch is its
 anchors sorted by (class, doc_id, start): equal suffix prefixes are neighbours and the first of a
-run is the earliest occurrence.  (The order is that of the fingerprints, not of the letters; a merge
-scan only needs equal prefixes to be adjacent.)
+run is the earliest occurrence.  (The order is that of the fingerprints, not of the letters: finding
+equal prefixes only needs them to be adjacent.)
 
 **Logarithmic family.**  Documents arrive in ``batches`` of ascending doc_id.  A batch is sorted
-into its array, heads of runs are merge-scanned against the existing levels, heads that no level
-holds become a new level, and the two newest levels merge while their sizes (in batches) are equal,
-so an anchor is rewritten only logarithmically often.  The array is a global sort (range partitions
+into its array, heads of runs are matched against all existing levels by one equi-join on the class
+(hash or sort-merge, as Spark plans it; the levels are sets without an order of their own), heads that
+no level holds become a new level, and the two newest levels are put together while their sizes (in
+batches) are equal, so there are logarithmically many.  Partial matches between long strings are
+found by one sort over all batches at the end.  The array is a global sort (range partitions
 of the full key), so a class with a third of all rows spreads over many tasks; only the first row of
 a partition is compared with the last row of the one before, on the driver (one row per partition).
 
