@@ -3,20 +3,22 @@
 A lossless tokenizer (byte-level BPE) splits the UTF-8 bytes of a text, so a token is an id and an end
 offset in these bytes.  Texts are cut at token borders by byte offsets inside Catalyst; a border inside
 a character leaves invalid bytes, which become U+FFFD as in the tokenizer's own decoding.  Python runs
-only to encode (and to decode ids that have lost their text), Arrow-batched, the model loaded once per
-worker.
+only to encode (and to decode ids that have lost their text), the model loaded once per worker; an Arrow batch
+is worked on in parts of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .worker import worker_state
+from .worker import arrow_parts, worker_state
 
 
 def _c(x: Column | str) -> Column:
@@ -53,24 +55,25 @@ class ModelTokenizer:
         byte lengths; null for null."""
         get = self._held()
 
-        def encode(batches):
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             fn, pieces = get()
-            for s in batches:
-                null = s.isna()
-                texts = s.where(~null, "").tolist()
-                ids = fn(texts)
-                sizes = [[len(pieces[i]) for i in x] for x in ids]
-                ends = [list(accumulate(x)) for x in sizes]
-                if any((x[-1] if x else 0) != len(t.encode()) for t, x in zip(texts, ends)):
+            size_of = np.fromiter(map(len, pieces), np.int32, len(pieces))
+            for texts in arrow_parts(batches):
+                ids = fn([t or "" for t in texts.to_pylist()])
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                at = np.concatenate([[0], np.cumsum(n)])
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(at[-1]))
+                sizes = size_of[flat]
+                upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                before = upto[at[:-1]]
+                if (upto[at[1:]] - before != pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)).any():
                     raise ValueError("the tokenizer is not lossless: its tokens do not cover the text")
-                cols = {"ids": [list(x) for x in ids], "ends": ends, "sizes": sizes}
-                out = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in cols.items()})
-                if null.any():
-                    out.loc[null.to_numpy(), :] = None
-                yield out
-
-        encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-        t = F.pandas_udf(encode, "ids array<int>, ends array<int>, sizes array<int>")(_c(text))
+                ends = (upto[1:] - np.repeat(before, n)).astype(np.int32)
+                offsets = pa.array(at, pa.int32())
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat, ends, sizes)],
+                                                 names=["ids", "ends", "sizes"], mask=texts.is_null())
+
+        t = F.arrow_udf(encode, "struct<ids:array<int>,ends:array<int>,sizes:array<int>>")(_c(text))
         return F.when(_c(text).isNotNull(), t)
 
     def sized(self, text: Column | str) -> Column:
@@ -84,13 +87,12 @@ class ModelTokenizer:
         """Bytes of an array of ids."""
         get = self._held()
 
-        def decode(batches):
+        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             _, pieces = get()
-            for s in batches:
-                yield pd.Series([None if x is None else b"".join([pieces[i] for i in x]) for x in s], dtype=object)
+            for part in arrow_parts(batches):
+                yield pa.array([None if x is None else b"".join([pieces[i] for i in x]) for x in part.to_pylist()], pa.binary())
 
-        decode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(decode, "binary")(_c(ids))
+        return F.arrow_udf(decode, "binary")(_c(ids))
 
     def text(self, ids: Column | str) -> Column:
         """Text of an array of ids (special tokens by their name)."""

@@ -101,3 +101,20 @@ def test_query_digests(spark, tok):
         ids = tok.encode(d.text, add_special_tokens=False).ids
         cut = d.text if len(ids) <= 101 else tok.decode(ids[:50]) + tok.decode(ids[-50:])
         assert r[d.doc_id].n_tokens == len(ids) and r[d.doc_id].cut_md5 == hashlib.md5(cut.encode()).hexdigest()
+
+
+def test_batches_are_encoded_in_bounded_parts(spark):
+    most = 4 << 20
+
+    def load():
+        def encode(texts):
+            if sum(map(len, texts)) > most:
+                raise ValueError("too many texts at once")
+            return [list(t.encode()) for t in texts]
+        return encode, [bytes([i]) for i in range(256)]
+    own = M.ModelTokenizer("bounded-parts", load)
+    d = spark.range(6000).select("id", F.when(F.col("id") % 5 > 0, F.repeat(F.col("id").cast("string"), 400)).alias("text")).coalesce(1)
+    t = d.select("id", "text", own.tokens("text").alias("t"))
+    r = t.select("id", F.size("t.ids").alias("n"), F.element_at("t.ends", -1).alias("end"), own.text("t.ids").eqNullSafe(F.col("text")).alias("same")).collect()
+    assert [x.id for x in r] == list(range(6000)) and all(x.same for x in r)
+    assert all((x.n, x.end) == ((400 * len(str(x.id)),) * 2 if x.id % 5 else (None, None)) for x in r)
