@@ -2,11 +2,13 @@
 
 All of these stay inside Catalyst (higher-order array functions), except the
 longest-common-subsequence used by ROUGE-L, which runs as an Arrow batched
-``pandas_udf`` over token arrays that were split on the JVM side.
+``arrow_udf`` over token arrays that were split on the JVM side.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,23 +188,24 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - bin(v).count("1")
 
 
-@F.pandas_udf(T.DoubleType())
-def _rouge_l_udf(p, g):  # type: ignore[no-untyped-def]
-    import pandas as pd
+ROUGE_ROWS = 64
 
+
+@F.arrow_udf(T.DoubleType())
+def _rouge_l_udf(p: pa.Array, g: pa.Array) -> pa.Array:
+    """F of every pair; few rows at a time leave Arrow, their tokens as numbers."""
     out = []
-    for a, b in zip(p, g):
-        if a is None or b is None:
-            out.append(None)
-            continue
-        a, b = list(a), list(b)
-        lcs = lcs_length(a, b)
-        if lcs == 0:
-            out.append(0.0)
-        else:
-            prec, rec = lcs / len(a), lcs / len(b)
-            out.append(2 * prec * rec / (prec + rec))
-    return pd.Series(out, dtype="float64")
+    for lo in range(0, len(p), ROUGE_ROWS):
+        pair = [x.slice(lo, ROUGE_ROWS) for x in (p, g)]
+        codes = pc.dictionary_encode(pa.concat_arrays([x.flatten() for x in pair]), null_encoding="encode").indices.to_pylist()
+        sizes = [pc.fill_null(pc.list_value_length(x), 0).to_pylist() for x in pair]
+        valid = pc.and_(*[x.is_valid() for x in pair]).to_pylist()
+        i, j = 0, sum(sizes[0])
+        for m, n, ok in zip(*sizes, valid):
+            lcs = lcs_length(codes[i: i + m], codes[j: j + n]) if ok else 0
+            out.append(2 * (lcs / m) * (lcs / n) / (lcs / m + lcs / n) if lcs else 0.0 if ok else None)
+            i, j = i + m, j + n
+    return pa.array(out, pa.float64())
 
 
 def rouge_l(pred: Column | str, target: Column | str, tokenizer=None) -> Column:

@@ -187,3 +187,18 @@ def test_native_rouge_l_equals_the_dynamic_program(spark):
             assert r.f is None
             continue
         assert r.n == lcs_dp(r.p.split(), r.g.split()) and abs(r.f - r.u) < 1e-12
+
+
+def test_rouge_l_takes_few_rows_out_of_arrow(spark, monkeypatch):
+    """Tokens become numbers a few rows at a time; null texts and null tokens keep their places."""
+    import pyarrow as pa
+    rnd = random.Random(11)
+    texts = [None if rnd.random() < 0.1 else [None if rnd.random() < 0.1 else rnd.choice("abc漢") for _ in range(rnd.randint(0, 9))] for _ in range(400)]
+    p, g = texts[:200], texts[200:]
+    sizes, lcs = [], S.lcs_length
+    monkeypatch.setattr(S, "lcs_length", lambda a, b: sizes.extend(type(x) for x in (*a, *b)) or lcs(a, b))
+    got = S._rouge_l_udf.func(pa.array(p, pa.list_(pa.string())), pa.array(g, pa.list_(pa.string()))).to_pylist()
+    assert set(sizes) == {int}
+    for a, b, s in zip(p, g, got):
+        c = 0 if a is None or b is None else lcs_dp(a, b)
+        assert s == (None if a is None or b is None else 0.0 if c == 0 else 2 * (c / len(a)) * (c / len(b)) / (c / len(a) + c / len(b)))
