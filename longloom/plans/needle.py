@@ -212,7 +212,7 @@ SELECT lang, passes, CAST(len(tokens) AS INTEGER) AS hay_len, md5(array_to_strin
 def q_haystack_files(spark, sf_dir):
     """Haystacks of folders of text files (one folder a language), read in splits and ordered by file name."""
     path = scratch_path(spark, "essays")
-    d = docs(spark, sf_dir).select("lang", "doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("lang", "doc_id")
+    d = docs(spark, sf_dir).select("lang", "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("lang", "doc_id")
     d.select("lang", "text").write.partitionBy("lang").text(path)
     lines = IO.read_text_lines(spark, path)
     h = H.haystacks(lines, MAX_LEN, group="lang", order="pos", chars="n_bytes")

@@ -148,3 +148,21 @@ def test_stemmed_needle_score(spark):
     stem = lambda t: F.transform(t, lambda w: F.rtrim(w, F.lit("s")))
     r = df.select(S.needle_score("p", "t").alias("a"), S.needle_score("p", "t", stem).alias("b")).first()
     assert r.a == 0 and r.b == 10
+
+
+def test_folder_files_follow_the_data(spark, monkeypatch):
+    """The files of a folder are as many as the partitions of the session, not a fixed four."""
+    from longloom.plans import needle
+    from longloom.sources import io
+    seen, read = [], io.read_text_lines
+    monkeypatch.setattr(needle.IO, "read_text_lines", lambda s, path: seen.append(path) or read(s, path))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        needle.q_haystack_files(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = spark.read.text(seen[0]).select(F.regexp_extract("_metadata.file_name", "part-[0-9]+", 0).alias("f")).distinct().count()
+    assert files > 4
