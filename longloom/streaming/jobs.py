@@ -185,7 +185,8 @@ def stream_pack(spark: SparkSession, stream_df: DataFrame, chunk_size: int, toke
         else:
             tail = spark.createDataFrame([], state_schema)
         marker = spark.createDataFrame([(n_new, None, None, None, None)], state_schema)
-        tail.unionByName(marker).coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
+        # a shuffle of the few rows left over: coalesce(1) would read all runs in one task
+        tail.unionByName(marker).repartition(1).write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
         runs.unpersist()
         prev.unpersist()
         d.unpersist()

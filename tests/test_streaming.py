@@ -124,3 +124,14 @@ def test_lanes_over_a_restart(spark, docs_mid):
             at = r.chunk_id * size
             assert r.input_ids == tokens[lane][at: at + size] and r.labels == tokens[lane][at + size]
             assert r.source[0].start == 0 and r.source[-1].end == size and all(a.end == b.start for a, b in zip(r.source, r.source[1:]))
+
+
+def test_the_rest_of_a_batch_is_cut_before_it_meets_one_task(spark, docs_mid, monkeypatch):
+    """The carried tokens are few; no task reads all runs to find them."""
+    from pyspark.sql import DataFrame
+    asked = []
+    whole = DataFrame.coalesce
+    monkeypatch.setattr(type(docs_mid), "coalesce", lambda self, n: asked.append(n) or whole(self, n))
+    seg = J.write_segments(docs_mid.withColumn("k", order_key(F.col("doc_id"))), spark, "t_rest", 2)
+    out = J.stream_pack(spark, J.document_stream(spark, seg), 128)
+    assert not asked and spark.read.parquet(out).count() > 0
