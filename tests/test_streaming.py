@@ -135,3 +135,34 @@ def test_the_rest_of_a_batch_is_cut_before_it_meets_one_task(spark, docs_mid, mo
     seg = J.write_segments(docs_mid.withColumn("k", order_key(F.col("doc_id"))), spark, "t_rest", 2)
     out = J.stream_pack(spark, J.document_stream(spark, seg), 128)
     assert not asked and spark.read.parquet(out).count() > 0
+
+
+def test_a_lane_holds_places_not_tokens():
+    """A micro-batch far above what a lane may hold, cut into chunks by small frames."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, x):
+            self.kept = x
+    docs, size = 4000, 2000
+    order = np.random.default_rng(5).permutation(docs)
+
+    def frames():
+        for i in range(0, docs, 100):
+            ks = order[i: i + 100]
+            yield pd.DataFrame({"k": [f"{k:08d}" for k in ks], "source": "a", "input_ids": [np.full(size, k, np.int32) for k in ks]})
+    state, at = State(), 0
+    tracemalloc.start()
+    for f in J._pack_lane(500)((1,), frames(), state):
+        for cid, ids, lab in zip(f["chunk_id"], f["input_ids"], f["labels"]):
+            assert cid == at and set(ids) == {at * 500 // size} and lab == (at + 1) * 500 // size
+            at += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == (docs * size - 1) // 500 and state.kept[0] == at
+    assert peak < docs * size * 4 / 2          # half of the batch's ids
