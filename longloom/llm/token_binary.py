@@ -42,6 +42,7 @@ END_ID = 2
 BLOCK_IDS = 128
 ROW_IDS = 1 << 18
 CACHE_PIECES = 600_000
+JOINED = 64                 # new pieces encoded as one string
 
 # ids per word and bits per id, by selector (fixed values of the coding)
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
@@ -143,6 +144,19 @@ def unpack(words: np.ndarray, block_words: np.ndarray, n: int, escaped: np.ndarr
     return out[:n]
 
 
+class _Codes(dict):
+    """Codes of pieces; an unknown one takes the next code and is noted in ``new``."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.base, self.new = 0, []
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = self.base + len(self.new)
+        self.new.append(piece)
+        return code
+
+
 class PieceEncoder:
     """Encodes texts piece by piece with a bounded cache of the ids of distinct pieces.
 
@@ -156,11 +170,16 @@ class PieceEncoder:
         # an added token is found before the text is cut into pre-tokens, also across white space
         added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        # bytes of every id (a byte-level vocabulary writes a byte as one character): they part the ids of joined pieces
+        size = {i: len(w) for w, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        self.size_of = np.zeros(max(size, default=0) + 1, np.int64)
+        self.size_of[list(size)] = list(size.values())
+        self.joins = not any(re.search(r"\s", a) for a in added)
         # sentence marks that are one id after a letter
         after = {m: self.tok.encode("a" + m, add_special_tokens=False).ids for m in ".,;:!?"}
         self.marks = {m: x[1] for m, x in after.items() if len(x) == 2}
         # piece at the start of a text / after a space -> its code
-        self.first, self.rest = {}, {}
+        self.first, self.rest = {}, _Codes()
         self.n = self.used = 0
         self.starts = np.zeros(1024, np.int32)
         self.lens = np.zeros(1024, np.int32)
@@ -188,41 +207,69 @@ class PieceEncoder:
         self.ids[self.used: self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _add(self, new):
-        """Encode the pieces ``new`` (text, whether a space was cut before it) as codes from ``n`` on.
+    def _encode_each(self, texts: list[str]):
+        """Flat ids of texts and the number of ids of each."""
+        x = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ln = np.fromiter(map(len, x), np.int64, len(x))
+        return np.fromiter(itertools.chain.from_iterable(x), np.uint32, int(ln.sum())), ln
+
+    def _encode_joined(self, texts: list[str]):
+        """:meth:`_encode_each` for texts that start with a pre-token border and end without white space: many
+        are encoded in one string, and the bytes of the ids tell where each ends."""
+        if not self.joins:
+            return self._encode_each(texts)
+        ids, _ = self._encode_each(["".join(texts[i: i + JOINED]) for i in range(0, len(texts), JOINED)])
+        upto = np.cumsum(self.size_of[ids])
+        ends = np.cumsum(np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), np.int64, len(texts)))
+        last = np.searchsorted(upto, ends)
+        if len(upto) != last[-1] + 1 or (upto[last] != ends).any():        # not a byte-level vocabulary
+            return self._encode_each(texts)
+        return ids, np.diff(last, prepend=-1)
+
+    def _add(self, new, heads):
+        """Encode the pieces ``new`` as codes from ``n`` on; a space was cut before all but those with codes in ``heads``.
 
         A sentence mark after an ASCII letter is a pre-token of its own, so a word that carries one takes
-        the ids of the bare word; everything else is encoded in one call."""
+        the ids of the bare word; other pieces without white space of their own are encoded joined."""
         marked, bare, mark_ids = [], [], []
         alone, alone_code = [], []
+        plain, plain_code = [], []
         flagged, flags = [], []
         rest, code = self.rest, self.n - 1
-        for w, cut in new:                            # grows by the bare words that are not known yet
+        for w in new:                                 # grows by the bare words that are not known yet
             code += 1
+            cut = code not in heads
+            if cut and w.isalpha():
+                plain.append(" " + w)
+                plain_code.append(code)
+                continue
             line = w[:1] == "\n"
             parts = (w[1:] if line else w).split() if cut else ()
             if len(parts) != 1 or len(parts[0]) != len(w) - line:
                 flagged.append(code)
                 flags.append((cut and (not w or w[0].isspace())) + 2 * ((cut and not w) or (w != "" and w[-1].isspace())))
-            elif line:
+                alone.append(" " + w if cut and not line else w)
+                alone_code.append(code)
+                continue
+            if line:
                 flagged.append(code)
                 flags.append(1)
             elif w[-1] in self.marks and len(w) > 1 and w[-2].isascii() and w[-2].isalpha():
                 k = rest.get(w[:-1])
                 if k is None:
                     k = rest[w[:-1]] = self.n + len(new)
-                    new.append((w[:-1], True))
+                    new.append(w[:-1])
                 marked.append(code)
                 bare.append(k)
                 mark_ids.append(self.marks[w[-1]])
                 continue
-            alone.append(" " + w if cut and not line else w)
-            alone_code.append(code)
+            plain.append(w if line else " " + w)
+            plain_code.append(code)
         base, self.n = self.n, self.n + len(new)
         if alone:
-            x = [e.ids for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)]
-            ln = np.fromiter(map(len, x), np.int64, len(x))
-            self._store(np.array(alone_code), np.fromiter(itertools.chain.from_iterable(x), np.uint32, int(ln.sum())), ln)
+            self._store(np.array(alone_code), *self._encode_each(alone))
+        if plain:
+            self._store(np.array(plain_code), *self._encode_joined(plain))
         if marked:
             ids, ln = self._gather(np.array(bare))
             self._store(np.array(marked), np.insert(ids, np.cumsum(ln), np.array(mark_ids, np.uint32)), ln + 1)
@@ -238,7 +285,7 @@ class PieceEncoder:
         code[keep] = np.arange(len(keep))
         code = code.tolist()
         self.first = {p: code[c] for p, c in self.first.items() if code[c] >= 0}
-        self.rest = {p: code[c] for p, c in self.rest.items() if code[c] >= 0}
+        self.rest = _Codes({p: code[c] for p, c in self.rest.items() if code[c] >= 0})
         self.n, self.used = len(keep), len(ids)
         self.flags[: self.n] = self.flags[keep]
         self.lens[: self.n] = ln
@@ -253,9 +300,9 @@ class PieceEncoder:
         if self.n > CACHE_PIECES:
             self._shrink()
         first, rest = self.first, self.rest
-        get = rest.get
-        new, n = [], self.n
-        codes, counts = [], []
+        rest.base, rest.new = self.n, []
+        new, code_of = rest.new, rest.__getitem__
+        heads, codes, counts = set(), [], []
         special = []                                      # texts with an added token have no pieces
         for i, t in enumerate(texts):
             if self.added is not None and self.added.search(t):
@@ -264,24 +311,16 @@ class PieceEncoder:
             p = t.replace("\n", " \n").split(" ")
             head = first.get(p[0])
             if head is None:
-                head = first[p[0]] = n
-                n += 1
-                new.append((p[0], False))
-            c = list(map(get, p))
+                head = first[p[0]] = self.n + len(new)
+                heads.add(head)
+                new.append(p[0])
+            c = np.empty(len(p), np.int32)
             c[0] = head
-            if None in c:
-                for i in [i for i, k in enumerate(c) if k is None]:
-                    w = p[i]
-                    k = get(w)
-                    if k is None:
-                        k = rest[w] = n
-                        n += 1
-                        new.append((w, True))
-                    c[i] = k
-            codes.append(np.fromiter(c, np.int32, len(c)))
+            c[1:] = np.fromiter(map(code_of, p[1:]), np.int32, len(p) - 1)
+            codes.append(c)
             counts.append(len(p))
         if new:
-            self._add(new)
+            self._add(new, heads)
         code = np.concatenate(codes)
         self.hits[code] += 1                              # texts of one call count once
         count = np.array(counts, np.int64)
