@@ -7,6 +7,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+# in a run of the whole suite `conftest` is this module for the tests above too
+SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
+
 from llm_helpers import KINDS, odd_documents, odd_tables, write  # noqa: E402
 
 
