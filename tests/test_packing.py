@@ -138,3 +138,20 @@ def test_tokenizer_is_loaded_once_per_worker(spark, docs_small, tmp_path):
     assert d.selectExpr("sum(size(ids))").first()[0] == sum(len(r.text.split()) for r in docs_small.collect())
     loads = open(log).read().split()
     assert len(loads) == len(set(loads)) <= 8
+
+
+def test_the_pattern_tokenizer_has_the_ids_of_the_default(spark, docs_small):
+    """Also for texts of no token, null, other spaces, characters beyond 16 bits and bytes that are no UTF-8."""
+    import random
+
+    from longloom.functions import tokens
+    rnd = random.Random(3)
+    odd = ["a", "b", "é", "漢", "😀", " ", "\t", "\n", "\r", ".", "\x0b", "\x00", "\u2003", "\xa0"]
+    raw = [65, 32, 46, 0x80, 0xC3, 0xE6, 0xBC, 0xA2, 0xF0, 0x9F, 0x98, 0xED, 0xA0, 0xFF, 0xC0]
+    texts = ["".join(rnd.choices(odd, k=rnd.randrange(40))).encode() for _ in range(500)] + [None, b"", b".." * 9, b" "]
+    texts += [bytes(rnd.choices(raw, k=rnd.randrange(30))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "raw binary").select(F.expr("cast(raw as string)").alias("text"))
+    d = docs_small.select("text").unionByName(rows)
+    ids = d.select(tokens.token_ids(tokens.tokenize("text")).alias("a"), tokens.PatternTokenizer().ids("text").alias("b"))
+    assert ids.count() == docs_small.count() + len(texts)
+    assert ids.filter("not (a <=> b)").count() == 0 and ids.filter("a is null").count() == 1

@@ -166,3 +166,36 @@ def test_a_lane_holds_places_not_tokens():
     tracemalloc.stop()
     assert at == (docs * size - 1) // 500 and state.kept[0] == at
     assert peak < docs * size * 4 / 2          # half of the batch's ids
+
+
+def test_segments_are_written_without_a_range_sample_of_the_texts(spark, monkeypatch):
+    """Sampling a key for repartitionByRange reads whole rows, once more for every segment."""
+    from longloom.session import scratch_path
+    docs = spark.range(400).select(F.when(F.col("id") < 390, F.col("id")).alias("doc_id"), F.lit("a b").alias("text"))
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda *a: pytest.fail("the texts are sampled"))
+    for i in range(4):
+        path = J.write_segments(docs.withColumn("k", order_key(F.col("doc_id"))), spark, "x", 4, only=[i], path=scratch_path(spark, "t_seg"))
+        rows = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).orderBy("lo").collect()
+        assert len(rows) == 4 and min(r.n for r in rows) > 10
+        assert all(a.hi < b.lo for a, b in zip(rows, rows[1:])) and all(int(r.lo[0], 16) // 4 == int(r.hi[0], 16) // 4 == i for r in rows)
+
+
+def test_range_bounds_leave_no_range_out():
+    assert J.range_bounds([], 4) == [] and J.range_bounds([5] * 100, 4) == [5]
+    assert J.range_bounds([1] * 25 + [2] * 25 + [3] * 25 + [4] * 25, 4) == [1, 2, 3]
+    assert J.range_bounds([1] * 97 + [2, 3, 4], 4) == [1, 2, 3]
+
+
+def test_one_lane_is_packed_in_one_partition_and_written_by_many_tasks(spark, docs_mid):
+    import os
+
+    from longloom.session import scratch_path
+    base = scratch_path(spark, "t_lane_tasks")
+    seg = J.write_segments(docs_mid.withColumn("k", order_key(F.col("doc_id"))), spark, "t_lane_one", 1)
+    before = spark.conf.get(J.SHUFFLE), spark.conf.get(J.CLEANUP)
+    out = J.stream_pack_lanes(spark, J.document_stream(spark, seg), 128, 1, base=base)
+    assert (spark.conf.get(J.SHUFFLE), spark.conf.get(J.CLEANUP)) == before
+    rows = [r.n for r in spark.read.parquet(out).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(rows) == 4 and max(rows) - min(rows) <= 1          # local[4]
+    stores = f"{base.removeprefix('file:')}/checkpoint/state/0"
+    assert [x for x in os.listdir(stores) if x.isdigit()] == ["0"]
